@@ -25,13 +25,79 @@ FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = s.doc_
 """
 
 
+def op2_substring_dedup(spark, sf_dir):
+    from ragloom.llm.substring import repeated_spans
+
+    return repeated_spans(documents(spark, sf_dir)).drop("body")
+
+
+def op3_mixing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.mixing import plan
+
+    planned = plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    first = F.get("_places", F.lit(0))["position"]
+    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), first.alias("first_position"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    from ragloom.llm.quality_rules import assess
+
+    return assess(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "_counts.*", "base_failed", "kept")
+
+
+_LINES = r"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, text, {WORDS.format("coalesce(text, '')")} AS ws, {_LINES} AS ls FROM documents),
+grams AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda j: ws[j:j + 2])) AS g FROM d),
+twice AS (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM twice GROUP BY r),
+lines AS (SELECT r, source, text, unnest(ls) AS line FROM d),
+keyed AS (SELECT r, source, text, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS key,
+                 len({WORDS.format("line")}) AS words FROM lines),
+hosts AS (SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source),
+common AS (SELECT k.source, k.key FROM (SELECT source, key, count(DISTINCT text) AS n FROM keyed GROUP BY source, key) k
+           JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source WHERE k.n > 20 AND k.n > 0.005 * h.n),
+gone AS (SELECT r, sum(words) AS n FROM keyed k JOIN common c ON k.key = c.key AND k.source IS NOT DISTINCT FROM c.source GROUP BY r),
+base AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+                CAST(len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, coalesce(g.n, 0) AS gone
+         FROM d LEFT JOIN repeated p ON p.r = d.r LEFT JOIN gone g ON g.r = d.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.3 * n_words AS kept FROM base
+"""
+
+
+def op7_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.toxicity import fit, held_out, score
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_packing(spark, sf_dir):
+    from ragloom.llm.packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_mixing": op3_mixing,
+        "op4_quality_rules": op4_quality_rules,
+        "op7_toxicity": op7_toxicity,
+        "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op4_quality_rules": OP4_SQL,
     }

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Weight of each further letter that a subsequence spans.
-DECAY = 0.6
+DECAY = 0.8
 #: Letters are told apart by so many codes: a-z, then the code point modulo the rest.
 CODES = 48
 #: A longer word is taken in windows of this length that overlap by half.
@@ -30,13 +30,16 @@ LANDMARKS, HARD_LANDMARKS = 64, 48
 TELLING = 64
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+_NO_MARKS = str.maketrans("", "", _STRIP)
+
 
 def terms(text: str | None) -> set[str]:
-    """The document's distinct lower-case words without punctuation around them, and runs of single letters joined."""
+    """The document's distinct lower-case words without punctuation around them, also without that inside them, and runs of single letters joined."""
     if not text:
         return set()
     words = text.lower().split()
     found = {w.strip(_STRIP) for w in set(words)}
+    found |= {w.translate(_NO_MARKS) for w in found if not w.isalnum()}
     run = []
     for w in [*words, "  "]:
         if len(w) == 1:
@@ -130,7 +133,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """A table of word scores by subsequence, and the map from a document's two largest scores to a probability."""
+    """A table of word scores by subsequence, and the map from a document's word scores to a probability."""
 
     def __init__(self, table: np.ndarray, bias: float, scale: np.ndarray):
         self.table, self.bias, self.scale = table, bias, scale
@@ -142,8 +145,8 @@ class Model:
         self.known.update(zip(words, (apply_table(words, self.table) + self.bias).tolist(), strict=True))
 
     def tops(self, docs: list[set[str]]) -> np.ndarray:
-        """The two largest word scores of each document; -1.5 where there is none."""
-        out = np.empty((len(docs), 2))
+        """Of each document the two largest word scores (-1.5 where there is none), and how many words score above 0.2, as log and as share."""
+        out = np.empty((len(docs), 4))
         for a in range(0, len(docs), 500):
             part = docs[a : a + 500]
             if len(self.known) > 400_000:
@@ -155,11 +158,13 @@ class Model:
             for i, d in enumerate(part, a):
                 scores = [known[w] for w in d]
                 one = max(scores, default=-1.5)
-                out[i] = one, max((s for s in scores if s < one), default=-1.5) if len(scores) > 1 else -1.5
-        return np.clip(out, -1.5, 3)
+                two = max((s for s in scores if s < one), default=-1.5)
+                many = sum(s > 0.2 for s in scores)
+                out[i] = one, two, np.log1p(many), many / (len(scores) + 10)
+        return np.clip(out, -1.5, 8)
 
     def score(self, docs: list[set[str]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.tops(docs) @ self.scale[:2] + self.scale[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.tops(docs) @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
 def _pick(words: list[str], most: int, like: float) -> list[str]:
@@ -201,7 +206,7 @@ def train(docs: list[set[str]], toxic: np.ndarray, share: float, rounds: int = 3
     """Fit on documents as sets of words; share is the toxic documents' share of all labelled ones."""
     n1, n0 = max(1, toxic.sum()), max(1, (toxic == 0).sum())
     if toxic.sum() == 0 or (toxic == 0).sum() == 0:
-        return Model(np.zeros(CODES**3, dtype=np.float32), 0.0, np.array([0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
+        return Model(np.zeros(CODES**3, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
     apart = _one_of_each(docs)
     docs, toxic = [docs[i] for i in apart], toxic[apart]
     n1, n0 = max(1, toxic.sum()), max(1, (toxic == 0).sum())
@@ -233,7 +238,7 @@ def train(docs: list[set[str]], toxic: np.ndarray, share: float, rounds: int = 3
         y = np.r_[np.ones(len(good)), -np.ones(len(hard) + len(any_clean))]
         weight = np.r_[np.sqrt([min(met1[w], 50) for w in good]) * max(1.0, len(any_clean) / len(good) / 10), np.ones(len(hard) + len(any_clean))]
         w = _machine(x, y, weight)
-        model = Model((base.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.array([1.0, 0.0, 0.0]))
+        model = Model((base.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
         every = sorted(set(met1) | set(met0))
         scores = dict(zip(every, (apply_table(every, model.table) + model.bias).tolist(), strict=True))
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0) * len(toxic)
