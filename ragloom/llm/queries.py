@@ -69,6 +69,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+def op5_syncmer_fingerprints(spark, sf_dir):
+    from ragloom.llm.syncmers import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op6_chat_formatting(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.chat import format_conversations, masked_text, read_turns
+
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT bigint(-7) AS conv_id, bigint(turn) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
+    out = format_conversations(told.unionByName(more)).withColumn("turns", read_turns(F.col("formatted")))
+    out = out.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = r"len(regexp_replace({0}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))"
+OP6_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(20 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(len(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+
 def op7_toxicity(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -91,6 +124,8 @@ def queries() -> dict:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_mixing": op3_mixing,
         "op4_quality_rules": op4_quality_rules,
+        "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
     }
@@ -100,4 +135,5 @@ def oracle_sql() -> dict:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op6_chat_formatting": OP6_SQL,
     }
