@@ -112,6 +112,26 @@ def op7_toxicity(spark, sf_dir):
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.secrets import THRESHOLD, findings, fit
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = findings(docs, fit(docs))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 6).alias("probability"), (F.col("probability") >= THRESHOLD).cast("int").alias("is_secret"))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.weak_labels import fit, score
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    weights, _ = fit(docs)
+    return score(docs, weights).select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= 0.5).alias("kept"))
+
+
 def op9_packing(spark, sf_dir):
     from ragloom.llm.packing import pack
 
@@ -127,7 +147,9 @@ def queries() -> dict:
         "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_toxicity": op7_toxicity,
+        "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
