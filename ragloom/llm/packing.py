@@ -10,8 +10,10 @@ whose minimum over a moving window a monotone queue yields in constant time. Not
 what it reads, a bounded block of ids at a time, and hands the last, unfilled window on to its next block.
 """
 
+import sys
 from collections import deque
 from collections.abc import Iterator
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -86,7 +88,7 @@ class Encoder:
     Texts with other white space are encoded as they are."""
 
     #: Words remembered at a time.
-    MOST = 300_000
+    MOST = 600_000
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -113,6 +115,14 @@ class Encoder:
         return [np.frombuffer(next(whole) if w is None else b"".join(map(known, w)), dtype="<u4") for w in words]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """This Python worker's encoder: tasks that run in it after each other share the words it knows."""
+    kept = sys.modules.setdefault("_ragloom_encoders", ModuleType("_ragloom_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -136,7 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         after = sentence_ends(encoder.tokenizer)
         number = TaskContext.get().partitionId() << 33
         names: list = []  # doc_id, ids in all, ids already packed, of each document in the stream

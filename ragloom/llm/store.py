@@ -19,16 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lost executors then cost no recomputation."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+    """Write df once to the shared folder and read it back: lost executors then cost no recomputation.
+
+    batch: rows that its Python steps hold at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(batch))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
