@@ -66,9 +66,12 @@ def blank_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-@F.pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKC")
+def _nfkc(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
+
+    return run(text)
 
 
 def normalized_answer(text: Column, ascii_only: bool = False) -> Column:
