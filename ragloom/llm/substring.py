@@ -41,43 +41,46 @@ def units(docs: DataFrame) -> DataFrame:
     """A row for each unit: body (a hash of the text), unit (number from 0), first_word and last_word (numbers, the last
     exclusive), start and end (code points), digest of its lower-case words, again: this document has it earlier."""
 
-    def of_text(raw: bytes, text: str) -> tuple | None:
-        words, _ = word_hashes([raw.lower()])
-        if not len(words):
-            return None
+    def of_words(raw: bytes, words: np.ndarray) -> tuple:
         buf = np.frombuffer(raw, dtype=np.uint8)
         white = (buf == 32) | ((buf >= 9) & (buf <= 13))
         edge = np.flatnonzero(np.diff(np.r_[True, white, True].view(np.int8)))
         begins, stops = edge[0::2], edge[1::2]
-        line = np.r_[0, np.cumsum(buf == 10)][begins]
         ends = cuts(words)
-        ends[:-1] |= line[1:] != line[:-1]
+        breaks = np.flatnonzero(buf == 10)
+        if len(breaks):
+            line = np.searchsorted(breaks, begins)
+            ends[:-1] |= line[1:] != line[:-1]
         ends[-1] = True
         last = np.flatnonzero(ends) + 1
         first = np.r_[0, last[:-1]]
         inside = np.arange(len(words)) - np.repeat(first, last - first)
         digest = mix(np.add.reduceat(mix(words + inside.astype(_U) * _U(0x9E3779B97F4A7C15)), first) + (last - first).astype(_U)).view(np.int64)
-        points = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
-        _, at = np.unique(digest, return_index=True)
+        starts, ends_at = begins[first], stops[last - 1]
+        if not raw.isascii():
+            points = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]
+            starts, ends_at = points[starts], points[ends_at]
         again = np.ones(len(digest), dtype=bool)
-        again[at] = False
-        return first, last, points[begins[first]], points[stops[last - 1]], digest, again
+        again[np.unique(digest, return_index=True)[1]] = False
+        return np.arange(len(first)), first, last, starts, ends_at, digest, again
+
+    def table(ids: list, bodies: list, found: list[tuple]) -> pd.DataFrame:
+        many = [len(f[0]) for f in found]
+        out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64").repeat(many), "body": np.repeat(np.array(bodies, dtype=np.int64), many)})
+        for i, name in enumerate(("unit", "first_word", "last_word", "start", "end", "digest", "again")):
+            out[name] = np.concatenate([f[i] for f in found])
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["first_word", "last_word", "start", "end", "digest", "again"]
         for batch in batches:
-            held, size = [], 0
-            for doc_id, body, text in zip(batch["doc_id"], batch["body"], batch["text"], strict=True):
-                found = of_text(encode(text), text)
-                if found:
-                    n = len(found[0])
-                    held.append(pd.DataFrame(dict(zip(names, found, strict=True))).assign(doc_id=None if pd.isna(doc_id) else int(doc_id), body=body, unit=np.arange(n)))
-                    size += n
-                if size > 50_000:
-                    yield pd.concat(held)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held)
+            parts = [encode(t) for t in batch["text"]]
+            own_ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
+            own_bodies = batch["body"].tolist()
+            for a, b in chunks(parts, 1 << 20):
+                words, at = word_hashes([p.lower() for p in parts[a:b]])
+                rows = [i for i in range(a, b) if at[i - a + 1] > at[i - a]]
+                if rows:
+                    yield table([own_ids[i] for i in rows], [own_bodies[i] for i in rows], [of_words(parts[i], words[at[i - a] : at[i - a + 1]]) for i in rows])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text")).mapInPandas(run, UNIT)
 
