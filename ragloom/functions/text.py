@@ -1,5 +1,6 @@
 """Column functions on text: sentences, tokens, answer checks."""
 
+import unicodedata
 from functools import reduce
 
 import pandas as pd
@@ -66,34 +67,43 @@ def blank_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def _nfkc(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
+def _nfkc(texts: Column) -> Column:
+    """The compatibility form of an array of texts."""
 
-    return run(text)
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in r] for r in rows], dtype=object)
 
+    return run(texts)
 
-def normalized_answer(text: Column, ascii_only: bool = False) -> Column:
-    """Lower case, compatibility form, without markdown emphasis, plain dashes and quotes, single blanks.
 
-    ascii_only leaves out the compatibility form, the one step that SQL lacks; it changes nothing in ASCII text.
-    """
-    out = F.lower(text)
-    if not ascii_only:
-        out = _nfkc(out)
+def _plain(text: Column) -> Column:
     for pattern, to in (
         (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
         ("[–—−]", "-"), ('["„]', '"'), ("['`]", "'"), (r"\s+", " "),
     ):
-        out = F.regexp_replace(out, pattern, to)
-    return F.btrim(out)
+        text = F.regexp_replace(text, pattern, to)
+    return F.btrim(text)
+
+
+def normalized_answers(texts: Column, ascii_only: bool = False) -> Column:
+    """Array of texts in lower case, compatibility form, without markdown emphasis, plain dashes and quotes, single blanks.
+
+    ascii_only leaves out the compatibility form, the one step that SQL lacks; it changes nothing in ASCII text.
+    """
+    low = F.transform(texts, lambda t: F.lower(t))
+    return F.transform(low if ascii_only else _nfkc(low), _plain)
+
+
+def normalized_answer(text: Column, ascii_only: bool = False) -> Column:
+    return F.element_at(normalized_answers(F.array(text), ascii_only), 1)
 
 
 def contains_answer(response: Column, answers: Column, ascii_only: bool = False) -> Column:
     """Whether any of the array of answers is in the response, both normalised."""
-    said = normalized_answer(response, ascii_only)
-    return F.exists(F.transform(answers, lambda a: normalized_answer(a, ascii_only)), lambda a: F.contains(said, a)) if ascii_only else F.exists(answers, lambda a: F.contains(said, a))
+    every = normalized_answers(F.concat(F.array(response), answers), ascii_only)
+    found = F.transform(F.array(every), lambda x: F.exists(F.slice(x, F.lit(2), F.size(x)), lambda a: F.contains(x[0], a)))
+    return F.element_at(found, 1)
 
 
 def has_phrase(text: Column, phrases: tuple[str, ...]) -> Column:

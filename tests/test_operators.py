@@ -99,14 +99,13 @@ def test_json_lines(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, 1), (2, 2)]
 
 
-class Flaky:
-    def answer(self, prompts):
-        if prompts[0] == "bad":
-            raise RuntimeError("no")
-        return [p.upper() for p in prompts]
-
-
 def test_models(spark):
+    class Flaky:
+        def answer(self, prompts):
+            if prompts[0] == "bad":
+                raise RuntimeError("no")
+            return [p.upper() for p in prompts]
+
     rows = spark.createDataFrame([("good",), ("bad",)], "p string")
     got = {r.p: (r.response, r.error) for r in asked(rows, "p", Flaky()).collect()}
     assert got == {"good": ("GOOD", None), "bad": (None, "RuntimeError: no")}
