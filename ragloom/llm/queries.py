@@ -38,7 +38,27 @@ def op3_mixing(spark, sf_dir):
 
     planned = plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
     first = F.get("_places", F.lit(0))["position"]
-    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), first.alias("first_position"))
+    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.round(first, 6).alias("first_position"))
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size, CAST(concat('0x', substr(md5(concat(doc_id, '|7')), 1, 15)) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS pos FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][pos % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights,
+             coalesce(sum(most) OVER r, 0) AS filled, coalesce(sum(weight) OVER r, 0) AS gone
+      FROM w WINDOW r AS (ORDER BY most / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (words - filled) / (weights - gone) AS level FROM o),
+t AS (SELECT source, source_size, pos, least(most, (SELECT level FROM l WHERE most >= level * weight ORDER BY most / weight, pos LIMIT 1) * weight) AS target FROM l),
+p AS (SELECT d.*, t.source_size, t.pos, t.target, floor(t.target + 1e-6) AS whole, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, greatest(0, least(size, whole - before)) AS first_words,
+             list_sum(list_transform([0, 1, 2], lambda c: greatest(0, least(size, whole - before - c * source_size)))) AS taken FROM p),
+q AS (SELECT *, CASE WHEN first_words > 0 THEN (before + first_words / 2) / target END AS q FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken,
+       round(CASE pos % 3 WHEN 0 THEN 2 * q / (1.5 + sqrt(greatest(0, 2.25 - 2 * q))) WHEN 2 THEN 2 * q / (0.5 + sqrt(0.25 + 2 * q))
+             ELSE CASE WHEN q < 0.5 THEN 2 * q / (0.5 + sqrt(0.25 + 4 * q)) ELSE 0.5 + 2 * (q - 0.5) / (1.5 + sqrt(greatest(0, 2.25 - 4 * (q - 0.5)))) END END, 6) AS first_position FROM q
+"""
 
 
 def op4_quality_rules(spark, sf_dir):
@@ -156,6 +176,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op3_mixing": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
         "op6_chat_formatting": OP6_SQL,
     }
