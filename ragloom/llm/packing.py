@@ -11,6 +11,7 @@ what it reads, a bounded block of ids at a time, and hands the last, unfilled wi
 """
 
 import sys
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from types import ModuleType
@@ -87,8 +88,8 @@ class Encoder:
     first of all, so the ids of a text are those of its words in turn, and words that were met before need no second look.
     Texts with other white space are encoded as they are."""
 
-    #: Words remembered at a time.
-    MOST = 600_000
+    #: Words remembered; those met first stay, as frequent ones are among them.
+    MOST = 1_200_000
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -97,7 +98,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words: list[list[str] | None] = []
@@ -106,13 +107,15 @@ class Encoder:
             plain = t and "\x00" not in t and len(t.split()) == t.count(" ") + t.count("\n") + 1
             # a word keeps the blank before it
             words.append(t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if plain else None)
-        if len(self.known) > self.MOST:
-            self.known = {}
         new = list(set().union(*(w for w in words if w)).difference(self.known))
         self.known.update(zip(new, self._encode(new), strict=True))
         whole = iter(self._encode([t for t, w in zip(texts, words, strict=True) if w is None]))
         known = self.known.__getitem__
-        return [np.frombuffer(next(whole) if w is None else b"".join(map(known, w)), dtype="<u4") for w in words]
+        out = [np.frombuffer(next(whole) if w is None else b"".join(map(known, w)), dtype=np.uint32) for w in words]
+        if len(self.known) > self.MOST:
+            for w in new:
+                del self.known[w]
+        return out
 
 
 def worker_encoder(path: str) -> Encoder:
