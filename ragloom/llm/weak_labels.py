@@ -13,7 +13,7 @@ from ragloom.llm.quality_rules import base_counts
 from ragloom.llm.wordhash import chunks, encode, word_hashes
 
 #: Weights of the scorer (a power of two), and documents whose features are fetched to train it, those with the smallest hashes.
-CELLS, SAMPLE = 1 << 16, 8000
+CELLS, SAMPLE = 1 << 16, 4000
 #: Share of good documents that the first round of estimation begins with.
 PRIOR = 0.8
 #: Beforehand, votes (none, bad, good) of a labeller that votes both ways on bad and on good documents; and how much that
@@ -102,6 +102,7 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int =
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
             cells, x, y = rows[i]
+            cells, x = cells.astype(np.int64), x.astype(float)
             z = w[cells] @ x * 30 + w[-1]
             miss = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             step = miss * x * 30
@@ -121,16 +122,18 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, dict]:
     patterns = np.array([[int(v) for v in r["votes"].split(",")] for r in found])
     post, rates, share = estimate(patterns, np.array([r["n"] for r in found], dtype=float))
     by_votes = {r["votes"]: float(p) for r, p in zip(found, post, strict=True)}
-    some = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most)
+    # at most `most` ids, so this side of the join is small at any input size; their features come packed
+    ids = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("_of")).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_of"), "left_semi")
     some = some.withColumn("votes", F.concat_ws(",", F.transform(votes(F.col("text")), lambda v: v.cast("string"))))
 
-    @F.pandas_udf("struct<cells:array<int>,weights:array<double>>")
+    @F.pandas_udf("struct<cells:binary,weights:binary>")
     def cells(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hashed(*x) for x in _parts(texts)], columns=["cells", "weights"])
+        return pd.DataFrame([(c.astype("<u2").tobytes(), w.astype("<f4").tobytes()) for c, w in (hashed(*x) for x in _parts(texts))], columns=["cells", "weights"])
 
-    got = some.select("doc_id", "votes", cells("text").alias("f")).toLocalIterator()
-    rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["f"]["cells"], r["f"]["weights"], by_votes[r["votes"]]) for r in got), key=lambda r: (r[0], len(r[1])))
-    return train_scorer([(np.array(c, dtype=np.int64), np.array(x), y) for _, c, x, y in rows]), {"rates": rates, "share": share}
+    rows = [(r["doc_id"], np.frombuffer(r["f"]["cells"], dtype="<u2"), np.frombuffer(r["f"]["weights"], dtype="<f4"), by_votes[r["votes"]]) for r in some.select("doc_id", "votes", cells("text").alias("f")).toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], len(r[1])))
+    return train_scorer([r[1:] for r in rows]), {"rates": rates, "share": share}
 
 
 def _parts(texts: pd.Series) -> Iterator[tuple[bytes, np.ndarray]]:
