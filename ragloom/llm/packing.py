@@ -89,7 +89,7 @@ class Encoder:
     Texts with other white space are encoded as they are."""
 
     #: Words remembered; those met first stay, as frequent ones are among them.
-    MOST = 1_200_000
+    MOST = 300_000
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 

@@ -40,5 +40,10 @@ def materialise(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers so many rows at a time from now on: for jobs whose stages follow each other in the same workers."""
+    spark.conf.set(_BATCH, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -140,7 +140,7 @@ class Model:
         self.known: dict[str, float] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known = {}
         self.known.update(zip(words, (apply_table(words, self.table) + self.bias).tolist(), strict=True))
 
@@ -149,7 +149,7 @@ class Model:
         out = np.empty((len(docs), 4))
         for a in range(0, len(docs), 500):
             part = docs[a : a + 500]
-            if len(self.known) > 400_000:
+            if len(self.known) > 150_000:
                 self.known = {}
             new = list(set().union(*part).difference(self.known)) if part else []
             if new:
