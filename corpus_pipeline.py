@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm import jaccard, mixing, packing, secrets, toxicity
-from ragloom.llm.store import documents, shared_dir
+from ragloom.llm.store import documents, shared_dir, small_batches
 
 #: Documents that score this much are toxic.
 TOXIC = 0.3
@@ -17,6 +17,7 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below TOXIC; its labels are sf_dir's, its texts those of docs."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.withColumnRenamed("score", "_own_score"), model).where(F.col("score") < TOXIC).drop("score").withColumnRenamed("_own_score", "score")
 
@@ -28,6 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by a mark."""
+    small_batches(spark)
     found = secrets.findings(docs, secrets.fit(docs)).where(F.col("probability") >= secrets.THRESHOLD)
     return secrets.redact(docs, found)
 
@@ -39,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences, in the order of docs."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
