@@ -168,6 +168,7 @@ def _symbols(docs: DataFrame, common: np.ndarray, n: int, least: float) -> DataF
 def _stars(symbols: DataFrame) -> DataFrame:
     """Rows of buckets that two sets or more share, each once, with the bucket's centre: its smallest set_id.
 
+    A set that is alone in a salted bucket stays: the other sets of its hot_key may all be in other salts, and they meet later.
     Tasks read their buckets sorted and hold one batch at a time, however large a bucket is.
     """
 
@@ -188,14 +189,15 @@ def _stars(symbols: DataFrame) -> DataFrame:
             opens = new & np.r_[False, np.zeros(len(new) - 1, dtype=bool)]
             grown = np.zeros(len(begin), dtype=bool)
             np.logical_or.at(grown, which[(which >= 0) & shared], True)
-            opens[begin[grown]] = True
+            met = grown | batch["hot_key"].notna().to_numpy()[begin]
+            opens[begin[met]] = True
             out = batch[(shared & ~again) | opens].assign(centre=centres[(shared & ~again) | opens])
             if alone is not None and (shared & (which < 0)).any():
                 yield alone
                 alone = None
             yield out
             if len(begin):
-                alone = None if grown[-1] else batch.iloc[begin[-1] : begin[-1] + 1].assign(centre=own[begin[-1]])
+                alone = None if met[-1] else batch.iloc[begin[-1] : begin[-1] + 1].assign(centre=own[begin[-1]])
             last, centre = (bucket[-1], own[-1]), centres[-1]
 
     # by a hash of the bucket, so that one task has whole buckets

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ragloom.llm import jaccard
 from ragloom.llm.wordhash import encode, shingle_set, word_hashes
@@ -91,3 +92,13 @@ def test_rows_without_id_stay_unless_copied(spark):
     long = " ".join(f"w{i}" for i in range(40))
     frame = spark.createDataFrame([(None, "alone here in this row of words"), (None, long), (4, long), (4, "another text of the same id entirely")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text[:5]) for r in jaccard.keep_one(frame).collect()) == [(0, "alone"), (4, "anoth"), (4, "w0 w1")]
+
+
+def test_variants_of_many_copies_are_linked(spark):
+    """So many copies of a text salt its keys; a variant that is alone in its salt still meets them."""
+    families, copies = 4, 20_000
+    base = F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), F.col("id") % families) for i in range(10)))
+    many = spark.range(families * copies).select((F.col("id") + families).alias("doc_id"), base.alias("text"))
+    variants = spark.range(families).select(F.col("id").alias("doc_id"), F.concat(base, F.lit(" more")).alias("text"))
+    found = jaccard.similar(many.unionByName(variants)).groupBy("component_id").count().collect()
+    assert sorted(map(tuple, found)) == [(i, copies + 1) for i in range(families)]
