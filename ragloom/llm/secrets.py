@@ -22,8 +22,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.\-]{16,}")
 #: Names that a secret is assigned to, and names of values that look alike and are none.
 SECRET_NAMES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "access_key", "private")
 OTHER_NAMES = ("sha", "sha1", "sha256", "md5", "commit", "hash", "checksum", "digest", "uuid", "guid", "id", "etag", "version", "rev", "build", "file", "image", "path")
-#: Labelled findings made for training, words taken from the corpus for them, and documents looked at for these: bounds at any input size.
-FINDINGS, WORDS, DOCUMENTS = 6000, 4000, 2000
+#: Labelled findings made for training, and the most frequent words of the corpus that these and the features use: bounds at any input size.
+FINDINGS, WORDS = 6000, 4000
 THRESHOLD = 0.5
 FEATURES = ("length", "digits", "upper", "distinct", "entropy", "transitions", "bigrams", "hex", "covered", "slashes", "dots", "assigned", "quoted", "secret_name", "other_name", "address", "placeholder")
 _PLACEHOLDERS = ("example", "your", "xxxx", "placeholder", "changeme", "dummy", "sample", "test")
@@ -112,15 +112,15 @@ class Scanner:
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Scanner:
-    """Train on FINDINGS made findings. At most DOCUMENTS documents give at most WORDS words, those with the smallest hashes."""
+    """Train on FINDINGS made findings. The words are the WORDS that most documents of all docs hold; transitions count as often as their words."""
     spark = docs.sparkSession
-    some = docs.where("text is not null").select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(DOCUMENTS)
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,12})"), F.lit(1)))).alias("w"))
-    top = [r["w"] for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,12})"), F.lit(1)))).alias("w"))
+    held = [(r["w"], r["n"]) for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+    top = [w for w, _ in held]
     pairs: dict[str, int] = {}
-    for w in top:
+    for w, n in held:
         for a, b in zip(w, w[1:], strict=False):
-            pairs[a + b] = pairs.get(a + b, 0) + 1
+            pairs[a + b] = pairs.get(a + b, 0) + n
     total = sum(pairs.values()) or 1
     bigrams = {k: log2(v / total) for k, v in pairs.items()}
     common = frozenset(w for w in top if len(w) > 3)

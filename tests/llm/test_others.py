@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -265,6 +266,19 @@ def test_secrets(spark, docs, empty):
     assert secrets.findings(empty, scanner).count() == 0
 
 
+def test_secrets_count_words_of_all_documents(spark):
+    rare = [f"rare{a}{b}" for a in "klmnop" for b in "qrstuv"]
+    texts = F.concat(F.lit("every text has these words"), F.coalesce(F.concat(F.lit(" "), F.get(F.lit(rare), (F.col("id") / 100).cast("int"))), F.lit("")))
+    scanner = secrets.fit(spark.range(3600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, texts).otherwise("every text has these words").alias("text")))
+    held = {w: 1 for w in rare} | dict.fromkeys("every text has these words".split(), 3600)
+    pairs = Counter()
+    for w, n in held.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a + b] += n
+    assert scanner.common == {w for w in held if len(w) > 3}
+    assert scanner.bigrams == pytest.approx({k: math.log2(v / pairs.total()) for k, v in pairs.items()})
+
+
 # packing
 
 
