@@ -1,7 +1,8 @@
 """Secret scans: candidates by shape, a random forest that removes false positives.
 
 Every run of key-like characters that is long enough is a candidate if it mixes letters and digits or is assigned to a
-name. The forest judges its length, the transitions between its characters, how much of it common words cover,
+name; so are shorter values of any characters that are assigned to the name of a secret, and the passwords of URLs.
+Candidates may overlap. The forest judges a candidate's length, the transitions between its characters, how much of it common words cover,
 whether it is part of a path, and the words beside it. It learns from labelled findings that are made by rule: values
 of known kinds set between words of the corpus.
 """
@@ -22,13 +23,26 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.\-]{16,}")
 #: Names that a secret is assigned to, and names of values that look alike and are none.
 SECRET_NAMES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "access_key", "private")
 OTHER_NAMES = ("sha", "sha1", "sha256", "md5", "commit", "hash", "checksum", "digest", "uuid", "guid", "id", "etag", "version", "rev", "build", "file", "image", "path")
+#: The name of a secret and the sign of an assignment, with the value ahead: in quotes, or up to a blank or quote. A name may begin within a longer one.
+ASSIGNED = re.compile(
+    r"""(?:(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credentials?|bearer)|(?<![A-Za-z])(?i:key|auth|private)|(?<=[a-z])(?:Key|Auth))"""
+    r"""["'`\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,2}|:)[ \t]{0,8}(?=(?:"([^"\n]{6,1000})"|'([^'\n]{6,1000})'|`([^`\n]{6,1000})`|["'`]?([^\s"'`]{6,})))"""
+)
+#: The password of a URL: what stands between user and host.
+LOGIN = re.compile(r"""://[^\s/:@"'<>]{0,256}:(?=([^\s/"'<>]{1,256})@[^\s@/"'<>])""")
+_PAIRED = {")": "(", "]": "[", "}": "{", ">": "<"}
 #: Labelled findings made for training, and the most frequent words of the corpus that these and the features use: bounds at any input size.
 FINDINGS, WORDS = 6000, 4000
 THRESHOLD = 0.5
-FEATURES = ("length", "digits", "upper", "distinct", "entropy", "transitions", "bigrams", "hex", "covered", "slashes", "dots", "assigned", "quoted", "secret_name", "other_name", "address", "placeholder")
+FEATURES = ("length", "digits", "upper", "distinct", "entropy", "transitions", "bigrams", "hex", "covered", "slashes", "dots", "assigned", "quoted", "secret_name", "other_name", "address", "placeholder", "password_name", "login", "symbols", "code")
+PASSWORD_NAMES = ("password", "passwd", "pwd")
 _PLACEHOLDERS = ("example", "your", "xxxx", "placeholder", "changeme", "dummy", "sample", "test")
 
 
+#: What a value has that is read from elsewhere: a call, an index, a template, a variable, a member.
+_CODE = re.compile(r"[\w\]]\(|\w\[|[$#]?\{|^[$<%&*]|^[A-Za-z_]+(?:(?:\.|::|->)[A-Za-z_]+)+$|^\*+$")
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -52,6 +66,8 @@ def features(before: str, value: str, after: str, bigrams: dict[str, float], com
         float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before[-1:] in "\"'" and after[:1] in "\"'" and bool(before)),
         float(any(w in SECRET_NAMES or w.endswith(("key", "token", "secret", "password")) for w in near)),
         float(any(w in OTHER_NAMES for w in near)), float(before[-1:] in ("@", "/") or before.endswith("://")), float(any(p in low for p in _PLACEHOLDERS)),
+        float(any(w.endswith(PASSWORD_NAMES) for w in near)), float(bool(re.search(r"://[^\s/:@]*:$", before)) and after[:1] == "@"),
+        sum(not c.isalnum() for c in value) / n, float(bool(_CODE.search(value))),
     ]
 
 
@@ -68,6 +84,29 @@ def labelled_findings(words: list[str], many: int = FINDINGS, seed: int = 7) ->
         got = [lambda: chars(hexes, r.choice((32, 40, 40, 48, 64))), lambda: "AKIA" + chars(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + chars(base, 36), lambda: "sk-" + chars(base, r.randrange(24, 48)), lambda: chars(base + "+/", r.randrange(24, 64)) + "=", lambda: chars(base, r.randrange(16, 40)), lambda: "-".join(chars(base, 8) for _ in range(4))][kind]()
         return got.upper() if r.random() < 0.1 else got
 
+    def short() -> str:
+        """A password: drawn characters, or words with digits and symbols."""
+        symbols = "!@#$%^&*-_+=?.,:;~"
+        word = lambda: r.choice(words).translate(r.choice((str.maketrans("", ""), str.maketrans("aeios", "43105"), str.maketrans("aeo", "@30"))))
+        ways = (
+            lambda: chars(base + symbols, r.randrange(6, 20)), lambda: chars(base, r.randrange(6, 16)),
+            lambda: r.choice((str, str.capitalize))(word()) + r.choice(("", *symbols)) + str(r.randrange(10 ** r.randrange(1, 5))) + r.choice(("", "", *symbols)),
+            lambda: r.choice(("-", "_", "!", "", "#")).join(word().capitalize() for _ in range(2)) + str(r.randrange(100)),
+        )
+        return next(v for v in iter(lambda: r.choice(ways)(), None) if len(v) >= 6)
+
+    def plain() -> str:
+        """What is assigned to the name of a secret and is none: words, code, placeholders, numbers."""
+        w = lambda: r.choice(words)
+        ways = (
+            w, lambda: w() + r.choice("-_.") + w(), lambda: pick(r.randrange(2, 5)), lambda: f"{w()}.{w()}", lambda: f"{w()}({w()})", lambda: f"get_{w()}()", lambda: f"{w()}[{w()}]",
+            lambda: "${" + w().upper() + "}", lambda: "{{ " + w() + " }}", lambda: "<" + w() + ">", lambda: r.choice(("*", "x", "X")) * r.randrange(6, 12), lambda: f"os.environ['{w().upper()}']",
+            lambda: r.choice(("string", "String,", "required", "optional", "undefined", "changeme", "your_password", "your-token", "example", "placeholder", "boolean", "process.env.KEY")),
+            lambda: "/" + "/".join(w() for _ in range(3)), lambda: w() + "_" + w() + "_" + w(), lambda: w().capitalize() + w().capitalize(),
+        )
+        tries = (r.choice(ways)() for _ in range(50))
+        return next((v for v in tries if len(v) >= 6), "required")
+
     def uuid() -> str:
         return "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))
 
@@ -80,8 +119,15 @@ def labelled_findings(words: list[str], many: int = FINDINGS, seed: int = 7) ->
             quote = r.choice(('"', '"', "'", ""))
             link = r.choice((" = ", "=", ": ", " ", ":"))
             before, v, after = f"{pick(3)} {name}{link}{quote}", value(), f"{quote} {pick(2)}"
+            kind = r.randrange(6)
+            if kind < 2:  # a shorter one, by an assignment only
+                name = r.choice((name, *PASSWORD_NAMES, "DB_PASSWORD"))
+                before, v = f"{pick(3)} {name}{r.choice((' = ', '=', ': ', ':'))}{quote}", short()
+            elif kind == 2:
+                scheme = r.choice(("postgres", "mysql", "https", "redis", "mongodb", "ftp", "amqp"))
+                before, v, after = f"{pick(2)} {scheme}://{r.choice((r.choice(words), 'user', 'admin', ''))}:", r.choice((short, short, value, lambda: r.choice(words)))(), f"@{r.choice(('host', 'db', r.choice(words)))}:{r.randrange(1000, 9999)}/{r.choice(words)}"
         else:
-            kind = r.randrange(8)
+            kind = r.randrange(11)
             tail = f" {pick(2)}"
             if kind == 0:
                 before, v, after = f"{pick(2)} {r.choice(OTHER_NAMES)}{r.choice((' ', ': ', '=', ' = '))}", chars(hexes, r.choice((32, 40, 64))), tail
@@ -97,13 +143,43 @@ def labelled_findings(words: list[str], many: int = FINDINGS, seed: int = 7) ->
                 before, v, after = f"{pick(3)} ", "".join(r.choice(words) for _ in range(4)) + str(r.randrange(99)), tail
             elif kind == 6:
                 before, v, after = f"{pick(3)} ", r.choice("._-=").join(f"{r.choice(words)}{r.randrange(9)}" for _ in range(4)), tail
-            else:
+            elif kind == 7:
                 before, v, after = f"{pick(2)} {r.choice(('value', 'total', 'name', 'code'))} = ", r.choice(words) + str(r.randrange(10**14, 10**15)), tail
-            v = re.sub(r"[^A-Za-z0-9+/_=~.\-]", "", v).ljust(16, "0")
+            elif kind < 10:
+                quote = r.choice(('"', "'", "", ""))
+                before, v, after = f"{pick(3)} {r.choice(('', 'my_', 'the '))}{r.choice((*SECRET_NAMES, *PASSWORD_NAMES))}{r.choice((' = ', '=', ': ', ': ', ':'))}{quote}", plain(), f"{quote}{tail}"
+            else:  # an example of a URL
+                before, v, after = f"{pick(2)} {r.choice(('postgres', 'https', 'redis'))}://{r.choice(('user', 'username', '<user>'))}:", r.choice(("<password>", "${PASSWORD}", "{password}", "[password]", "$PASS", "xxxxxx", "your_password", "****")), f"@host/{r.choice(words)}"
+            if kind < 8:
+                v = re.sub(r"[^A-Za-z0-9+/_=~.\-]", "", v).ljust(16, "0")
         out.append((before[-40:], v, after[:40], secret))
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """The spans (start, end) of a text's candidates, each once, ascending; they may overlap."""
+    out = set()
+    for m in CANDIDATE.finditer(text):
+        v, a, b = m[0], *m.span()
+        # a name before an equals sign is no part of the value
+        cut = v.find("=") + 1
+        if 0 < cut < len(v) - 15 and v[: cut - 1].replace("_", "").isalpha():
+            v, a = v[cut:], a + cut
+        mixed = any(map(str.isdigit, v)) and any(map(str.isalpha, v))
+        if mixed or re.search(r"(?i)(?:key|token|secret|password|passwd|pwd)\s*[:=]\s*[\"']?$", text[max(0, a - 40) : a]):
+            out.add((a, b))
+    for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:
+            # punctuation after a value without quotes, and a bracket that was opened before it, are no part of it
+            while b > a and (text[b - 1] in ",;." or text[b - 1] in _PAIRED and text.count(_PAIRED[text[b - 1]], a, b) < text.count(text[b - 1], a, b)):
+                b -= 1
+        if b - a >= 6:
+            out.add((a, b))
+    out.update(m.span(1) for m in (LOGIN.finditer(text) if "://" in text else ()))
+    return sorted(out)
+
+
 class Scanner:
     """A trained forest with the character transitions and common words that its features need."""
 
@@ -145,15 +221,7 @@ def findings(docs: DataFrame, scanner: Scanner) -> DataFrame:
             for doc_id, body, text in zip(batch["doc_id"], batch["body"], batch["text"], strict=True):
                 if text is None:
                     continue
-                for m in CANDIDATE.finditer(text):
-                    v, a, b = m[0], *m.span()
-                    # a name before an equals sign is no part of the value
-                    cut = v.find("=") + 1
-                    if 0 < cut < len(v) - 15 and v[:cut - 1].replace("_", "").isalpha():
-                        v, a = v[cut:], a + cut
-                    mixed = any(map(str.isdigit, v)) and any(map(str.isalpha, v))
-                    if mixed or re.search(r"(?i)(?:key|token|secret|password|passwd|pwd)\s*[:=]\s*[\"']?$", text[max(0, a - 40) : a]):
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), body, a, b, v, features(text[max(0, a - 40) : a], v, text[b : b + 40], bigrams, common)))
+                rows += [(None if pd.isna(doc_id) else int(doc_id), body, a, b, text[a:b], features(text[max(0, a - 40) : a], text[a:b], text[b : b + 40], bigrams, common)) for a, b in candidates(text)]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
@@ -177,8 +245,9 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
         def one(text: str, of: list) -> str:
             out, at = [], 0
             for s in of:
-                out += [text[at : s["start"]], mark]
-                at = s["end"]
+                if s["start"] >= at:
+                    out += [text[at : s["start"]], mark]
+                at = max(at, s["end"])  # spans may overlap: these get one mark
             return "".join([*out, text[at:]])
 
         return pd.Series([t if t is None or s is None else one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)

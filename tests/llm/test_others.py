@@ -279,6 +279,20 @@ def test_secrets_count_words_of_all_documents(spark):
     assert scanner.bigrams == pytest.approx({k: math.log2(v / pairs.total()) for k, v in pairs.items()})
 
 
+def test_short_secrets_and_logins(spark, docs):
+    secret = {
+        0: ('db password = "Tr0ub4dor&3" here', "Tr0ub4dor&3"), 1: ("pwd: S3cr3t!x", "S3cr3t!x"), 2: ("see postgres://user:pa55!w0rd@host/db now", "pa55!w0rd"),
+        3: ("DB_PASSWORD=q9$Zk#7p, then", "q9$Zk#7p"), 4: ("'passwd': 'xK9!vv2q'", "xK9!vv2q"), 5: ("mysql://root:hunter2@db:3306/x", "hunter2"), 6: ("password = aZ3+aZ3+aZ3+aZ3+aZ3!!q9", "aZ3+aZ3+aZ3+aZ3+aZ3!!q9"),
+    }
+    plain = {10: "the password: required field", 11: "token = request.token", 12: "key: words of the text", 13: "at https://example.com:8080/a@b", 14: "password = getpass.getpass()", 15: "short key: abc", 16: "postgres://user:<password>@host"}
+    frame = spark.createDataFrame([*((i, t) for i, (t, _) in secret.items()), *plain.items()], "doc_id long, text string")
+    found = secrets.findings(frame, secrets.fit(docs))
+    spans = {(f.doc_id, f.value) for f in found.collect()}
+    assert {(i, v) for i, (_, v) in secret.items()} <= spans and not {i for i, _ in spans} & {13, 15}
+    safe = {r.doc_id: r.text for r in secrets.redact(frame, found.where(F.col("probability") >= secrets.THRESHOLD)).collect()}
+    assert safe == {i: t.replace(v, "[SECRET]") for i, (t, v) in secret.items()} | plain
+
+
 # packing
 
 
