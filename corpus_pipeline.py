@@ -40,9 +40,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences, in the order of docs."""
+    """The pieces of sequences, in the order in which the table docs was written: sequence_id grows with it."""
     small_batches(spark)
-    return packing.pack(docs)
+    # Spark reads files by size; part numbers and rows within a part are the order that mixing gave
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    placed = docs.select("doc_id", "text", part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = ["_part", "_file", "_row"]
+    return packing.pack(placed.repartitionByRange(*place).sortWithinPartitions(*place))
 
 
 STAGES = [
