@@ -26,14 +26,16 @@ def _once(value: Column, body) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """Struct (at: index of the first word, hash: int) of the closed syncmers of a text's lower-case words, in order.
 
-    A text of fewer than k words has one anchor, its words in all; a null or blank text has none.
+    A text of fewer than k words, or one of whose words no k are chosen, has one anchor, its words in all; a null or blank text has none.
     """
+    none = F.array().cast("array<struct<at:int,hash:int>>")
     plain = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WHITE))
 
     def of_words(words: Column) -> Column:
         hashes = F.transform(words, lambda w: F.xxhash64(w))
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(F.array_join(words, " ")).alias("hash")))
-        return F.when(F.size(words) < k, whole).otherwise(_once(hashes, of_hashes))
+        chosen = F.when(F.size(words) < k, none).otherwise(_once(hashes, of_hashes))
+        return _once(chosen, lambda found: F.when(F.size(found) == 0, whole).otherwise(found))
 
     def of_hashes(h: Column) -> Column:
         pieces = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*(h[i + j] for j in range(s))))
@@ -51,7 +53,6 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         cover = sorted({*range(0, last, s), last})
         return F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(*(p[i + j] for j in cover)).alias("hash")))
 
-    none = F.array().cast("array<struct<at:int,hash:int>>")
     return F.when(plain == "", none).otherwise(_once(F.split(plain, r"[\x20\x09-\x0D]+"), of_words))
 
 
@@ -72,6 +73,19 @@ def likeness(a: Column, b: Column, most: int = KEPT) -> Column:
     return F.when(F.size(joint) == 0, F.lit(1.0)).otherwise(both / F.greatest(F.size(joint), F.lit(1)))
 
 
+def matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Where the pairs (a, b: doc_id) of docs share passages, from all anchors and their places: a, b, shift, n_anchors, first_at, last_at.
+
+    A row stands for the shared anchors whose place in b is `shift` words after their place in a; first_at and last_at are
+    places in a. Pairs that share no anchor have no row. Each pair's anchors meet by hash, so a hash that a text has
+    many times meets all its places in the other. Rows with equal doc_id count as one document; null ids are in no pair.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(anchors(F.col("text").cast("string"))).alias("anchor")).select("doc_id", "anchor.*").distinct()
+    side = lambda x: found.select(F.col("doc_id").alias(x), F.col("at").alias(f"at_{x}"), "hash")
+    both = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct().join(side("a"), "a").join(side("b"), ["b", "hash"])
+    return both.groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("shift")).agg(F.count("*").alias("n_anchors"), F.min("at_a").alias("first_at"), F.max("at_a").alias("last_at"))
+
+
 def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     """docs with next_<c> for each carried column: its value in the row next in order; after the last comes the first.
 

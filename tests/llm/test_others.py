@@ -193,6 +193,34 @@ def test_anchors_are_context_free(spark):
     assert one <= two and 20 < len(one) < 80
 
 
+def test_short_texts_have_anchors(spark):
+    """Texts of 5 and 6 words against brute force over the hashes of pieces; unrelated ones are not alike."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)) for n in (5, 6) for _ in range(100)]
+    w = F.split("text", " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.xxhash64(w[i]), F.xxhash64(w[i + 1])))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fallback = 0
+    for row in frame.select(pieces.alias("p"), syncmers.anchors(F.col("text")).alias("a"), F.hash("text").alias("whole")).collect():
+        want = [i for i in range(len(row.p) - 3) if min(row.p[i], row.p[i + 3]) <= min(row.p[i : i + 4])]
+        fallback += not want
+        assert [a["at"] for a in row.a] == (want or [0]) and (want or row.a[0].hash == row.whole)
+    assert 20 < fallback < 180
+    got = syncmers.fingerprints(frame.unionByName(spark.createDataFrame([(1000, " "), (1001, None)], frame.schema))).collect()
+    assert {g.doc_id for g in got if g.near_next > 0} == {1000} and {g.doc_id for g in got if not g.fingerprint} == {1000, 1001}
+
+
+def test_matches_find_a_short_passage_of_long_texts(spark):
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage, one, two = words(60), words(6000), words(6000)
+    texts = [one[:1000] + passage + one[1000:], two[:4000] + passage + two[4000:], words(300)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = syncmers.matches(frame, spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")).collect()
+    (best,) = [g for g in got if g.n_anchors > 2]
+    assert (best.a, best.b, best["shift"]) == (0, 1, 3000) and 1000 <= best.first_at < best.last_at <= 1055 and best.n_anchors > 10
+
+
 # chat
 
 
