@@ -32,6 +32,25 @@ def noise_mix(records: DataFrame, ratio: float, many: int = 5, seed: int = 42) -
     return records.select("id", F.transform(both, lambda x: x["d"]).alias("documents"))
 
 
+def noise_mix_of_rows(rows: DataFrame, ratio: float, many: int = 5, seed: int = 42) -> DataFrame:
+    """noise_mix() of records as rows (id, kind, document): kind is negative or positive, document a text. No row or task holds all of an id.
+
+    A document's number in its list is that of its group, the documents with its first characters, and its place there.
+    """
+    noise = int(many * ratio)
+    rows = rows.withColumn("group", F.substring("document", 1, 6))
+    before = Window.partitionBy("id", "kind").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy("id", "kind", "group").agg(F.count("*").alias("n")).select(F.col("id").alias("_id"), F.col("kind").alias("_kind"), F.col("group").alias("_group"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inner = F.row_number().over(Window.partitionBy("id", "kind", "group").orderBy("document")) - 1
+    placed = rows.withColumn("at", inner).join(ahead, F.col("id").eqNullSafe(F.col("_id")) & (F.col("kind") == F.col("_kind")) & (F.col("group") == F.col("_group")))
+    keyed = placed.select("id", "kind", "document", hash_order(seed, F.col("id"), F.col("kind"), F.col("ahead") + F.col("at")).alias("h"))
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("h", "document"))
+    # the rank is below a constant first, which tasks cut before rows are dealt
+    top = keyed.withColumn("place", place).where(F.col("place") <= max(noise, many - noise)).where(F.col("place") <= F.when(F.col("kind") == "negative", noise).otherwise(many - noise))
+    both = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("h", "document"))).alias("d"))
+    return both.select("id", F.transform("d", lambda x: x["document"]).alias("documents"))
+
+
 def negatives_only(records: DataFrame, many: int = 5, seed: int = 42) -> DataFrame:
     return noise_mix(records, 1.0, many, seed)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import judge_json, text
 from ragloom.functions.metrics import cosine, trace_average, trace_scores
-from ragloom.functions.prompts import numbered_documents, ranked_context, too_long
+from ragloom.functions.prompts import context_digests
 from ragloom.operators import aggregation, chunking, retrieval, sampling
 from ragloom.operators.embedding import HashingEmbedder, embedded, not_indexed
 from ragloom.operators.retrieval import RetrievalSpec
@@ -264,9 +264,8 @@ def judge_json_parse(spark, sf_dir):
 SELECT source, md5(array_to_string(list_transform(range(1, len(ts) + 1), lambda i: '[Document ' || i || '] (relevance: ' || printf('%.2f', ns[i] / 100.0) || ')' || chr(10) || ts[i]), chr(10) || chr(10))) AS context_md5,
 md5(array_to_string(list_transform(range(1, len(ts) + 1), lambda i: 'Document ' || i || ': ' || ts[i]), chr(10))) AS numbered_md5, list_sum(list_transform(ts, lambda t: len(t))) > 20000 AS too_long FROM s""")
 def prompt_context(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", (F.col("n_chars") % 100 / 100.0).alias("score")))).alias("c"))
-    texts = F.transform("c", lambda c: c["text"])
-    return parts.select("source", F.md5(ranked_context(F.col("c"))).alias("context_md5"), F.md5(numbered_documents(texts)).alias("numbered_md5"), too_long(F.array_join(texts, ""), F.lit("")).alias("too_long"))
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text", (F.col("n_chars") % 100 / 100.0).cast("double").alias("score"))
+    return context_digests(rows.repartition("source").sortWithinPartitions("source", F.asc_nulls_last("doc_id")))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,9 +296,8 @@ def sample_pool(spark, sf_dir):
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality")
-    names = lambda q: F.array_sort(F.collect_list(F.when(F.col("quality") == q, F.lpad(F.col("doc_id").cast("string"), 9, "0"))))
-    return rows.groupBy(F.col("source").alias("id")).agg(names(1).alias("positive"), names(0).alias("negative"))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("quality IN (0, 1)")
+    return rows.select(F.col("source").alias("id"), F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("kind"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("document"))
 
 
 @query("""WITH r AS (SELECT source AS id, quality, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS d FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
@@ -307,7 +305,7 @@ n AS (SELECT id, d, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS k
 h AS (SELECT *, md5(concat_ws('|', '42', id, k, CAST(i AS VARCHAR))) AS h FROM n), p AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY h, d) AS place FROM h)
 SELECT id, string_agg(d, '|' ORDER BY h, d) FILTER (place <= CASE k WHEN 'negative' THEN 2 ELSE 3 END) AS documents FROM p GROUP BY id""")
 def noise_mix(spark, sf_dir):
-    return sampling.noise_mix(_records(spark, sf_dir), 0.4).select("id", F.array_join("documents", "|").alias("documents"))
+    return sampling.noise_mix_of_rows(_records(spark, sf_dir), 0.4).select("id", F.array_join("documents", "|").alias("documents"))
 
 
 _RESULTS = "SELECT doc_id, source, lang, (n_chars % 101) / 100.0 AS a, (n_chars % 89) / 88.0 AS b, quality, toxic FROM documents JOIN labels USING (doc_id)"
