@@ -36,29 +36,30 @@ def index_range(text: str) -> list[int]:
 
 
 def bm25_in_examples(chunks: DataFrame, questions: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Top-k chunks (example_id, chunk_id, text) for each example's own question, with corpus statistics of that example alone."""
+    """Top-k chunks (sample_id, example_id, chunk_id, text) for each question (sample_id, example_id, question), with corpus statistics of its example alone."""
     toks = chunks.select("example_id", "chunk_id", content_tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     stats = toks.groupBy("example_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    terms = questions.select("example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("example_id", "term").agg(F.count("*").alias("qtf"))
-    tf = toks.select("example_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(terms, ["example_id", "term"]).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("qtf").alias("qtf"))
+    terms = questions.select("sample_id", "example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("sample_id", "example_id", "term").agg(F.count("*").alias("qtf"))
+    asked = terms.select("example_id", "term").distinct()
+    tf = toks.select("example_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked, ["example_id", "term"]).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("example_id", "term").agg(F.count("*").alias("df"))
-    all_of = tf.join(df, ["example_id", "term"]).join(stats, "example_id")
+    all_of = tf.join(df, ["example_id", "term"]).join(stats, "example_id").join(terms, ["example_id", "term"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scores = all_of.groupBy("example_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("example_id").orderBy(F.desc("score"), "chunk_id"))
+    scores = all_of.groupBy("sample_id", "example_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "chunk_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).join(chunks, ["example_id", "chunk_id"])
 
 
 def evaluate(samples: DataFrame, chunks: DataFrame, config: str, limit: int = 20_000) -> DataFrame:
     """Example results of one sparse configuration with the offline generator and judge.
 
-    samples: example_id, question, corpus and gt_ scores; chunks: example_id, chunk_id, text. A context that is too long
+    samples: sample_id (unique), example_id, question, corpus and gt_ scores, any number for an example; chunks: example_id, chunk_id, text. A context that is too long
     is skipped with an error; where nothing is retrieved the corpus' beginning is the context, and the judge sees no sentence.
     """
-    found = bm25_in_examples(chunks, samples.select("example_id", "question"))
-    context = found.groupBy("example_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved_chunks"))
-    rows = samples.join(context, "example_id", "left").withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast("array<string>")))
+    found = bm25_in_examples(chunks, samples.select("sample_id", "example_id", "question"))
+    context = found.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved_chunks"))
+    rows = samples.join(context, "sample_id", "left").withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast("array<string>")))
     rows = rows.withColumn("context_used", joined_context(F.col("retrieved_chunks"), F.col("corpus")))
     rows = rows.withColumn("is_skipped", too_long(F.col("context_used"), F.col("question"), limit)).withColumn("error", F.when(F.col("is_skipped"), "context too long"))
     rows = rows.withColumn("generated_response", F.when(~F.col("is_skipped"), extracted_answer(F.col("question"), F.col("context_used"))))

@@ -389,15 +389,21 @@ def standardize_samples(spark, sf_dir):
 
 @query()
 def end_to_end_eval(spark, sf_dir):
-    """Every source's documents as one example, asked the benchmark items in turn, through retrieval, answer, judgement and scores."""
+    """Every source's documents as one example, asked the benchmark items in turn, through retrieval, answer, judgement and scores.
+
+    Items are dealt to sources by turns until every item is asked and every source has an item; one configuration (sparse, sentences, BM25).
+    """
     docs, asks = docs_and_asks(spark, sf_dir)
-    items = asks.select(F.row_number().over(Window.orderBy("query_id")).alias("at"), F.col("text").alias("question"))
-    groups = docs.groupBy(F.col("source").alias("example_id")).agg(F.substring(F.min_by("text", "doc_id"), 1, 2000).alias("corpus"), F.avg(F.length("text")).alias("n"))
-    samples = groups.withColumn("at", F.row_number().over(Window.orderBy("example_id"))).join(items, "at").drop("at")
-    samples = samples.select("example_id", "question", "corpus", *(F.lit(0.5).alias(f"gt_{s}") for s in aggregation.SCORES))
+    items = asks.select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("item"), "query_id", F.col("text").alias("question"))
+    groups = docs.groupBy(F.col("source").alias("example_id")).agg(F.substring(F.min_by("text", "doc_id"), 1, 2000).alias("corpus"))
+    groups = groups.withColumn("place", (F.row_number().over(Window.orderBy("example_id")) - 1).cast("long"))
+    n_items, n_groups = items.count(), groups.count()
+    turns = spark.range(max(n_items, n_groups) if n_items and n_groups else 0).select(F.col("id").alias("sample_id"), (F.col("id") % max(1, n_items)).alias("item"), (F.col("id") % max(1, n_groups)).alias("place"))
+    samples = turns.join(items, "item").join(groups, "place")
+    samples = samples.select("sample_id", "example_id", "query_id", "question", "corpus", *(F.lit(0.5).alias(f"gt_{s}") for s in aggregation.SCORES))
     chunks = chunking.sentence_chunks(docs).select("doc_id", "chunk_id", "text").join(docs.select("doc_id", F.col("source").alias("example_id")), "doc_id")
     chunks = chunks.select("example_id", F.concat_ws("_", "doc_id", "chunk_id").alias("chunk_id"), "text")
-    return evaluate(samples, chunks, "sparse_sentence_bm25_offline").drop("corpus", "question", "retrieved_chunks")
+    return evaluate(samples, chunks, "sparse_sentence_bm25_offline").drop("sample_id", "corpus", "question", "retrieved_chunks")
 
 
 @query(f"WITH v AS ({_VECTORS}), n AS (SELECT id, v, lead(v) OVER (ORDER BY id) AS nv FROM v) SELECT a.id AS vec_id, round({_COSINE.replace('b.v', 'a.nv')}, 6) AS similarity FROM n a WHERE nv IS NOT NULL")
