@@ -88,22 +88,40 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)] + [word[-WINDOW:]]
 
 
-def apply_table(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Of each word the largest sum of its pieces' subsequences in the table (a vector, or a matrix with a column for each landmark)."""
-    by_length: dict[int, tuple[list[str], list[int]]] = {}
-    for i, w in enumerate(words):
-        for p in pieces(w):
-            texts, owners = by_length.setdefault(len(p), ([], []))
-            texts.append(p)
-            owners.append(i)
-    out = np.full((len(words), *table.shape[1:]), -np.inf, dtype=np.float32)
-    for length, (texts, owners) in by_length.items():
-        step = max(1, 400_000 // len(_shape(length)[0]) // (table.shape[1] if table.ndim > 1 else 1))
-        for a in range(0, len(texts), step):
-            code, value = subsequences(texts[a : a + step])
-            got = np.einsum("wp,wp...->w...", value, table[code])
-            np.maximum.at(out, owners[a : a + step], got)
-    return out
+class Table:
+    """What each subsequence counts: a number, or one for each landmark. Only subsequences that count are held, each by its row; row 0 is for all others."""
+
+    def __init__(self, codes: np.ndarray, rows: np.ndarray):
+        self.row = np.zeros(CODES**3, dtype=np.int32)
+        self.row[codes] = np.arange(1, len(codes) + 1)
+        self.values = np.concatenate([np.zeros((1, *rows.shape[1:]), dtype=np.float32), rows.astype(np.float32)])
+
+    def best(self, words: list[str]) -> np.ndarray:
+        """Of each word the largest sum of its pieces' subsequences in the table."""
+        by_length: dict[int, tuple[list[str], list[int]]] = {}
+        for i, w in enumerate(words):
+            for p in pieces(w):
+                texts, owners = by_length.setdefault(len(p), ([], []))
+                texts.append(p)
+                owners.append(i)
+        wide = self.values[0].size
+        out = np.full((len(words), *self.values.shape[1:]), -np.inf, dtype=np.float32)
+        for length, (texts, owners) in by_length.items():
+            step = max(1, 400_000 // len(_shape(length)[0]) // wide)
+            for a in range(0, len(texts), step):
+                code, value = subsequences(texts[a : a + step])
+                np.maximum.at(out, owners[a : a + step], np.einsum("wp,wp...->w...", value, self.values[self.row[code]]))
+        return out
+
+
+def landmark_table(words: list[str]) -> Table:
+    """The table of kernel values with the first piece of each of the words: a column for each."""
+    vectors = [vector(w) for w in words]
+    codes = np.unique(np.concatenate([c for c, _ in vectors]))
+    rows = np.zeros((len(codes), len(words)), dtype=np.float32)
+    for j, (code, value) in enumerate(vectors):
+        rows[np.searchsorted(codes, code), j] = value
+    return Table(codes, rows)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -132,39 +150,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def _summary(scores: np.ndarray) -> tuple[float, float, float, float]:
+    """Of a document's word scores the two largest (-1.5 where there is none), and how many are above 0.2, as log and as share."""
+    if not len(scores):
+        return -1.5, -1.5, 0.0, 0.0
+    one = scores.max()
+    below = scores[scores < one]
+    many = int((scores > 0.2).sum())
+    return one, below.max() if len(below) else -1.5, np.log1p(many), many / (len(scores) + 10)
+
+
 class Model:
     """A table of word scores by subsequence, and the map from a document's word scores to a probability."""
 
-    def __init__(self, table: np.ndarray, bias: float, scale: np.ndarray):
+    #: Words whose scores a worker remembers.
+    MOST = 150_000
+
+    def __init__(self, table: Table, bias: float, scale: np.ndarray):
         self.table, self.bias, self.scale = table, bias, scale
         self.known: dict[str, float] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > 150_000:
-            self.known = {}
-        self.known.update(zip(words, (apply_table(words, self.table) + self.bias).tolist(), strict=True))
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        return self.table.best(words) + self.bias
+
+    def probability(self, summaries: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.clip(summaries, -1.5, 8) @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
-    def tops(self, docs: list[set[str]]) -> np.ndarray:
-        """Of each document the two largest word scores (-1.5 where there is none), and how many words score above 0.2, as log and as share."""
+    def score(self, docs: list[set[str]]) -> np.ndarray:
+        """The probability of each document, given as its set of words."""
         out = np.empty((len(docs), 4))
         for a in range(0, len(docs), 500):
             part = docs[a : a + 500]
-            if len(self.known) > 150_000:
+            if len(self.known) > self.MOST:
                 self.known = {}
-            new = list(set().union(*part).difference(self.known)) if part else []
+            new = list(set().union(*part).difference(self.known))
             if new:
-                self.learn(new)
-            known = self.known
+                self.known.update(zip(new, self.word_scores(new).tolist(), strict=True))
+            known = self.known.__getitem__
             for i, d in enumerate(part, a):
-                scores = [known[w] for w in d]
-                one = max(scores, default=-1.5)
-                two = max((s for s in scores if s < one), default=-1.5)
-                many = sum(s > 0.2 for s in scores)
-                out[i] = one, two, np.log1p(many), many / (len(scores) + 10)
-        return np.clip(out, -1.5, 8)
-
-    def score(self, docs: list[set[str]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.tops(docs) @ self.scale[:-1] + self.scale[-1], -30, 30)))
+                out[i] = _summary(np.fromiter(map(known, d), dtype=float, count=len(d)))
+        return self.probability(out)
 
 
 def _pick(words: list[str], most: int, like: float) -> list[str]:
@@ -172,8 +197,7 @@ def _pick(words: list[str], most: int, like: float) -> list[str]:
     words = words[: 4 * most]
     if not words:
         return []
-    vectors = np.stack([vector(w) for w in words])
-    alike = vectors @ vectors.T
+    alike = landmark_table(words).best(words)
     out: list[int] = []
     for i in range(len(words)):
         if len(out) < most and (not out or alike[i, out].max() < like):
@@ -181,12 +205,13 @@ def _pick(words: list[str], most: int, like: float) -> list[str]:
     return [words[i] for i in out]
 
 
-def _one_of_each(docs: list[set[str]]) -> list[int]:
+def _one_of_each(docs: list[np.ndarray], vocabulary: list[str]) -> list[int]:
     """Indexes of documents without near copies of earlier ones: those that share most of their smallest hashes of long words."""
+    hashes = np.array([crc32(w.encode("utf-8", "surrogatepass")) if len(w) > 5 else -1 for w in vocabulary], dtype=np.int64)
     met: dict[int, int] = {}
     out = []
     for i, d in enumerate(docs):
-        own = sorted(crc32(w.encode("utf-8", "surrogatepass")) for w in d if len(w) > 5)[:8]
+        own = np.sort(hashes[d][hashes[d] >= 0])[:8].tolist()
         like = Counter(met[h] for h in own if h in met).most_common(1)
         if len(own) < 4 or not like or like[0][1] * 2 <= len(own):
             out.append(i)
@@ -194,56 +219,52 @@ def _one_of_each(docs: list[set[str]]) -> list[int]:
     return out
 
 
-def vector(word: str) -> np.ndarray:
-    """The word's first piece as a vector over all subsequences."""
-    out = np.zeros(CODES**3, dtype=np.float32)
+def vector(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the subsequences of the word's first piece, and what each counts."""
     code, value = subsequences(pieces(word)[:1])
-    out[code[0]] = value[0]
-    return out
+    return code[0][value[0] > 0], value[0][value[0] > 0]
 
 
-def train(docs: list[set[str]], toxic: np.ndarray, share: float, rounds: int = 3) -> Model:
-    """Fit on documents as sets of words; share is the toxic documents' share of all labelled ones."""
-    n1, n0 = max(1, toxic.sum()), max(1, (toxic == 0).sum())
+def train(vocabulary: list[str], docs: list[np.ndarray], toxic: np.ndarray, share: float, rounds: int = 3) -> Model:
+    """Fit on documents as numbers of their distinct words in the vocabulary, which is sorted; share is the toxic documents' share of all labelled ones."""
     if toxic.sum() == 0 or (toxic == 0).sum() == 0:
-        return Model(np.zeros(CODES**3, dtype=np.float32), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
-    apart = _one_of_each(docs)
+        return Model(Table(np.zeros(0, dtype=int), np.zeros(0)), 0.0, np.array([0.0, 0.0, 0.0, 0.0, np.log((share + 1e-3) / (1 - share + 1e-3))]))
+    apart = _one_of_each(docs, vocabulary)
     docs, toxic = [docs[i] for i in apart], toxic[apart]
     n1, n0 = max(1, toxic.sum()), max(1, (toxic == 0).sum())
-    met1 = Counter(w for d, t in zip(docs, toxic, strict=True) if t for w in d)
-    met0 = Counter(w for d, t in zip(docs, toxic, strict=True) if not t for w in d)
-    odds = {w: np.log((c + 0.5) / n1) - np.log((met0[w] + 0.5) / n0) + 0.3 * np.log(c) for w, c in met1.items()}
-    gain = {w: c * np.log(c * (n1 + n0) / ((c + met0[w]) * n1)) for w, c in met1.items() if c > 2 and len(w) > 2}
-    telling = [w for w in sorted(gain, key=lambda w: (-gain[w], w))[:TELLING] if gain[w] > 5]
-    clean = sorted(met0)
-    any_clean = [clean[i] for i in np.random.default_rng(0).permutation(len(clean))[:3000]]
+    count = lambda y: np.bincount(np.concatenate([d for d, t in zip(docs, toxic, strict=True) if t == y] or [np.zeros(0, dtype=int)]), minlength=len(vocabulary)).astype(float)
+    met1, met0 = count(1), count(0)
+    size = np.array([len(w) for w in vocabulary])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.where(met1 > 0, np.log((met1 + 0.5) / n1) - np.log((met0 + 0.5) / n0) + 0.3 * np.log(met1), -np.inf)
+        gain = np.where((met1 > 2) & (size > 2), met1 * np.log(met1 * (n1 + n0) / ((met1 + met0) * n1)), 0.0)
+    telling = [i for i in np.argsort(-gain, kind="stable")[:TELLING].tolist() if gain[i] > 5]
+    clean = np.flatnonzero(met0)
+    any_clean = np.random.default_rng(0).permutation(clean)[:3000].tolist()
+    named = lambda numbers: [vocabulary[i] for i in numbers]
     scores, model = odds, None
     for turn in range(rounds):
-        witness = Counter()
-        for d, t in zip(docs, toxic, strict=True):
-            if t and d:
-                witness[max(sorted(d), key=scores.__getitem__)] += 1
         # the words that tell the classes apart best speak for the label, and so do witnesses that clean documents have seldom
-        witness.update({w: 1 for w in telling})
-        good = [w for w, c in sorted(witness.items(), key=lambda x: (-met1[x[0]], x[0])) if met0[w] / n0 < 0.2 * met1[w] / n1]
-        hard = [w for w in sorted(clean, key=lambda w: -scores.get(w, -9.0))[:2000] if turn and met0[w] / n0 > 0.5 * met1[w] / n1]
+        witness = {*telling, *(int(np.sort(d)[scores[np.sort(d)].argmax()]) for d, t in zip(docs, toxic, strict=True) if t and len(d))}
+        good = [i for i in sorted(witness, key=lambda i: (-met1[i], i)) if met0[i] / n0 < 0.2 * met1[i] / n1]
+        hard = [i for i in clean[np.argsort(-scores[clean], kind="stable")[:2000]].tolist() if turn and met0[i] / n0 > 0.5 * met1[i] / n1]
         if not good:
-            good = [max(odds, key=odds.__getitem__)]
-        landmarks = _pick(good, LANDMARKS, 0.9) + _pick(hard + any_clean, HARD_LANDMARKS, 0.7)
-        base = np.stack([vector(w) for w in landmarks])
-        values, axes = np.linalg.eigh((base @ base.T).astype(np.float64))
+            good = [int(odds.argmax())]
+        landmarks = _pick(named(good), LANDMARKS, 0.9) + _pick(named(hard + any_clean), HARD_LANDMARKS, 0.7)
+        base = landmark_table(landmarks)
+        held = base.values[1:].astype(np.float64)
+        values, axes = np.linalg.eigh(held.T @ held)
         root = axes @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ axes.T
         words = good + hard + any_clean
-        x = np.c_[apply_table(words, np.ascontiguousarray(base.T)) @ root, np.ones(len(words))]
+        x = np.c_[base.best(named(words)) @ root, np.ones(len(words))]
         y = np.r_[np.ones(len(good)), -np.ones(len(hard) + len(any_clean))]
-        weight = np.r_[np.sqrt([min(met1[w], 50) for w in good]) * max(1.0, len(any_clean) / len(good) / 10), np.ones(len(hard) + len(any_clean))]
+        weight = np.r_[np.sqrt(np.minimum(met1[good], 50)) * max(1.0, len(any_clean) / len(good) / 10), np.ones(len(hard) + len(any_clean))]
         w = _machine(x, y, weight)
-        model = Model((base.T @ (root @ w[:-1])).astype(np.float32), float(w[-1]), np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
-        every = sorted(set(met1) | set(met0))
-        scores = dict(zip(every, (apply_table(every, model.table) + model.bias).tolist(), strict=True))
+        table = Table(np.flatnonzero(base.row), (held @ (root @ w[:-1]))[base.row[base.row > 0] - 1])
+        model = Model(table, float(w[-1]), np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
+        scores = np.concatenate([model.word_scores(vocabulary[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0) * len(toxic)
-    model.scale = _logistic(model.tops(docs), toxic.astype(float), weight)
-    model.known = {}
+    model.scale = _logistic(np.clip([_summary(scores[d]) for d in docs], -1.5, 8), toxic.astype(float), weight)
     return model
 
 
@@ -261,21 +282,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         part = usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.union(part)
 
-    @F.udf("array<string>", useArrow=True)
-    def words(text: str) -> list[str]:
-        return sorted(terms(text))
-
-    # at most 2 * most rows, so this side is small at any input size
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_of")), F.col("doc_id") == F.col("_of")).select("_of", "toxic", words("text").alias("words"))
-    found = sorted(((r["_of"], r["toxic"], r["words"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[2]))
+    @F.udf("string", useArrow=True)
+    def words(text: str) -> str:
+        return "\n".join(sorted(terms(text)))
+
+    # at most 2 * most rows, so this side is small at any input size; of rows with one doc_id one stays
+    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_of")), F.col("doc_id") == F.col("_of"))
+    rows = rows.select("_of", "toxic", words("text").alias("words")).groupBy("_of", "toxic").agg(F.min("words").alias("words"))
+    number: dict[str, int] = {}
+    found = []
+    for r in rows.toLocalIterator():
+        own = r["words"].split("\n") if r["words"] else []
+        found.append((r["_of"], r["toxic"], np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int32)))
+    found.sort(key=lambda r: r[0])
+    vocabulary = sorted(number)
+    place = np.empty(len(number), dtype=np.int32)
+    place[[number[w] for w in vocabulary]] = np.arange(len(number))
     share = total.get(1, 0) / max(1, sum(total.values()))
-    return train([set(r[2]) for r in found], np.array([r[1] for r in found], dtype=int), share)
+    return train(vocabulary, [place[r[2]] for r in found], np.array([r[1] for r in found], dtype=int), share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score`, 0 to 1: how likely the whole text is toxic. Null and empty texts get the score of a text without words.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column `name`, 0 to 1: how likely the whole text is toxic. Null and empty texts get the score of a text without words.
 
-    Rows are scored one by one on their text alone, so equal texts score alike; every column of docs stays.
+    Rows are scored one by one on their text alone, so equal texts score alike. Every column of docs stays but one of that
+    name, which the score replaces.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -284,4 +315,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.concatenate([shared.value.score([terms(t) for t in texts.iloc[a : a + 500]]) for a in range(0, len(texts), 500)] or [np.zeros(0)]))
 
-    return docs.withColumn("score", run(F.col("text").cast("string")))
+    return docs.withColumn(name, run(F.col("text").cast("string")))
