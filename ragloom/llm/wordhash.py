@@ -55,6 +55,14 @@ def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, at)
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes between each start and end."""
+    code, _, up, down = _table(len(buf))
+    sums = np.zeros(len(buf) + 1, dtype=_U)
+    np.cumsum(code[buf] * up[: len(buf)], dtype=_U, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def chunks(parts: list[bytes], most: int = 1 << 21):
     """Ranges of parts of about `most` bytes, at least one part each."""
     begin, held = 0, 0

@@ -397,3 +397,25 @@ def test_weak_labels(spark, docs, empty):
     assert len(got) == docs.count() and all(0 <= g.quality <= 1 for g in got)
     weights, _ = weak_labels.fit(empty)
     assert weak_labels.score(empty, weights).count() == 0
+
+
+
+def test_packing_pads_little_and_splits_the_end_at_powers_of_two(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(r.choice((3, 50, 700, 3000))))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    lengths = Counter()
+    for g in packing.pack(docs).collect():
+        lengths[g.sequence_id] += g.length
+    padding = sum(0 if n & (n - 1) == 0 else packing.SIZE - n for n in lengths.values())
+    assert max(lengths.values()) <= packing.SIZE and padding <= 0.02 * sum(lengths.values())
+    last = [lengths[max(s for s in lengths if s >> 33 == t)] for t in {s >> 33 for s in lengths}]
+    assert sum(n & (n - 1) == 0 or n < packing.SIZE // 16 for n in last) == len(last)
+
+
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = ["a bc de", "fg hi", "aa bb cc"]
+    whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in encoder(texts)] == [e.ids for e in whole]
