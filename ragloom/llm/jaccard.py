@@ -7,10 +7,11 @@ blocks) is a lower bound of the symmetric difference. At a Jaccard similarity of
 d = floor((1 - t) / t * size) of either set, so among any d + 1 non-empty blocks one agrees
 (pigeonhole). Each set sends its d + 1 rarest blocks as join keys, rare by one order for all
 documents; the first of them that the other set has too is then among the other's, so no pair is lost.
-Pairs that meet are verified on whole sets.
+Pairs that meet are compared by a second sketch, of single bits, and verified on whole sets.
 
 Instead of all pairs of a bucket, each set is first compared with one centre; what this links is
-contracted, and only sets that are still in different components of a bucket are compared after that.
+contracted, and only sets that are still in different components of a bucket are compared after that. Buckets with the
+same sets count as one.
 """
 
 from collections.abc import Iterator
@@ -21,20 +22,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.store import materialise
+from ragloom.llm.store import materialise, scratch
 from ragloom.llm.wordhash import chunks, encode, mix, set_digest, shingle_set, word_hashes
 
 _U = np.uint64
 #: Cells of the table of counts that says how common a shingle is. It only orders blocks: results don't depend on it.
 CELLS = 1 << 20
-#: Size bands: below the first bound each shingle is a block of its own; later bands span a factor of four.
-FIRST_BAND, BAND_STEP = 64, 4
+#: Size bands: the first ends below FIRST_BAND, each later one spans a factor of BAND_STEP.
+FIRST_BAND, BAND_STEP = 16, 4
 #: Longs of the bit sketch that is compared before whole sets are.
 PARITY_LONGS = 16
-#: Size of the table that pre-filters rows before joins.
+#: Size of the table that pre-filters rows before joins that shuffle.
 FILTER_BITS = 1 << 24
 #: About as many sets meet in one bucket; more common blocks are salted into several.
 BUCKET = 4096
+#: Join keys that a task holds at a time, and that one part of the exchange between tasks holds.
+HELD, PART = 500_000, 1_000_000
+#: A table of at most so many narrow rows is sent to all tasks of a join; one of more rows is shuffled. Results are the same.
+MOST_SENT = 150_000
 
 
 def band_of(size: int) -> int:
@@ -44,6 +49,11 @@ def band_of(size: int) -> int:
     return band
 
 
+def blocks_of(band: int) -> int:
+    """Blocks of a band's sketch: so many that a set of the band has more than d non-empty ones (it has not with a chance under 1e-11)."""
+    return 1 << 20 if band == 0 else max(256, FIRST_BAND * BAND_STEP**band)
+
+
 def sketch_keys(shingles: np.ndarray, common: np.ndarray, least: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of one set (ascending hashes) over its bands, and how common each is.
 
@@ -52,15 +62,14 @@ def sketch_keys(shingles: np.ndarray, common: np.ndarray, least: float = 0.75) -
     size = len(shingles)
     keys, counts = [], []
     met = common[(shingles & _U(len(common) - 1)).astype(np.int64)]
+    mixed = mix(shingles)
     for band in range(band_of(max(1, int(np.ceil(least * size)))), band_of(size) + 1):
-        top = FIRST_BAND * BAND_STEP**band
-        high = shingles >> _U(32)
-        block = high if band == 0 else (high * _U(top)) >> _U(32)
+        block = ((shingles >> _U(32)) * _U(blocks_of(band))) >> _U(32)
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        parity = np.bitwise_xor.reduceat(mix(shingles), first)
+        parity = np.bitwise_xor.reduceat(mixed, first)
         key = mix(parity ^ mix(block[first] + _U((band + 1) << 40)))
         count = np.minimum.reduceat(met, first)
-        differing = int((1 - least) / least * min(size, top - 1) + 1e-9)
+        differing = int((1 - least) / least * min(size, FIRST_BAND * BAND_STEP**band - 1) + 1e-9)
         rare = np.lexsort((key, np.frexp(count)[1]))[: differing + 1]
         keys.append(key[rare])
         counts.append(count[rare])
@@ -125,84 +134,94 @@ def features(docs: DataFrame, n: int = 5) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, n_shingles long, body long, set_id long, parity array<long>, cell_part int, counts binary")
 
 
-def _symbols(docs: DataFrame, common: np.ndarray, n: int, least: float) -> DataFrame:
-    """A row for each document and join key: bucket (the key; salted where it is common), hot_key (the key, where salted), set_id, size."""
+def _symbols(docs: DataFrame, common: np.ndarray, n: int, least: float, parts: int) -> DataFrame:
+    """The join keys of all sets, packed: a row (part, hot, rows) for each part of the key space that a task has keys of.
+
+    rows holds 64-bit arrays: buckets, sets and, where hot, keys. The bucket is the key, or, where the key is common (hot),
+    salted. Copies of a set that a task meets soon after each other count once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
-    def rows(keys: list, counts: list, ids: list, sizes: list, floor: float) -> pd.DataFrame:
+    def packed(keys: list, counts: list, ids: list, floor: float) -> pd.DataFrame:
         key, count = np.concatenate(keys), np.concatenate(counts)
-        own = np.repeat(np.array(ids, dtype=np.int64), [len(k) for k in keys])
+        own = np.repeat(np.array(ids, dtype=np.int64).view(_U), [len(k) for k in keys])
         salts = np.maximum(1, (count - floor) // BUCKET).astype(_U)
-        salt = mix(own.view(_U) ^ key) % salts
-        hot = salts > 1
-        return pd.DataFrame({
-            "bucket": np.where(hot, mix(key + salt), key).view(np.int64),
-            "hot_key": pd.Series(key.view(np.int64)).astype("Int64").mask(~hot),
-            "set_id": own,
-            "size": np.repeat(np.array(sizes, dtype=np.int32), [len(k) for k in keys]),
-        })
+        bucket = np.where(salts > 1, mix(key + mix(own ^ key) % salts), key)
+        out = []
+        for hot in (False, True):
+            these = np.flatnonzero((salts > 1) == hot)
+            these = these[np.argsort(bucket[these])]
+            part = ((bucket[these] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+            at = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.unique(part).tolist():
+                own_rows = these[at[p] : at[p + 1]]
+                out.append((p, hot, b"".join(x[own_rows].tobytes() for x in ((bucket, own, key) if hot else (bucket, own)))))
+        return pd.DataFrame(out, columns=["part", "hot", "rows"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         floor = 2 * float(table.mean())
+        keys, counts, ids, held, seen = [], [], [], 0, set()
         for batch in batches:
-            keys, counts, ids, sizes, held = [], [], [], [], 0
             for _, s in _sets(batch["text"], n):
                 if len(s) < 3:  # so small a set is similar only to itself
                     continue
+                digest = set_digest(s)
+                if digest in seen:
+                    continue
+                seen.add(digest)
                 key, count = sketch_keys(s, table, least)
                 keys.append(key)
                 counts.append(count)
-                ids.append(set_digest(s))
-                sizes.append(len(s))
+                ids.append(digest)
                 held += len(key)
-                if held > 200_000:
-                    yield rows(keys, counts, ids, sizes, floor)
-                    keys, counts, ids, sizes, held = [], [], [], [], 0
-            if keys:
-                yield rows(keys, counts, ids, sizes, floor)
+                if held > HELD:
+                    yield packed(keys, counts, ids, floor)
+                    keys, counts, ids, held = [], [], [], 0
+                    seen = seen if len(seen) < HELD else set()
+        if keys:
+            yield packed(keys, counts, ids, floor)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "bucket long, hot_key long, set_id long, size int")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "part int, hot boolean, rows binary")
 
 
-def _stars(symbols: DataFrame) -> DataFrame:
-    """Rows of buckets that two sets or more share, each once, with the bucket's centre: its smallest set_id.
+def _groups(symbols: DataFrame, parts: int) -> DataFrame:
+    """Who meets whom: key, set_id, centre (the smallest set_id of its bucket) and n, how many buckets this stands for.
 
-    A set that is alone in a salted bucket stays: the other sets of its hot_key may all be in other salts, and they meet later.
-    Tasks read their buckets sorted and hold one batch at a time, however large a bucket is.
+    A row for each set of each bucket of two sets or more; buckets of the same sets have one key and count in n. The sets of a hot
+    key keep it, whichever bucket they were salted into: they meet the sets of its other buckets later.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, centre, alone = None, None, None  # the bucket of the row before, its centre, that row if it may be the only one
+        held = {False: [], True: []}
         for batch in batches:
-            if not len(batch):
+            for hot, rows in zip(batch["hot"], batch["rows"], strict=True):
+                held[bool(hot)].append(np.frombuffer(rows, dtype=_U).reshape(3 if hot else 2, -1))
+        for hot, found in held.items():
+            if not found:
                 continue
-            bucket, own = batch["bucket"].to_numpy(), batch["set_id"].to_numpy()
-            new = np.r_[last is None or bucket[0] != last[0], bucket[1:] != bucket[:-1]]
-            again = ~new & (own == np.r_[own[0] - 1 if last is None else last[1], own[:-1]])
-            begin = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            centres = np.where(which >= 0, own[begin[np.maximum(which, 0)]] if len(begin) else own, own)
-            if last is not None:
-                centres[which < 0] = centre
-            shared = own != centres  # not the centre: the bucket has two sets at least
-            opens = new & np.r_[False, np.zeros(len(new) - 1, dtype=bool)]
-            grown = np.zeros(len(begin), dtype=bool)
-            np.logical_or.at(grown, which[(which >= 0) & shared], True)
-            met = grown | batch["hot_key"].notna().to_numpy()[begin]
-            opens[begin[met]] = True
-            out = batch[(shared & ~again) | opens].assign(centre=centres[(shared & ~again) | opens])
-            if alone is not None and (shared & (which < 0)).any():
-                yield alone
-                alone = None
-            yield out
-            if len(begin):
-                alone = None if met[-1] else batch.iloc[begin[-1] : begin[-1] + 1].assign(centre=own[begin[-1]])
-            last, centre = (bucket[-1], own[-1]), centres[-1]
-
-    # by a hash of the bucket, so that one task has whole buckets
-    dealt = symbols.repartition("bucket").sortWithinPartitions("bucket", "set_id")
-    return dealt.mapInPandas(run, "bucket long, hot_key long, set_id long, size int, centre long").select(F.coalesce("hot_key", "bucket").alias("key"), "set_id", "size", "centre")
+            rows = np.concatenate(found, axis=1)
+            found.clear()
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            rows = rows[:, np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]]
+            begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+            size = np.diff(np.r_[begin, rows.shape[1]])
+            centre = rows[1][begin]
+            if hot:
+                out = pd.DataFrame({"key": rows[2], "set_id": rows[1], "centre": np.repeat(centre, size), "n": np.ones(rows.shape[1], dtype=np.int64)})
+            else:
+                name = mix(np.add.reduceat(mix(rows[1]), begin) + size.astype(_U))  # of the bucket's sets, as a whole
+                order = np.flatnonzero(size > 1)
+                _, first, n = np.unique(name[order], return_index=True, return_counts=True)
+                kept = order[first]
+                many = size[kept]
+                at = np.repeat(begin[kept] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                out = pd.DataFrame({"key": np.repeat(name[kept], many), "set_id": rows[1][at], "centre": np.repeat(centre[kept], many), "n": np.repeat(n, many)})
+            for a in range(0, len(out), 100_000):
+                yield out.iloc[a : a + 100_000].astype({c: np.int64 for c in ("key", "set_id", "centre", "n")})
+
+    dealt = symbols.repartitionById(parts, F.col("part"))
+    return dealt.mapInPandas(run, "key long, set_id long, centre long, n long").groupBy("key", "set_id", "centre").agg(F.sum("n").alias("n"))
 
 
 def narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -228,22 +247,9 @@ def narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return rows.where(may(bit(column)))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_id and hashes (the set: little-endian 64-bit, ascending) of the documents whose doc_id is wanted."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                yield pd.DataFrame([(set_digest(s), s.astype("<u8").tobytes()) for _, s in _sets(part["text"], n)], columns=["set_id", "hashes"])
-
-    return narrowed(docs, "doc_id", wanted).join(wanted, ["doc_id"], "left_semi").select("text").mapInPandas(run, "set_id long, hashes binary")
-
-
-def _near(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bit sketches differ in no more places than sets with the similarity can."""
-    side = lambda x: bits.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar(least)).select("a", "b")
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, of which there are n, as a side of a join: sent to all tasks if they are few."""
+    return F.broadcast(rows) if n <= MOST_SENT else rows
 
 
 def _may_be_similar(least: float) -> F.Column:
@@ -253,24 +259,52 @@ def _may_be_similar(least: float) -> F.Column:
     return (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")) & (distance <= most)
 
 
-class _Verifier:
-    """Verifies pairs on whole sets, which are made from the texts when a pair first needs them."""
+class _Join:
+    """One run of the join: its tables, in a folder of their own."""
 
-    def __init__(self, docs: DataFrame, first: DataFrame, n: int, least: float):
-        self.docs, self.first, self.n, self.least, self.sets = docs, first, n, least, None
+    def __init__(self, docs: DataFrame, first: DataFrame, n: int, least: float, folder: str):
+        self.docs, self.first, self.n, self.least, self.folder = docs, first, n, least, folder
+        self.sets: DataFrame | None = None
+
+    def table(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
+        return materialise(df, name, batch, self.folder)
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, ...) whose bit sketches differ in no more places than sets with the similarity can."""
+        side = lambda x: self.first.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"parity_{x}"))
+        n = pairs.count()
+        left = side("a").join(_sent(pairs, n), "a")
+        return side("b").join(_sent(left, 8 * n), "b").where(_may_be_similar(self.least)).select(*pairs.columns)
+
+    def whole_sets(self, wanted: DataFrame) -> DataFrame:
+        """set_id and hashes (the set: little-endian 64-bit, ascending) of the sets wanted, from the text of one document of each."""
+        of = self.table(self.first.join(_sent(wanted, wanted.count()), "set_id").select("first_id", "first_body"), "wanted")
+        n, words = of.count(), self.n
+        docs = self.docs.withColumn("body", F.xxhash64("text"))
+        docs = docs if n <= MOST_SENT else narrowed(docs, "body", of.select("first_body"))
+        texts = docs.join(_sent(of, n), docs["body"].eqNullSafe(of["first_body"]) & docs["doc_id"].eqNullSafe(of["first_id"]), "left_semi")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for a in range(0, len(batch), 500):
+                    part = batch.iloc[a : a + 500]
+                    yield pd.DataFrame([(set_digest(s), s.astype("<u8").tobytes()) for _, s in _sets(part["text"], words)], columns=["set_id", "hashes"])
+
+        return self.table(texts.select("text").mapInPandas(run, "set_id long, hashes binary"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have at least the similarity, as a table in the shared folder."""
-        pairs, least = materialise(pairs, "pairs"), self.least
+        """The pairs (a, b) whose sets have at least the similarity, as a table."""
+        pairs, least = self.table(pairs, "pairs"), self.least
+        n = pairs.count()
+        if not n:
+            return pairs
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("set_id")
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("set_id"), "set_id", "left_anti")
-        wanted = materialise(narrowed(self.first, "set_id", wanted).join(wanted, "set_id").select(F.col("first_id").alias("doc_id")), "wanted")
+        wanted = self.table(wanted, "wanted")
         if not wanted.isEmpty():
-            made = materialise(_whole_sets(self.docs, wanted, self.n), "sets")
+            made = self.whole_sets(wanted)
             self.sets = made if self.sets is None else self.sets.union(made)
-        if self.sets is None:
-            return pairs
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -283,28 +317,69 @@ class _Verifier:
                     keep.append(100 * shared >= 100 * least * (len(x) + len(y) - shared) - 1e-9)
                 yield batch.loc[keep, ["a", "b"]]
 
-        side = lambda x, y: narrowed(self.sets.select(F.col("set_id").alias(x), F.col("hashes").alias(y)), x, pairs.select(x))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-        return materialise(both.mapInPandas(run, "a long, b long").distinct(), "links", batch=100)  # a row holds two whole sets
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node and label (the smallest node it reaches) of every node of links (a, b).
-
-    Each round a node takes the smallest label among its neighbours', then labels are followed once more, so that
-    rounds grow with the logarithm of a component's length. Every round is a table in the shared folder.
-    """
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
-    labels = materialise(labels, "labels")
-    while True:
-        heard = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
-        ahead = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        after = materialise(nearer.join(ahead, "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
-            return labels
+        def side(x: str, y: str) -> DataFrame:
+            rows = self.sets.select(F.col("set_id").alias(x), F.col("hashes").alias(y))
+            return rows.join(_sent(pairs.select(x), n), x, "left_semi") if n <= MOST_SENT else narrowed(rows, x, pairs.select(x))
+
+        both = side("a", "x").join(_sent(pairs, n), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+        return self.table(both.mapInPandas(run, "a long, b long").distinct(), "links", batch=100)  # a row holds two whole sets
+
+    def components(self, links: DataFrame) -> DataFrame:
+        """node and label (the smallest node it reaches) of every node of links (a, b).
+
+        Each round a node takes the smallest label among its neighbours', then labels are followed once more, so that
+        rounds grow with the logarithm of a component's length. Every round is a table.
+        """
+        edges = self.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
+        labels = self.table(labels, "labels")
+        n = labels.count()
+        while True:
+            heard = edges.join(_sent(labels, n), edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
+            nearer = heard.join(_sent(labels, n), labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
+            ahead = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
+            after = self.table(nearer.join(_sent(ahead, n), "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
+            labels = after.select("node", "label")
+            if after.where("label <> old").isEmpty():
+                return labels
+
+    def run(self, met: DataFrame) -> DataFrame:
+        """set_id, label (the same for the sets of a component) and n_links of every set that has a link; met: see _groups."""
+        # each set is compared with the centre that it meets most often among those that may be similar
+        stars = met.where("set_id <> centre").groupBy(F.col("set_id").alias("a"), F.col("centre").alias("b")).agg(F.sum("n").alias("n"))
+        best = self.near(self.table(stars, "stars")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        links = self.links(best)
+        # Next, in each bucket that still holds several components, its sets meet one set of another component, drawn
+        # anew in every round, until a round links little. Last, the pairs that are still apart meet each other.
+        drawn, rows, found = 0, met.select("key", "set_id").distinct(), links.count()
+        while True:
+            labels = self.components(links)
+            placed = rows.join(_sent(labels, 2 * found), rows["set_id"] == labels["node"], "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
+            placed = self.table(placed, "placed")
+            draw = F.struct("label", F.xxhash64("set_id", "key", F.lit(drawn)).alias("draw"), "set_id")
+            ends = placed.groupBy("key").agg(F.min(draw).alias("low"), F.max(draw).alias("high")).where("low.label <> high.label").select(F.col("key").alias("in_key"), "low", "high")
+            mixed = self.table(placed.join(ends, placed["key"] == ends["in_key"]).drop("in_key"), "mixed")
+            rows = mixed.select("key", "set_id")
+            if mixed.isEmpty():
+                return self.counted(links, labels)
+            other = F.when(F.col("label") != F.col("low.label"), F.col("low.set_id")).otherwise(F.col("high.set_id"))
+            met_now = mixed.select(F.least("set_id", other).alias("a"), F.greatest("set_id", other).alias("b")).distinct()
+            more = self.links(self.near(self.table(met_now, "drawn")))
+            new = more.count()
+            few = 100 * new <= found  # the last step finds the same links; it only has to be spared the many
+            links, drawn, found = links.union(more), drawn + 1, found + new
+            if few:
+                break
+        sketched = mixed.select("key", "set_id", "label").join(self.first.select("set_id", "size", "parity"), "set_id")
+        left, right = (sketched.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "label", "parity"))) for x in "ab")
+        apart = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & _may_be_similar(self.least))
+        more = self.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct())
+        links = links.union(more)
+        return self.counted(links, labels if not new and more.isEmpty() else self.components(links))
+
+    def counted(self, links: DataFrame, labels: DataFrame) -> DataFrame:
+        n = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        return labels.join(n, "node").select(F.col("node").alias("set_id"), "label", "n_links")
 
 
 def similar(docs: DataFrame, n: int = 5, least: float = 0.75) -> DataFrame:
@@ -318,50 +393,25 @@ def similar(docs: DataFrame, n: int = 5, least: float = 0.75) -> DataFrame:
     names a component that has another. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialise(features(docs, n), "features")
-    common = cell_counts(made, CELLS)
-    own = made.where("counts is null").select("doc_id", "n_shingles", "body", "set_id")
-    first = materialise(own.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("size")), "first")
-
-    met = materialise(_stars(_symbols(docs, common, n, least)), "met")
-    present = met.select("set_id").distinct()
-    sketched = narrowed(made.where("counts is null").select("set_id", F.col("n_shingles").alias("size"), "parity"), "set_id", present)
-    bits = materialise(sketched.dropDuplicates(["set_id"]), "bits")
-    verifier = _Verifier(docs, first, n, least)
-    # each set is compared with the centre that it meets most often among those that may be similar
-    stars = met.where("set_id <> centre").groupBy(F.col("set_id").alias("a"), F.col("centre").alias("b")).agg(F.count("*").alias("n"))
-    near = _near(stars, bits, least).join(stars, ["a", "b"])
-    best = near.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = verifier.links(best)
-    # Next, in each bucket that still holds several components, its sets meet one set of another component, drawn
-    # anew in every round, until a round links little. Last, the pairs that are still apart meet each other.
-    drawn, rows = 0, met.select("key", "set_id")
-    while True:
-        labels = components(links)
-        placed = rows.join(labels, rows["set_id"] == labels["node"], "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
-        draw = F.struct("label", F.xxhash64("set_id", "key", F.lit(drawn)).alias("draw"), "set_id")
-        ends = placed.groupBy("key").agg(F.min(draw).alias("low"), F.max(draw).alias("high")).where("low.label <> high.label").select(F.col("key").alias("in_key"), "low", "high")
-        mixed = materialise(placed.join(ends, placed["key"] == ends["in_key"]).drop("in_key"), "mixed")
-        rows = mixed.select("key", "set_id")
-        other = F.when(F.col("label") != F.col("low.label"), F.col("low.set_id")).otherwise(F.col("high.set_id"))
-        more = verifier.links(_near(mixed.select(F.least("set_id", other).alias("a"), F.greatest("set_id", other).alias("b")).distinct(), bits, least))
-        few = 100 * more.count() <= links.count()  # the last step finds the same links; it only has to be spared the many
-        links, drawn = links.union(more), drawn + 1
-        if few:
-            break
-    sketched = mixed.select("key", "set_id", "label").join(bits, "set_id")
-    left, right = (sketched.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "label", "parity"))) for x in "ab")
-    apart = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & _may_be_similar(least))
-    more = verifier.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct())
-    links = links.union(more)
-    labels = components(links)
-
-    counted = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-    first = first.select("set_id", "first_id")
-    smallest = first.join(labels, first["set_id"] == labels["node"], "left").select("set_id", "first_id", F.coalesce("label", "set_id").alias("label"))
-    roots = smallest.groupBy("label").agg(F.min("first_id").alias("root"))
-    classes = smallest.join(roots, "label").join(counted, "set_id", "left").select("set_id", "root", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return own.join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_id", "body")
+    with scratch(docs.sparkSession, "jaccard") as folder:
+        made = materialise(features(docs, n), "features", within=folder)
+        common = cell_counts(made, CELLS)
+        own = made.where("counts is null").select("doc_id", "n_shingles", "body", "set_id")
+        # a doc_id of null comes last
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
+        first = made.where("n_shingles > 0").groupBy("set_id").agg(one.alias("one"), F.first("n_shingles").alias("size"), F.first("parity").alias("parity"))
+        first = materialise(first.select("set_id", F.col("one.doc_id").alias("first_id"), F.col("one.body").alias("first_body"), "size", "parity"), "first", within=folder)
+        keys = first.agg(F.sum("size")).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys // 2 // PART)
+        met = materialise(_groups(_symbols(docs, common, n, least, parts), parts), "met", within=folder)
+        linked = _Join(docs, first, n, least, folder).run(met)
+        first = first.select("set_id", "first_id")
+        smallest = first.join(linked, "set_id").select("set_id", "first_id", "label", "n_links")
+        roots = smallest.groupBy("label").agg(F.min("first_id").alias("root"))
+        classes = materialise(smallest.join(roots, "label").select("set_id", "root", "n_links"), "classes", within=folder)
+        alone = first.select("set_id", F.col("first_id").alias("root"), F.lit(0).cast("long").alias("n_links")).join(classes.select("set_id"), "set_id", "left_anti")
+        out = own.join(classes.unionByName(alone), "set_id", "left")
+        return materialise(out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_id", "body"), "similar")
 
 
 def keep_one(docs: DataFrame, n: int = 5, least: float = 0.75) -> DataFrame:

@@ -2,14 +2,18 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of this session's own."""
+    """The folder named by spark.checkpoint.dir; where that is unset on a local master (tests), one of this session's own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ragloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,13 +26,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialise(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
-    """Write df once to the shared folder and read it back: lost executors then cost no recomputation.
+def materialise(df: DataFrame, name: str, batch: int = 1000, within: str | None = None) -> DataFrame:
+    """Write df once to the shared folder, or the folder `within` it, and read it back: lost executors then cost no recomputation.
 
     batch: rows that its Python steps hold at a time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{within or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
     spark.conf.set(_BATCH, str(batch))
@@ -40,6 +44,17 @@ def materialise(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder in the shared one for tables that go when the block ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand Python workers so many rows at a time from now on: for jobs whose stages follow each other in the same workers."""
     spark.conf.set(_BATCH, str(rows))
