@@ -36,6 +36,10 @@ PARITY_LONGS = 16
 FILTER_BITS = 1 << 24
 #: About as many sets meet in one bucket; more common blocks are salted into several.
 BUCKET = 4096
+#: Centres that a set is compared with first: more of them save later rounds, results are the same.
+CENTRES = 4
+#: Pairs of all sets left, for each row of them, that are compared without further rounds.
+PAIRS_A_ROW = 200
 #: Join keys that a task holds at a time, and that one part of the exchange between tasks holds.
 HELD, PART = 500_000, 1_000_000
 #: A table of at most so many narrow rows is sent to all tasks of a join; one of more rows is shuffled. Results are the same.
@@ -65,14 +69,20 @@ def sketch_keys(shingles: np.ndarray, common: np.ndarray, least: float = 0.75) -
     mixed = mix(shingles)
     for band in range(band_of(max(1, int(np.ceil(least * size)))), band_of(size) + 1):
         block = ((shingles >> _U(32)) * _U(blocks_of(band))) >> _U(32)
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        opens = np.ones(size, dtype=bool)
+        np.not_equal(block[1:], block[:-1], out=opens[1:])
+        first = np.flatnonzero(opens)
         parity = np.bitwise_xor.reduceat(mixed, first)
         key = mix(parity ^ mix(block[first] + _U((band + 1) << 40)))
         count = np.minimum.reduceat(met, first)
         differing = int((1 - least) / least * min(size, FIRST_BAND * BAND_STEP**band - 1) + 1e-9)
-        rare = np.lexsort((key, np.frexp(count)[1]))[: differing + 1]
-        keys.append(key[rare])
-        counts.append(count[rare])
+        if differing + 1 < len(key):
+            # by the binary magnitude of the count, then by the key
+            order = (np.frexp(count)[1].astype(_U) << _U(58)) | (key >> _U(6))
+            rare = np.argpartition(order, differing)[: differing + 1]
+            key, count = key[rare], count[rare]
+        keys.append(key)
+        counts.append(count)
     return np.concatenate(keys), np.concatenate(counts)
 
 
@@ -276,9 +286,8 @@ class _Join:
         left = side("a").join(_sent(pairs, n), "a")
         return side("b").join(_sent(left, 8 * n), "b").where(_may_be_similar(self.least)).select(*pairs.columns)
 
-    def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """set_id and hashes (the set: little-endian 64-bit, ascending) of the sets wanted, from the text of one document of each."""
-        of = self.table(self.first.join(_sent(wanted, wanted.count()), "set_id").select("first_id", "first_body"), "wanted")
+    def whole_sets(self, of: DataFrame) -> DataFrame:
+        """set_id and hashes (the set: little-endian 64-bit, ascending) of the sets in `of`, from the text of one document (first_id, first_body) of each."""
         n, words = of.count(), self.n
         docs = self.docs.withColumn("body", F.xxhash64("text"))
         docs = docs if n <= MOST_SENT else narrowed(docs, "body", of.select("first_body"))
@@ -301,10 +310,9 @@ class _Join:
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("set_id")
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("set_id"), "set_id", "left_anti")
-        wanted = self.table(wanted, "wanted")
-        if not wanted.isEmpty():
-            made = self.whole_sets(wanted)
-            self.sets = made if self.sets is None else self.sets.union(made)
+        of = self.first.join(_sent(wanted, 2 * n), "set_id", "left_semi").select("first_id", "first_body")
+        made = self.whole_sets(self.table(of, "wanted"))
+        self.sets = made if self.sets is None else self.sets.union(made)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -345,37 +353,35 @@ class _Join:
 
     def run(self, met: DataFrame) -> DataFrame:
         """set_id, label (the same for the sets of a component) and n_links of every set that has a link; met: see _groups."""
-        # each set is compared with the centre that it meets most often among those that may be similar
+        # each set is compared with the centres that it meets most often among those that may be similar
         stars = met.where("set_id <> centre").groupBy(F.col("set_id").alias("a"), F.col("centre").alias("b")).agg(F.sum("n").alias("n"))
-        best = self.near(self.table(stars, "stars")).groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        links = self.links(best)
+        near = self.near(self.table(stars, "stars")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, CENTRES).alias("best"))
+        links = self.links(near.select("a", F.explode("best.b").alias("b")))
         # Next, in each bucket that still holds several components, its sets meet one set of another component, drawn
-        # anew in every round, until a round links little. Last, the pairs that are still apart meet each other.
-        drawn, rows, found = 0, met.select("key", "set_id").distinct(), links.count()
+        # anew in every round, until a round links little or the pairs left are few. Last, these meet each other.
+        drawn, rows, found, few = 0, met.select("key", "set_id").distinct(), links.count(), False
         while True:
             labels = self.components(links)
             placed = rows.join(_sent(labels, 2 * found), rows["set_id"] == labels["node"], "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
-            placed = self.table(placed, "placed")
             draw = F.struct("label", F.xxhash64("set_id", "key", F.lit(drawn)).alias("draw"), "set_id")
-            ends = placed.groupBy("key").agg(F.min(draw).alias("low"), F.max(draw).alias("high")).where("low.label <> high.label").select(F.col("key").alias("in_key"), "low", "high")
+            ends = placed.groupBy("key").agg(F.min(draw).alias("low"), F.max(draw).alias("high"), F.count("*").alias("n")).where("low.label <> high.label").select(F.col("key").alias("in_key"), "low", "high", "n")
             mixed = self.table(placed.join(ends, placed["key"] == ends["in_key"]).drop("in_key"), "mixed")
+            size = mixed.agg(F.count("*").alias("rows"), F.sum("n").alias("pairs")).first()
+            if few or (size["pairs"] or 0) <= PAIRS_A_ROW * size["rows"]:
+                break
             rows = mixed.select("key", "set_id")
-            if mixed.isEmpty():
-                return self.counted(links, labels)
             other = F.when(F.col("label") != F.col("low.label"), F.col("low.set_id")).otherwise(F.col("high.set_id"))
             met_now = mixed.select(F.least("set_id", other).alias("a"), F.greatest("set_id", other).alias("b")).distinct()
             more = self.links(self.near(self.table(met_now, "drawn")))
             new = more.count()
-            few = 100 * new <= found  # the last step finds the same links; it only has to be spared the many
+            few = 20 * new <= found
             links, drawn, found = links.union(more), drawn + 1, found + new
-            if few:
-                break
         sketched = mixed.select("key", "set_id", "label").join(self.first.select("set_id", "size", "parity"), "set_id")
         left, right = (sketched.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "label", "parity"))) for x in "ab")
         apart = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & _may_be_similar(self.least))
         more = self.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct())
         links = links.union(more)
-        return self.counted(links, labels if not new and more.isEmpty() else self.components(links))
+        return self.counted(links, labels if more.isEmpty() else self.components(links))
 
     def counted(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         n = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -88,14 +88,29 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def shingle_set(words: np.ndarray, n: int = 5) -> np.ndarray:
     """Distinct hashes of n-word shingles, ascending; a shorter text is one shingle, an empty one has none."""
     if len(words) >= n:
-        return np.unique(ngram_hashes(words, n))
+        grams = ngram_hashes(words, n)
+        grams.sort()
+        new = np.empty(len(grams), dtype=bool)
+        new[0] = True
+        np.not_equal(grams[1:], grams[:-1], out=new[1:])
+        return grams[new]
     return ngram_hashes(words, len(words)) ^ _U(len(words)) if len(words) else words
 
 
+_ALL = (1 << 64) - 1
+
+
+def mix_int(x: int) -> int:
+    """mix() of one number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _ALL
+    return x ^ (x >> 31)
+
+
 def set_digest(shingles: np.ndarray) -> int:
     """One signed 64-bit digest of a set of hashes."""
     if not len(shingles):
         return 0
-    both = np.array([shingles.sum(dtype=_U), np.bitwise_xor.reduce(shingles), len(shingles)], dtype=_U)
-    both = mix(both * np.array([_P, _Q, _PINV], dtype=_U))
-    return int(mix(both[:1] + both[1:2] * _U(3) + both[2:] * _U(5)).view(np.int64)[0])
+    total, odd = int(np.add.reduce(shingles)), int(np.bitwise_xor.reduce(shingles))
+    out = mix_int(mix_int(total * _P & _ALL) + 3 * mix_int(odd * _Q & _ALL) + 5 * mix_int(len(shingles) * _PINV & _ALL) & _ALL)
+    return out - (1 << 64) if out >> 63 else out
