@@ -4,13 +4,15 @@ documents: doc_id, text and metadata; queries: query_id, text, a stated set that
 query_id, doc_id, score (rounded to 6 digits), rank from 1. Equal scores rank by doc_id.
 """
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.metrics import cosine
 from ragloom.functions.text import content_tokens
 
 Tokens = Callable[[Column], Column]
@@ -32,18 +34,30 @@ class RetrievalSpec:
     sparse: str = "tfidf"
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(MOST_SENT + 1).count() <= MOST_SENT
+
+
+def _sent(rows: DataFrame, few: bool) -> DataFrame:
+    """rows as a side of a join: sent to every task if they are few."""
+    return F.broadcast(rows) if few else rows
 
 
 def query_terms(queries: DataFrame, tokens: Tokens = content_tokens) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(documents: DataFrame, terms: DataFrame, tokens: Tokens = content_tokens) -> DataFrame:
-    """doc_id, term, tf, length for the wanted terms (column term). Other terms are dropped before anything is shuffled."""
-    every = documents.select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return every.join(_small(terms.select("term").distinct()), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+#: A term that no text has: each document's row with it tells the length.
+_LENGTH = "\x00"
+
+
+def postings(documents: DataFrame, terms: DataFrame, tokens: Tokens = content_tokens, few: bool = False) -> DataFrame:
+    """doc_id, term, tf, length for the wanted terms (column term), and one row a document for the term _LENGTH. Other terms are
+    dropped before anything is shuffled."""
+    every = documents.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    every = every.select("doc_id", F.size("tokens").alias("length"), F.explode(F.concat("tokens", F.array(F.lit(_LENGTH)))).alias("term"))
+    wanted = terms.select("term").distinct().union(terms.sparkSession.createDataFrame([(_LENGTH,)], "term string"))
+    return every.join(_sent(wanted, few), "term").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -53,36 +67,108 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_scores(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), tokens: Tokens = content_tokens) -> DataFrame:
-    """query_id, doc_id, score of all documents that share a term with a query; a repeated query term counts again."""
+    """query_id, doc_id, score of all documents that share a term with a query; a repeated query term counts again.
+
+    Documents are read and tokenised once: document frequencies, the mean length and the scores all come from one exchange of
+    postings, which holds the queries' terms only.
+    """
     terms = query_terms(queries, tokens)
-    found = postings(documents, terms, tokens)
-    totals = documents.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean_length"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = terms.join(df, "term").join(F.broadcast(totals)).select("query_id", "term", "qtf", "mean_length", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    few = _few(terms)  # a look at the queries alone
+    found = postings(documents, terms, tokens, few)
+    # both counts use tf, so that every use of the postings asks for the same columns and Spark shuffles them once
+    stats = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.avg("length").alias("mean"))
+    own = F.col("term") == _LENGTH
+    totals = stats.agg(F.max(F.when(own, F.col("df"))).alias("docs"), F.max(F.when(own, F.col("mean"))).alias("mean_length"))
+    idf = stats.join(_sent(terms, few), "term").join(F.broadcast(totals)).select("query_id", "term", "qtf", "mean_length", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (spec.k1 + 1) / (tf + spec.k1 * (1 - spec.b + spec.b * F.col("length") / F.col("mean_length")))
-    return found.join(_small(idf), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    # no more rows than the queries have terms
+    return found.join(_sent(idf, few), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def ngrams(tokens: Tokens, most: int) -> Tokens:
+    """Tokens and the runs of up to `most` of them, joined by blanks."""
+
+    def of(text: Column) -> Column:
+        def of_length(t: Column, n: int) -> Column:
+            found = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), " "))
+            return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<string>"))
+
+        def runs(t: Column) -> Column:
+            return F.concat(t, *(of_length(t, n) for n in range(2, most + 1)))
+
+        return F.element_at(F.transform(F.array(tokens(text)), runs), 1)
+
+    return of
+
 
+def tfidf_scores(documents: DataFrame, queries: DataFrame, tokens: Tokens = content_tokens, most_terms: int | None = None) -> DataFrame:
+    """Cosine of tf * (ln((1 + N) / (1 + df)) + 1) vectors of queries and documents, over all terms of the documents.
 
-def tfidf_scores(documents: DataFrame, queries: DataFrame, tokens: Tokens = content_tokens) -> DataFrame:
-    """Cosine of tf * (ln((1 + N) / (1 + df)) + 1) vectors of queries and documents, over all terms of the documents."""
+    most_terms keeps only the terms that occur most often in the documents, then by name: such a vocabulary is small and its
+    weights are sent to all tasks. Documents are read and tokenised once.
+    """
     terms = query_terms(queries, tokens)
+    few = _few(terms)
     counts = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = documents.agg(F.count("*").alias("docs"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    asked = terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
+    stats = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
+    if most_terms:
+        stats = stats.orderBy(F.desc("cf"), "term").limit(most_terms)
+    idf = stats.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    asked = idf.join(_sent(terms, few), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
     asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id"))))
-    lengths = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sums = weights.join(_small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return sums.join(lengths, "doc_id").select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
-
-
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of every (doc_id, vector) with every query (query_id, vector): the stated queries against all rows, exactly."""
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
-    return vectors.crossJoin(_small(asked)).select("query_id", "doc_id", cosine(F.col("vector"), F.col("asked")).alias("score"))
+    by_term = asked.groupBy(F.col("term").alias("of")).agg(F.collect_list(F.struct("query_id", "q")).alias("asks"))
+    weights = counts.join(F.broadcast(idf) if most_terms else idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    held = weights.join(_sent(by_term, few), F.col("term") == F.col("of"), "left")
+    # a document's row: its length, and its terms that a query has
+    rows = held.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asks").isNotNull(), F.struct("w", "asks"))).alias("hits"))
+    parts = rows.select("doc_id", "norm", F.explode("hits").alias("h")).select("doc_id", "norm", "h.w", F.explode("h.asks").alias("a"))
+    return parts.groupBy("a.query_id", "doc_id").agg((F.sum(F.col("w") * F.col("a.q")) / F.first("norm")).alias("score"))
+
+
+#: Terms of a bounded vocabulary.
+VOCABULARY = 10_000
+#: Queries that are compared with the vectors at a time: their matrix is sent to every task.
+QUERIES_AT_ONCE = 5_000
+
+
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, others_only: bool = False) -> DataFrame:
+    """Exactly the k nearest (doc_id, vector) of each query (query_id, vector) by cosine: the stated queries against all rows, in blocks.
+
+    Each batch of vectors is multiplied with the matrix of a block of queries, and only its k best of each query go on.
+    others_only leaves out the vector whose doc_id is the query_id. Vectors without length have cosine 0; ids are numbers.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    n_blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    out = None
+    for block in range(n_blocks):
+        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
+        rows = part.toPandas()
+        matrix = np.stack(rows["vector"].to_list()) if len(rows) else np.zeros((0, 0))
+        size = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
+        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=np.int64), np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            names, matrix = held.value
+            for batch in batches:
+                if not len(names) or not len(batch):
+                    continue
+                batch = batch.sort_values("doc_id")
+                ids = batch["doc_id"].to_numpy(dtype=np.int64)
+                own = np.stack(batch["vector"].to_list()).astype(float)
+                length = np.linalg.norm(own, axis=1, keepdims=True)
+                scores = np.round(np.divide(own, length, out=np.zeros_like(own), where=length > 0) @ matrix.T, 6)
+                if others_only:
+                    scores[ids[:, None] == names[None, :]] = -2.0
+                best = np.argsort(-scores, axis=0, kind="stable")[:k]
+                found = np.take_along_axis(scores, best, 0)
+                yield pd.DataFrame({"query_id": np.tile(names, len(best)), "doc_id": ids[best].ravel(), "score": found.ravel() + 0.0}).query("score >= -1.5")
+
+        found = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "vector").mapInPandas(run, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, spec: RetrievalSpec = RetrievalSpec()) -> DataFrame:
@@ -104,7 +190,7 @@ def linear_fusion(dense: DataFrame, sparse: DataFrame, spec: RetrievalSpec = Ret
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, spec: RetrievalSpec = RetrievalSpec()) -> DataFrame:
-    """Top-k of two legs of scores, each cut to twice as many first."""
+    """Top-k of two legs of scores (query_id, doc_id, score), each cut to twice as many first."""
     legs = top_k(dense, 2 * spec.top_k), top_k(sparse.where(F.round("score", 6) > 0), 2 * spec.top_k)
     return top_k((rrf if spec.fusion == "rrf" else linear_fusion)(*legs, spec), spec.top_k)
 
@@ -115,20 +201,51 @@ def lexical_pair_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(asked, content_tokens(text))) / F.nullif(F.size(asked), F.lit(0)), F.lit(0.0))
 
 
-def rerank(candidates: DataFrame, documents: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column] = lexical_pair_score) -> DataFrame:
-    """Candidates (query_id, doc_id, score, rank) by a pair score, then by their rank before: original_ and rerank_score, original_ and new_rank."""
+class PairScorer(Protocol):
+    """A model that reads a query and a text together."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def model_pair_score(model: PairScorer, batch: int = 100) -> Callable[[Column, Column], Column]:
+    """The pair score of a model, called in Arrow batches, as rerank() takes it."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for query, text in batches:
+            pairs = list(zip(query.fillna(""), text.fillna(""), strict=True))
+            yield pd.Series([float(s) for a in range(0, len(pairs), batch) for s in model.score(pairs[a : a + batch])], dtype=float)
+
+    return lambda query, text: run(query, text)
+
+
+def rerank(candidates: DataFrame, documents: DataFrame, queries: DataFrame, k: int, score: Callable[[Column, Column], Column] = lexical_pair_score, most: int = 100) -> DataFrame:
+    """The first `most` candidates (query_id, doc_id, score, rank) of each query by a pair score, then by their rank before:
+    original_ and rerank_score, original_ and new_rank. Texts are fetched for candidates only."""
     asked = queries.select("query_id", F.col("text").alias("query"))
-    pairs = candidates.join(documents.select("doc_id", F.col("text").alias("content")), "doc_id").join(_small(asked), "query_id")
+    n = queries.count()
+    named = candidates.where(F.col("rank") <= most).join(_sent(asked, n <= MOST_SENT), "query_id")
+    pairs = documents.select("doc_id", F.col("text").alias("content")).join(_sent(named, n * most <= MOST_SENT), "doc_id")
     scored = pairs.select("query_id", "doc_id", F.col("score").alias("original_score"), F.round(score(F.col("query"), F.col("content")), 6).alias("rerank_score"), F.col("rank").alias("original_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "original_rank")
     return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
 
 
+def hybrid_reranked(dense: DataFrame, sparse: DataFrame, documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), candidates: int = 20, score: Callable[[Column, Column], Column] = lexical_pair_score) -> DataFrame:
+    """The hybrid's candidates, reranked by a pair score, cut to top-k."""
+    return rerank(hybrid(dense, sparse, replace(spec, top_k=candidates)), documents, queries, spec.top_k, score)
+
+
 def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), keep: Column | None = None) -> DataFrame:
     """Sparse top-k by the spec's method. keep filters documents by metadata after scoring, so corpus statistics stay whole."""
-    if spec.method not in ("bm25", "tfidf"):
-        raise ValueError(f"unknown method {spec.method}")
-    scores = bm25_scores(documents, queries, spec) if spec.method == "bm25" else tfidf_scores(documents, queries)
+    methods = {
+        "bm25": lambda: bm25_scores(documents, queries, spec),
+        "tfidf": lambda: tfidf_scores(documents, queries),
+        "tfidf_ngram": lambda: tfidf_scores(documents, queries, ngrams(content_tokens, 2), VOCABULARY),
+    }
+    if spec.method not in methods:
+        raise ValueError(f"unknown method {spec.method}: choose from {', '.join(methods)}")
+    scores = methods[spec.method]()
     if keep is not None:
         scores = scores.join(documents.where(keep).select("doc_id"), "doc_id", "left_semi")
     return top_k(scores.where(F.round("score", 6) > 0), spec.top_k)

@@ -5,7 +5,7 @@ Scores are rounded to six digits and equal ones rank by id, so that both engines
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import judge_json, text
@@ -13,6 +13,7 @@ from ragloom.functions.metrics import cosine, trace_average, trace_scores
 from ragloom.functions.prompts import context_digests
 from ragloom.operators import aggregation, chunking, retrieval, sampling
 from ragloom.operators.embedding import HashingEmbedder, embedded, not_indexed
+from ragloom.operators.ordering import with_next
 from ragloom.operators.retrieval import RetrievalSpec
 from ragloom.plans.evaluation import evaluate
 from ragloom.sources.loaders import standardized
@@ -35,8 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where the files have fewer parts than these: a file may be one row group, which one task reads."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def docs_and_asks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -86,13 +93,13 @@ def bm25_topk_filtered(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len(ts) AS INTEGER) AS n_tokens, CAST(len(list_distinct(ts)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents)")
 def tokenize_stats(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", text.content_tokens(F.col("text")).alias("t"))
+    tokens = documents(spark, sf_dir).select("doc_id", text.content_tokens(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY term")
 def doc_frequency(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.content_tokens(F.col("text"))).alias("term"))
+    tokens = documents(spark, sf_dir).select("doc_id", F.explode(text.content_tokens(F.col("text"))).alias("term"))
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -124,10 +131,14 @@ _LEGS = f"x AS ({_RANKED.format('dense', 10)}), y AS ({_RANKED.format('bm25 WHER
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The dense leg, cut to what a hybrid of five takes, and the scores of the sparse one."""
     docs, asks = docs_and_asks(spark, sf_dir)
+    return _dense_leg(docs, asks, 10), retrieval.bm25_scores(docs, asks)
+
+
+def _dense_leg(docs: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     embedder = HashingEmbedder()
-    dense = retrieval.dense_scores(embedded(docs.select("doc_id", "text"), "text", embedder), embedded(asks, "text", embedder))
-    return dense, retrieval.bm25_scores(docs, asks)
+    return retrieval.dense_top(embedded(docs.select("doc_id", "text"), "text", embedder), embedded(asks, "text", embedder), k)
 
 
 @query(f"""WITH {_BM25}, {_DENSE}, {_LEGS}, f AS (SELECT query_id, doc_id, sum(part) AS score FROM (SELECT query_id, doc_id, 0.5::DOUBLE / (60 + rank) AS part FROM x UNION ALL
@@ -136,6 +147,50 @@ def hybrid_rrf(spark, sf_dir):
     return retrieval.hybrid(*_legs(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
+_RRF = """f AS (SELECT query_id, doc_id, sum(part) AS score FROM (SELECT query_id, doc_id, 0.5::DOUBLE / (60 + rank) AS part FROM x UNION ALL
+SELECT query_id, doc_id, 0.5::DOUBLE / (60 + rank) FROM y) GROUP BY query_id, doc_id)"""
+
+
+@query(f"""WITH {_TFIDF}, {_DENSE}, x AS ({_RANKED.format('dense', 10)}), y AS ({_RANKED.format('tfidf WHERE round(score, 6) > 0', 10)}), {_RRF}
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({_RANKED.format('f', 5)})""")
+def hybrid_tfidf(spark, sf_dir):
+    """The hybrid that evaluation runs use: its sparse leg is TF-IDF of single tokens."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    return retrieval.hybrid(_dense_leg(docs, asks, 10), retrieval.tfidf_scores(docs, asks)).select("query_id", "doc_id", "score", "rank")
+
+
+_BLANK = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda t: t <> '')"
+
+
+@query(f"""WITH {_BM25.replace(_DOCS_TOKENS, _DOCS_TOKENS.replace(_TOKENS.format('text'), _BLANK.format("coalesce(text, '')")))} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({_RANKED.format('bm25 WHERE round(score, 6) > 0', 10)})""")
+def hybrid_bm25_leg(spark, sf_dir):
+    """The BM25 leg of a hybrid: tokens between white space, twice the top-k."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    scores = retrieval.bm25_scores(docs, asks, tokens=text.blank_tokens)
+    return retrieval.top_k(scores.where(F.round("score", 6) > 0), 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""WITH {_TFIDF}, {_DENSE}, x AS ({_RANKED.format('dense', 40)}), y AS ({_RANKED.format('tfidf WHERE round(score, 6) > 0', 40)}), {_RRF}, few AS ({_RANKED.format('f', 20)}),
+r AS (SELECT few.query_id, few.doc_id, few.score AS original_score, CAST(few.rank AS INTEGER) AS original_rank, round(coalesce(len(list_intersect(list_distinct(a.ts), list_distinct(d.ts))) / nullif(len(list_distinct(a.ts)), 0), 0), 6) AS rerank_score
+      FROM few JOIN docs d USING (doc_id) JOIN asks a USING (query_id))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, original_rank) AS INTEGER) AS new_rank FROM r) WHERE new_rank <= 5""")
+def hybrid_rerank(spark, sf_dir):
+    docs, asks = docs_and_asks(spark, sf_dir)
+    return retrieval.hybrid_reranked(_dense_leg(docs, asks, 40), retrieval.tfidf_scores(docs, asks), docs, asks)
+
+
+_TFIDF_GRAMS = _TFIDF.replace(_DOCS_TOKENS, "t AS (SELECT doc_id, " + _TOKENS.format("text") + " AS t FROM documents), u AS (SELECT item_id AS query_id, " + _TOKENS.format("text") + " AS t FROM benchmark), "
+    + ", ".join(f"{name} AS (SELECT {key}, list_concat(t, list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS ts FROM {of})" for name, key, of in (("docs", "doc_id", "t"), ("asks", "query_id", "u")))
+    ).replace("FROM c GROUP BY term)", "FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 10000)")
+
+
+@query(f"WITH {_TFIDF_GRAMS} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({_RANKED.format('tfidf WHERE round(score, 6) > 0', 5)})")
+def tfidf_ngram_topk(spark, sf_dir):
+    """TF-IDF of single tokens and pairs of neighbours, over the 10,000 that occur most often."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    return retrieval.retrieve(docs, asks, RetrievalSpec(method="tfidf_ngram")).select("query_id", "doc_id", "score", "rank")
+
+
 _SCALED = "{0}s AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS s FROM {0} WINDOW w AS (PARTITION BY query_id))"
 
 
@@ -151,8 +206,7 @@ _VECTORS = "SELECT vec_id AS id, label, list_transform(embedding, lambda e: CAST
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
     asks = vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    scores = retrieval.dense_scores(vectors, asks).where("query_id <> doc_id")
-    return retrieval.top_k(scores, 5).select("query_id", "doc_id", "score", "rank")
+    return retrieval.dense_top(vectors, asks, 5, others_only=True).select("query_id", "doc_id", "score", "rank")
 
 
 _DENSE_TOP = f"e AS ({_VECTORS}), s AS (SELECT b.id AS query_id, a.id AS doc_id, {_COSINE} AS score FROM e a, e b WHERE b.id % 20 = 0 AND a.id <> b.id), t AS ({_RANKED.format('s', 5)})"
@@ -181,7 +235,7 @@ def rerank_topk(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, chr(3))) AS sentences_md5 FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents)")
 def sentence_split(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    s = documents(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "\x03")).alias("sentences_md5"))
 
 
@@ -191,20 +245,20 @@ chunks AS (SELECT doc_id, CAST(k AS INTEGER) AS chunk_id, array_to_string(s[k *
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, chunk_id, start_sentence, end_sentence, substr(md5(doc_id || '_' || chunk_id || '_' || text), 1, 16) AS chunk_key FROM chunks")
 def sentence_chunks(spark, sf_dir):
-    chunks = chunking.sentence_chunks(table(spark, sf_dir, "documents"))
+    chunks = chunking.sentence_chunks(documents(spark, sf_dir))
     return chunks.select("doc_id", "chunk_id", "start_sentence", "end_sentence", chunking.chunk_key(F.col("text"), F.col("doc_id"), F.col("chunk_id")).alias("chunk_key"))
 
 
 @query()
 def semantic_chunks(spark, sf_dir):
-    chunks = chunking.semantic_chunks(table(spark, sf_dir, "documents"), threshold=0.2)
+    chunks = chunking.semantic_chunks(documents(spark, sf_dir), threshold=0.2)
     return chunks.select("doc_id", "chunk_id", "start_sentence", "end_sentence", F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH {_WINDOWS}, n AS (SELECT 'none' AS strategy, len(text) AS n FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> '' UNION ALL SELECT 'sentence', len(text) FROM chunks)
 SELECT strategy, count(*) AS n_chunks, CAST(min(n) AS INTEGER) AS min_chars, CAST(max(n) AS INTEGER) AS max_chars, round(avg(n), 6) AS mean_chars, count(*) FILTER (n + 100 > 4000) AS over_4k, count(*) FILTER (n + 100 > 20000) AS over_20k FROM n GROUP BY strategy""")
 def request_size_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     both = chunking.no_chunks(docs).select("strategy", "text").union(chunking.sentence_chunks(docs).select("strategy", "text")).withColumn("n", F.length("text"))
     over = lambda n: F.count_if(F.col("n") + 100 > n)
     return both.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"), F.round(F.avg("n"), 6).alias("mean_chars"), over(4000).alias("over_4k"), over(20_000).alias("over_20k"))
@@ -226,7 +280,7 @@ def _sql_normal(of: str) -> str:
 
 @query(f"SELECT doc_id, md5({_sql_normal('text')}) AS normal_md5, contains({_sql_normal('text')}, 'token = \"') AS has_answer FROM documents")
 def normalize_answers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.md5(text.normalized_answer(F.col("text"), True)).alias("normal_md5"), text.contains_answer(F.col("text"), F.array(F.lit('TOKEN  = "')), True).alias("has_answer"))
 
 
@@ -236,7 +290,7 @@ _PHRASES = {k: " OR ".join("contains(lower(r), '" + p.replace("'", "''") + "')"
 
 @query(f"SELECT doc_id, {_PHRASES['r']} AS rejected, {_PHRASES['e']} AS error_detected FROM (SELECT doc_id, {_ANSWER} AS r FROM documents)")
 def response_checks(spark, sf_dir):
-    said = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ANSWER).alias("r"))
+    said = documents(spark, sf_dir).select("doc_id", F.expr(_ANSWER).alias("r"))
     return said.select("doc_id", text.is_rejection(F.col("r")).alias("rejected"), text.detects_error(F.col("r")).alias("error_detected"))
 
 
@@ -245,7 +299,7 @@ _THOUGHT = "'<think>' || text || '</THINK>' || chr(10) || chr(10) || chr(10) ||
 
 @query(f"SELECT doc_id, md5({_TRIM.format('''regexp_replace(regexp_replace(t, '(?is)<(think|reasoning)>.*?</(think|reasoning)>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')''')}) AS said_md5 FROM (SELECT doc_id, {_THOUGHT} AS t FROM documents)")
 def strip_reasoning(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.without_reasoning(F.expr(_THOUGHT))).alias("said_md5"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(text.without_reasoning(F.expr(_THOUGHT))).alias("said_md5"))
 
 
 _JUDGED = """CASE event_id % 4 WHEN 0 THEN '```json {"all_relevant_sentence_keys": ["0a", "' || user_id || 'b"], "overall_supported": true, "all_utilized_sentence_keys": ["0a"]} ```'
@@ -408,7 +462,7 @@ def end_to_end_eval(spark, sf_dir):
 
 @query(f"WITH v AS ({_VECTORS}), n AS (SELECT id, v, lead(v) OVER (ORDER BY id) AS nv FROM v) SELECT a.id AS vec_id, round({_COSINE.replace('b.v', 'a.nv')}, 6) AS similarity FROM n a WHERE nv IS NOT NULL")
 def consecutive_similarity(spark, sf_dir):
+    """Each vector and the one next in order of vec_id, whatever gaps the ids have."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    after: Column = F.col("next")
-    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("next")), "vec_id")
-    return pairs.select("vec_id", F.round(cosine(F.col("v"), after), 6).alias("similarity"))
+    pairs = with_next(v, "vec_id", "v")
+    return pairs.where("next_v IS NOT NULL").select("vec_id", F.round(cosine(F.col("v"), F.col("next_v")), 6).alias("similarity"))
