@@ -30,8 +30,9 @@ _U = np.uint64
 CELLS = 1 << 20
 #: Size bands: the first ends below FIRST_BAND, each later one spans a factor of BAND_STEP.
 FIRST_BAND, BAND_STEP = 16, 4
-#: Longs of the bit sketch that is compared before whole sets are.
-PARITY_LONGS = 16
+#: Longs of the bit sketch that is compared before whole sets are, and the size of the sets up to which it has as many; each further
+#: factor of four in size has four times as many, so that the bits don't fill up.
+PARITY_LONGS, PARITY_SIZE = 16, 1024
 #: Size of the table that pre-filters rows before joins that shuffle.
 FILTER_BITS = 1 << 24
 #: About as many sets meet in one bucket; more common blocks are salted into several.
@@ -43,7 +44,7 @@ PAIRS_A_ROW = 200
 #: Join keys that a task holds at a time, and that one part of the exchange between tasks holds.
 HELD, PART = 500_000, 1_000_000
 #: A table of at most so many narrow rows is sent to all tasks of a join; one of more rows is shuffled. Results are the same.
-MOST_SENT = 150_000
+MOST_SENT = 50_000
 
 
 def band_of(size: int) -> int:
@@ -96,9 +97,12 @@ def _sets(texts: pd.Series, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def parity_bits(shingles: np.ndarray) -> list[int]:
-    """The bit sketch: each shingle flips one of 64 * PARITY_LONGS bits; the Hamming distance is at most the symmetric difference."""
-    bits = np.bincount((shingles & _U(64 * PARITY_LONGS - 1)).astype(np.int64), minlength=64 * PARITY_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+    """The bit sketch: each shingle flips one bit; the Hamming distance is at most the symmetric difference, also of sketches folded to one length."""
+    longs, most = PARITY_LONGS, PARITY_SIZE
+    while len(shingles) >= most:
+        longs, most = 4 * longs, 4 * most
+    bits = np.bincount((shingles & _U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 def cell_counts(rows: DataFrame, cells: int) -> np.ndarray:
@@ -123,7 +127,7 @@ def features(docs: DataFrame, n: int = 5) -> DataFrame:
     """Of each document doc_id, n_shingles, set_id (equal sets have equal ids) and parity (its bit sketch); and of each task its counts by cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(CELLS, dtype=np.int64)
+        table = np.zeros(CELLS, dtype=np.uint32)
         for batch in batches:
             sizes, ids, bits, held = [], [], [], []
             for _, s in _sets(batch["text"], n):
@@ -131,14 +135,14 @@ def features(docs: DataFrame, n: int = 5) -> DataFrame:
                 ids.append(set_digest(s))
                 bits.append(parity_bits(s))
                 held.append((s & _U(CELLS - 1)).astype(np.int64))
-                if len(held) >= 2000:
-                    table += np.bincount(np.concatenate(held), minlength=CELLS)
+                if len(held) >= 1000:
+                    table += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                     held = []
             if held:
-                table += np.bincount(np.concatenate(held), minlength=CELLS)
+                table += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "body": batch["body"], "set_id": ids, "parity": bits, "cell_part": None, "counts": None})
         if table.any():
-            yield _parts_of(np.minimum(table, 2**32 - 1), {"doc_id": 0, "n_shingles": 0, "body": 0, "set_id": 0, "parity": 0})
+            yield _parts_of(table, {"doc_id": 0, "n_shingles": 0, "body": 0, "set_id": 0, "parity": 0})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("body"))
     return rows.mapInPandas(run, "doc_id long, n_shingles long, body long, set_id long, parity array<long>, cell_part int, counts binary")
@@ -264,9 +268,18 @@ def _sent(rows: DataFrame, n: int) -> DataFrame:
 
 def _may_be_similar(least: float) -> F.Column:
     """Of columns size_a, parity_a, size_b, parity_b: the sizes and the Hamming distance allow the similarity."""
-    distance = reduce(lambda x, y: x + y, (F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_LONGS)))
+    a, b = F.col("parity_a"), F.col("parity_b")
+    short = reduce(lambda x, y: x + y, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY_LONGS)))
+    # sets whose sizes allow the similarity have sketches of one length, or one has four times the other's and is folded
+    longs = F.least(F.size(a), F.size(b))
+    quarter = lambda p, i, k: F.get(p, i + k * longs)
+    folded = lambda p: F.when(F.size(p) == longs, p).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), lambda i: reduce(lambda x, y: x.bitwiseXOR(y), (quarter(p, i, k) for k in range(4)))))
+    differing = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    long = F.aggregate(differing, F.lit(0), lambda x, n: x + n.cast("int"))
+    distance = F.when((F.size(a) == PARITY_LONGS) & (F.size(b) == PARITY_LONGS), short).otherwise(long)
     most = F.floor((1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-9)
-    return (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")) & (distance <= most)
+    sizes = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
+    return F.when(sizes, distance <= most).otherwise(False)
 
 
 class _Join:

@@ -31,7 +31,7 @@ _tables: dict = {}
 def _table(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte codes, white space flags and powers of the multiplier up to n."""
     if _tables.get("n", 0) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 3 << 18)
         white = np.zeros(256, dtype=bool)
         white[[32, 9, 10, 11, 12, 13]] = True
         _tables.update(n=size, code=mix(np.arange(1, 257, dtype=_U) * _U(_P)), white=white, up=_powers(_P, size), down=_powers(_PINV, size))
@@ -63,7 +63,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def chunks(parts: list[bytes], most: int = 1 << 21):
+def chunks(parts: list[bytes], most: int = 1 << 19):
     """Ranges of parts of about `most` bytes, at least one part each."""
     begin, held = 0, 0
     for i, p in enumerate(parts):

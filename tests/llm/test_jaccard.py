@@ -80,6 +80,8 @@ def test_similar_sets_share_a_key(size):
         assert both >= 0.75 * len(np.union1d(a, b)) - 1e-9
         assert set(jaccard.sketch_keys(a, common)[0].tolist()) & set(jaccard.sketch_keys(b, common)[0].tolist())
         bits = [np.array(jaccard.parity_bits(x)).view(np.uint64) for x in (a, b)]
+        least = min(map(len, bits))
+        bits = [np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in bits]
         assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(np.setxor1d(a, b))
 
 
@@ -102,3 +104,18 @@ def test_variants_of_many_copies_are_linked(spark):
     variants = spark.range(families).select(F.col("id").alias("doc_id"), F.concat(base, F.lit(" more")).alias("text"))
     found = jaccard.similar(many.unionByName(variants)).groupBy("component_id").count().collect()
     assert sorted(map(tuple, found)) == [(i, copies + 1) for i in range(families)]
+
+
+def test_folded_sketches_in_spark(spark):
+    """The distance of sketches of one and of two lengths, as numpy has it."""
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 2**63, 5000, dtype=np.uint64))
+    sets = [base[:n] for n in (900, 1020, 1100, 1300, 3900, 4200, 5000)] + [np.unique(r.integers(0, 2**63, 1000, dtype=np.uint64))]
+    frame = spark.createDataFrame([(i, len(s), jaccard.parity_bits(s)) for i, s in enumerate(sets)], "i int, size long, parity array<long>")
+    sides = [frame.select(*(F.col(c).alias(f"{c}_{x}") for c in frame.columns)) for x in "ab"]
+    got = {(x.i_a, x.i_b): x.near for x in sides[0].join(sides[1], F.col("i_a") < F.col("i_b")).select("i_a", "i_b", jaccard._may_be_similar(0.75).alias("near")).collect()}
+    for (a, b), near in got.items():
+        x, y = sets[a], sets[b]
+        similar = len(np.intersect1d(x, y)) >= 0.75 * len(np.union1d(x, y))
+        assert near or not similar
+        assert near == similar, (a, b)
