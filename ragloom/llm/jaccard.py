@@ -40,7 +40,11 @@ BUCKET = 4096
 #: Centres that a set is compared with first: more of them save later rounds, results are the same.
 CENTRES = 4
 #: Pairs of all sets left, for each row of them, that are compared without further rounds.
-PAIRS_A_ROW = 200
+PAIRS_A_ROW = 50
+#: Rows of a narrow table that a task writes, and the tasks that write the smallest one.
+ROWS_A_TASK, LEAST_TASKS = 50_000, 12
+#: Pairs that a task verifies at least, if there are enough.
+PAIRS_A_TASK = 1_000
 #: Join keys that a task holds at a time, and that one part of the exchange between tasks holds.
 HELD, PART = 500_000, 1_000_000
 #: A table of at most so many narrow rows is sent to all tasks of a join; one of more rows is shuffled. Results are the same.
@@ -112,7 +116,7 @@ def cell_counts(rows: DataFrame, cells: int) -> np.ndarray:
         return pd.DataFrame({"cell_part": [key[0]], "counts": [reduce(np.add, (np.frombuffer(x, dtype="<u4") for x in parts["counts"])).astype("<u4").tobytes()]})
 
     out = np.zeros(cells, dtype=np.uint32)
-    for r in rows.where("counts is not null").select("cell_part", "counts").groupBy("cell_part").applyInPandas(add, "cell_part int, counts binary").toLocalIterator():
+    for r in rows.where("counts is not null").select("cell_part", "counts").groupBy("cell_part").applyInPandas(add, "cell_part int, counts binary").collect():
         part = np.frombuffer(r["counts"], dtype="<u4")
         out[r["cell_part"] * len(part) :][: len(part)] = part
     return out
@@ -247,7 +251,7 @@ def narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     place = wanted.select(bit(wanted.columns[0]).alias("bit"))
     parts = place.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     table = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # FILTER_BITS in all
         part = np.frombuffer(r["bits"], dtype=np.uint8)
         table[(r["part"] - 1) * 4096 :][: len(part)] |= part
     shared = rows.sparkSession.sparkContext.broadcast(table)
@@ -289,8 +293,9 @@ class _Join:
         self.docs, self.first, self.n, self.least, self.folder = docs, first, n, least, folder
         self.sets: DataFrame | None = None
 
-    def table(self, df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
-        return materialise(df, name, batch, self.folder)
+    def table(self, df: DataFrame, name: str, most: int, batch: int = 1000) -> DataFrame:
+        """df as a table; of at most `most` rows, which says how many tasks write it."""
+        return materialise(df.coalesce(max(LEAST_TASKS, most // ROWS_A_TASK)), name, batch, self.folder)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, ...) whose bit sketches differ in no more places than sets with the similarity can."""
@@ -312,11 +317,11 @@ class _Join:
                     part = batch.iloc[a : a + 500]
                     yield pd.DataFrame([(set_digest(s), s.astype("<u8").tobytes()) for _, s in _sets(part["text"], words)], columns=["set_id", "hashes"])
 
-        return self.table(texts.select("text").mapInPandas(run, "set_id long, hashes binary"), "sets")
+        return materialise(texts.select("text").mapInPandas(run, "set_id long, hashes binary"), "sets", within=self.folder)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets have at least the similarity, as a table."""
-        pairs, least = self.table(pairs, "pairs"), self.least
+    def links(self, pairs: DataFrame, most: int) -> DataFrame:
+        """The pairs (a, b), at most `most`, whose sets have at least the similarity, as a table."""
+        pairs, least = self.table(pairs, "pairs", most), self.least
         n = pairs.count()
         if not n:
             return pairs
@@ -324,7 +329,7 @@ class _Join:
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("set_id"), "set_id", "left_anti")
         of = self.first.join(_sent(wanted, 2 * n), "set_id", "left_semi").select("first_id", "first_body")
-        made = self.whole_sets(self.table(of, "wanted"))
+        made = self.whole_sets(self.table(of, "wanted", 2 * n))
         self.sets = made if self.sets is None else self.sets.union(made)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,7 +348,8 @@ class _Join:
             return rows.join(_sent(pairs.select(x), n), x, "left_semi") if n <= MOST_SENT else narrowed(rows, x, pairs.select(x))
 
         both = side("a", "x").join(_sent(pairs, n), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-        return self.table(both.mapInPandas(run, "a long, b long").distinct(), "links", batch=100)  # a row holds two whole sets
+        both = both.coalesce(max(LEAST_TASKS, n // PAIRS_A_TASK))
+        return self.table(both.mapInPandas(run, "a long, b long").distinct(), "links", n, batch=100)  # a row holds two whole sets
 
     def components(self, links: DataFrame) -> DataFrame:
         """node and label (the smallest node it reaches) of every node of links (a, b).
@@ -351,25 +357,27 @@ class _Join:
         Each round a node takes the smallest label among its neighbours', then labels are followed once more, so that
         rounds grow with the logarithm of a component's length. Every round is a table.
         """
-        edges = self.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+        most = 2 * links.count()
+        edges = self.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges", most)
         labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
-        labels = self.table(labels, "labels")
+        labels = self.table(labels, "labels", most)
         n = labels.count()
         while True:
             heard = edges.join(_sent(labels, n), edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
             nearer = heard.join(_sent(labels, n), labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
             ahead = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-            after = self.table(nearer.join(_sent(ahead, n), "via").select("node", "old", F.least("via", "next").alias("label")), "labels")
+            after = self.table(nearer.join(_sent(ahead, n), "via").select("node", "old", F.least("via", "next").alias("label")), "labels", n)
             labels = after.select("node", "label")
             if after.where("label <> old").isEmpty():
                 return labels
 
     def run(self, met: DataFrame) -> DataFrame:
         """set_id, label (the same for the sets of a component) and n_links of every set that has a link; met: see _groups."""
+        most = met.count()
         # each set is compared with the centres that it meets most often among those that may be similar
         stars = met.where("set_id <> centre").groupBy(F.col("set_id").alias("a"), F.col("centre").alias("b")).agg(F.sum("n").alias("n"))
-        near = self.near(self.table(stars, "stars")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, CENTRES).alias("best"))
-        links = self.links(near.select("a", F.explode("best.b").alias("b")))
+        near = self.near(self.table(stars, "stars", most)).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, CENTRES).alias("best"))
+        links = self.links(near.select("a", F.explode("best.b").alias("b")), most)
         # Next, in each bucket that still holds several components, its sets meet one set of another component, drawn
         # anew in every round, until a round links little or the pairs left are few. Last, these meet each other.
         drawn, rows, found, few = 0, met.select("key", "set_id").distinct(), links.count(), False
@@ -378,21 +386,21 @@ class _Join:
             placed = rows.join(_sent(labels, 2 * found), rows["set_id"] == labels["node"], "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
             draw = F.struct("label", F.xxhash64("set_id", "key", F.lit(drawn)).alias("draw"), "set_id")
             ends = placed.groupBy("key").agg(F.min(draw).alias("low"), F.max(draw).alias("high"), F.count("*").alias("n")).where("low.label <> high.label").select(F.col("key").alias("in_key"), "low", "high", "n")
-            mixed = self.table(placed.join(ends, placed["key"] == ends["in_key"]).drop("in_key"), "mixed")
+            mixed = self.table(placed.join(ends, placed["key"] == ends["in_key"]).drop("in_key"), "mixed", most)
             size = mixed.agg(F.count("*").alias("rows"), F.sum("n").alias("pairs")).first()
             if few or (size["pairs"] or 0) <= PAIRS_A_ROW * size["rows"]:
                 break
             rows = mixed.select("key", "set_id")
             other = F.when(F.col("label") != F.col("low.label"), F.col("low.set_id")).otherwise(F.col("high.set_id"))
             met_now = mixed.select(F.least("set_id", other).alias("a"), F.greatest("set_id", other).alias("b")).distinct()
-            more = self.links(self.near(self.table(met_now, "drawn")))
+            more = self.links(self.near(self.table(met_now, "drawn", most)), most)
             new = more.count()
             few = 20 * new <= found
             links, drawn, found = links.union(more), drawn + 1, found + new
         sketched = mixed.select("key", "set_id", "label").join(self.first.select("set_id", "size", "parity"), "set_id")
         left, right = (sketched.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "label", "parity"))) for x in "ab")
         apart = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & _may_be_similar(self.least))
-        more = self.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct())
+        more = self.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct(), most)
         links = links.union(more)
         return self.counted(links, labels if more.isEmpty() else self.components(links))
 
@@ -424,13 +432,14 @@ def similar(docs: DataFrame, n: int = 5, least: float = 0.75) -> DataFrame:
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys // 2 // PART)
         met = materialise(_groups(_symbols(docs, common, n, least, parts), parts), "met", within=folder)
         linked = _Join(docs, first, n, least, folder).run(met)
+        tasks = max(LEAST_TASKS, own.count() // ROWS_A_TASK)
         first = first.select("set_id", "first_id")
         smallest = first.join(linked, "set_id").select("set_id", "first_id", "label", "n_links")
         roots = smallest.groupBy("label").agg(F.min("first_id").alias("root"))
-        classes = materialise(smallest.join(roots, "label").select("set_id", "root", "n_links"), "classes", within=folder)
+        classes = materialise(smallest.join(roots, "label").select("set_id", "root", "n_links").coalesce(tasks), "classes", within=folder)
         alone = first.select("set_id", F.col("first_id").alias("root"), F.lit(0).cast("long").alias("n_links")).join(classes.select("set_id"), "set_id", "left_anti")
         out = own.join(classes.unionByName(alone), "set_id", "left")
-        return materialise(out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_id", "body"), "similar")
+        return materialise(out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set_id", "body").coalesce(tasks), "similar")
 
 
 def keep_one(docs: DataFrame, n: int = 5, least: float = 0.75) -> DataFrame:

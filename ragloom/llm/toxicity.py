@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     rows = rows.select("_of", "toxic", words("text").alias("words")).groupBy("_of", "toxic").agg(F.min("words").alias("words"))
     number: dict[str, int] = {}
     found = []
-    for r in rows.toLocalIterator():
+    for r in rows.coalesce(8).toLocalIterator():
         own = r["words"].split("\n") if r["words"] else []
         found.append((r["_of"], r["toxic"], np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int32)))
     found.sort(key=lambda r: r[0])
