@@ -45,15 +45,25 @@ def judge_sentences(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(plain)).otherwise(parts)
 
 
+def letter(at: Column) -> Column:
+    """The character `at` places after a: letters first, then whatever follows by code point, so that no two places share one."""
+    return F.decode(F.unhex(F.lpad(F.hex((at + 97).cast("long")), 8, "0")), "UTF-32")
+
+
 def keyed_documents(documents: Column) -> Column:
     """Lines "0a. sentence" of all sentences of an array of documents."""
-    lines = F.transform(documents, lambda d, i: F.transform(judge_sentences(d), lambda s, j: F.concat(i.cast("string"), F.char(j + 97), F.lit(". "), s)))
+    lines = F.transform(documents, lambda d, i: F.transform(judge_sentences(d), lambda s, j: F.concat(i.cast("string"), letter(j), F.lit(". "), s)))
     return F.array_join(F.flatten(lines), "\n")
 
 
+def n_sentences(documents: Column) -> Column:
+    """Sentences of an array of documents in all, as the judge counts them."""
+    return F.aggregate(F.transform(documents, lambda d: F.size(judge_sentences(d))), F.lit(0), lambda a, x: a + x)
+
+
 def keyed_response(response: Column) -> Column:
     """Lines "a. sentence" of a response."""
-    return F.array_join(F.transform(judge_sentences(response), lambda s, j: F.concat(F.char(j + 97), F.lit(". "), s)), "\n")
+    return F.array_join(F.transform(judge_sentences(response), lambda s, j: F.concat(letter(j), F.lit(". "), s)), "\n")
 
 
 def content_tokens(text: Column) -> Column:
@@ -77,11 +87,15 @@ def _nfkc(texts: Column) -> Column:
     return run(texts)
 
 
+# What normalising an answer replaces, in this order.
+REPLACED = (
+    (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
+    ("[–—−]", "-"), ('["„]', '"'), ("['`]", "'"), (r"\s+", " "),
+)
+
+
 def _plain(text: Column) -> Column:
-    for pattern, to in (
-        (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"),
-        ("[–—−]", "-"), ('["„]', '"'), ("['`]", "'"), (r"\s+", " "),
-    ):
+    for pattern, to in REPLACED:
         text = F.regexp_replace(text, pattern, to)
     return F.btrim(text)
 

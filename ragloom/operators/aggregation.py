@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators.ordering import running_before
+
 SCORES = ("relevance", "utilization", "completeness", "adherence")
 
 
@@ -25,10 +27,10 @@ def classification(rows: DataFrame, by: list[str], predicted: Column, truth: Col
 
 
 def auroc(rows: DataFrame, by: list[str], score: Column, truth: Column, default: float = 0.5) -> DataFrame:
-    """Area under the ROC curve by mid-ranks; `default` where one class is absent. Rows are summed by score before anything is sorted."""
-    at = rows.groupBy(*by, score.alias("s")).agg(F.count("*").alias("n"), F.sum(truth).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = at.withColumn("r", (before + (F.col("n") + 1) / 2) * F.col("p"))
+    """Area under the ROC curve by mid-ranks; `default` where one class is absent. Rows are summed by score, and ranges of scores are
+    counted, before anything is sorted."""
+    at = rows.groupBy(*by, score.cast("double").alias("s")).agg(F.count("*").alias("n"), F.sum(truth).alias("p"))
+    ranked = running_before(at, by, "s", "n", "before").withColumn("r", (F.col("before") + (F.col("n") + 1) / 2) * F.col("p"))
     sums = ranked.groupBy(*by).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return sums.select(*by, F.when((p > 0) & (n > 0), (F.col("r") - p * (p + 1) / 2) / (p * n)).otherwise(default).alias("auroc"))
@@ -69,3 +71,15 @@ def pivoted(rates: DataFrame, row: str, column: str, value: str, columns: list)
     wide = wide.select(row, *(F.col(f"`{c}`").alias("at_" + c.replace(".", "_")) for c in names))
     got = F.array_compact(F.array(*(F.col("at_" + c.replace(".", "_")) for c in names)))
     return wide.withColumn("mean", F.round(F.aggregate(got, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(got), F.lit(0)), 6))
+
+
+def sample_statistics(samples: DataFrame, by: str) -> DataFrame:
+    """By group of samples (documents, context_relevance): their number, the mean length of their joined documents and number of these, and the share whose relevance is known."""
+    joined = F.length(F.array_join("documents", " "))
+    known = (F.col("context_relevance") != 0.5).cast("double")
+    return samples.groupBy(by).agg(F.count("*").alias("num_samples"), F.round(F.avg(joined), 6).alias("avg_doc_length"), F.round(F.avg(F.size("documents")), 6).alias("avg_num_docs"), F.round(F.avg(known), 6).alias("has_relevance_scores"))
+
+
+def oversize(chunks: DataFrame, limit: int = 20_000, overhead: int = 100) -> DataFrame:
+    """The chunks whose request would be longer than the limit, with its length."""
+    return chunks.withColumn("request_chars", F.length("text") + overhead).where(F.col("request_chars") > limit)

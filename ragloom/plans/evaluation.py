@@ -1,13 +1,18 @@
 """From samples to scores: retrieve in each sample's own documents, answer, judge, score; all samples and configurations in one job."""
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.judge_json import parsed_judgement
-from ragloom.functions.metrics import trace_average, trace_scores
-from ragloom.functions.prompts import joined_context, too_long
-from ragloom.functions.text import content_tokens, judge_sentences
-from ragloom.plans.models import extracted_answer, rule_judgement
+from ragloom.functions.metrics import dot, norm, trace_average, trace_scores
+from ragloom.functions.prompts import answer_prompt, joined_context, judge_prompt, too_long
+from ragloom.functions.text import content_tokens, keyed_documents, keyed_response, n_sentences
+from ragloom.operators.chunking import no_chunks, semantic_chunks, sentence_chunks
+from ragloom.operators.embedding import Embedder, HashingEmbedder, embedded
+from ragloom.operators.retrieval import RetrievalSpec, linear_fusion, rrf
+from ragloom.plans.models import ChatModel, asked, extracted_answer, rule_judgement
 
 # Strategies and methods of a configuration grid.
 CHUNKINGS = ("none", "sentence", "semantic")
@@ -35,38 +40,122 @@ def index_range(text: str) -> list[int]:
     return out
 
 
-def bm25_in_examples(chunks: DataFrame, questions: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Top-k chunks (sample_id, example_id, chunk_id, text) for each question (sample_id, example_id, question), with corpus statistics of its example alone."""
+def _bm25(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec) -> DataFrame:
     toks = chunks.select("example_id", "chunk_id", content_tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
     stats = toks.groupBy("example_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    terms = questions.select("sample_id", "example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("sample_id", "example_id", "term").agg(F.count("*").alias("qtf"))
+    terms = _terms(questions)
     asked = terms.select("example_id", "term").distinct()
     tf = toks.select("example_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked, ["example_id", "term"]).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("example_id", "term").agg(F.count("*").alias("df"))
     all_of = tf.join(df, ["example_id", "term"]).join(stats, "example_id").join(terms, ["example_id", "term"])
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scores = all_of.groupBy("sample_id", "example_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    part = F.col("qtf") * idf * F.col("tf") * (spec.k1 + 1) / (F.col("tf") + spec.k1 * (1 - spec.b + spec.b * F.col("length") / F.col("mean_length")))
+    return all_of.groupBy("sample_id", "example_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def _terms(questions: DataFrame) -> DataFrame:
+    return questions.select("sample_id", "example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("sample_id", "example_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def _tfidf(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec) -> DataFrame:
+    tf = chunks.select("example_id", "chunk_id", F.explode(content_tokens(F.col("text"))).alias("term")).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    n = chunks.groupBy("example_id").agg(F.count("*").alias("n"))
+    idf = tf.groupBy("example_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(n, "example_id").select("example_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = tf.join(idf, ["example_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = weights.groupBy("example_id", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = _terms(questions).join(idf, ["example_id", "term"]).withColumn("q", F.col("qtf") * F.col("idf"))
+    asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("sample_id"))))
+    dots = weights.join(asked.select("sample_id", "example_id", "term", "q"), ["example_id", "term"]).groupBy("sample_id", "example_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+    return dots.join(norms, ["example_id", "chunk_id"]).select("sample_id", "example_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
+
+
+def _dense(chunks: DataFrame, questions: DataFrame, embedder: Embedder) -> DataFrame:
+    """Every question against the chunks of its example: both vectors have length 1 or none, so the cosine is their product."""
+    own = embedded(chunks.select("example_id", "chunk_id", "text"), "text", embedder).select("example_id", "chunk_id", _unit(F.col("vector")).alias("v"))
+    asked = embedded(questions.select("sample_id", "example_id", "question"), "question", embedder).select("sample_id", "example_id", _unit(F.col("vector")).alias("q"))
+    return own.join(asked, "example_id").select("sample_id", "example_id", "chunk_id", dot(F.col("v"), F.col("q")).alias("score"))
+
+
+def _unit(vector: Column) -> Column:
+    length = norm(vector)
+    return F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+
+
+def _top(scores: DataFrame, k: int, positive: bool = True) -> DataFrame:
+    rounded = scores.withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "chunk_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).join(chunks, ["example_id", "chunk_id"])
+    return (rounded.where("score > 0") if positive else rounded).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def retrieve_in_examples(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec = RetrievalSpec(), embedder: Embedder | None = None) -> DataFrame:
+    """Top-k chunks (sample_id, example_id, chunk_id, score, rank, text) for each question (sample_id, example_id, question) among the chunks
+    (example_id, chunk_id, text) of its example, whose statistics alone count. spec.method: bm25, tfidf, dense or hybrid (dense and spec.sparse)."""
+    sparse = {"bm25": _bm25, "tfidf": _tfidf}
+    if spec.method in sparse:
+        best = _top(sparse[spec.method](chunks, questions, spec), spec.top_k)
+    elif spec.method == "dense":
+        best = _top(_dense(chunks, questions, embedder or HashingEmbedder()), spec.top_k, False)
+    elif spec.method == "hybrid":
+        named = lambda rows: rows.select(F.col("sample_id").alias("query_id"), F.struct("example_id", "chunk_id").alias("doc_id"), "score", "rank")
+        legs = named(_top(_dense(chunks, questions, embedder or HashingEmbedder()), 2 * spec.top_k, False)), named(_top(sparse[spec.sparse](chunks, questions, spec), 2 * spec.top_k))
+        fused = (rrf if spec.fusion == "rrf" else linear_fusion)(*legs, spec)
+        best = _top(fused.select(F.col("query_id").alias("sample_id"), "doc_id.example_id", "doc_id.chunk_id", "score"), spec.top_k)
+    else:
+        raise ValueError(f"unknown method {spec.method}")
+    return best.join(chunks.select("example_id", "chunk_id", "text"), ["example_id", "chunk_id"])
 
 
-def evaluate(samples: DataFrame, chunks: DataFrame, config: str, limit: int = 20_000) -> DataFrame:
-    """Example results of one sparse configuration with the offline generator and judge.
+def evaluate(samples: DataFrame, chunks: DataFrame, config: str, limit: int = 20_000, spec: RetrievalSpec = RetrievalSpec(), embedder: Embedder | None = None, generator: ChatModel | None = None, judge: ChatModel | None = None) -> DataFrame:
+    """Example results of one configuration.
 
-    samples: sample_id (unique), example_id, question, corpus and gt_ scores, any number for an example; chunks: example_id, chunk_id, text. A context that is too long
-    is skipped with an error; where nothing is retrieved the corpus' beginning is the context, and the judge sees no sentence.
+    samples: sample_id (unique), example_id, question, corpus and gt_ scores, any number for an example; chunks: example_id, chunk_id, text.
+    spec says how to retrieve. Without models, the offline generator and judge answer. A context that is too long is skipped with an error; where
+    nothing is retrieved the corpus' beginning is the context, and the judge sees no sentence. A model that fails leaves its error and an invalid row.
     """
-    found = bm25_in_examples(chunks, samples.select("sample_id", "example_id", "question"))
+    found = retrieve_in_examples(chunks, samples.select("sample_id", "example_id", "question"), spec, embedder)
     context = found.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved_chunks"))
     rows = samples.join(context, "sample_id", "left").withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast("array<string>")))
     rows = rows.withColumn("context_used", joined_context(F.col("retrieved_chunks"), F.col("corpus")))
     rows = rows.withColumn("is_skipped", too_long(F.col("context_used"), F.col("question"), limit)).withColumn("error", F.when(F.col("is_skipped"), "context too long"))
-    rows = rows.withColumn("generated_response", F.when(~F.col("is_skipped"), extracted_answer(F.col("question"), F.col("context_used"))))
-    rows = rows.withColumn("judge_text", F.when(~F.col("is_skipped"), rule_judgement(F.col("question"), F.col("generated_response"), F.col("retrieved_chunks"))))
+    go = lambda value: F.when(F.col("error").isNull(), value)
+    if generator is None:
+        rows = rows.withColumn("generated_response", go(extracted_answer(F.col("question"), F.col("context_used"))))
+    else:
+        rows = _model_column(rows, go(answer_prompt(F.col("context_used"), F.col("question"))), generator, "generated_response")
+    if judge is None:
+        rows = rows.withColumn("judge_text", go(rule_judgement(F.col("question"), F.col("generated_response"), F.col("retrieved_chunks"))))
+    else:
+        prompt = judge_prompt(keyed_documents(F.col("retrieved_chunks")), F.col("question"), keyed_response(F.col("generated_response")))
+        rows = _model_column(rows, go(prompt), judge, "judge_text")
     rows = rows.withColumn("judge", parsed_judgement(F.col("judge_text")))
-    total = F.aggregate(F.transform("retrieved_chunks", lambda d: F.size(judge_sentences(d))), F.lit(0), lambda a, x: a + x)
-    rows = rows.withColumn("s", trace_scores(F.col("judge.all_relevant_sentence_keys"), F.col("judge.all_utilized_sentence_keys"), F.col("judge.overall_supported"), total))
+    rows = rows.withColumn("s", trace_scores(F.col("judge.all_relevant_sentence_keys"), F.col("judge.all_utilized_sentence_keys"), F.col("judge.overall_supported"), n_sentences(F.col("retrieved_chunks"))))
     scores = {"relevance": "context_relevance", "utilization": "context_utilization", "completeness": "completeness", "adherence": "adherence"}
-    rows = rows.select(*samples.columns, "retrieved_chunks", "generated_response", *(F.round(f"s.{v}", 6).alias(f"computed_{k}") for k, v in scores.items()), (~F.col("is_skipped")).alias("is_valid"), "is_skipped", "error")
+    rows = rows.select(*samples.columns, "retrieved_chunks", "generated_response", *(F.round(f"s.{v}", 6).alias(f"computed_{k}") for k, v in scores.items()), F.col("error").isNull().alias("is_valid"), "is_skipped", "error")
     return rows.withColumn("config", F.lit(config)).withColumn("trace", F.round(trace_average(*(F.col(f"computed_{k}") for k in scores)), 6))
+
+
+def _model_column(rows: DataFrame, prompt: Column, model: ChatModel, name: str) -> DataFrame:
+    """rows with a model's answer to the prompts that aren't null; its error goes into the column error."""
+    # exploded, so that the prompt is a column of its own when the model is asked: Spark doesn't take nested lambdas to Python
+    ready = rows.select("*", F.explode(F.array(prompt)).alias("_prompt")).withColumnRenamed("error", "_before")
+    said = asked(ready, "_prompt", model, name)
+    return said.withColumn("error", F.coalesce("_before", "error")).drop("_prompt", "_before")
+
+
+def evaluate_configs(samples: DataFrame, documents: DataFrame, configs: list[tuple[str, str, str]], embedders: dict[str, Embedder] | None = None, run: RetrievalSpec = RetrievalSpec(), **models) -> DataFrame:
+    """Example results of several configurations (config_type, chunking, method) in one table.
+
+    documents: example_id, doc_id, text. method is bm25 or tfidf, or a name in embedders for dense and hybrid configurations. models: see evaluate().
+    """
+    cut = {"none": no_chunks, "sentence": sentence_chunks, "semantic": semantic_chunks}
+    example = documents.select("doc_id", "example_id")
+    out = None
+    for kind, chunking, method in configs:
+        chunks = cut[chunking](documents.select("doc_id", "text")).select("doc_id", "chunk_id", "text").join(example, "doc_id")
+        chunks = chunks.select("example_id", F.concat_ws("_", "doc_id", "chunk_id").alias("chunk_id"), "text")
+        spec = replace(run, method=method if kind == "sparse" else kind)
+        rows = evaluate(samples, chunks, "_".join((kind, chunking, method)), spec=spec, embedder=(embedders or {}).get(method), **models)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no configurations")
+    return out

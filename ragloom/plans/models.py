@@ -1,5 +1,6 @@
 """Generators and judges: any object with answer(list of prompts) -> list of texts; errors become a column, not a text."""
 
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -7,32 +8,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import content_tokens, judge_sentences
+from ragloom.functions.text import content_tokens, judge_sentences, letter
 
 
 class ChatModel(Protocol):
     def answer(self, prompts: list[str]) -> list[str]: ...
 
 
-def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response", tries: int = 5) -> DataFrame:
-    """rows with the model's answer and `error` (null if it answered). One client serves a partition; prompts go in Arrow batches."""
+def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response", tries: int = 5, batch: int = 16, wait: float = 0.0) -> DataFrame:
+    """rows with the model's answer and `error` (null if it answered). One client serves a partition and gets `batch` prompts at a time.
+
+    Prompts of a call that fails are asked again one by one, `tries` times, after wait, 2 * wait, 4 * wait ... seconds. A null
+    prompt isn't asked and has no error.
+    """
     schema = f"struct<{name}:string,error:string>"
 
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for turn in range(tries):
+            if turn and wait:
+                time.sleep(wait * 2 ** (turn - 1))
+            try:
+                return model.answer([prompt])[0], None
+            except Exception as e:  # any client's failure is a row's error
+                error = f"{type(e).__name__}: {e}"
+        return None, error
+
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            out = []
-            for p in prompts:
-                said, error = None, None
-                for _ in range(tries):
-                    try:
-                        said, error = model.answer([p])[0], None
-                        break
-                    except Exception as e:  # any client's failure is a row's error
-                        error = f"{type(e).__name__}: {e}"
-                out.append((said, error))
+            out = [(None, None)] * len(prompts)
+            wanted = [i for i, p in enumerate(prompts) if p is not None]
+            for a in range(0, len(wanted), batch):
+                part = wanted[a : a + batch]
+                try:
+                    said = [(x, None) for x in model.answer([prompts.iloc[i] for i in part])]
+                    if len(said) != len(part):
+                        raise ValueError(f"{len(said)} answers to {len(part)} prompts")
+                except Exception:  # whose prompt it was shows when they are asked one by one
+                    said = [one(prompts.iloc[i]) for i in part]
+                for i, s in zip(part, said, strict=True):
+                    out[i] = s
             yield pd.DataFrame(out, columns=[name, "error"])
 
+    run = run.asNondeterministic()  # so that Spark never asks twice to use an answer twice
     return rows.withColumn("_said", run(prompt)).select(*rows.columns, f"_said.{name}", "_said.error")
 
 
@@ -49,7 +68,7 @@ def rule_judgement(question: Column, response: Column, documents: Column) -> Col
     Document sentences that share two content tokens with the question are relevant, with the response utilised; the
     response is supported if each of its sentences shares one with some document.
     """
-    keyed = F.flatten(F.transform(documents, lambda d, i: F.transform(judge_sentences(d), lambda s, j: F.struct(F.concat(i.cast("string"), F.char(j + 97)).alias("key"), content_tokens(s).alias("tokens")))))
+    keyed = F.flatten(F.transform(documents, lambda d, i: F.transform(judge_sentences(d), lambda s, j: F.struct(F.concat(i.cast("string"), letter(j)).alias("key"), content_tokens(s).alias("tokens")))))
     near = lambda text: F.transform(F.filter(keyed, lambda k: F.size(F.array_intersect(k["tokens"], content_tokens(text))) >= 2), lambda k: k["key"])
     every = F.flatten(F.transform(keyed, lambda k: k["tokens"]))
     supported = F.forall(judge_sentences(response), lambda s: F.arrays_overlap(content_tokens(s), every))

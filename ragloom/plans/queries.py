@@ -13,9 +13,10 @@ from ragloom.functions.metrics import cosine, trace_average, trace_scores
 from ragloom.functions.prompts import context_digests
 from ragloom.operators import aggregation, chunking, retrieval, sampling
 from ragloom.operators.embedding import HashingEmbedder, embedded, not_indexed
-from ragloom.operators.ordering import with_next
+from ragloom.operators.ordering import running_before, with_next
 from ragloom.operators.retrieval import RetrievalSpec
-from ragloom.plans.evaluation import evaluate
+from ragloom.plans import ability, compare
+from ragloom.plans.evaluation import evaluate_configs
 from ragloom.sources.loaders import standardized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,8 +137,8 @@ def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _dense_leg(docs, asks, 10), retrieval.bm25_scores(docs, asks)
 
 
-def _dense_leg(docs: DataFrame, asks: DataFrame, k: int) -> DataFrame:
-    embedder = HashingEmbedder()
+def _dense_leg(docs: DataFrame, asks: DataFrame, k: int, embedder: HashingEmbedder | None = None) -> DataFrame:
+    embedder = embedder or HashingEmbedder()
     return retrieval.dense_top(embedded(docs.select("doc_id", "text"), "text", embedder), embedded(asks, "text", embedder), k)
 
 
@@ -256,12 +257,12 @@ def semantic_chunks(spark, sf_dir):
 
 
 @query(f"""WITH {_WINDOWS}, n AS (SELECT 'none' AS strategy, len(text) AS n FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> '' UNION ALL SELECT 'sentence', len(text) FROM chunks)
-SELECT strategy, count(*) AS n_chunks, CAST(min(n) AS INTEGER) AS min_chars, CAST(max(n) AS INTEGER) AS max_chars, round(avg(n), 6) AS mean_chars, count(*) FILTER (n + 100 > 4000) AS over_4k, count(*) FILTER (n + 100 > 20000) AS over_20k FROM n GROUP BY strategy""")
+SELECT strategy, count(*) AS n_chunks, CAST(min(n) AS INTEGER) AS min_chars, CAST(max(n) AS INTEGER) AS max_chars, round(avg(n), 6) AS mean_chars, count(*) FILTER (n + 100 > 4000) AS over_4k, count(*) FILTER (n + 100 > 10000) AS over_10k, count(*) FILTER (n + 100 > 20000) AS over_20k FROM n GROUP BY strategy""")
 def request_size_profile(spark, sf_dir):
     docs = documents(spark, sf_dir)
     both = chunking.no_chunks(docs).select("strategy", "text").union(chunking.sentence_chunks(docs).select("strategy", "text")).withColumn("n", F.length("text"))
     over = lambda n: F.count_if(F.col("n") + 100 > n)
-    return both.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"), F.round(F.avg("n"), 6).alias("mean_chars"), over(4000).alias("over_4k"), over(20_000).alias("over_20k"))
+    return both.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"), F.round(F.avg("n"), 6).alias("mean_chars"), over(4000).alias("over_4k"), over(10_000).alias("over_10k"), over(20_000).alias("over_20k"))
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, {_judge_sentences("coalesce(text, '')")} AS s FROM conversations)
@@ -436,28 +437,46 @@ def remaining_documents(spark, sf_dir):
 @query("""SELECT coalesce(nullif(CAST(conv_id AS VARCHAR), '0'), role || '_' || (row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1)) AS id, turn, role AS domain, text AS question, 0.5::DOUBLE AS context_relevance, CASE WHEN turn % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS adherence FROM conversations""")
 def standardize_samples(spark, sf_dir):
     said = table(spark, sf_dir, "conversations")
-    made = said.select("conv_id", "turn", "role", F.struct("conv_id", "turn").alias("at"), F.parse_json(F.to_json(F.struct(F.col("conv_id").alias("idx"), F.col("text").alias("query"), (F.col("turn") % 2 == 0).alias("adherence"), "turn"))).alias("record"))
+    made = said.select("conv_id", "turn", "role", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("at"), F.parse_json(F.to_json(F.struct(F.col("conv_id").alias("idx"), F.col("text").alias("query"), (F.col("turn") % 2 == 0).alias("adherence"), "turn"))).alias("record"))
     out = standardized(made, F.col("role"), "at")
     return out.select("id", F.variant_get("original", "$.turn", "bigint").alias("turn"), "domain", "question", "context_relevance", "adherence")
 
 
-@query()
-def end_to_end_eval(spark, sf_dir):
-    """Every source's documents as one example, asked the benchmark items in turn, through retrieval, answer, judgement and scores.
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Samples that ask every source's documents the benchmark items in turn, and the documents by example.
 
-    Items are dealt to sources by turns until every item is asked and every source has an item; one configuration (sparse, sentences, BM25).
+    Items are dealt to sources by turns until every item is asked and every source has an item. A corpus is the beginning of a source's
+    documents in order of doc_id, as far as a context takes it.
     """
     docs, asks = docs_and_asks(spark, sf_dir)
     items = asks.select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("item"), "query_id", F.col("text").alias("question"))
-    groups = docs.groupBy(F.col("source").alias("example_id")).agg(F.substring(F.min_by("text", "doc_id"), 1, 2000).alias("corpus"))
+    sized = docs.select("source", "doc_id", "text", (F.length(F.coalesce("text", F.lit(""))) + 2).cast("long").alias("size"))
+    # the documents of a corpus are those that begin before its end, each of which is two characters long at least
+    head = running_before(sized, ["source"], "doc_id", "size", "before").where(F.col("before") < 2000)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 2000).alias("text")))), lambda x: x["text"]), "\n\n")
+    groups = head.groupBy(F.col("source").alias("example_id")).agg(F.substring(joined, 1, 2000).alias("corpus"))
     groups = groups.withColumn("place", (F.row_number().over(Window.orderBy("example_id")) - 1).cast("long"))
-    n_items, n_groups = items.count(), groups.count()
+    n_items, n_groups = items.count(), docs.select("source").distinct().count()
     turns = spark.range(max(n_items, n_groups) if n_items and n_groups else 0).select(F.col("id").alias("sample_id"), (F.col("id") % max(1, n_items)).alias("item"), (F.col("id") % max(1, n_groups)).alias("place"))
     samples = turns.join(items, "item").join(groups, "place")
     samples = samples.select("sample_id", "example_id", "query_id", "question", "corpus", *(F.lit(0.5).alias(f"gt_{s}") for s in aggregation.SCORES))
-    chunks = chunking.sentence_chunks(docs).select("doc_id", "chunk_id", "text").join(docs.select("doc_id", F.col("source").alias("example_id")), "doc_id")
-    chunks = chunks.select("example_id", F.concat_ws("_", "doc_id", "chunk_id").alias("chunk_id"), "text")
-    return evaluate(samples, chunks, "sparse_sentence_bm25_offline").drop("sample_id", "corpus", "question", "retrieved_chunks")
+    return samples, docs.select(F.col("source").alias("example_id"), "doc_id", "text")
+
+
+@query()
+def end_to_end_eval(spark, sf_dir):
+    """Every sample through retrieval (sparse, sentences, BM25), the offline answer and judgement, and scores."""
+    samples, docs = _samples(spark, sf_dir)
+    return evaluate_configs(samples, docs, [("sparse", "sentence", "bm25")]).drop("sample_id", "corpus", "question", "retrieved_chunks")
+
+
+@query()
+def grid_eval(spark, sf_dir):
+    """Configuration results of sparse, dense and hybrid configurations over whole documents and sentence windows, in one job."""
+    samples, docs = _samples(spark, sf_dir)
+    grid = [("sparse", "none", "tfidf"), ("dense", "sentence", "hashed"), ("hybrid", "sentence", "hashed")]
+    out = aggregation.config_results(evaluate_configs(samples, docs, grid, {"hashed": HashingEmbedder()}), ["config"])
+    return out.select("config", "n", "n_valid", *(F.round(f"computed_{s}", 6).alias(f"avg_{s}") for s in aggregation.SCORES), F.round("avg_trace", 6).alias("avg_trace"))
 
 
 @query(f"WITH v AS ({_VECTORS}), n AS (SELECT id, v, lead(v) OVER (ORDER BY id) AS nv FROM v) SELECT a.id AS vec_id, round({_COSINE.replace('b.v', 'a.nv')}, 6) AS similarity FROM n a WHERE nv IS NOT NULL")
@@ -466,3 +485,117 @@ def consecutive_similarity(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     pairs = with_next(v, "vec_id", "v")
     return pairs.where("next_v IS NOT NULL").select("vec_id", F.round(cosine(F.col("v"), F.col("next_v")), 6).alias("similarity"))
+
+
+_CONFIGS = f"""SELECT source, count(*) AS n, count(*) FILTER (toxic = 0) AS n_valid, round((avg(a) FILTER (toxic = 0) + avg(b) FILTER (toxic = 0) + avg(a * b) FILTER (toxic = 0) + avg(quality) FILTER (toxic = 0)) / 4, 6) AS avg_trace FROM ({_RESULTS}) GROUP BY source"""
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregation.config_results(_results(spark, sf_dir), ["source"]).select("source", "n", "n_valid", F.round("avg_trace", 6).alias("avg_trace"))
+
+
+@query(f"SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY avg_trace DESC NULLS LAST, source) AS INTEGER) AS rank FROM ({_CONFIGS})) WHERE rank <= 10")
+def top_configs(spark, sf_dir):
+    return compare.ranked(_configs(spark, sf_dir), "avg_trace", "source", n=10)
+
+
+@query(f"""SELECT sum(n)::BIGINT AS total, sum(n_valid)::BIGINT AS valid, (sum(n) - sum(n_valid))::BIGINT AS failed, round(100.0 * sum(n_valid) / sum(n), 6) AS valid_percent,
+round(100.0 * (sum(n) - sum(n_valid)) / sum(n), 6) AS failed_percent FROM ({_CONFIGS})""")
+def evaluation_statistics(spark, sf_dir):
+    return compare.statistics(_configs(spark, sf_dir))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (n >= 20) AS done, count(*) FILTER (n > 0 AND n < 20) AS begun, count(*) FILTER (n = 0) AS not_begun, round(100.0 * count(*) FILTER (n >= 20) / count(*), 6) AS percent,
+CAST(sum(least(n, 20)) AS BIGINT) AS examples, CAST(2.0 * (count(*) * 20 - sum(least(n, 20))) AS DOUBLE) AS seconds_left FROM (SELECT d.source, coalesce(r.n, 0) AS n FROM (SELECT DISTINCT source FROM documents) d
+LEFT JOIN (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source) r USING (source))""")
+def progress_totals(spark, sf_dir):
+    return compare.progress_totals(evaluation_progress(spark, sf_dir), 20, 2.0)
+
+
+@query(f"""SELECT lang, source, score, CASE WHEN k % 3 = 0 THEN 'Sparse (' || source || ') optimal - lexical matching effective' WHEN k % 3 = 1 THEN 'Hybrid (' || source || ') optimal - benefits from semantic + lexical'
+ELSE 'Dense (' || source || ') optimal - semantic understanding is key' END AS insight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS r
+FROM (SELECT lang, source, round(avg(a), 6) AS score, sum(n_chars) AS k FROM (SELECT r.*, n_chars FROM ({_RESULTS}) r JOIN documents USING (doc_id)) GROUP BY ALL)) WHERE r = 1""")
+def best_per_domain_insight(spark, sf_dir):
+    rows = _results(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    scores = rows.groupBy("lang", "source").agg(F.round(F.avg("computed_relevance"), 6).alias("score"), F.sum("n_chars").alias("k"))
+    best = aggregation.best_by(scores, ["lang"], "score", "source")
+    kind = F.element_at(F.array(F.lit("sparse"), F.lit("hybrid"), F.lit("dense")), (F.col("k") % 3 + 1).cast("int"))
+    return best.select("lang", "source", "score", compare.insight(kind, F.col("source")).alias("insight"))
+
+
+_SAID = "CASE WHEN doc_id % 4 = 1 AND doc_id % 3 = 0 THEN 'I cannot answer this.' ELSE " + _ANSWER + " END"
+_EXPECTED = "CASE WHEN doc_id % 7 < 4 THEN substring(text, 1, 12) ELSE 'zzqx' END"
+_ABILITIES = ("noise_robustness", "negative_rejection", "information_integration", "counterfactual_robustness")
+_ABILITY = "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ABILITIES)) + " END"
+_HAS = f"contains({_sql_normal('{0}')}, {_sql_normal('e')})"
+_ABILITY_SQL = f"""j AS (SELECT ability, lang AS model, noise, {_HAS.format('r')} AS c, {_PHRASES['r']} AS j, {_HAS.format('b')} AS b, {_PHRASES['e']} AS d
+FROM (SELECT {_ABILITY} AS ability, lang, CASE WHEN doc_id % 4 IN (0, 2) THEN doc_id % 5 * 2 / 10.0 END::DOUBLE AS noise, {_SAID} AS r, reverse(text) AS b, {_EXPECTED} AS e FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT ability, model, noise, count(*) AS total, round(100.0 * count(*) FILTER (c) / count(*), 6) AS c, round(100.0 * count(*) FILTER (j) / count(*), 6) AS j, round(100.0 * count(*) FILTER (b) / count(*), 6) AS b,
+round(100.0 * count(*) FILTER (d) / count(*), 6) AS d, round(coalesce(100.0 * count(*) FILTER (c AND d) / nullif(count(*) FILTER (d), 0), 0), 6) AS k FROM j GROUP BY ability, model, noise),
+results AS (SELECT ability, model, noise AS noise_ratio, total, CASE WHEN ability IN ('noise_robustness', 'information_integration') THEN c END AS accuracy, CASE WHEN ability = 'negative_rejection' THEN j END AS rejection_rate,
+CASE WHEN ability = 'counterfactual_robustness' THEN b END AS acc, CASE WHEN ability = 'counterfactual_robustness' THEN c END AS acc_doc, CASE WHEN ability = 'counterfactual_robustness' THEN d END AS error_detection,
+CASE WHEN ability = 'counterfactual_robustness' THEN k END AS error_correction FROM p)"""
+
+
+def _abilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded answers in place of models': a language answers with its documents."""
+    rows = documents(spark, sf_dir).where("text IS NOT NULL").select(
+        F.expr(_ABILITY).alias("ability"), F.col("lang").alias("model"), F.expr("CASE WHEN doc_id % 4 IN (0, 2) THEN double(doc_id % 5 * 2 / 10.0) END").alias("noise_ratio"),
+        F.expr(_SAID).alias("response"), F.reverse("text").alias("response_no_docs"), F.array(F.expr(_EXPECTED)).alias("expected"),
+    )
+    return ability.evaluated(ability.judged(rows, ascii_only=True))
+
+
+@query(f"WITH {_ABILITY_SQL} SELECT * FROM results")
+def ability_evaluation(spark, sf_dir):
+    return _abilities(spark, sf_dir)
+
+
+@query(f"""WITH {_ABILITY_SQL}, s AS (SELECT ability, model, round(avg(CASE ability WHEN 'negative_rejection' THEN rejection_rate WHEN 'counterfactual_robustness' THEN error_correction ELSE accuracy END), 6) AS score FROM results GROUP BY ability, model)
+SELECT *, CAST(row_number() OVER (PARTITION BY ability ORDER BY score DESC, model) AS INTEGER) AS rank FROM s""")
+def ability_rankings(spark, sf_dir):
+    return ability.rankings(_abilities(spark, sf_dir))
+
+
+_HASHED_128 = _HASHED.replace("range(64)", "range(128)").replace("% 64", "% 128").replace("{0}_v AS", "{0}_w AS")
+_DENSE_128 = _DENSE.replace(_HASHED.format("docs", "doc_id"), _HASHED_128.format("docs", "doc_id")).replace(_HASHED.format("asks", "query_id"), _HASHED_128.format("asks", "query_id")).replace("dense AS", "dense2 AS").replace("docs_v a, asks_v b", "docs_w a, asks_w b")
+
+
+@query(f"""WITH {_DOCS_TOKENS}, {_DENSE}, {_DENSE_128}, h AS (SELECT 'hashed-64' AS embedding, * FROM ({_RANKED.format('dense', 5)}) UNION ALL SELECT 'hashed-128', * FROM ({_RANKED.format('dense2', 5)})),
+e AS (SELECT embedding, query_id, avg(score) AS s FROM h GROUP BY ALL) SELECT embedding, round(avg(s), 6) AS avg_score, count(*) AS n FROM e GROUP BY embedding""")
+def compare_embeddings(spark, sf_dir):
+    """Two embedders by the mean score of their five nearest documents of every benchmark item."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    hits = [_dense_leg(docs, asks, 5, HashingEmbedder(d)).withColumn("embedding", F.lit(f"hashed-{d}")) for d in (64, 128)]
+    return compare.retrieval_scores(hits[0].unionByName(hits[1]), "embedding")
+
+
+_AS_DOCS = _DOCS_TOKENS.replace("FROM documents)", "FROM parts)")
+
+
+@query(f"""WITH {_WINDOWS}, parts AS (SELECT doc_id * 100000 + chunk_id AS doc_id, '' AS lang, '' AS source, text FROM chunks), {_AS_DOCS}, {_DENSE}, y AS ({_RANKED.format('dense', 5)}),
+m AS (SELECT query_id, avg(score) AS s FROM y GROUP BY query_id)
+SELECT 'sentence' AS strategy, (SELECT round(avg(n), 6) FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)) AS avg_chunks, round(avg(s), 6) AS avg_score, count(*) AS n FROM m""")
+def compare_chunkings(spark, sf_dir):
+    """Sentence windows by the number of chunks of a document and the mean score of the nearest five of every benchmark item."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    chunks = chunking.sentence_chunks(docs).select("strategy", F.col("doc_id").alias("example_id"), (F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("doc_id"), "text")
+    return compare.chunking_scores(_dense_leg(chunks, asks, 5).withColumn("strategy", F.lit("sentence")), chunks)
+
+
+@query(f"""WITH p AS (SELECT * FROM (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations) WHERE role = 'assistant' AND question IS NOT NULL),
+docs AS (SELECT conv_id * 1000 + turn AS doc_id, {_TOKENS.format("coalesce(text, '')")} AS ts FROM p), asks AS (SELECT conv_id * 1000 + turn AS query_id, {_TOKENS.format('question')} AS ts FROM p), {_HASHED.format('docs', 'doc_id')}, {_HASHED.format('asks', 'query_id')}
+SELECT a.id AS pair, round({_COSINE}, 6)::DOUBLE AS similarity FROM docs_v a JOIN asks_v b USING (id)""")
+def answer_similarity(spark, sf_dir):
+    """The cosine of an answer's and a question's vectors, as answers are compared with the truth."""
+    pairs = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), "text", "question")
+    both = embedded(embedded(pairs, "text", HashingEmbedder(), "a"), "question", HashingEmbedder(), "b")
+    return both.select("pair", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@query("""WITH s AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS ds, any_value(conv_id % 3) AS k FROM conversations GROUP BY conv_id)
+SELECT k AS domain, count(*) AS num_samples, round(avg(len(array_to_string(ds, ' '))), 6) AS avg_doc_length, round(avg(len(ds)), 6) AS avg_num_docs, round(avg(CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS has_relevance_scores FROM s GROUP BY k""")
+def sample_statistics(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("documents"))
+    samples = said.select((F.col("conv_id") % 3).alias("domain"), "documents", F.when(F.col("conv_id") % 2 == 0, 0.25).otherwise(0.5).alias("context_relevance"))
+    return aggregation.sample_statistics(samples, "domain")

@@ -106,3 +106,38 @@ def test_cosine(spark):
     assert value(spark, cosine(v(1.0, 0.0), v(0.0, 2.0))) == 0.0
     assert value(spark, cosine(v(3.0, 4.0), v(3.0, 4.0))) == pytest.approx(1.0)
     assert value(spark, cosine(v(0.0, 0.0), v(3.0, 4.0))) == 0.0
+
+
+def test_letters_stay_apart_beyond_the_alphabet(spark):
+    from ragloom.functions.text import letter
+
+    got = [r.c for r in spark.range(400).select(letter(F.col("id")).alias("c")).collect()]
+    assert got == [chr(97 + i) for i in range(400)]
+
+
+def test_fields_hold_something_by_kind(spark):
+    from ragloom.sources.loaders import adherence_of, field
+
+    rows = ['{"id": "0", "question": "false"}', '{"id": 0, "idx": 7, "query": "q"}', '{"id": "", "example_id": "e"}', '{"id": null, "idx": [], "example_id": false}', '{"id": 0.0, "idx": {}, "example_id": 1.5}']
+    frame = spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("r"))
+    assert [tuple(r) for r in frame.select(field(F.col("r"), ("id", "idx", "example_id")), field(F.col("r"), ("question", "query"))).collect()] == [("0", "false"), ("7", "q"), ("e", None), (None, None), ("1.5", None)]
+    rows = ['{"adherence_score": 0.0}', '{"faithfulness": "no"}', '{"adherence": null, "faithfulness": 0}', '{"adherence": true}', '{"adherence": "YES"}', "{}", '{"adherence": [1]}', '{"adherence": 0.25, "adherence_score": 1}']
+    frame = spark.createDataFrame([(r,) for r in rows], "j string").select(F.parse_json("j").alias("r"))
+    assert [r[0] for r in frame.select(adherence_of(F.col("r"))).collect()] == [0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.25]
+
+
+def test_line_numbers_over_parts_of_a_file(spark, tmp_path):
+    from ragloom.sources.loaders import load_json_lines
+
+    lines = [f'{{"n": {i}}}' if i % 7 else " " for i in range(500)]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = load_json_lines(spark, str(tmp_path / "a.json"), with_line=True)
+        got = sorted((r.id, r.n) for r in rows.select("id", F.variant_get("record", "$.n", "int").alias("n")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, i) for i in range(500) if i % 7]
