@@ -37,10 +37,12 @@ PARITY_LONGS, PARITY_SIZE = 16, 1024
 FILTER_BITS = 1 << 24
 #: About as many sets meet in one bucket; more common blocks are salted into several.
 BUCKET = 4096
-#: Centres that a set is compared with first: more of them save later rounds, results are the same.
-CENTRES = 4
+#: Centres and neighbours that a set is compared with first: more of them save later rounds, results are the same.
+CENTRES = 8
 #: Pairs of all sets left, for each row of them, that are compared without further rounds.
-PAIRS_A_ROW = 50
+PAIRS_A_ROW = 1000
+#: Sets of a bucket that are compared in one place; a larger bucket is split into groups, and each two of these meet in one place.
+BLOCK = 2048
 #: Rows of a narrow table that a task writes, and the tasks that write the smallest one.
 ROWS_A_TASK, LEAST_TASKS = 50_000, 12
 #: Pairs that a task verifies at least, if there are enough.
@@ -204,7 +206,7 @@ def _symbols(docs: DataFrame, common: np.ndarray, n: int, least: float, parts: i
 
 
 def _groups(symbols: DataFrame, parts: int) -> DataFrame:
-    """Who meets whom: key, set_id, centre (the smallest set_id of its bucket) and n, how many buckets this stands for.
+    """Who meets whom: key, set_id, centre (the smallest set_id of its bucket), before (the next smaller one) and n, how many buckets this stands for.
 
     A row for each set of each bucket of two sets or more; buckets of the same sets have one key and count in n. The sets of a hot
     key keep it, whichever bucket they were salted into: they meet the sets of its other buckets later.
@@ -225,8 +227,10 @@ def _groups(symbols: DataFrame, parts: int) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
             size = np.diff(np.r_[begin, rows.shape[1]])
             centre = rows[1][begin]
+            before = np.r_[rows[1][:1], rows[1][:-1]]
+            before[begin] = centre
             if hot:
-                out = pd.DataFrame({"key": rows[2], "set_id": rows[1], "centre": np.repeat(centre, size), "n": np.ones(rows.shape[1], dtype=np.int64)})
+                out = pd.DataFrame({"key": rows[2], "set_id": rows[1], "centre": np.repeat(centre, size), "before": before, "n": np.ones(rows.shape[1], dtype=np.int64)})
             else:
                 name = mix(np.add.reduceat(mix(rows[1]), begin) + size.astype(_U))  # of the bucket's sets, as a whole
                 order = np.flatnonzero(size > 1)
@@ -234,12 +238,12 @@ def _groups(symbols: DataFrame, parts: int) -> DataFrame:
                 kept = order[first]
                 many = size[kept]
                 at = np.repeat(begin[kept] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-                out = pd.DataFrame({"key": np.repeat(name[kept], many), "set_id": rows[1][at], "centre": np.repeat(centre[kept], many), "n": np.repeat(n, many)})
+                out = pd.DataFrame({"key": np.repeat(name[kept], many), "set_id": rows[1][at], "centre": np.repeat(centre[kept], many), "before": before[at], "n": np.repeat(n, many)})
             for a in range(0, len(out), 100_000):
-                yield out.iloc[a : a + 100_000].astype({c: np.int64 for c in ("key", "set_id", "centre", "n")})
+                yield out.iloc[a : a + 100_000].astype({c: np.int64 for c in out.columns})
 
     dealt = symbols.repartitionById(parts, F.col("part"))
-    return dealt.mapInPandas(run, "key long, set_id long, centre long, n long").groupBy("key", "set_id", "centre").agg(F.sum("n").alias("n"))
+    return dealt.mapInPandas(run, "key long, set_id long, centre long, before long, n long").groupBy("key", "set_id", "centre", "before").agg(F.sum("n").alias("n"))
 
 
 def narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -286,6 +290,34 @@ def _may_be_similar(least: float) -> F.Column:
     return F.when(sizes, distance <= most).otherwise(False)
 
 
+def _cross_pairs(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, int]]:
+    """The pairs of one place (rows in order of size) that may be similar: of different labels and, where two groups meet, of different groups."""
+    label, size, sets = rows["label"].to_numpy(), rows["size"].to_numpy(), rows["set_id"].to_numpy()
+    group = rows["own"].to_numpy() if rows["low"].iloc[0] != rows["high"].iloc[0] else None
+    sketches = [p.view(_U) for p in rows["parity"]]
+    longs = np.array([len(p) for p in sketches])
+    table = np.stack(sketches) if (longs == longs[0]).all() else None
+    stop = np.searchsorted(size, np.floor(size / least + 1e-9), side="right")
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, stop[i])
+        j = j[label[j] != label[i]]
+        if group is not None:
+            j = j[group[j] != group[i]]
+        if not len(j):
+            continue
+        if table is not None:
+            distance = np.bitwise_count(table[j] ^ table[i]).sum(axis=1)
+        else:  # sketches of two lengths: the longer is folded
+            distance = np.empty(len(j), dtype=np.int64)
+            for at, k in enumerate(j.tolist()):
+                n = min(longs[i], longs[k])
+                x, y = (np.bitwise_xor.reduce(sketches[z].reshape(-1, n), axis=0) for z in (i, k))
+                distance[at] = np.bitwise_count(x ^ y).sum()
+        for k in j[distance <= np.floor((1 - least) / (1 + least) * (size[i] + size[j]) + 1e-9)].tolist():
+            a, b = int(sets[i]), int(sets[k])
+            yield (a, b) if a < b else (b, a)
+
+
 class _Join:
     """One run of the join: its tables, in a folder of their own."""
 
@@ -374,10 +406,10 @@ class _Join:
     def run(self, met: DataFrame) -> DataFrame:
         """set_id, label (the same for the sets of a component) and n_links of every set that has a link; met: see _groups."""
         most = met.count()
-        # each set is compared with the centres that it meets most often among those that may be similar
-        stars = met.where("set_id <> centre").groupBy(F.col("set_id").alias("a"), F.col("centre").alias("b")).agg(F.sum("n").alias("n"))
-        near = self.near(self.table(stars, "stars", most)).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, CENTRES).alias("best"))
-        links = self.links(near.select("a", F.explode("best.b").alias("b")), most)
+        # each set is compared with the centres and neighbours that it meets most often among those that may be similar
+        stars = met.where("set_id <> centre").select(F.col("set_id").alias("a"), F.explode(F.array_distinct(F.array("centre", "before"))).alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        near = self.near(self.table(stars, "stars", 2 * most)).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, CENTRES).alias("best"))
+        links = self.links(near.select("a", F.explode("best.b").alias("b")), CENTRES * most)
         # Next, in each bucket that still holds several components, its sets meet one set of another component, drawn
         # anew in every round, until a round links little or the pairs left are few. Last, these meet each other.
         drawn, rows, found, few = 0, met.select("key", "set_id").distinct(), links.count(), False
@@ -397,13 +429,40 @@ class _Join:
             new = more.count()
             few = 20 * new <= found
             links, drawn, found = links.union(more), drawn + 1, found + new
-        sketched = mixed.select("key", "set_id", "label").join(self.first.select("set_id", "size", "parity"), "set_id")
-        left, right = (sketched.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("set_id", "size", "label", "parity"))) for x in "ab")
-        apart = left.join(right, "key").where((F.col("label_a") < F.col("label_b")) & _may_be_similar(self.least))
-        more = self.links(apart.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b")).distinct(), most)
+        more = self.links(self.apart(mixed), most)
         links = links.union(more)
         return self.counted(links, labels if more.isEmpty() else self.components(links))
 
+    def apart(self, mixed: DataFrame) -> DataFrame:
+        """The pairs (a, b) of sets in one bucket (key, set_id, label, n: its sets) whose labels differ and whose sketches allow the similarity."""
+        least = self.least
+        groups = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("set_id"), groups).cast("int")
+        places = F.transform(F.sequence(F.lit(0), groups - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+        rows = mixed.select("key", "set_id", "label", own.alias("own"), F.explode(places).alias("place")).select("key", "set_id", "label", "own", "place.low", "place.high")
+        rows = rows.join(self.first.select("set_id", "size", "parity"), "set_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "size")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found, held = set(), []
+            for batch in batches:
+                place = batch[["key", "low", "high"]].to_numpy()
+                cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    part = batch.iloc[x:y]
+                    if held and (place[x] != held[0][["key", "low", "high"]].to_numpy()[0]).any():
+                        found.update(_cross_pairs(pd.concat(held) if len(held) > 1 else held[0], least))
+                        held = []
+                    held.append(part)
+                if len(found) > HELD:
+                    yield pd.DataFrame(sorted(found), columns=["a", "b"])
+                    found = set()
+            if held:
+                found.update(_cross_pairs(pd.concat(held), least))
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+
+        return rows.mapInPandas(run, "a long, b long").distinct()
+
     def counted(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         n = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         return labels.join(n, "node").select(F.col("node").alias("set_id"), "label", "n_links")

@@ -90,7 +90,8 @@ def assess(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
 
     Documents of a host are distinct if their texts are: copies count a line once. A null host is a host of its own, a
     null or empty text has no lines and fails the base rules; rows that are alike are judged alike; an empty table
-    gives an empty result. Other columns stay; names that begin with an underscore are this function's.
+    gives an empty result. Columns of docs named base_failed or kept are replaced, the others stay; names that begin with
+    an underscore are this function's.
     """
     docs = docs.withColumn("_host", F.col(host).cast("string")).withColumn("_body", F.xxhash64("text"))
     lines = line_rows(docs)
@@ -106,7 +107,11 @@ def assess(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept documents without their common lines; columns as in docs."""
-    judged = assess(docs, host, **limits).where("kept")
+    """The kept documents without their common lines; columns and their values as in docs, but for text.
+
+    Null, empty and short texts fail the base rules and go; repeated rows stay or go alike; an empty table gives an empty result.
+    """
+    own = {c: f"_own_{c}" for c in ("base_failed", "kept") if c in docs.columns}
+    judged = assess(docs.withColumnsRenamed(own), host, **limits).where("kept").drop("base_failed", "kept").withColumnsRenamed({v: k for k, v in own.items()})
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.transform("_gone", lambda g: g["at"]), i)), "\n")
     return judged.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)

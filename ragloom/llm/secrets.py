@@ -235,7 +235,11 @@ MOST_SENT = 100_000
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the found spans (body, start, end) replaced by the mark; columns as in docs, n_chars, if there, follows the text."""
+    """docs with the found spans (body, start, end) replaced by the mark; columns as in docs, n_chars, if there, follows the text.
+
+    Spans that overlap get one mark. Null and empty texts and texts without spans stay as they are, equal texts change alike; an
+    empty table gives an empty result. docs' own columns must not be named _of, _body or _spans.
+    """
     spans = found.groupBy(F.col("body").alias("_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     if found.count() <= MOST_SENT:
         spans = F.broadcast(spans)

@@ -19,7 +19,7 @@ _U = np.uint64
 RADIUS = 3
 #: Neighbouring repeated units are removed if they have so many words together.
 LEAST_WORDS = 15
-UNIT = "doc_id long, body long, unit int, first_word int, last_word int, start int, end int, digest long, again boolean"
+UNIT = "doc_id long, body long, unit int, first_word int, last_word int, start int, end int, line int, line_words int, digest long, again boolean"
 
 
 def cuts(words: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -39,7 +39,8 @@ def cuts(words: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 def units(docs: DataFrame) -> DataFrame:
     """A row for each unit: body (a hash of the text), unit (number from 0), first_word and last_word (numbers, the last
-    exclusive), start and end (code points), digest of its lower-case words, again: this document has it earlier."""
+    exclusive), start and end (code points), line (number from 0) and line_words (its words in all), digest of its lower-case
+    words, again: this document has it earlier."""
 
     def of_words(raw: bytes, words: np.ndarray) -> tuple:
         buf = np.frombuffer(raw, dtype=np.uint8)
@@ -47,10 +48,9 @@ def units(docs: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.diff(np.r_[True, white, True].view(np.int8)))
         begins, stops = edge[0::2], edge[1::2]
         ends = cuts(words)
-        breaks = np.flatnonzero(buf == 10)
-        if len(breaks):
-            line = np.searchsorted(breaks, begins)
-            ends[:-1] |= line[1:] != line[:-1]
+        line = np.searchsorted(np.flatnonzero(buf == 10), begins)
+        ends[:-1] |= line[1:] != line[:-1]
+        in_line = np.bincount(line)
         ends[-1] = True
         last = np.flatnonzero(ends) + 1
         first = np.r_[0, last[:-1]]
@@ -62,12 +62,12 @@ def units(docs: DataFrame) -> DataFrame:
             starts, ends_at = points[starts], points[ends_at]
         again = np.ones(len(digest), dtype=bool)
         again[np.unique(digest, return_index=True)[1]] = False
-        return np.arange(len(first)), first, last, starts, ends_at, digest, again
+        return np.arange(len(first)), first, last, starts, ends_at, line[first], in_line[line[first]], digest, again
 
     def table(ids: list, bodies: list, found: list[tuple]) -> pd.DataFrame:
         many = [len(f[0]) for f in found]
         out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64").repeat(many), "body": np.repeat(np.array(bodies, dtype=np.int64), many)})
-        for i, name in enumerate(("unit", "first_word", "last_word", "start", "end", "digest", "again")):
+        for i, name in enumerate(("unit", "first_word", "last_word", "start", "end", "line", "line_words", "digest", "again")):
             out[name] = np.concatenate([f[i] for f in found])
         return out
 
@@ -85,28 +85,36 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text")).mapInPandas(run, UNIT)
 
 
-def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, least_line_words: int | None = None) -> DataFrame:
     """The spans to remove: doc_id, body (hash of the text), start, end (code points, end exclusive), n_words, first_id.
 
     A unit repeats if a document with a smaller doc_id, or its own document earlier, has the same lower-case words; runs
-    of neighbouring repeats with least_words words or more become one span. first_id is the smallest doc_id that has
-    one of its units. Rows with equal doc_id rank alike and don't repeat each other; null doc_ids rank last. Null, empty
-    and blank texts have no units; an empty table gives an empty result; other columns are ignored.
+    of neighbouring repeats with least_words words or more become one span, and, with least_line_words, runs that hold all units of a
+    line of so many words. first_id is the smallest doc_id that has one of its units. Rows with equal doc_id rank alike and
+    don't repeat each other; null doc_ids rank last. Null, empty and blank texts have no units; an empty table gives an empty
+    result; other columns are ignored.
     """
     found = units(docs)
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
     firsts = found.groupBy(F.col("digest").alias("of")).agg(F.min(rank).alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = found.join(firsts, F.col("digest") == F.col("of")).where((rank > F.col("first_id")) | F.col("again"))
     run = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "body").orderBy("unit"))
-    runs = repeats.withColumn("run", run).groupBy("doc_id", "body", "run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("first_id").alias("first_id"))
-    return spans.where(F.col("n_words") >= least_words).drop("run")
+    # rows that are alike have every unit as often as there are rows
+    words, line = F.col("last_word") - F.col("first_word"), Window.partitionBy("doc_id", "body", "line")
+    whole = F.sum(words).over(line) >= F.col("line_words") * F.count("*").over(Window.partitionBy("doc_id", "body", "unit")) if least_line_words else F.lit(False)
+    runs = repeats.withColumn("run", run).withColumn("whole", F.when(whole, F.col("line_words")).otherwise(0)).groupBy("doc_id", "body", "run")
+    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("first_id").alias("first_id"), F.max("whole").alias("whole"))
+    return spans.where((F.col("n_words") >= least_words) | (F.col("whole") >= (least_line_words or 2**31 - 1))).drop("run", "whole")
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the spans, and `removed`: array of their (start, end) in the original text, in order."""
-    kept = spans.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")), "left")
+def remove_spans(docs: DataFrame, spans: DataFrame, name: str = "removed") -> DataFrame:
+    """docs without the spans, and `name`: array of their (start, end) in the original text, in order; empty where there are none.
+
+    A null text stays null, an empty one empty, repeated rows lose the same spans. A column of docs of that name is replaced;
+    the other columns stay as they are, n_chars too.
+    """
+    kept = spans.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_removed"))
+    rows = docs.drop(name).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -121,5 +129,6 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
 
-    whole: Column = F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed"))
-    return rows.withColumn("text", whole).select(*docs.columns, F.coalesce("removed", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"))
+    whole: Column = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut("text", "_removed"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return rows.withColumn("text", whole).withColumn(name, F.coalesce("_removed", none)).select(*(c for c in docs.columns if c != name), name)

@@ -86,16 +86,17 @@ def matches(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("a", "b", (F.col("at_b") - F.col("at_a")).alias("shift")).agg(F.count("*").alias("n_anchors"), F.min("at_a").alias("first_at"), F.max("at_a").alias("last_at"))
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: list[str], tie: str) -> DataFrame:
     """docs with next_<c> for each carried column: its value in the row next in order; after the last comes the first.
 
-    Rows with equal order are taken by the hash of their carried columns, null order is last. The rows are dealt by ranges
+    Rows with equal order are taken by a hash of the column tie, null order is last. The rows are dealt by ranges
     of `order` (at most MOST_PARTS bounds reach the driver); the first row of each range is copied to the range before.
     """
-    key = F.coalesce(F.col(order).cast("double"), F.lit(float("inf")))
-    rows = docs.withColumn("_key", key).withColumn("_tie", F.xxhash64(*carried))
+    rows = docs.withColumn("_tie", F.xxhash64(tie))
+    # rows without order follow beyond every long, spread by their hash
+    rows = rows.withColumn("_key", F.coalesce(F.col(order).cast("double"), F.lit(1e19) + F.pmod(F.col("_tie"), F.lit(1 << 40)) * 1e7))
     parts = min(MOST_PARTS, rows.count() // ROWS_A_PART)
-    bounds = sorted({b for b in rows.where("_key < double('inf')").approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    bounds = sorted({b for b in rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
     if bounds:
         rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_key", outputCol="_part").transform(rows)
     else:
@@ -119,7 +120,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id follow each other by a hash of text; other columns are ignored; an empty table gives an empty result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(own.withColumn("own", kept(F.col("text"))), "doc_id", ["text", "own"])
+    both = with_next(own.withColumn("own", kept(F.col("text"))), "doc_id", ["text", "own"], "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))

@@ -131,7 +131,9 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, dict]:
     def cells(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(c.astype("<u2").tobytes(), w.astype("<f4").tobytes()) for c, w in (hashed(*x) for x in _parts(texts))], columns=["cells", "weights"])
 
-    rows = [(r["doc_id"], np.frombuffer(r["f"]["cells"], dtype="<u2"), np.frombuffer(r["f"]["weights"], dtype="<f4"), by_votes[r["votes"]]) for r in some.select("doc_id", "votes", cells("text").alias("f")).toLocalIterator()]
+    # of rows with one doc_id one stays
+    some = some.select("doc_id", "votes", cells("text").alias("f")).groupBy("doc_id").agg(F.min(F.struct("votes", "f.cells", "f.weights")).alias("r")).select("doc_id", "r.*")
+    rows = [(r["doc_id"], np.frombuffer(r["cells"], dtype="<u2"), np.frombuffer(r["weights"], dtype="<f4"), by_votes[r["votes"]]) for r in some.coalesce(8).toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1])))
     return train_scorer([r[1:] for r in rows]), {"rates": rates, "share": share}
 
@@ -144,8 +146,11 @@ def _parts(texts: pd.Series) -> Iterator[tuple[bytes, np.ndarray]]:
             yield parts[i], words[at[i - a] : at[i - a + 1]]
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with `quality`, 0 to 1, from each whole text. Null and empty texts get the scorer's constant alone; every column of docs stays."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "quality") -> DataFrame:
+    """docs with a column `name`, 0 to 1, from each whole text. Null and empty texts get the scorer's constant alone.
+
+    Every column of docs stays but one of that name, which the score replaces.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
@@ -164,4 +169,4 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pd.Series(out, dtype=float)
 
-    return docs.withColumn("quality", run(F.col("text").cast("string")))
+    return docs.withColumn(name, run(F.col("text").cast("string")))

@@ -119,3 +119,27 @@ def test_folded_sketches_in_spark(spark):
         similar = len(np.intersect1d(x, y)) >= 0.75 * len(np.union1d(x, y))
         assert near or not similar
         assert near == similar, (a, b)
+
+
+@pytest.mark.parametrize("bucket", [4, 4096])
+def test_small_buckets_and_blocks_lose_nothing(spark, monkeypatch, bucket):
+    """Keys of four sets are salted already, buckets of three are split, and many copies stand beside near ones."""
+    monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "CENTRES", 1)
+    r = np.random.default_rng(9)
+    word = lambda: "w" + str(int(r.integers(0, 5000)))
+    texts = []
+    for n in (8, 14, 40, 80, 300):
+        base = [word() for _ in range(n)]
+        for _ in range(12):
+            own = list(base)
+            for at in r.choice(n, max(1, n // 25), replace=False):
+                own[at] = word()
+            texts.append(" ".join(own))
+            base = own if r.random() < 0.5 else base
+        texts += [" ".join(base)] * 30
+    told = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(told, "doc_id long, text string").repartition(5)
+    got = [tuple(x) for x in jaccard.similar(frame).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(brute(told))

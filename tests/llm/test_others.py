@@ -419,3 +419,104 @@ def test_words_with_one_hash_are_told_apart(monkeypatch):
     texts = ["a bc de", "fg hi", "aa bb cc"]
     whole = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert [x.tolist() for x in encoder(texts)] == [e.ids for e in whole]
+
+
+# substring dedup by brute force
+
+
+def plain_spans(rows, least_words, least_line_words=None, radius=substring.RADIUS):
+    """Spans by plain loops: cuts, units, ranks and runs are made anew; only hashes of words are the operator's."""
+    from ragloom.llm.wordhash import encode, ngram_hashes, word_hashes
+
+    docs = []
+    for doc_id, text in rows:
+        words = [(m.start(), m.end(), m[0], (text or "").count("\n", 0, m.start())) for m in WORD.finditer(text or "")]
+        pairs = ngram_hashes(word_hashes([encode(text).lower()])[0], 2).tolist()
+        units, first = [], 0
+        for i in range(len(words)):
+            near = [pairs[j] for j in range(i - 1 - radius, i + radius) if 0 <= j < len(pairs) and j != i - 1]
+            cut = len(near) == 2 * radius and pairs[i - 1] < min(near)
+            if i == len(words) - 1 or words[i + 1][3] != words[i][3] or cut:
+                units.append((tuple(w[2].encode().lower() for w in words[first : i + 1]), words[first][0], words[i][1], words[i][3], i + 1 - first))
+                first = i + 1
+        docs.append((doc_id, units))
+    firsts = {}
+    rank = lambda d: 2**63 - 1 if d is None else d
+    for d, units in docs:
+        for u in units:
+            firsts[u[0]] = min(firsts.get(u[0], 2**63 - 1), rank(d))
+    out = set()
+    for d, units in docs:
+        hit = [rank(d) > firsts[u[0]] or u[0] in {x[0] for x in units[:i]} for i, u in enumerate(units)]
+        i = 0
+        while i < len(units):
+            j = i
+            while j < len(units) and hit[j]:
+                j += 1
+            run = units[i:j]
+            whole = max((sum(u[4] for u in run if u[3] == line) for line in {u[3] for u in run} if all(hit[k] for k, u in enumerate(units) if u[3] == line)), default=0)
+            if run and (sum(u[4] for u in run) >= least_words or least_line_words and whole >= least_line_words):
+                out.add((d, run[0][1], run[-1][2], sum(u[4] for u in run), min(firsts[u[0]] for u in run)))
+            i = j + 1
+    return out
+
+
+@pytest.mark.parametrize("line", [None, 5])
+def test_spans_by_brute_force(spark, docs, rows, line):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdeé") for _ in range(4)) for _ in range(300)]
+    some = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared, short, tiny = some(60), some(9), some(4)
+    texts = [(i, "\n".join([some(20), short if i % 2 else some(7), some(15) + " " + shared.upper() + " " + some(30), tiny])) for i in range(6)]
+    texts += [(7, None), (8, ""), (9, texts[0][1]), (9, texts[0][1]), (None, texts[1][1]), (10, some(8000) + " " + shared)]
+    for told, frame in ((texts, spark.createDataFrame(texts, "doc_id long, text string").repartition(3)), ([(x[0], x[1]) for x in rows], docs)):
+        got = substring.repeated_spans(frame, 15, line).select("doc_id", "start", "end", "n_words", "first_id").collect()
+        want = plain_spans(told, 15, line)
+        assert want and {tuple(x) for x in got} == want
+
+
+def test_clashing_columns_and_empty_tables(spark, docs, rows, empty):
+    odd = docs.withColumn("removed", F.lit("mine")).withColumn("quality", F.lit(5)).withColumn("kept", F.lit("k")).withColumn("base_failed", F.lit("b"))
+    spans = substring.repeated_spans(odd)
+    out = substring.remove_spans(odd, spans, "gone")
+    assert out.columns == [*odd.columns, "gone"] and out.where("removed = 'mine'").count() == len(rows)
+    assert substring.remove_spans(odd, spans).columns == [*(c for c in odd.columns if c != "removed"), "removed"]
+    assert substring.repeated_spans(empty).count() == 0 and substring.remove_spans(empty, substring.repeated_spans(empty)).count() == 0
+    cleaned = quality_rules.clean(odd)
+    assert cleaned.columns == odd.columns and cleaned.where("kept = 'k' AND base_failed = 'b'").count() == cleaned.count() > 0
+    weights, _ = weak_labels.fit(odd)
+    assert weak_labels.score(odd, weights, "how_good").where("quality = 5").count() == len(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.score(odd, toxicity.fit(odd, labels), "bad").where("score = 1.5").count() == docs.where("score = 1.5").count()
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert quality_rules.assess(empty).count() == 0
+
+
+# fingerprints in plain code
+
+
+def test_anchors_match_plain_code(spark):
+    """Closed syncmers by plain loops over Spark's own hashes of words and pairs."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n)) for n in (1, 4, 5, 6, 7, 9, 30, 200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    split = F.split("text", " ")
+    hashes = F.transform(split, lambda w: F.xxhash64(w))
+    pieces = F.when(F.size(split) > 1, F.transform(F.sequence(F.lit(0), F.size(split) - 2), lambda i: F.xxhash64(hashes[i], hashes[i + 1])))
+    got = frame.select("text", hashes.alias("h"), pieces.alias("p"), syncmers.anchors(F.col("text")).alias("a")).collect()
+    for x in got:
+        at = [i for i in range(len(x.h) - 4) if min(x.p[i], x.p[i + 3]) <= min(x.p[i + 1], x.p[i + 2])]
+        assert [a.at for a in x.a] == (at or [0])
+        same = {}
+        for a in x.a:
+            same.setdefault(tuple(x.text.split()[a.at : a.at + 5]) if at else None, set()).add(a.hash)
+        assert all(len(v) == 1 for v in same.values()) and len({v for s in same.values() for v in s}) == len(same)
+
+
+def test_likeness_is_the_share_of_joint_smallest_hashes(spark):
+    r = random.Random(8)
+    sets = [(sorted(r.sample(range(-300, 300), n)), sorted(r.sample(range(-300, 300), m))) for n, m in ((0, 0), (0, 5), (64, 64), (64, 20), (3, 3))]
+    got = [x.l for x in spark.createDataFrame(sets, "a array<int>, b array<int>").select(syncmers.likeness(F.col("a"), F.col("b")).alias("l")).collect()]
+    for (a, b), like in zip(sets, got, strict=True):
+        joint = sorted({*a, *b})[: syncmers.KEPT]
+        assert like == (len([x for x in joint if x in a and x in b]) / len(joint) if joint else 1.0)
