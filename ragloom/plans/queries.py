@@ -250,7 +250,15 @@ def sentence_chunks(spark, sf_dir):
     return chunks.select("doc_id", "chunk_id", "start_sentence", "end_sentence", chunking.chunk_key(F.col("text"), F.col("doc_id"), F.col("chunk_id")).alias("chunk_key"))
 
 
-@query()
+_SEMANTIC = f"""s AS (SELECT doc_id, {_sentences('text')} AS s FROM documents), parts AS (SELECT doc_id AS d, unnest(range(len(s))) AS i, len(s) AS n, unnest(s) AS text FROM s WHERE len(s) > 0),
+docs AS (SELECT d * 1000000 + i AS doc_id, {_TOKENS.format('text')} AS ts FROM parts), {_HASHED.format('docs', 'doc_id')},
+pairs AS (SELECT d, i, n, text, b.v AS bv, a.v AS av FROM parts JOIN docs_v b ON b.id = d * 1000000 + i LEFT JOIN docs_v a ON a.id = d * 1000000 + i - 1 AND i > 0),
+c AS (SELECT d, i, n, text, CASE WHEN n > 2 AND i > 0 AND round({_COSINE.replace('a.v', 'av').replace('b.v', 'bv')}, 6) < 0.2 THEN 1 ELSE 0 END AS cut FROM pairs),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY d ORDER BY i) AS run FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY d, run ORDER BY i) - 1 AS pos FROM r),
+g AS (SELECT d, run, CASE WHEN n > 2 THEN pos // 9 ELSE 0 END AS k, min(i) AS a, max(i) AS b, string_agg(text, ' ' ORDER BY i) AS t FROM p GROUP BY ALL)"""
+
+
+@query(f"WITH {_SEMANTIC} SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY a) - 1 AS INTEGER) AS chunk_id, CAST(a AS INTEGER) AS start_sentence, CAST(b AS INTEGER) AS end_sentence, md5(t) AS text_md5 FROM g")
 def semantic_chunks(spark, sf_dir):
     chunks = chunking.semantic_chunks(documents(spark, sf_dir), threshold=0.2)
     return chunks.select("doc_id", "chunk_id", "start_sentence", "end_sentence", F.md5("text").alias("text_md5"))
