@@ -72,9 +72,23 @@ def semantic_chunks(docs: DataFrame, embedder: Embedder | None = None, threshold
     return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")).where(F.size("parts") > 0), bounds("parts"), "semantic")
 
 
-def numbered(chunks: DataFrame, example: str) -> DataFrame:
+def numbered(chunks: DataFrame, example: str, order: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
     """chunks with global_chunk_id, dense from 0 within each example."""
-    return chunks.withColumn("global_chunk_id", F.row_number().over(Window.partitionBy(example).orderBy("doc_id", "chunk_id")) - 1)
+    return chunks.withColumn("global_chunk_id", F.row_number().over(Window.partitionBy(example).orderBy(*order)) - 1)
+
+
+def chunk_examples(examples: DataFrame, strategy: str = "sentence", **options) -> DataFrame:
+    """Chunks of examples (example_id, documents: array of texts): example_id, doc_idx, chunk_id, global_chunk_id, text, strategy.
+
+    Blank documents give no chunks, but doc_idx counts them. An example is one row, and its chunks are numbered in one task.
+    """
+    cut = {"none": no_chunks, "sentence": sentence_chunks, "semantic": semantic_chunks}
+    if strategy not in cut:
+        raise ValueError(f"unknown strategy {strategy}: choose from {', '.join(cut)}")
+    rows = examples.select("example_id", F.posexplode("documents").alias("doc_idx", "text"))
+    rows = rows.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "") != "").select(F.struct("example_id", "doc_idx").alias("doc_id"), "text")
+    chunks = cut[strategy](rows, **options).select("doc_id.example_id", "doc_id.doc_idx", "chunk_id", "text", "strategy")
+    return numbered(chunks, "example_id", ("doc_idx", "chunk_id"))
 
 
 def chunk_key(text: Column, doc_id: Column, at: Column) -> Column:

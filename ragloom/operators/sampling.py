@@ -15,9 +15,15 @@ def pool(rows: DataFrame, by: str, key: str, n: int, backups: int = 3, seed: int
     return rows.withColumn("place", place).where(F.col("place") <= n * backups).withColumn("is_backup", F.col("place") > n)
 
 
-def first_valid(rows: DataFrame, by: str, n: int, valid: Column) -> DataFrame:
-    """The first n valid rows of each group, in the order of place."""
-    return rows.where(valid).withColumn("used", F.row_number().over(Window.partitionBy(by).orderBy("place"))).where(F.col("used") <= n)
+def first_valid(rows: DataFrame, by: str, n: int, valid: Column, score: Column | None = None, least: float | None = None) -> DataFrame:
+    """The first n valid rows of each group, in the order of place. With a score, rows that score below `least`, or 0 where it is None, count as failed too."""
+    ok = valid if score is None else valid & ((score != 0) if least is None else (score >= least))
+    return rows.where(ok).withColumn("used", F.row_number().over(Window.partitionBy(by).orderBy("place"))).where(F.col("used") <= n)
+
+
+def to_retry(results: DataFrame, score: str = "trace", least: float = 0.01) -> DataFrame:
+    """The result rows that a further pass asks again: invalid ones and those that score below `least`."""
+    return results.where(~F.coalesce("is_valid", F.lit(False)) | (F.coalesce(score, F.lit(0.0)) < least))
 
 
 def noise_mix(records: DataFrame, ratio: float, many: int = 5, seed: int = 42) -> DataFrame:

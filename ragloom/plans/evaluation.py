@@ -159,3 +159,10 @@ def evaluate_configs(samples: DataFrame, documents: DataFrame, configs: list[tup
     if out is None:
         raise ValueError("no configurations")
     return out
+
+
+def answer(spark: SparkSession, documents: DataFrame, question: str, config: tuple[str, str, str] = ("sparse", "sentence", "bm25"), **how) -> DataFrame:
+    """One question over documents (doc_id, text): retrieval, answer, judgement and scores in one row. how: see evaluate_configs()."""
+    corpus = F.lit("")
+    sample = spark.createDataFrame([(0, "0", question)], "sample_id long, example_id string, question string").withColumn("corpus", corpus)
+    return evaluate_configs(sample, documents.select(F.lit("0").alias("example_id"), "doc_id", "text"), [config], **how)

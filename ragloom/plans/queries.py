@@ -607,3 +607,37 @@ def sample_statistics(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("documents"))
     samples = said.select((F.col("conv_id") % 3).alias("domain"), "documents", F.when(F.col("conv_id") % 2 == 0, 0.25).otherwise(0.5).alias("context_relevance"))
     return aggregation.sample_statistics(samples, "domain")
+
+
+@query(f"""WITH d AS (SELECT conv_id AS example_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS doc_idx, text FROM conversations),
+s AS (SELECT example_id, doc_idx, {_sentences('text')} AS s FROM d WHERE regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''),
+w AS (SELECT example_id, doc_idx, s, unnest(range(CASE WHEN len(s) <= 2 THEN 1 ELSE CAST(len(s) - 2 AS BIGINT) + 1 END)) AS k FROM s WHERE len(s) > 0)
+SELECT example_id, CAST(doc_idx AS INTEGER) AS doc_idx, CAST(k AS INTEGER) AS chunk_id, CAST(row_number() OVER (PARTITION BY example_id ORDER BY doc_idx, k) - 1 AS INTEGER) AS global_chunk_id,
+md5(array_to_string(s[k + 1:least(k + 2, len(s))], ' ')) AS text_md5 FROM w""")
+def example_chunks(spark, sf_dir):
+    """Conversations as examples whose turns are documents, in windows of two sentences that begin at every sentence."""
+    said = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("example_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("documents"))
+    chunks = chunking.chunk_examples(said, "sentence", size=2, overlap=1)
+    return chunks.select("example_id", "doc_idx", "chunk_id", "global_chunk_id", F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT doc_id, source FROM ({_RESULTS}) WHERE toxic <> 0 OR (a + b + a * b + quality) / 4 < 0.3")
+def retry_rows(spark, sf_dir):
+    """The results that a further pass asks again."""
+    rows = _results(spark, sf_dir).withColumn("trace", trace_average(*(F.col(f"computed_{s}") for s in aggregation.SCORES)))
+    return sampling.to_retry(rows, least=0.3).select("doc_id", "source")
+
+
+@query(f"""WITH p AS (SELECT r.*, row_number() OVER (PARTITION BY source ORDER BY {_h('source', 'doc_id')}, doc_id) AS place FROM ({_RESULTS}) r),
+v AS (SELECT source, doc_id, place, row_number() OVER (PARTITION BY source ORDER BY place) AS used FROM p WHERE place <= 30 AND toxic = 0 AND a <> 0)
+SELECT source, doc_id, CAST(place AS INTEGER) AS place, CAST(used AS INTEGER) AS used FROM v WHERE used <= 10""")
+def first_valid(spark, sf_dir):
+    """Ten results of each source from its pool, invalid and zero ones replaced by the next backups."""
+    pool = sampling.pool(_results(spark, sf_dir), "source", "doc_id", 10)
+    return sampling.first_valid(pool, "source", 10, F.col("is_valid"), F.col("computed_relevance")).select("source", "doc_id", "place", "used")
+
+
+@query(f"SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY {_h('source', 'doc_id')}, doc_id) AS place FROM documents) WHERE place <= 10")
+def demo_samples(spark, sf_dir):
+    """Ten documents of each source to show."""
+    return sampling.pool(table(spark, sf_dir, "documents"), "source", "doc_id", 10, backups=1).select("source", "doc_id")

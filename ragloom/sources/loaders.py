@@ -9,6 +9,13 @@ from ragloom.operators.ordering import running_before
 
 #: The domains that are known by name.
 DOMAINS = ("finqa", "cuad", "delucionqa", "hotpotqa", "covidqa")
+DOMAIN_INFO = {
+    "finqa": ("Finance", "Financial question answering from earnings reports and SEC filings"),
+    "cuad": ("Legal", "Contract Understanding Atticus Dataset - legal clause extraction"),
+    "delucionqa": ("Customer Support", "Technical customer support Q&A from IT domain"),
+    "hotpotqa": ("General Knowledge", "Multi-hop reasoning questions from Wikipedia"),
+    "covidqa": ("Biomedical", "COVID-19 biomedical research questions"),
+}
 #: Candidate names of a field, the first that holds something wins.
 ALIASES = {"id": ("id", "idx", "example_id"), "question": ("question", "query"), "response": ("response", "answer")}
 DOCUMENT_ALIASES = ("documents", "context", "contexts", "retrieved_contexts")
@@ -19,7 +26,20 @@ ADHERENCE_ALIASES = ("adherence", "adherence_score", "faithfulness")
 
 
 def domains(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, d.upper()) for d in DOMAINS], "key string, name string")
+    """key, name, description and subset of the domains that are known."""
+    return spark.createDataFrame([(d, *DOMAIN_INFO[d], d) for d in DOMAINS], "key string, name string, description string, subset string")
+
+
+def domain_info(spark: SparkSession, domain: str) -> dict:
+    """The known fields of a domain; an error for any other."""
+    if domain not in DOMAINS:
+        raise ValueError(f"unknown domain {domain}: choose from {', '.join(DOMAINS)}")
+    return domains(spark).where(F.col("key") == domain).first().asDict()
+
+
+def available(spark: SparkSession, root: str) -> DataFrame:
+    """The domains and splits that a folder partitioned by them has, and whether they are known by name."""
+    return spark.read.parquet(root).select("domain", "split").distinct().withColumn("known", F.col("domain").isin(*DOMAINS))
 
 
 def load_domain(spark: SparkSession, root: str, domain: str, split: str = "test") -> DataFrame:

@@ -177,3 +177,16 @@ def test_model_rerank_and_blocks_of_queries(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.dense_top(vectors, queries, 3, True).collect()))
     monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
     assert sorted(map(tuple, retrieval.dense_top(vectors, queries, 3, True).collect())) == whole and len(whole) == 120
+
+
+def test_one_question_and_what_is_there(spark, tmp_path):
+    from ragloom.plans.evaluation import answer
+
+    docs = spark.createDataFrame([(1, "Planet one has rings. Its moons are cold."), (2, "Tea is hot. Milk is not.")], "doc_id long, text string")
+    got = answer(spark, docs, "Which moons are cold?").collect()
+    assert len(got) == 1 and got[0].generated_response == "Its moons are cold." and got[0].computed_relevance > 0
+    spark.createDataFrame([("finqa", "test", 1), ("other", "dev", 2)], "domain string, split string, n int").write.partitionBy("domain", "split").parquet(f"{tmp_path}/sets")
+    assert {(r.domain, r.split, r.known) for r in loaders.available(spark, f"{tmp_path}/sets").collect()} == {("finqa", "test", True), ("other", "dev", False)}
+    assert loaders.domain_info(spark, "cuad")["name"] == "Legal"
+    with pytest.raises(ValueError):
+        loaders.domain_info(spark, "none")
