@@ -557,7 +557,7 @@ def test_votes_and_estimation_by_plain_code(spark, docs, rows):
     patterns = sorted(counts)
     post, rates, share = weak_labels.estimate(np.array(patterns), np.array([counts[p] for p in patterns], dtype=float))
     by = dict(zip(patterns, post.tolist(), strict=True))
-    assert sum((by[c] >= 0.5) == t for c, t in zip(cast, truth, strict=True)) >= 0.96 * len(truth) and abs(share - 0.75) < 0.03
+    assert sum((by[c] >= 0.5) == t for c, t in zip(cast, truth, strict=True)) >= 0.96 * len(truth) and abs(share - 0.75) < 0.06
     for p, found in by.items():
         good, bad = share, 1 - share
         for m, v in enumerate(p):
