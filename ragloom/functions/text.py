@@ -113,6 +113,13 @@ def normalized_answer(text: Column, ascii_only: bool = False) -> Column:
     return F.element_at(normalized_answers(F.array(text), ascii_only), 1)
 
 
+def flat_answers(answers: Column) -> Column:
+    """The texts of a VARIANT that is a text, a list of texts, or lists in a list."""
+    texts = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
+    items = F.try_variant_get(answers, "$", "array<variant>")
+    return F.coalesce(F.flatten(F.transform(items, texts)), F.array(F.try_variant_get(answers, "$", "string")))
+
+
 def contains_answer(response: Column, answers: Column, ascii_only: bool = False) -> Column:
     """Whether any of the array of answers is in the response, both normalised."""
     every = normalized_answers(F.concat(F.array(response), answers), ascii_only)

@@ -61,3 +61,22 @@ def embedded(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector
 def not_indexed(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The chunks that an index does not hold yet."""
     return chunks.join(index.select(key), key, "left_anti")
+
+
+def index_chunks(chunks: DataFrame, path: str, embedder: Embedder, clear: bool = False, batch: int = 100) -> dict[str, int]:
+    """Add the chunks (chunk_id, text and what else they have) that the table of vectors at path lacks; clear begins it anew.
+
+    Returns how many chunks came, how many were there and how many the table has. Chunks with one chunk_id count once.
+    """
+    spark = chunks.sparkSession
+    new, mode = chunks.dropDuplicates(["chunk_id"]), "overwrite"
+    if not clear:
+        try:
+            new, mode = not_indexed(new, spark.read.parquet(path)), "append"
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    before = spark.read.parquet(path).count() if mode == "append" else 0
+    embedded(new, "text", embedder, batch=batch).write.mode(mode).parquet(path)
+    total = spark.read.parquet(path).count()
+    return {"added": total - before, "held_before": before, "total": total}

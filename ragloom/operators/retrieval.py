@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import content_tokens
+from ragloom.operators.embedding import Embedder, HashingEmbedder, embedded
 
 Tokens = Callable[[Column], Column]
 #: A set of queries is sent to every task if its terms are at most so many rows; beyond that Spark joins by shuffling.
@@ -236,16 +237,39 @@ def hybrid_reranked(dense: DataFrame, sparse: DataFrame, documents: DataFrame, q
     return rerank(hybrid(dense, sparse, replace(spec, top_k=candidates)), documents, queries, spec.top_k, score)
 
 
-def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), keep: Column | None = None) -> DataFrame:
-    """Sparse top-k by the spec's method. keep filters documents by metadata after scoring, so corpus statistics stay whole."""
-    methods = {
+def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), keep: Column | None = None, embedder: Embedder | None = None, score: Callable[[Column, Column], Column] = lexical_pair_score) -> DataFrame:
+    """Top-k by the spec's method: query_id, doc_id, score, rank. keep filters documents by metadata after scoring, so corpus statistics stay whole.
+
+    bm25, tfidf and tfidf_ngram are sparse; dense takes the embedder's vectors; hybrid fuses dense with spec.sparse, and
+    hybrid_rerank reranks 20 of these by a pair score, which is then the score.
+    """
+    sparse = {
         "bm25": lambda: bm25_scores(documents, queries, spec),
         "tfidf": lambda: tfidf_scores(documents, queries),
         "tfidf_ngram": lambda: tfidf_scores(documents, queries, ngrams(content_tokens, 2), VOCABULARY),
     }
-    if spec.method not in methods:
-        raise ValueError(f"unknown method {spec.method}: choose from {', '.join(methods)}")
-    scores = methods[spec.method]()
-    if keep is not None:
-        scores = scores.join(documents.where(keep).select("doc_id"), "doc_id", "left_semi")
-    return top_k(scores.where(F.round("score", 6) > 0), spec.top_k)
+    known = (*sparse, "dense", "hybrid", "hybrid_rerank")
+    if spec.method not in known:
+        raise ValueError(f"unknown method {spec.method}: choose from {', '.join(known)}")
+
+    def kept(scores: DataFrame) -> DataFrame:
+        return scores if keep is None else scores.join(documents.where(keep).select("doc_id"), "doc_id", "left_semi")
+
+    if spec.method in sparse:
+        return top_k(kept(sparse[spec.method]()).where(F.round("score", 6) > 0), spec.top_k)
+    wanted = spec.top_k if spec.method == "dense" else 2 * spec.top_k if spec.method == "hybrid" else 40
+    own = documents if keep is None else documents.where(keep)  # vectors have no statistics
+    near = dense_top(embedded(own.select("doc_id", "text"), "text", embedder or HashingEmbedder()), embedded(queries.select("query_id", "text"), "text", embedder or HashingEmbedder()), wanted)
+    if spec.method == "dense":
+        return near
+    if spec.method == "hybrid":
+        return hybrid(near, kept(sparse[spec.sparse]()), spec)
+    best = hybrid_reranked(near, kept(sparse[spec.sparse]()), documents, queries, spec, score=score)
+    return best.select("query_id", "doc_id", F.col("rerank_score").alias("score"), F.col("new_rank").alias("rank"))
+
+
+def corpus_statistics(documents: DataFrame, tokens: Tokens = content_tokens) -> DataFrame:
+    """What an index holds: documents, tokens, terms and the mean number of tokens."""
+    rows = documents.select(tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    terms = rows.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_terms"))
+    return rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n_tokens"), F.round(F.avg(F.size("t")), 6).alias("mean_tokens")).join(F.broadcast(terms))

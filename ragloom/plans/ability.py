@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.prompts import bare_prompt, documents_prompt
 from ragloom.functions.text import contains_answer, detects_error, is_rejection
+from ragloom.operators.sampling import noise_mix
 
 # The abilities, and the measure that models rank by in each.
 RANKED_BY = {"noise_robustness": "accuracy", "negative_rejection": "rejection_rate", "information_integration": "accuracy", "counterfactual_robustness": "error_correction"}
@@ -24,6 +25,12 @@ def flat_positives(record: Column) -> Column:
     return F.coalesce(F.flatten(parts), F.array().cast("array<string>"))
 
 
+def integration_documents(records: DataFrame, ratio: float, many: int = 5, seed: int = 42) -> DataFrame:
+    """id and documents of VARIANT records (id, record): noise_mix() of the negatives and the positives taken out of their lists."""
+    rows = records.select("id", flat_positives(F.col("record")).alias("positive"), F.try_variant_get("record", "$.negative", "array<string>").alias("negative"))
+    return noise_mix(rows, ratio, many, seed)
+
+
 def with_prompts(rows: DataFrame) -> DataFrame:
     """rows (question, documents) with the prompts that ask with documents and without."""
     return rows.withColumn("prompt", documents_prompt(F.col("documents"), F.col("question"))).withColumn("bare_prompt", bare_prompt(F.col("question")))

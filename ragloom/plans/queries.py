@@ -641,3 +641,23 @@ def first_valid(spark, sf_dir):
 def demo_samples(spark, sf_dir):
     """Ten documents of each source to show."""
     return sampling.pool(table(spark, sf_dir, "documents"), "source", "doc_id", 10, backups=1).select("source", "doc_id")
+
+
+@query(f"""SELECT doc_id, md5({_sql_normal("text || ' fi1a2 km'")}) AS normal_md5, contains({_sql_normal("text || ' fi1a2 km'")}, 'fi1a2') AS has_answer FROM documents""")
+def compatible_answers(spark, sf_dir):
+    """Answers that end in ligatures, circled and wide characters, which normalising takes apart."""
+    said = documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" \ufb01\u2460\uff21\u00b2 \u339e")).alias("t"))
+    return said.select("doc_id", F.md5(text.normalized_answer(F.col("t"))).alias("normal_md5"), text.contains_answer(F.col("t"), F.array(F.lit("\ufb01\u2460\uff21\u00b2"))).alias("has_answer"))
+
+
+@query(f"""WITH t AS (SELECT {_TOKENS.format("coalesce(text, '')")} AS ts FROM documents) SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_tokens, round(avg(len(ts)), 6) AS mean_tokens,
+(SELECT count(DISTINCT term) FROM (SELECT unnest(ts) AS term FROM t)) AS n_terms FROM t""")
+def index_statistics(spark, sf_dir):
+    return retrieval.corpus_statistics(documents(spark, sf_dir))
+
+
+@query(f"WITH {_DOCS_TOKENS}, {_DENSE} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM ({_RANKED.format("dense JOIN docs USING (doc_id) WHERE lang = 'en'", 5)})")
+def dense_text_filtered(spark, sf_dir):
+    """The nearest documents of a language by vectors of their texts."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    return retrieval.retrieve(docs, asks, RetrievalSpec(method="dense"), keep=F.col("lang") == "en").select("query_id", "doc_id", "score", "rank")

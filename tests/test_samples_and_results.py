@@ -190,3 +190,28 @@ def test_one_question_and_what_is_there(spark, tmp_path):
     assert loaders.domain_info(spark, "cuad")["name"] == "Legal"
     with pytest.raises(ValueError):
         loaders.domain_info(spark, "none")
+
+
+def test_index_grows_and_answers_nest(spark, tmp_path):
+    from ragloom.functions.text import contains_answer, flat_answers
+    from ragloom.operators.embedding import HashingEmbedder, index_chunks
+
+    chunks = spark.range(5).select(F.col("id").cast("string").alias("chunk_id"), F.concat(F.lit("word number"), "id").alias("text"))
+    at = f"{tmp_path}/index"
+    assert index_chunks(chunks.where("chunk_id < 3"), at, HashingEmbedder()) == {"added": 3, "held_before": 0, "total": 3}
+    assert index_chunks(chunks, at, HashingEmbedder()) == {"added": 2, "held_before": 3, "total": 5}
+    assert index_chunks(chunks.where("chunk_id < 2"), at, HashingEmbedder(), clear=True)["total"] == 2
+    rows = variants(spark, [["a", ["b", "zz"]], "zz", ["q"]]).select(flat_answers(F.col("r")).alias("f")).withColumn("c", contains_answer(F.lit("x ZZ y"), F.col("f")))
+    assert [(r.f, r.c) for r in rows.collect()] == [(["a", "b", "zz"], True), (["zz"], True), (["q"], False)]
+    record = variants(spark, [{"positive": [["p1", "p2"], "p3"], "negative": ["n1"]}]).select(F.lit(1).alias("id"), F.col("r").alias("record"))
+    assert sorted(ability.integration_documents(record, 0.4).first().documents) == ["n1", "p1", "p2", "p3"]
+
+
+def test_retrieve_knows_every_method(spark):
+    docs = spark.createDataFrame([(i, f"planet number{i} with moons", "en" if i % 2 else "fr") for i in range(8)], "doc_id long, text string, lang string")
+    asks = spark.createDataFrame([(0, "planet number3")], "query_id long, text string")
+    for method in ("bm25", "tfidf", "tfidf_ngram", "dense", "hybrid", "hybrid_rerank"):
+        got = retrieval.retrieve(docs, asks, retrieval.RetrievalSpec(method=method, top_k=2), keep=F.col("lang") == "en").orderBy("rank").collect()
+        assert got[0].doc_id == 3 and len(got) == 2 and all(r.doc_id % 2 for r in got), method
+    with pytest.raises(ValueError):
+        retrieval.retrieve(docs, asks, retrieval.RetrievalSpec(method="other"))
