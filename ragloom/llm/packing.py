@@ -115,9 +115,9 @@ class Encoder:
     encoded as they are."""
 
     #: Words remembered; those met first stay, as frequent ones are among them.
-    MOST = 600_000
+    MOST = 400_000
     #: New words that are encoded at a time, characters beyond which a word is encoded on its own, and bytes of text that are looked at together.
-    LINES, LONG, BYTES = 4096, 200, 1 << 21
+    LINES, LONG, BYTES = 4096, 200, 1 << 19
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -273,8 +273,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
 
         waiting = 0
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
+            for a in range(0, len(batch), 200):
+                part = batch.iloc[a : a + 200]
                 for doc_id, ids in zip(part["doc_id"], encoder(["" if t is None else t for t in part["text"]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     names.append((None if pd.isna(doc_id) else int(doc_id), len(ids), 0))
