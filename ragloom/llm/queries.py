@@ -158,6 +158,33 @@ def op9_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op13_importance_resampling(spark, sf_dir):
+    from ragloom.llm.importance import scores
+
+    return scores(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE c(i, bits, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, bits + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE bits < 8),
+crc AS (SELECT list(v ORDER BY i) AS tab FROM c WHERE bits = 8),
+d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT r, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+hashed AS (SELECT w, list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex(encode(w))) // 2 + 1), lambda k: CAST('0x' || substr(hex(encode(w)), 2 * k - 1, 2) AS BIGINT))),
+                                 lambda x, y: xor(tab[(xor(x, y) & 255) + 1], x >> 8)) AS v
+           FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc),
+bucket AS (SELECT w, xor(v, 4294967295) % 10000 AS bucket FROM hashed),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN bucket USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bw JOIN bucket USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM bw)::DOUBLE AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+w AS (SELECT r, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM dw JOIN bucket USING (w) JOIN gain USING (bucket) GROUP BY r),
+h AS (SELECT d.r, doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w ON w.r = d.r),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -170,6 +197,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -179,4 +207,5 @@ def oracle_sql() -> dict:
         "op3_mixing": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
         "op6_chat_formatting": OP6_SQL,
+        "op13_importance_resampling": OP13_SQL,
     }
