@@ -88,6 +88,12 @@ def sentence_ends(tokenizer) -> np.ndarray:
     return out
 
 
+def byte_level() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: bytes without a visible character are the code points from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+
 def by_ranks(path: str):
     """A faster encoder with the same ids as the tokenizer in the file, where its merges of bytes are in the order of their ids; else None."""
     import tiktoken
@@ -101,9 +107,7 @@ def by_ranks(path: str):
         return None
     if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return None
-    # the file writes bytes that have no visible character as the code points from 256 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    byte = byte_level()
     ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
     return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
@@ -114,12 +118,21 @@ class Encoder:
     New words are encoded many at a time, as lines of one text, by the same merges. Texts with other white space are
     encoded as they are."""
 
+    #: What stands before every text.
+    PREFIX = ""
     #: Words remembered; those met first stay, as frequent ones are among them.
     MOST = 400_000
     #: New words that are encoded at a time, characters beyond which a word is encoded on its own, and bytes of text that are looked at together.
     LINES, LONG, BYTES = 4096, 200, 1 << 19
 
     def __init__(self, path: str):
+        self.load(path)
+        # the words known: their hashes in order, each word's number, and by number where its bytes and ids end in one array of all
+        self.hashes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.byte_ends, self.id_ends = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.bytes, self.ids = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint32)
+
+    def load(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -127,10 +140,6 @@ class Encoder:
         self.after = sentence_ends(self.tokenizer)
         self.ranks = by_ranks(path)
         (self.line_break,) = self._whole(["\n"])
-        # the words known: their hashes in order, each word's number, and by number where its bytes and ids end in one array of all
-        self.hashes, self.number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.byte_ends, self.id_ends = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        self.bytes, self.ids = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -151,17 +160,20 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # plain: as many gaps as blanks and line breaks, so each stands alone between words and there is no other white space
-        raw = [t.encode("utf-8", "surrogatepass") if t and len(t.split()) == t.count(" ") + t.count("\n") + 1 else b"" for t in texts]
+        raw = [(self.PREFIX + t).encode("utf-8", "surrogatepass") if t and len(t.split()) == t.count(" ") + t.count("\n") + 1 else b"" for t in texts]
         plain = [i for i, r in enumerate(raw) if 0 < len(r) <= self.BYTES]
         out: list = [None] * len(texts)
         for a, b in chunks([raw[i] for i in plain], self.BYTES):
             for i, ids in zip(plain[a:b], self._plain([raw[i] for i in plain[a:b]]), strict=True):
                 out[i] = ids
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self._texts([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        return self._whole([self.PREFIX + t for t in texts])
+
     def _plain(self, parts: list[bytes]) -> list[np.ndarray | None]:
         """Ids of plain texts; None for one with a word whose hash another word has."""
         buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
@@ -205,12 +217,13 @@ def gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.
     return size, values[np.repeat(ends[which] - at[:-1], size) + np.arange(at[-1])], at
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     """This Python worker's encoder: tasks that run in it after each other share the words it knows."""
     kept = sys.modules.setdefault("_ragloom_encoders", ModuleType("_ragloom_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    key = f"{kind.__name__} {path}"
+    if key not in kept:
+        kept[key] = kind(path)
+    return kept[key]
 
 
 def default_tokenizer() -> str:

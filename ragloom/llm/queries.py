@@ -158,6 +158,16 @@ def op9_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ragloom.llm.alignment import aligned, count_links
+
+    rows = aligned(documents(spark, sf_dir).select("doc_id", "text"))
+    rows = rows.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+    return count_links(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_importance_resampling(spark, sf_dir):
     from ragloom.llm.importance import scores
 
@@ -197,6 +207,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
