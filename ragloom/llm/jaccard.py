@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.llm.components import components
 from ragloom.llm.store import materialise, scratch
 from ragloom.llm.wordhash import chunks, encode, mix, set_digest, shingle_set, word_hashes
 
@@ -384,24 +385,7 @@ class _Join:
         return self.table(both.mapInPandas(run, "a long, b long").distinct(), "links", n, batch=100)  # a row holds two whole sets
 
     def components(self, links: DataFrame) -> DataFrame:
-        """node and label (the smallest node it reaches) of every node of links (a, b).
-
-        Each round a node takes the smallest label among its neighbours', then labels are followed once more, so that
-        rounds grow with the logarithm of a component's length. Every round is a table.
-        """
-        most = 2 * links.count()
-        edges = self.table(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges", most)
-        labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
-        labels = self.table(labels, "labels", most)
-        n = labels.count()
-        while True:
-            heard = edges.join(_sent(labels, n), edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-            nearer = heard.join(_sent(labels, n), labels["node"] == heard["a"]).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("via"))
-            ahead = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-            after = self.table(nearer.join(_sent(ahead, n), "via").select("node", "old", F.least("via", "next").alias("label")), "labels", n)
-            labels = after.select("node", "label")
-            if after.where("label <> old").isEmpty():
-                return labels
+        return components(links, self.table, _sent)
 
     def run(self, met: DataFrame) -> DataFrame:
         """set_id, label (the same for the sets of a component) and n_links of every set that has a link; met: see _groups."""

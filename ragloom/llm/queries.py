@@ -158,6 +158,23 @@ def op9_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
 
+def op11_embedding_near_dedup(spark, sf_dir):
+    from ragloom.llm.cover_tree import similar_vectors
+
+    return similar_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP11_SQL = """
+WITH RECURSIVE n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),
+reach(a, b) AS (SELECT a, a FROM (SELECT DISTINCT a FROM links) UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a, min(b) AS m FROM reach GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+
 def op12_cross_tokenizer_alignment(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -207,6 +224,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_embedding_near_dedup": op11_embedding_near_dedup,
         "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_importance_resampling": op13_importance_resampling,
     }
@@ -218,5 +236,6 @@ def oracle_sql() -> dict:
         "op3_mixing": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
         "op6_chat_formatting": OP6_SQL,
+        "op11_embedding_near_dedup": OP11_SQL,
         "op13_importance_resampling": OP13_SQL,
     }
