@@ -238,7 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
     A document's ids are its text's (special tokens' strings are ordinary text) and end_id; a null or empty text is the
     end_id alone. Cuts inside sentences are tried at every grid-th id. start counts the document's ids before the piece, offset the sequence's. sequence_id is unique in
     the result and grows with the order of rows within a task. Order is that in which rows are read. The last window of
-    a task is split at powers of two while that leaves less padding than its length. Rows with equal or null doc_id
+    a task is split at powers of two, which need no padding. Rows with equal or null doc_id
     are documents of their own. Other columns are ignored; an empty table gives an empty result.
     """
     path = tokenizer_path or default_tokenizer()
@@ -262,7 +262,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
             at, price = possible_cuts(ids, ends, encoder.after, size, grid)
             chosen = at[best_cuts(at, price, size)]
             if last:
-                chosen = np.r_[chosen[:-1], chosen[-2] + _tail(int(chosen[-1] - chosen[-2]), size)]
+                chosen = np.r_[chosen[:-1], chosen[-2] + _tail(int(chosen[-1] - chosen[-2]))] if chosen[-1] - chosen[-2] < size else chosen
             elif len(chosen) > 2:
                 chosen = chosen[:-1]
             cuts = np.unique(np.r_[chosen, ends[ends < chosen[-1]]])
@@ -302,12 +302,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECE)
 
 
-def _tail(length: int, size: int) -> np.ndarray:
-    """Cuts of a task's last window: a window of a power of two needs no padding; the rest of under size / 16 is padded."""
-    out, done = [], 0
-    while length - done >= size // 16 and length < size:
-        done += 1 << (length - done).bit_length() - 1
-        out.append(done)
-    if done < length:
-        out.append(length)
-    return np.array(out)
+def _tail(length: int) -> np.ndarray:
+    """Cuts of a task's last window: at the powers of two that make it up, largest first, so that none of its sequences is padded."""
+    return np.cumsum([1 << bit for bit in range(length.bit_length() - 1, -1, -1) if length >> bit & 1])

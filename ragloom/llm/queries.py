@@ -153,9 +153,14 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 def op9_packing(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from ragloom.llm.packing import pack
 
-    return pack(documents(spark, sf_dir))
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one row group is one task's: dealt by ranges, so that the order stays that of doc_id
+        docs = docs.repartitionByRange(cores, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return pack(docs)
 
 
 def op11_embedding_near_dedup(spark, sf_dir):
