@@ -101,14 +101,16 @@ def with_next(docs: DataFrame, order: str, carried: list[str], tie: str) -> Data
         rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_key", outputCol="_part").transform(rows)
     else:
         rows = rows.withColumn("_part", F.lit(0.0))
-    first = rows.groupBy("_part").agg(F.min(F.struct("_key", "_tie")).alias("f"))
+    # the double deals rows only; within a range order is that of the column itself
+    place = [F.col(order).isNull().alias("_none"), F.col(order).alias("_order"), "_key", "_tie"]
+    first = rows.groupBy("_part").agg(F.min(F.struct(*place)).alias("f"))
     line = Window.orderBy("_part")
     first = first.withColumn("to", F.coalesce(F.lag("_part").over(line), F.max("_part").over(Window.partitionBy())))
     # a row for each range, at most MOST_PARTS
-    first = F.broadcast(first.select(F.col("_part").alias("p"), F.col("f._key").alias("k"), F.col("f._tie").alias("t"), "to"))
-    guests = rows.join(first, (F.col("_part") == F.col("p")) & (F.col("_key") == F.col("k")) & (F.col("_tie") == F.col("t"))).withColumn("_part", F.col("to")).select(*rows.columns, F.lit(True).alias("_guest"))
+    first = F.broadcast(first.select(F.col("_part").alias("p"), F.col("f._order").alias("o"), F.col("f._key").alias("k"), F.col("f._tie").alias("t"), "to"))
+    guests = rows.join(first, (F.col("_part") == F.col("p")) & F.col(order).eqNullSafe(F.col("o")) & (F.col("_key") == F.col("k")) & (F.col("_tie") == F.col("t"))).withColumn("_part", F.col("to")).select(*rows.columns, F.lit(True).alias("_guest"))
     all_rows = rows.withColumn("_guest", F.lit(False)).unionByName(guests)
-    by = Window.partitionBy("_part").orderBy("_guest", "_key", "_tie")
+    by = Window.partitionBy("_part").orderBy("_guest", F.asc_nulls_last(order), "_key", "_tie")
     return reduce(lambda d, c: d.withColumn(f"next_{c}", F.lead(c).over(by)), carried, all_rows).where(~F.col("_guest")).drop("_key", "_tie", "_part", "_guest")
 
 
