@@ -1,8 +1,9 @@
 """Substring deduplication: units of text are hashed, digests grouped over all documents, the earliest occurrence stays.
 
 Units are lines, and where a line is long, pieces of it: it is cut where a pair of words has the smallest hash among its
-neighbours. A cut depends on the few words around it only, so a passage that repeats in the middle of other text
-falls into the same pieces in every document.
+neighbours in the line. A cut depends on the few words around it only, so a passage that repeats in the middle of other text
+falls into the same pieces in every document; and a line falls into the same pieces whatever lines stand beside it, so that a line
+repeats if all its pieces do.
 """
 
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.llm.store import materialise
 from ragloom.llm.wordhash import chunks, encode, mix, ngram_hashes, word_hashes
 
 _U = np.uint64
@@ -19,21 +21,28 @@ _U = np.uint64
 RADIUS = 3
 #: Neighbouring repeated units are removed if they have so many words together.
 LEAST_WORDS = 15
+#: A unit that more than one in so many repeated units is counts as frequent: there are no more of these.
+FREQUENT = 1000
 UNIT = "doc_id long, body long, unit int, first_word int, last_word int, start int, end int, line int, line_words int, digest long, again boolean"
 
 
-def cuts(words: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each word whether a piece ends after it."""
+def cuts(words: np.ndarray, line: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each word (line: the number of its line, ascending) whether a piece ends after it. Each line is cut by its own words alone."""
+    if len(words) < 2:
+        return np.ones(len(words), dtype=bool)
     out = np.zeros(len(words), dtype=bool)
-    pairs = ngram_hashes(words, 2)
-    if len(pairs) > 2 * radius:
-        seen = np.lib.stride_tricks.sliding_window_view(pairs, 2 * radius + 1)
-        middle = seen[:, radius]
-        least = np.ones(len(seen), dtype=bool)
-        for i in range(2 * radius + 1):
-            if i != radius:
-                least &= middle < seen[:, i]
-        out[radius + 1 : radius + 1 + len(least)] = least
+    # each pair of words has a place; between lines are places of 0, which nothing is smaller than
+    inner = line[1:] == line[:-1]
+    place = np.arange(len(words) - 1) + radius * (1 + np.cumsum(~inner))
+    hashes = np.zeros(int(place[-1]) + radius + 1, dtype=_U)
+    at = place[inner]
+    hashes[at] = ngram_hashes(words, 2)[inner]
+    least = np.ones(len(at), dtype=bool)
+    for i in range(1, radius + 1):
+        least &= (hashes[at] < hashes[at - i]) & (hashes[at] < hashes[at + i])
+    out[1:][inner] = least
+    out[:-1] |= ~inner
+    out[-1] = True
     return out
 
 
@@ -47,11 +56,9 @@ def units(docs: DataFrame) -> DataFrame:
         white = (buf == 32) | ((buf >= 9) & (buf <= 13))
         edge = np.flatnonzero(np.diff(np.r_[True, white, True].view(np.int8)))
         begins, stops = edge[0::2], edge[1::2]
-        ends = cuts(words)
         line = np.searchsorted(np.flatnonzero(buf == 10), begins)
-        ends[:-1] |= line[1:] != line[:-1]
+        ends = cuts(words, line)
         in_line = np.bincount(line)
-        ends[-1] = True
         last = np.flatnonzero(ends) + 1
         first = np.r_[0, last[:-1]]
         inside = np.arange(len(words)) - np.repeat(first, last - first)
@@ -96,8 +103,14 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, least_line_w
     """
     found = units(docs)
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
-    firsts = found.groupBy(F.col("digest").alias("of")).agg(F.min(rank).alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = found.join(firsts, F.col("digest") == F.col("of")).where((rank > F.col("first_id")) | F.col("again"))
+    firsts = materialise(found.groupBy(F.col("digest").alias("of")).agg(F.min(rank).alias("first_id"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    # of all repeated units at most FREQUENT are frequent: these meet theirs where they are, the others in a shuffle
+    least = F.lit((firsts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    frequent, rest = (firsts.where(F.coalesce(F.col("n") > least, F.lit(False)) == F.lit(x)).drop("n") for x in (True, False))
+    met = found.join(F.broadcast(frequent.toDF("of_frequent", "frequent_first")), F.col("digest") == F.col("of_frequent"), "left")
+    common = met.where("of_frequent is not null").withColumnRenamed("frequent_first", "first_id").drop("of_frequent")
+    others = met.where("of_frequent is null").drop("of_frequent", "frequent_first").join(rest, F.col("digest") == F.col("of")).drop("of")
+    repeats = common.unionByName(others).where((rank > F.col("first_id")) | F.col("again"))
     run = F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id", "body").orderBy("unit"))
     # rows that are alike have every unit as often as there are rows
     words, line = F.col("last_word") - F.col("first_word"), Window.partitionBy("doc_id", "body", "line")
@@ -113,8 +126,10 @@ def remove_spans(docs: DataFrame, spans: DataFrame, name: str = "removed") -> Da
     A null text stays null, an empty one empty, repeated rows lose the same spans. A column of docs of that name is replaced;
     the other columns stay as they are, n_chars too.
     """
-    kept = spans.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_removed"))
-    rows = docs.drop(name).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")), "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))  # docs may have columns of any name
+    kept = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("body").alias("of_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    rows = docs.toDF(*names).join(kept, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64(at["text"]) == F.col("of_body")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -129,6 +144,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, name: str = "removed") -> Da
 
         return pd.Series([one(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
 
-    whole: Column = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(cut("text", "_removed"))
+    whole: Column = F.when(F.col("gone").isNull(), F.col(at["text"])).otherwise(cut(at["text"], "gone"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.withColumn("text", whole).withColumn(name, F.coalesce("_removed", none)).select(*(c for c in docs.columns if c != name), name)
+    own = [(whole if c == "text" else F.col(at[c])).alias(c) for c in docs.columns if c != name]
+    return rows.select(*own, F.coalesce("gone", none).alias(name))
