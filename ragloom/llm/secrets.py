@@ -19,18 +19,24 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.llm.store import materialise
+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.\-]{16,}")
 #: Names that a secret is assigned to, and names of values that look alike and are none.
 SECRET_NAMES = ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "access_key", "private")
 OTHER_NAMES = ("sha", "sha1", "sha256", "md5", "commit", "hash", "checksum", "digest", "uuid", "guid", "id", "etag", "version", "rev", "build", "file", "image", "path")
-#: The name of a secret and the sign of an assignment, with the value ahead: in quotes, or up to a blank or quote. A name may begin within a longer one.
+#: The name of a secret and the sign of an assignment. A name may begin within a longer one.
 ASSIGNED = re.compile(
     r"""(?:(?i:password|passwd|pwd|secret|token|api_?key|access_?key|credentials?|bearer)|(?<![A-Za-z])(?i:key|auth|private)|(?<=[a-z])(?:Key|Auth))"""
-    r"""["'`\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,2}|:)[ \t]{0,8}(?=(?:"([^"\n]{6,1000})"|'([^'\n]{6,1000})'|`([^`\n]{6,1000})`|["'`]?([^\s"'`]{6,})))"""
-)
+    r"""["'`\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,2}|:)[ \t]{0,8}"""
+)
+#: Characters of an assigned value: at least, and at most in quotes.
+SHORTEST, QUOTED = 6, 1000
+_VALUE_END = re.compile(r"""[\s"'`]|\Z""")
 #: The password of a URL: what stands between user and host.
 LOGIN = re.compile(r"""://[^\s/:@"'<>]{0,256}:(?=([^\s/"'<>]{1,256})@[^\s@/"'<>])""")
 _PAIRED = {")": "(", "]": "[", "}": "{", ">": "<"}
+_QUOTES = ('"', "'", "`")
 #: Labelled findings made for training, and the most frequent words of the corpus that these and the features use: bounds at any input size.
 FINDINGS, WORDS = 6000, 4000
 THRESHOLD = 0.5
@@ -168,18 +174,47 @@ def candidates(text: str) -> list[tuple[int, int]]:
         mixed = any(map(str.isdigit, v)) and any(map(str.isalpha, v))
         if mixed or re.search(r"(?i)(?:key|token|secret|password|passwd|pwd)\s*[:=]\s*[\"']?$", text[max(0, a - 40) : a]):
             out.add((a, b))
-    for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
-        a, b = m.span(m.lastindex)
-        if m.lastindex == 4:
-            # punctuation after a value without quotes, and a bracket that was opened before it, are no part of it
-            while b > a and (text[b - 1] in ",;." or text[b - 1] in _PAIRED and text.count(_PAIRED[text[b - 1]], a, b) < text.count(text[b - 1], a, b)):
-                b -= 1
-        if b - a >= 6:
-            out.add((a, b))
+    out.update(assigned(text))
     out.update(m.span(1) for m in (LOGIN.finditer(text) if "://" in text else ()))
     return sorted(out)
 
 
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of values that are assigned to the name of a secret: what quotes hold, else up to a blank, a quote or the next assignment.
+
+    Values without quotes don't overlap, so that the time is in proportion to the text, whatever it holds.
+    """
+    end = -1  # of the characters without a blank or quote that were looked at last
+    found = ASSIGNED.finditer(text) if "=" in text or ":" in text else iter(())
+    m = next(found, None)
+    while m:
+        a, m = m.end(), next(found, None)
+        if text[a : a + 1] in _QUOTES:
+            b = text.find(text[a], a + 1, a + 2 + QUOTED) if a < len(text) else -1
+            if b > a + SHORTEST and text.find("\n", a, b) < 0:
+                yield a + 1, b
+                continue
+            a += 1
+        if a > end:
+            end = _VALUE_END.search(text, min(a, len(text))).start()
+        b = min(end, m.start()) if m else end
+        # punctuation after a value without quotes, and a bracket that was opened before it, are no part of it
+        open_, closed, cut = {}, {}, b < end
+        while b > a:
+            c = text[b - 1]
+            if c in _PAIRED:
+                if not closed:  # counted once
+                    open_, closed = ({c: text.count(c, a, b) for c in side} for side in (_PAIRED.values(), _PAIRED))
+                if open_[_PAIRED[c]] >= closed[c]:
+                    break
+                closed[c] -= 1
+            elif c not in ",;." and not (cut and c in "&?|"):
+                break
+            b -= 1
+        if b - a >= SHORTEST:
+            yield a, b
+
+
 class Scanner:
     """A trained forest with the character transitions and common words that its features need."""
 
@@ -238,9 +273,10 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     """docs with the found spans (body, start, end) replaced by the mark; columns as in docs, n_chars, if there, follows the text.
 
     Spans that overlap get one mark. Null and empty texts and texts without spans stay as they are, equal texts change alike; an
-    empty table gives an empty result. docs' own columns must not be named _of, _body or _spans.
+    empty table gives an empty result. docs may have columns of any name.
     """
-    spans = found.groupBy(F.col("body").alias("_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    found = materialise(found.select("body", "start", "end"), "found")  # one scan, though it is counted and joined
+    spans = found.groupBy(F.col("body").alias("of_body")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     if found.count() <= MOST_SENT:
         spans = F.broadcast(spans)
 
@@ -256,8 +292,12 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
 
         return pd.Series([t if t is None or s is None else one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    rows = docs.withColumn("_of", F.xxhash64("text")).join(spans, F.col("_of") == F.col("_body"), "left")
-    rows = rows.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return rows.select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names)
+    rows = rows.join(spans, F.xxhash64(at["text"]) == F.col("of_body"), "left")
+    rows = rows.withColumn("cut", F.when(F.col("gone").isNull(), F.col(at["text"])).otherwise(cut(at["text"], "gone")))
+    out = {c: F.col(x) for c, x in at.items()} | {"text": F.col("cut")}
+    if "n_chars" in at:
+        out["n_chars"] = F.when(F.col("gone").isNull(), F.col(at["n_chars"])).otherwise(F.length("cut").cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*(x.alias(c) for c, x in out.items()))

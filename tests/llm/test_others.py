@@ -184,6 +184,15 @@ def test_fingerprints(docs, rows, empty):
             assert g.near_edited > 0.1
 
 
+def test_next_document_of_large_ids(spark):
+    rows = [((1 << 60) + i, f"text {i * 7919 % 40} of many words") for i in range(40)] + [(-(1 << 62), "first")]
+    got = {g.doc_id: g.edited_sha256 for g in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    rows.sort()
+    for (i, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        half = len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_anchors_are_context_free(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
@@ -321,6 +330,56 @@ def test_short_secrets_and_logins(spark, docs):
     assert safe == {i: t.replace(v, "[SECRET]") for i, (t, v) in secret.items()} | plain
 
 
+def plain_assigned(text):
+    """Assigned values by the rules, one character at a time."""
+    out, names = set(), [m for m in secrets.ASSIGNED.finditer(text)]
+    for k, m in enumerate(names):
+        a = m.end()
+        q = text[a : a + 1]
+        if q and q in "\"'`":
+            b = a + 1
+            while b < len(text) and text[b] not in (q, "\n"):
+                b += 1
+            if b < len(text) and text[b] == q and 6 <= b - a - 1 <= 1000:
+                out.add((a + 1, b))
+                continue
+            a += 1
+        b = a
+        last = names[k + 1].start() if k + 1 < len(names) else len(text)
+        while b < len(text) and not text[b].isspace() and text[b] not in "\"'`":
+            b += 1
+        whole, b = b, min(b, last)
+        cut = b < whole
+        while b > a:
+            c = text[b - 1]
+            if c in ")]}>" and text.count("([{<"[")]}>".index(c)], a, b) < text.count(c, a, b) or c in ",;." or cut and c in "&?|":
+                b -= 1
+            else:
+                break
+        if b - a >= 6:
+            out.add((a, b))
+    return out
+
+
+def test_assigned_values_by_plain_rules():
+    r = random.Random(31)
+    bits = ["password", "key", "token", "=", ": ", ":", '"', "'", "`", " ", "\n", "abc1", "Zz9!x", "(", ")", "]", "[", "&", ",", ".", "x" * 30, "=>", "api_key", "é"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 25)))
+        assert set(secrets.assigned(text)) == plain_assigned(text), text
+
+
+@pytest.mark.parametrize("text", ["key:" * 2_500_000, "password=" + ")" * 10_000_000, "key:abcdefg1" * 800_000, 'key:"' * 2_000_000, "key=((((()))))) " * 600_000, "://:" * 2_500_000])
+def test_candidates_of_very_long_texts_in_linear_time(text):
+    import time
+
+    began = time.time()
+    secrets.candidates(text[: len(text) // 10])
+    tenth = time.time() - began
+    secrets.candidates(text)
+    assert time.time() - began < 60 + 40 * tenth
+
+
 # packing
 
 
@@ -410,7 +469,13 @@ def test_packing_pads_little_and_splits_the_end_at_powers_of_two(spark):
     padding = sum(0 if n & (n - 1) == 0 else packing.SIZE - n for n in lengths.values())
     assert max(lengths.values()) <= packing.SIZE and padding <= 0.02 * sum(lengths.values())
     last = [lengths[max(s for s in lengths if s >> 33 == t)] for t in {s >> 33 for s in lengths}]
-    assert sum(n & (n - 1) == 0 or n < packing.SIZE // 16 for n in last) == len(last)
+    assert all(n & (n - 1) == 0 for n in last)
+
+
+def test_the_end_of_a_task_is_never_padded():
+    for n in range(1, packing.SIZE):
+        parts = np.diff(np.r_[0, packing._tail(n)]).tolist()
+        assert sum(parts) == n and all(p & (p - 1) == 0 for p in parts)
 
 
 def test_words_with_one_hash_are_told_apart(monkeypatch):
@@ -434,7 +499,7 @@ def plain_spans(rows, least_words, least_line_words=None, radius=substring.RADIU
         pairs = ngram_hashes(word_hashes([encode(text).lower()])[0], 2).tolist()
         units, first = [], 0
         for i in range(len(words)):
-            near = [pairs[j] for j in range(i - 1 - radius, i + radius) if 0 <= j < len(pairs) and j != i - 1]
+            near = [pairs[j] for j in range(i - 1 - radius, i + radius) if 0 <= j < len(pairs) and j != i - 1 and words[j][3] == words[j + 1][3] == words[i][3]]
             cut = len(near) == 2 * radius and pairs[i - 1] < min(near)
             if i == len(words) - 1 or words[i + 1][3] != words[i][3] or cut:
                 units.append((tuple(w[2].encode().lower() for w in words[first : i + 1]), words[first][0], words[i][1], words[i][3], i + 1 - first))
@@ -475,6 +540,28 @@ def test_spans_by_brute_force(spark, docs, rows, line):
         assert want and {tuple(x) for x in got} == want
 
 
+def test_a_line_repeats_whatever_stands_beside_it(spark):
+    r = random.Random(21)
+    some = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    long, short = some(16), some(10)
+    rows = [(i, "\n".join([some(r.randrange(1, 12)), long, some(r.randrange(1, 12)), short, some(3)])) for i in range(201)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, lines in ((None, (long,)), (8, (long, short))):
+        spans = substring.repeated_spans(frame, least_line_words=least)
+        cleaned = {x.doc_id: x.text for x in substring.remove_spans(frame, spans).collect()}
+        for line in lines:
+            assert line in cleaned[0] and not any(line in cleaned[i] for i in range(1, 201))
+
+
+def test_removal_beside_columns_of_any_name(spark, docs, rows):
+    odd = docs.selectExpr("*", "1 AS of_id", "2 AS of_body", "3 AS gone", "4 AS cut", "5 AS c0", "6 AS _id", "7 AS _body", "8 AS _removed")
+    out = substring.remove_spans(odd, substring.repeated_spans(odd))
+    assert out.columns == [*odd.columns, "removed"] and out.where("c0 = 5 AND gone = 3 AND _body = 7").count() == len(rows)
+    found = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").selectExpr("xxhash64(text) AS body", "0 AS start", "3 AS end").where("body <> 42")
+    safe = secrets.redact(odd, found)
+    assert safe.columns == odd.columns and safe.where("c0 = 5 AND gone = 3 AND of_body = 2").count() == len(rows) and safe.where("text LIKE '[SECRET]%'").count() > 50
+
+
 def test_clashing_columns_and_empty_tables(spark, docs, rows, empty):
     odd = docs.withColumn("removed", F.lit("mine")).withColumn("quality", F.lit(5)).withColumn("kept", F.lit("k")).withColumn("base_failed", F.lit("b"))
     spans = substring.repeated_spans(odd)
