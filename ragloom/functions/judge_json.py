@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The names of a judgement's fields, and the shapes of keys and of broken JSON.
 SCHEMA = (
     "struct<relevance_explanation:string,all_relevant_sentence_keys:array<string>,overall_supported_explanation:string,overall_supported:boolean,"
     "sentence_support_information:array<struct<response_sentence_key:string,explanation:string,supporting_sentence_keys:array<string>,fully_supported:boolean>>,"

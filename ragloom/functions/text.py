@@ -113,11 +113,20 @@ def normalized_answer(text: Column, ascii_only: bool = False) -> Column:
     return F.element_at(normalized_answers(F.array(text), ascii_only), 1)
 
 
+#: A text or another value without parts in JSON; brackets, commas and blanks are between them.
+_LEAF = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{},:"\s]++'
+
+
 def flat_answers(answers: Column) -> Column:
-    """The texts of a VARIANT that is a text, a list of texts, or lists in a list."""
-    texts = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
-    items = F.try_variant_get(answers, "$", "array<variant>")
-    return F.coalesce(F.flatten(F.transform(items, texts)), F.array(F.try_variant_get(answers, "$", "string")))
+    """The texts of a VARIANT that is a text or lists of texts, nested to any depth, in order; numbers and truth values as texts.
+
+    A null in a list is the text "None"; null and empty lists have no texts.
+    """
+    leaves = F.regexp_extract_all(F.to_json(answers), F.lit(_LEAF), F.lit(0))
+    # a leaf is unescaped by reading it as JSON
+    texts = F.transform(leaves, lambda x: F.when(x == "null", "None").otherwise(F.try_variant_get(F.try_parse_json(x), "$", "string")))
+    none = F.array().cast("array<string>")
+    return F.when(F.is_variant_null(answers) | answers.isNull(), none).otherwise(F.coalesce(texts, none))
 
 
 def contains_answer(response: Column, answers: Column, ascii_only: bool = False) -> Column:

@@ -8,13 +8,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import content_tokens
 from ragloom.operators.embedding import Embedder, HashingEmbedder, embedded
+from ragloom.operators.nearest import nearest
+from ragloom.operators.vector_index import VectorIndex
 
 Tokens = Callable[[Column], Column]
 #: A set of queries is sent to every task if its terms are at most so many rows; beyond that Spark joins by shuffling.
@@ -130,46 +131,14 @@ def tfidf_scores(documents: DataFrame, queries: DataFrame, tokens: Tokens = cont
 
 #: Terms of a bounded vocabulary.
 VOCABULARY = 10_000
-#: Queries that are compared with the vectors at a time: their matrix is sent to every task.
-QUERIES_AT_ONCE = 5_000
-
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, others_only: bool = False) -> DataFrame:
     """Exactly the k nearest (doc_id, vector) of each query (query_id, vector) by cosine: the stated queries against all rows, in blocks.
 
-    Each batch of vectors is multiplied with the matrix of a block of queries, and only its k best of each query go on.
     others_only leaves out the vector whose doc_id is the query_id. Vectors without length have cosine 0; ids are numbers.
     """
-    spark = vectors.sparkSession
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    n_blocks = max(1, -(-asked.count() // QUERIES_AT_ONCE))
-    out = None
-    for block in range(n_blocks):
-        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        rows = part.toPandas()
-        matrix = np.stack(rows["vector"].to_list()) if len(rows) else np.zeros((0, 0))
-        size = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
-        held = spark.sparkContext.broadcast((rows["query_id"].to_numpy(dtype=np.int64), np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            names, matrix = held.value
-            for batch in batches:
-                if not len(names) or not len(batch):
-                    continue
-                batch = batch.sort_values("doc_id")
-                ids = batch["doc_id"].to_numpy(dtype=np.int64)
-                own = np.stack(batch["vector"].to_list()).astype(float)
-                length = np.linalg.norm(own, axis=1, keepdims=True)
-                scores = np.round(np.divide(own, length, out=np.zeros_like(own), where=length > 0) @ matrix.T, 6)
-                if others_only:
-                    scores[ids[:, None] == names[None, :]] = -2.0
-                best = np.argsort(-scores, axis=0, kind="stable")[:k]
-                found = np.take_along_axis(scores, best, 0)
-                yield pd.DataFrame({"query_id": np.tile(names, len(best)), "doc_id": ids[best].ravel(), "score": found.ravel() + 0.0}).query("score >= -1.5")
-
-        found = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "vector").mapInPandas(run, "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k)
+    of = lambda rows, name: rows.select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>").alias("vector"))
+    return top_k(nearest(of(vectors, "doc_id"), of(queries, "query_id"), k, others_only=others_only), k)
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, spec: RetrievalSpec = RetrievalSpec()) -> DataFrame:
@@ -237,9 +206,11 @@ def hybrid_reranked(dense: DataFrame, sparse: DataFrame, documents: DataFrame, q
     return rerank(hybrid(dense, sparse, replace(spec, top_k=candidates)), documents, queries, spec.top_k, score)
 
 
-def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), keep: Column | None = None, embedder: Embedder | None = None, score: Callable[[Column, Column], Column] = lexical_pair_score) -> DataFrame:
+def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = RetrievalSpec(), keep: Column | None = None, embedder: Embedder | None = None, score: Callable[[Column, Column], Column] = lexical_pair_score, index: VectorIndex | None = None) -> DataFrame:
     """Top-k by the spec's method: query_id, doc_id, score, rank. keep filters documents by metadata after scoring, so corpus statistics stay whole.
 
+    index, of the embedder's vectors of the documents, is searched in place of all vectors; documents that keep leaves out may then take places of others.
+
     bm25, tfidf and tfidf_ngram are sparse; dense takes the embedder's vectors; hybrid fuses dense with spec.sparse, and
     hybrid_rerank reranks 20 of these by a pair score, which is then the score.
     """
@@ -258,8 +229,12 @@ def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = Ret
     if spec.method in sparse:
         return top_k(kept(sparse[spec.method]()).where(F.round("score", 6) > 0), spec.top_k)
     wanted = spec.top_k if spec.method == "dense" else 2 * spec.top_k if spec.method == "hybrid" else 40
-    own = documents if keep is None else documents.where(keep)  # vectors have no statistics
-    near = dense_top(embedded(own.select("doc_id", "text"), "text", embedder or HashingEmbedder()), embedded(queries.select("query_id", "text"), "text", embedder or HashingEmbedder()), wanted)
+    asked = embedded(queries.select("query_id", "text"), "text", embedder or HashingEmbedder())
+    if index is not None:
+        near = top_k(kept(index.search(asked, wanted)), wanted)
+    else:
+        own = documents if keep is None else documents.where(keep)  # vectors have no statistics
+        near = dense_top(embedded(own.select("doc_id", "text"), "text", embedder or HashingEmbedder()), asked, wanted)
     if spec.method == "dense":
         return near
     if spec.method == "hybrid":

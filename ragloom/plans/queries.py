@@ -8,16 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions import judge_json, text
+from ragloom.functions import judge_json, prompts, text
 from ragloom.functions.metrics import cosine, trace_average, trace_scores
-from ragloom.functions.prompts import context_digests
 from ragloom.operators import aggregation, chunking, retrieval, sampling
 from ragloom.operators.embedding import HashingEmbedder, embedded, not_indexed
 from ragloom.operators.ordering import running_before, with_next
 from ragloom.operators.retrieval import RetrievalSpec
+from ragloom.operators.vector_index import VectorIndex
 from ragloom.plans import ability, compare
 from ragloom.plans.evaluation import evaluate_configs
 from ragloom.sources.loaders import standardized
+from ragloom.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,6 +219,36 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir)
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors, built of those of the labels below five and appended to by the others; and the stated queries."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    index = VectorIndex.build(vectors.where("label < 5"), new_path(spark, "vector-index"))
+    index.append(vectors.where("NOT coalesce(label < 5, false)"))
+    index.calibrate(5, 0.95)
+    return index, vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The nearest five by a stored index, in as many cells as were measured."""
+    index, asks = _index(spark, sf_dir)
+    return index.search(asks, 5, others_only=True)
+
+
+@query(f"WITH {_DENSE_TOP} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM t")
+def ann_all_cells(spark, sf_dir):
+    """The index with every cell opened holds every row once: its rows are the exact ones."""
+    index, asks = _index(spark, sf_dir)
+    return index.search(asks, 5, probes=len(index.centres), others_only=True)
+
+
+@query(f"WITH {_DENSE_TOP} SELECT count(*) AS neighbours, true AS recall_of_nine_tenths FROM t")
+def ann_recall(spark, sf_dir):
+    """Of the exact five nearest of each query, how many there are and whether the index finds nine of ten."""
+    exact, found = _dense(spark, sf_dir), ann_topk(spark, sf_dir).select("query_id", "doc_id", F.lit(True).alias("hit"))
+    return exact.join(found, ["query_id", "doc_id"], "left").agg(F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_of_nine_tenths"))
+
+
 @query(f"WITH {_DENSE_TOP} SELECT query_id, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS precision_at_5, round(avg(score), 6) AS mean_score FROM t JOIN e a ON a.id = query_id JOIN e b ON b.id = doc_id GROUP BY query_id")
 def dense_precision(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -311,24 +342,62 @@ def strip_reasoning(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(text.without_reasoning(F.expr(_THOUGHT))).alias("said_md5"))
 
 
-_JUDGED = """CASE event_id % 4 WHEN 0 THEN '```json {"all_relevant_sentence_keys": ["0a", "' || user_id || 'b"], "overall_supported": true, "all_utilized_sentence_keys": ["0a"]} ```'
+_JUDGED = r"""CASE event_id % 6 WHEN 0 THEN '```json {"all_relevant_sentence_keys": ["0a", "' || user_id || 'b"], "overall_supported": true, "all_utilized_sentence_keys": ["0a"]} ```'
 WHEN 1 THEN 'Sure: {"all_relevant_sentence_keys": ["1a"], "overall_supported": false, "all_utilized_sentence_keys": []} Done' WHEN 2 THEN props
-ELSE '{"all_relevant_sentence_keys": ["2a", "3b"], "overall_supported": true, "all_utilized_sentence_keys": ["' || user_id || 'c"], broken' END"""
+WHEN 3 THEN '{"relevance_explanation": "a \\_bad\\_ escape \\"' || event_id || '\\" costs \\$5", "all_relevant_sentence_keys": ["' || user_id || 'a"], "overall_supported": true, "all_utilized_sentence_keys": ["3\\u0062"]}'
+WHEN 4 THEN 'no judgement at all' ELSE '{"all_relevant_sentence_keys": ["2a", "3b"], "overall_supported": true, "all_utilized_sentence_keys": ["' || user_id || 'c"], broken' END"""
+_JUDGED_SQL = _JUDGED.replace("\\\\", "\\")
+_TRIES = ", ".join(f"CASE WHEN json_valid({t}) AND starts_with({t}, chr(123)) THEN CAST({t} AS JSON) END" for t in ("c", "o", r"regexp_replace(o, '(\\[nrtbf\"\\/u])|\\(.)', '\1\2', 'gs')"))
+
+
+def _judge_keys(field: str) -> str:
+    fallback = rf"""regexp_extract_all(regexp_extract(c, '"{field}"\s*:\s*\[(.*?)\]', 1, 's'), '"(\d+[a-z])"', 1)"""
+    return f"array_to_string(CASE WHEN j IS NULL THEN {fallback} ELSE coalesce(CAST(json_extract(j, '$.{field}') AS VARCHAR[]), []) END, '|')"
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '0a|' || user_id || 'b' WHEN 1 THEN '1a' WHEN 2 THEN '' ELSE '2a|3b' END AS relevant,
-CASE event_id % 4 WHEN 0 THEN '0a' WHEN 3 THEN user_id || 'c' ELSE '' END AS utilized, event_id % 4 IN (0, 3) AS supported FROM events""")
+@query(rf"""WITH e AS (SELECT event_id, trim(regexp_replace(regexp_replace(trim({_JUDGED_SQL}), '^```(json)?', ''), '```$', '')) AS c FROM events),
+o AS (SELECT *, coalesce(nullif(regexp_extract(c, '\{{.*\}}', 0, 's'), ''), c) AS o FROM e), j AS (SELECT *, coalesce({_TRIES}) AS j FROM o)
+SELECT event_id, {_judge_keys('all_relevant_sentence_keys')} AS relevant, {_judge_keys('all_utilized_sentence_keys')} AS utilized,
+CASE WHEN j IS NULL THEN regexp_matches(lower(c), '"overall_supported": ?true') ELSE coalesce(CAST(json_extract(j, '$.overall_supported') AS BOOLEAN), false) END AS supported,
+CASE WHEN j IS NULL THEN CASE c WHEN '' THEN '' ELSE '(extracted via fallback)' END ELSE coalesce(json_extract_string(j, '$.relevance_explanation'), '') END AS explanation FROM j""")
 def judge_json_parse(spark, sf_dir):
     said = table(spark, sf_dir, "events").select("event_id", judge_json.parsed_judgement(F.expr(_JUDGED)).alias("j"))
-    return said.select("event_id", F.array_join("j.all_relevant_sentence_keys", "|").alias("relevant"), F.array_join("j.all_utilized_sentence_keys", "|").alias("utilized"), F.col("j.overall_supported").alias("supported"))
+    return said.select("event_id", F.array_join("j.all_relevant_sentence_keys", "|").alias("relevant"), F.array_join("j.all_utilized_sentence_keys", "|").alias("utilized"), F.col("j.overall_supported").alias("supported"), F.col("j.relevance_explanation").alias("explanation"))
 
 
-@query("""WITH s AS (SELECT source, list(text ORDER BY doc_id) AS ts, list(n_chars % 100 ORDER BY doc_id) AS ns FROM documents GROUP BY source)
-SELECT source, md5(array_to_string(list_transform(range(1, len(ts) + 1), lambda i: '[Document ' || i || '] (relevance: ' || printf('%.2f', ns[i] / 100.0) || ')' || chr(10) || ts[i]), chr(10) || chr(10))) AS context_md5,
-md5(array_to_string(list_transform(range(1, len(ts) + 1), lambda i: 'Document ' || i || ': ' || ts[i]), chr(10))) AS numbered_md5, list_sum(list_transform(ts, lambda t: len(t))) > 20000 AS too_long FROM s""")
+@query(f"""WITH {_BM25}, h AS (SELECT query_id, doc_id, score, rank FROM ({_RANKED.format('bm25 WHERE round(score, 6) > 0', 5)})),
+c AS (SELECT a.item_id AS query_id, any_value(a.text) AS question, coalesce(list(d.text ORDER BY h.rank) FILTER (h.rank IS NOT NULL), []) AS ts, coalesce(list(h.score ORDER BY h.rank) FILTER (h.rank IS NOT NULL), []) AS ss
+      FROM benchmark a LEFT JOIN h ON h.query_id = a.item_id LEFT JOIN documents d ON d.doc_id = h.doc_id GROUP BY a.item_id),
+m AS (SELECT *, CASE WHEN len(ts) = 0 THEN 'No relevant context found.' ELSE array_to_string(list_transform(range(1, len(ts) + 1), lambda i: '[Document ' || i || '] (relevance: ' || printf('%.2f', ss[i]) || ')' || chr(10) || ts[i]), chr(10) || chr(10)) END AS ranked,
+      array_to_string(list_transform(range(1, len(ts) + 1), lambda i: 'Document ' || i || ': ' || ts[i]), chr(10)) AS numbered FROM c)
+SELECT query_id, CAST(len(ts) AS INTEGER) AS n_documents, md5(ranked) AS context_md5, md5('Context Documents:' || chr(10) || ranked || chr(10) || chr(10) || 'Question: ' || question) AS user_md5,
+md5('External Documents:' || chr(10) || numbered || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Please answer the question based on the provided documents.') AS documents_md5,
+md5('Answer this question: ' || question) AS bare_md5, len(ranked) + len(question) > 20000 AS too_long FROM m""")
 def prompt_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "text", (F.col("n_chars") % 100 / 100.0).cast("double").alias("score"))
-    return context_digests(rows.repartition("source").sortWithinPartitions("source", F.asc_nulls_last("doc_id")))
+    """The prompts of every benchmark item over its five best documents."""
+    docs, asks = docs_and_asks(spark, sf_dir)
+    hits = retrieval.retrieve(docs, asks)
+    texts = hits.join(docs.select("doc_id", "text"), "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "score"))).alias("chunks"))
+    rows = asks.withColumnRenamed("text", "question").join(texts, "query_id", "left")
+    rows = rows.withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<rank:int,text:string,score:double>>")))
+    rows = rows.withColumn("ranked", prompts.ranked_context(F.col("chunks")))
+    numbered = prompts.documents_prompt(F.transform("chunks", lambda c: c["text"]), F.col("question"))
+    return rows.select(
+        "query_id", F.size("chunks").alias("n_documents"), F.md5("ranked").alias("context_md5"), F.md5(prompts.user_prompt(F.col("ranked"), F.col("question"))).alias("user_md5"),
+        F.md5(numbered).alias("documents_md5"), F.md5(prompts.bare_prompt(F.col("question"))).alias("bare_md5"), prompts.too_long(F.col("ranked"), F.col("question")).alias("too_long"),
+    )
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, CAST(repeat('[', d) || to_json(coalesce(text, '')) || ', [[' || to_json(role || ' "' || turn || '"') || ']], ' || turn || ', []' || repeat(']', d) AS JSON) AS j FROM (SELECT *, 1 + (conv_id + turn) % 6 AS d FROM conversations)),
+r(conv_id, turn, j) AS (SELECT * FROM s UNION ALL SELECT conv_id, turn, unnest(CAST(j AS JSON[])) FROM r WHERE json_type(j) = 'ARRAY')
+SELECT conv_id, turn, count(*) AS n, md5(string_agg(j ->> '$', '|' ORDER BY j ->> '$')) AS texts_md5 FROM r WHERE json_type(j) <> 'ARRAY' GROUP BY conv_id, turn""")
+def nested_answers(spark, sf_dir):
+    """Expected answers that are nested one to eight lists deep."""
+    said = table(spark, sf_dir, "conversations").withColumn("d", (1 + (F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    quoted = lambda x: F.to_json(F.array(x))
+    json = F.concat(F.repeat(F.lit("["), F.col("d") - 1), F.regexp_replace(quoted(F.coalesce("text", F.lit(""))), r"\]$", ", ["), quoted(F.concat("role", F.lit(' "'), F.col("turn").cast("string"), F.lit('"'))), F.lit("], "), F.col("turn").cast("string"), F.lit(", []"), F.repeat(F.lit("]"), F.col("d")))
+    flat = text.flat_answers(F.parse_json(json))
+    return said.select("conv_id", "turn", F.size(flat).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(flat), "|")).alias("texts_md5"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

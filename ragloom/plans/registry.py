@@ -32,13 +32,14 @@ DOMAIN_EMBEDDINGS = {
     "hotpotqa": ["bge-large", "e5-large", "gte-large", "minilm", "mpnet"],
     "covidqa": ["bioclinicalbert", "pubmedbert", "biomed-e5-large", "sapbert", "bge-base", "biobert", "minilm", "mpnet"],
 }
-_LARGE = ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile"]
-_KIMI, _SMALL = "moonshotai/kimi-k2-instruct-0905", "llama-3.1-8b-instant"
 DOMAIN_MODELS = {
-    "finqa": [*_LARGE, "groq/compound", "openai/gpt-oss-20b"], "cuad": [*_LARGE, _KIMI, _SMALL], "delucionqa": [*_LARGE, _KIMI, "groq/compound"],
-    "hotpotqa": [*_LARGE, _KIMI, _SMALL], "covidqa": [*_LARGE, _KIMI, _SMALL],
-}
-#: The ten configurations of the final runs, best first. Lists for each domain are top_configs() of its results.
+    "finqa": ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile", "groq/compound", "openai/gpt-oss-20b"],
+    "cuad": ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile", "moonshotai/kimi-k2-instruct-0905", "llama-3.1-8b-instant"],
+    "delucionqa": ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile", "moonshotai/kimi-k2-instruct-0905", "groq/compound"],
+    "hotpotqa": ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile", "moonshotai/kimi-k2-instruct-0905", "llama-3.1-8b-instant"],
+    "covidqa": ["openai/gpt-oss-120b", "qwen/qwen3-32b", "llama-3.3-70b-versatile", "moonshotai/kimi-k2-instruct-0905", "llama-3.1-8b-instant"],
+}
+#: The ten configurations of the final runs, best first. Lists for each domain are top_configs() of its results.
 FINAL_CONFIGS = (
     ("sparse", "semantic", "tfidf", "qwen/qwen3-32b"), ("sparse", "semantic", "bm25", "qwen/qwen3-32b"), ("sparse", "semantic", "tfidf", "groq/compound"), ("hybrid", "semantic", "finbert", "groq/compound"),
     ("dense", "semantic", "finbert", "qwen/qwen3-32b"), ("dense", "semantic", "bge-base", "groq/compound"), ("dense", "semantic", "minilm", "openai/gpt-oss-120b"), ("sparse", "semantic", "bm25", "groq/compound"),

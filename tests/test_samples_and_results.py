@@ -40,7 +40,7 @@ def test_names_and_texts(spark):
 def test_prompts_fill_each_place_once(spark):
     frame = spark.createDataFrame([("{question} {answer}", "q", "a")], "d string, q string, a string")
     row = frame.select(prompts.judge_prompt(F.col("d"), F.col("q"), F.col("a"), "D {documents} Q {question} A {answer} {x}").alias("p"), prompts.judge_prompt(F.col("d"), F.col("q"), F.col("a")).alias("j"), prompts.messages(F.col("q"), F.col("d")).alias("m")).first()
-    assert row.p == "D {question} {answer} Q q A a {x}" and row.j.count("{question} {answer}") == 1 and '"all_utilized_sentence_keys"' in row.j
+    assert row.p == "D {question} {answer} Q q A a {x}" and row.j.count("{question} {answer}") == 1 and all(f in row.j for f in ("all_utilized_sentence_keys:array<string>", "overall_supported:boolean", "supporting_sentence_keys"))
     assert [m.role for m in row.m] == ["system", "user"] and row.m[0].content == prompts.SYSTEM_PROMPT and row.m[1].content == "Context Documents:\n{question} {answer}\n\nQuestion: q"
 
 
@@ -203,6 +203,9 @@ def test_index_grows_and_answers_nest(spark, tmp_path):
     assert index_chunks(chunks.where("chunk_id < 2"), at, HashingEmbedder(), clear=True)["total"] == 2
     rows = variants(spark, [["a", ["b", "zz"]], "zz", ["q"]]).select(flat_answers(F.col("r")).alias("f")).withColumn("c", contains_answer(F.lit("x ZZ y"), F.col("f")))
     assert [(r.f, r.c) for r in rows.collect()] == [(["a", "b", "zz"], True), (["zz"], True), (["q"], False)]
+    hard = 'x \\ "q" [1,2], {z}'
+    deep = [[[[[[hard]], "é\n"]], 5, True, [], None], [], "", "a" * 30_000]
+    assert [r.f for r in variants(spark, [deep, None]).select(flat_answers(F.col("r")).alias("f")).collect()] == [[hard, "é\n", "5", "true", "None", "", "a" * 30_000], []]
     record = variants(spark, [{"positive": [["p1", "p2"], "p3"], "negative": ["n1"]}]).select(F.lit(1).alias("id"), F.col("r").alias("record"))
     assert sorted(ability.integration_documents(record, 0.4).first().documents) == ["n1", "p1", "p2", "p3"]
 
