@@ -26,15 +26,24 @@ ERROR_PHRASES = (
 _DOT = "\x01"  # stands for a protected full stop
 
 
+def plain_sentence(piece: Column) -> Column:
+    """A piece with its full stops back, trimmed."""
+    return F.regexp_replace(F.replace(piece, F.lit(_DOT), F.lit(".")), r"^\s+|\s+$", "")
+
+
 def _restored(parts: Column) -> Column:
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(F.replace(s, F.lit(_DOT), F.lit(".")), r"^\s+|\s+$", ""))
-    return F.filter(trimmed, lambda s: s != "")
+    return F.filter(F.transform(parts, plain_sentence), lambda s: s != "")
+
+
+def sentence_pieces(text: Column) -> Column:
+    """What a text is cut into after full stops, question and exclamation marks that blanks follow, untrimmed; see plain_sentence()."""
+    guarded = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.\s", f"$1{_DOT} ")
+    return F.split(guarded, r"(?<=[.!?])\s+")
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text; a full stop after a common abbreviation and a blank ends none. Null for null."""
-    guarded = F.regexp_replace(text, rf"\b({'|'.join(ABBREVIATIONS)})\.\s", f"$1{_DOT} ")
-    return _restored(F.split(guarded, r"(?<=[.!?])\s+"))
+    return _restored(sentence_pieces(text))
 
 
 def judge_sentences(text: Column) -> Column:

@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.functions.text import sentences
+from ragloom.functions.text import plain_sentence, sentence_pieces, sentences
 from ragloom.operators.embedding import Embedder, HashingEmbedder
+from ragloom.operators.ordering import running_before
+
+#: Groups whose sizes are sent to every task; of more they are joined in a shuffle.
+MOST_GROUPS = 200_000
 
 
 def _chunks(docs: DataFrame, bounds: Column, strategy: str) -> DataFrame:
@@ -32,6 +36,33 @@ def sentence_chunks(docs: DataFrame, size: int = 5, overlap: int = 2) -> DataFra
     return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")).where(n > 0), bounds, "sentence")
 
 
+def corpus_chunks(docs: DataFrame, by: str = "example_id", size: int = 5, overlap: int = 2) -> DataFrame:
+    """Windows of sentences over the joined texts of each group: `by`, chunk_id, text, start_sentence, end_sentence, num_sentences, strategy.
+
+    The texts of a group (by, doc_id: a number, unique in the group, text) are joined by empty lines in order of doc_id, as if they were one document;
+    a sentence that no document's end closes goes on in the next. No row holds a group: a piece's sentence is its place in its document after the sum of
+    the ends before it, and each window is put together from its pieces. Null texts are empty; a group without sentences has no windows.
+    """
+    step = max(1, size - overlap)
+    rows = docs.select(by, "doc_id", sentence_pieces(F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"))).alias("pieces"))
+    # every piece but the last of a document ends a sentence
+    rows = running_before(rows.withColumn("ends", F.size("pieces").cast("long") - 1), [by], "doc_id", "ends", "ahead")
+    pieces = rows.select(by, "doc_id", "ahead", F.posexplode("pieces").alias("at", "piece")).select(by, "doc_id", (F.col("ahead") + F.col("at")).alias("sentence"), "piece")
+    counts = pieces.where(F.length(plain_sentence(F.col("piece"))) > 0).groupBy(F.col(by).alias("_by")).agg((F.max("sentence") + 1).alias("n"))
+    told = pieces.join(F.broadcast(counts) if counts.count() <= MOST_GROUPS else counts, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("sentence") < F.col("n"))
+    last = F.when(F.col("n") <= size, F.lit(0)).otherwise(F.ceil((F.col("n") - size) / step)).cast("long")
+    first = F.greatest(F.lit(0), F.ceil((F.col("sentence") - size + 1) / step)).cast("long")
+    windows = F.sequence(F.least(first, last), F.least(F.floor(F.col("sentence") / step).cast("long"), last))
+    windows = F.filter(windows, lambda k: (k * step <= F.col("sentence")) & (F.col("sentence") < k * step + size))
+    held = told.select(by, "n", "sentence", "doc_id", "piece", F.explode(windows).alias("chunk_id"))
+    parts = held.groupBy(by, "chunk_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "doc_id", "piece"))).alias("p"), F.min("sentence").alias("start_sentence"), F.max("sentence").alias("end_sentence"))
+    whole = F.transform(
+        F.sequence("start_sentence", "end_sentence"),
+        lambda i: plain_sentence(F.array_join(F.transform(F.filter("p", lambda x: x["sentence"] == i), lambda x: x["piece"]), "")),
+    )
+    return parts.select(by, "chunk_id", F.array_join(whole, " ").alias("text"), "start_sentence", "end_sentence", (F.col("end_sentence") - F.col("start_sentence") + 1).alias("num_sentences"), F.lit("sentence").alias("strategy"))
+
+
 def similarities(vectors: np.ndarray) -> np.ndarray:
     """Cosines of neighbouring rows; 0 where a row has no length."""
     norms = np.linalg.norm(vectors, axis=1)

@@ -1,18 +1,20 @@
 """From samples to scores: retrieve in each sample's own documents, answer, judge, score; all samples and configurations in one job."""
 
-from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.judge_json import parsed_judgement
-from ragloom.functions.metrics import dot, norm, trace_average, trace_scores
+from ragloom.functions.metrics import trace_average, trace_scores
 from ragloom.functions.prompts import answer_prompt, joined_context, judge_prompt, too_long
 from ragloom.functions.text import content_tokens, keyed_documents, keyed_response, n_sentences
-from ragloom.operators.chunking import no_chunks, semantic_chunks, sentence_chunks
+from ragloom.operators.chunking import corpus_chunks, no_chunks, semantic_chunks, sentence_chunks
 from ragloom.operators.embedding import Embedder, HashingEmbedder, embedded
+from ragloom.operators.nearest import nearest, ranked
 from ragloom.operators.retrieval import RetrievalSpec, linear_fusion, rrf
 from ragloom.plans.models import ChatModel, asked, extracted_answer, rule_judgement
+from ragloom.sources.shared import written
 
 # Strategies and methods of a configuration grid.
 CHUNKINGS = ("none", "sentence", "semantic")
@@ -40,81 +42,136 @@ def index_range(text: str) -> list[int]:
     return out
 
 
-def _bm25(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec) -> DataFrame:
-    toks = chunks.select("example_id", "chunk_id", content_tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = toks.groupBy("example_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    terms = _terms(questions)
-    asked = terms.select("example_id", "term").distinct()
-    tf = toks.select("example_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked, ["example_id", "term"]).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("example_id", "term").agg(F.count("*").alias("df"))
-    all_of = tf.join(df, ["example_id", "term"]).join(stats, "example_id").join(terms, ["example_id", "term"])
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (spec.k1 + 1) / (F.col("tf") + spec.k1 * (1 - spec.b + spec.b * F.col("length") / F.col("mean_length")))
-    return all_of.groupBy("sample_id", "example_id", "chunk_id").agg(F.sum(part).alias("score"))
-
-
-def _terms(questions: DataFrame) -> DataFrame:
-    return questions.select("sample_id", "example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("sample_id", "example_id", "term").agg(F.count("*").alias("qtf"))
-
-
-def _tfidf(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec) -> DataFrame:
-    tf = chunks.select("example_id", "chunk_id", F.explode(content_tokens(F.col("text"))).alias("term")).groupBy("example_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    n = chunks.groupBy("example_id").agg(F.count("*").alias("n"))
-    idf = tf.groupBy("example_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(n, "example_id").select("example_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = tf.join(idf, ["example_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weights.groupBy("example_id", "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = _terms(questions).join(idf, ["example_id", "term"]).withColumn("q", F.col("qtf") * F.col("idf"))
-    asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("sample_id"))))
-    dots = weights.join(asked.select("sample_id", "example_id", "term", "q"), ["example_id", "term"]).groupBy("sample_id", "example_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return dots.join(norms, ["example_id", "chunk_id"]).select("sample_id", "example_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
-
-
-def _dense(chunks: DataFrame, questions: DataFrame, embedder: Embedder) -> DataFrame:
-    """Every question against the chunks of its example: both vectors have length 1 or none, so the cosine is their product."""
-    own = embedded(chunks.select("example_id", "chunk_id", "text"), "text", embedder).select("example_id", "chunk_id", _unit(F.col("vector")).alias("v"))
-    asked = embedded(questions.select("sample_id", "example_id", "question"), "question", embedder).select("sample_id", "example_id", _unit(F.col("vector")).alias("q"))
-    return own.join(asked, "example_id").select("sample_id", "example_id", "chunk_id", dot(F.col("v"), F.col("q")).alias("score"))
-
-
-def _unit(vector: Column) -> Column:
-    length = norm(vector)
-    return F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(0.0))
-
-
-def _top(scores: DataFrame, k: int, positive: bool = True) -> DataFrame:
-    rounded = scores.withColumn("score", F.round("score", 6))
-    rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "chunk_id"))
-    return (rounded.where("score > 0") if positive else rounded).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def retrieve_in_examples(chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec = RetrievalSpec(), embedder: Embedder | None = None) -> DataFrame:
-    """Top-k chunks (sample_id, example_id, chunk_id, score, rank, text) for each question (sample_id, example_id, question) among the chunks
-    (example_id, chunk_id, text) of its example, whose statistics alone count. spec.method: bm25, tfidf, dense or hybrid (dense and spec.sparse)."""
-    sparse = {"bm25": _bm25, "tfidf": _tfidf}
-    if spec.method in sparse:
-        best = _top(sparse[spec.method](chunks, questions, spec), spec.top_k)
-    elif spec.method == "dense":
-        best = _top(_dense(chunks, questions, embedder or HashingEmbedder()), spec.top_k, False)
-    elif spec.method == "hybrid":
-        named = lambda rows: rows.select(F.col("sample_id").alias("query_id"), F.struct("example_id", "chunk_id").alias("doc_id"), "score", "rank")
-        legs = named(_top(_dense(chunks, questions, embedder or HashingEmbedder()), 2 * spec.top_k, False)), named(_top(sparse[spec.sparse](chunks, questions, spec), 2 * spec.top_k))
-        fused = (rrf if spec.fusion == "rrf" else linear_fusion)(*legs, spec)
-        best = _top(fused.select(F.col("query_id").alias("sample_id"), "doc_id.example_id", "doc_id.chunk_id", "score"), spec.top_k)
-    else:
-        raise ValueError(f"unknown method {spec.method}")
-    return best.join(chunks.select("example_id", "chunk_id", "text"), ["example_id", "chunk_id"])
+#: What chunks and scores are made by: a chunking strategy and an example.
+_KEY = ["strategy", "example_id"]
+#: Rows of one side of a join that are sent to every task.
+MOST_SENT = 200_000
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= MOST_SENT else rows
+
 
+def grid_chunks(documents: DataFrame, strategies: list[str], embedder: Embedder | None = None, scope: str = "document") -> DataFrame:
+    """strategy, example_id, chunk_id, text and tokens of all chunks by each strategy, as one table that is written once.
 
-def evaluate(samples: DataFrame, chunks: DataFrame, config: str, limit: int = 20_000, spec: RetrievalSpec = RetrievalSpec(), embedder: Embedder | None = None, generator: ChatModel | None = None, judge: ChatModel | None = None) -> DataFrame:
-    """Example results of one configuration.
+    documents (example_id, doc_id, text) are read once, whatever the number of strategies. scope "corpus" cuts sentence windows over an example's
+    joined documents instead of each document; other strategies cut documents.
+    """
+    cut = {"none": no_chunks, "sentence": sentence_chunks, "semantic": lambda d: semantic_chunks(d, embedder)}
+    if unknown := set(strategies) - set(cut):
+        raise ValueError(f"unknown strategies {', '.join(sorted(unknown))}: choose from {', '.join(cut)}")
+    if len(strategies) > 1:
+        documents = written(documents.select("example_id", "doc_id", "text"), "documents")
+    parts = []
+    for strategy in strategies:
+        if strategy == "sentence" and scope == "corpus":
+            parts.append(corpus_chunks(documents).select("strategy", "example_id", F.col("chunk_id").cast("string").alias("chunk_id"), "text"))
+        else:
+            rows = documents.select(F.struct("example_id", "doc_id").alias("doc_id"), "text")
+            parts.append(cut[strategy](rows).select("strategy", "doc_id.example_id", F.concat_ws("_", "doc_id.doc_id", "chunk_id").alias("chunk_id"), "text"))
+    return written(reduce(DataFrame.unionByName, parts).withColumn("tokens", content_tokens(F.col("text"))), "chunks")
+
+
+class GridScores:
+    """Scores of every question among the chunks of its example, by strategy and method, for all configurations of a grid at once.
+
+    chunks: see grid_chunks(); questions: sample_id, example_id, question. Scores have the columns strategy, example_id, sample_id, chunk_id, score.
+    """
 
-    samples: sample_id (unique), example_id, question, corpus and gt_ scores, any number for an example; chunks: example_id, chunk_id, text.
-    spec says how to retrieve. Without models, the offline generator and judge answer. A context that is too long is skipped with an error; where
+    def __init__(self, chunks: DataFrame, questions: DataFrame, spec: RetrievalSpec, embedders: dict[str, Embedder]):
+        self.chunks, self.questions, self.spec, self.embedders = chunks, questions, spec, embedders
+        self.terms = written(questions.select("sample_id", "example_id", F.explode(content_tokens(F.col("question"))).alias("term")).groupBy("sample_id", "example_id", "term").agg(F.count("*").alias("qtf")), "terms")
+        self.n_terms = self.terms.count()
+
+    def counts(self, asked: bool) -> DataFrame:
+        """tf and length by chunk and term; asked: of the terms of its example's questions only."""
+        rows = self.chunks.select(*_KEY, "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        if asked:
+            rows = rows.join(_sent(self.terms.select("example_id", "term").distinct(), self.n_terms), ["example_id", "term"], "left_semi")
+        return rows.groupBy(*_KEY, "chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+    def bm25(self) -> DataFrame:
+        tf = self.counts(asked=True)
+        # tf > 0 asks for the same columns as the scores do, so that Spark shuffles the counts once
+        df = tf.groupBy(*_KEY, "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.max("length").alias("_"))
+        stats = self.chunks.groupBy(*_KEY).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+        idf = df.join(stats, _KEY).select(*_KEY, "term", "mean_length", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+        asked = idf.join(_sent(self.terms, self.n_terms), ["example_id", "term"])
+        k1, b = self.spec.k1, self.spec.b
+        part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+        return tf.join(_sent(asked, 3 * self.n_terms), [*_KEY, "term"]).groupBy(*_KEY, "sample_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+    def tfidf(self) -> DataFrame:
+        tf = self.counts(asked=False)
+        n = self.chunks.groupBy(*_KEY).agg(F.count("*").alias("n"))
+        idf = tf.groupBy(*_KEY, "term").agg(F.count_if(F.col("tf") > 0).alias("df")).join(n, _KEY).select(*_KEY, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+        weights = tf.join(idf, [*_KEY, "term"]).select(*_KEY, "chunk_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+        asked = idf.join(_sent(self.terms, self.n_terms), ["example_id", "term"]).withColumn("q", F.col("qtf") * F.col("idf"))
+        length = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("strategy", "sample_id")))
+        asked = asked.select(*_KEY, "term", F.struct("sample_id", (F.col("q") / length).alias("q")).alias("a")).groupBy(*_KEY, "term").agg(F.collect_list("a").alias("asks"))
+        held = weights.join(_sent(asked, 3 * self.n_terms), [*_KEY, "term"], "left").groupBy(*_KEY, "chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asks").isNotNull(), F.struct("w", "asks"))).alias("hits"))
+        parts = held.select(*_KEY, "chunk_id", "norm", F.explode("hits").alias("h")).select(*_KEY, "chunk_id", "norm", "h.w", F.explode("h.asks").alias("a"))
+        return parts.groupBy(*_KEY, "a.sample_id", "chunk_id").agg((F.sum(F.col("w") * F.col("a.q")) / F.first("norm")).alias("score"))
+
+    def dense(self, name: str, k: int) -> DataFrame:
+        """By an embedder, the k best of each block: chunks and questions are embedded once for all strategies and meet as matrix products."""
+        embedder = self.embedders.get(name) or HashingEmbedder()
+        own = embedded(self.chunks.select(*_KEY, F.col("chunk_id").alias("doc_id"), "text"), "text", embedder)
+        strategies = self.chunks.select("strategy").distinct()
+        asked = embedded(self.questions, "question", embedder).join(F.broadcast(strategies)).select(*_KEY, F.to_json(F.array("strategy", "example_id", F.col("sample_id").cast("string"))).alias("query_id"), "vector")
+        found = nearest(own, asked, k, tuple(_KEY)).withColumn("at", F.from_json("query_id", "array<string>"))
+        kind = self.questions.schema["sample_id"].dataType
+        return found.select(F.col("at")[0].alias("strategy"), F.col("at")[1].alias("example_id"), F.col("at")[2].cast(kind).alias("sample_id"), F.col("doc_id").alias("chunk_id"), "score")
+
+    def leg(self, method: str, k: int) -> DataFrame:
+        """strategy, method, example_id, sample_id, chunk_id, score and rank of the k best by a method; a sparse one needs a score above 0."""
+        sparse = {"bm25": self.bm25, "tfidf": self.tfidf}
+        scores = sparse[method]() if method in sparse else self.dense(method, k)
+        scores = scores.withColumn("score", F.round("score", 6)).withColumn("method", F.lit(method))
+        scores = scores.where("score > 0") if method in sparse else scores
+        return ranked(scores, k, ("strategy", "sample_id"), "chunk_id")
+
+
+def grid_hits(chunks: DataFrame, questions: DataFrame, configs: list[tuple[str, str, str]], spec: RetrievalSpec = RetrievalSpec(), embedders: dict[str, Embedder] | None = None) -> DataFrame:
+    """config, sample_id, example_id, chunk_id, score, rank, text: the top-k chunks of each question in each configuration (config_type, chunking, method).
+
+    Every method is scored once for all strategies; configurations are rows that these scores are joined with, however many there are.
+    """
+    spark = chunks.sparkSession
+    scores = GridScores(chunks, questions, spec, embedders or {})
+    kinds = {k for k, _, _ in configs}
+    if unknown := kinds - {"sparse", "dense", "hybrid"}:
+        raise ValueError(f"unknown kind of configuration {', '.join(sorted(unknown))}")
+    if unknown := {m for kind, _, m in configs if kind == "sparse"} - set(SPARSE_METHODS):
+        raise ValueError(f"unknown sparse method {', '.join(unknown)}")
+    # a configuration takes one leg, or two that are fused
+    legs = [("_".join(c), c[0], c[1], m) for c in dict.fromkeys(configs) for m in ((c[2], spec.sparse) if c[0] == "hybrid" else (c[2],))]
+    grid = F.broadcast(spark.createDataFrame(legs, "config string, kind string, strategy string, method string"))  # a row or two for each configuration
+    k = spec.top_k
+    made = written(reduce(DataFrame.unionByName, [scores.leg(m, 2 * k if "hybrid" in kinds else k) for m in dict.fromkeys(m for *_, m in legs)]), "legs")
+    own = made.join(grid, ["strategy", "method"])
+    ids = ["config", "strategy", "sample_id", "example_id", "chunk_id", "score", "rank"]
+    found = own.where((F.col("kind") != "hybrid") & (F.col("rank") <= k)).select(*ids)
+    if "hybrid" in kinds:
+        query, doc = F.struct("config", "strategy", "sample_id"), F.struct("example_id", "chunk_id")
+        side = lambda sparse: own.where((F.col("kind") == "hybrid") & (F.col("method").isin("bm25", "tfidf") == sparse)).select(query.alias("query_id"), doc.alias("doc_id"), "score", "rank")
+        fused = (rrf if spec.fusion == "rrf" else linear_fusion)(side(False), side(True), spec)
+        fused = fused.select("query_id.*", "doc_id.*", F.round("score", 6).alias("score")).where("score > 0")
+        found = found.unionByName(ranked(fused, k, ("config", "sample_id"), "chunk_id").select(*ids))
+    texts = chunks.select(*_KEY, "chunk_id", "text")
+    return texts.join(_sent(found, k * len(configs) * questions.count()), [*_KEY, "chunk_id"]).drop("strategy")
+
+
+def evaluate(samples: DataFrame, hits: DataFrame, configs: list[str], limit: int = 20_000, generator: ChatModel | None = None, judge: ChatModel | None = None) -> DataFrame:
+    """Example results of every configuration: a row for each sample and configuration.
+
+    samples: sample_id (unique), example_id, question, corpus and gt_ scores, any number for an example; hits: see grid_hits().
+    Without models, the offline generator and judge answer. A context that is too long is skipped with an error; where
     nothing is retrieved the corpus' beginning is the context, and the judge sees no sentence. A model that fails leaves its error and an invalid row.
     """
-    found = retrieve_in_examples(chunks, samples.select("sample_id", "example_id", "question"), spec, embedder)
-    context = found.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved_chunks"))
-    rows = samples.join(context, "sample_id", "left").withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast("array<string>")))
+    context = hits.groupBy("config", "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("retrieved_chunks"))
+    rows = samples.withColumn("config", F.explode(F.array(*map(F.lit, configs)))).join(context, ["config", "sample_id"], "left").withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", F.array().cast("array<string>")))
     rows = rows.withColumn("context_used", joined_context(F.col("retrieved_chunks"), F.col("corpus")))
     rows = rows.withColumn("is_skipped", too_long(F.col("context_used"), F.col("question"), limit)).withColumn("error", F.when(F.col("is_skipped"), "context too long"))
     go = lambda value: F.when(F.col("error").isNull(), value)
@@ -130,8 +187,8 @@ def evaluate(samples: DataFrame, chunks: DataFrame, config: str, limit: int = 20
     rows = rows.withColumn("judge", parsed_judgement(F.col("judge_text")))
     rows = rows.withColumn("s", trace_scores(F.col("judge.all_relevant_sentence_keys"), F.col("judge.all_utilized_sentence_keys"), F.col("judge.overall_supported"), n_sentences(F.col("retrieved_chunks"))))
     scores = {"relevance": "context_relevance", "utilization": "context_utilization", "completeness": "completeness", "adherence": "adherence"}
-    rows = rows.select(*samples.columns, "retrieved_chunks", "generated_response", *(F.round(f"s.{v}", 6).alias(f"computed_{k}") for k, v in scores.items()), F.col("error").isNull().alias("is_valid"), "is_skipped", "error")
-    return rows.withColumn("config", F.lit(config)).withColumn("trace", F.round(trace_average(*(F.col(f"computed_{k}") for k in scores)), 6))
+    rows = rows.select(*samples.columns, "retrieved_chunks", "generated_response", *(F.round(f"s.{v}", 6).alias(f"computed_{k}") for k, v in scores.items()), F.col("error").isNull().alias("is_valid"), "is_skipped", "error", "config")
+    return rows.withColumn("trace", F.round(trace_average(*(F.col(f"computed_{k}") for k in scores)), 6))
 
 
 def _model_column(rows: DataFrame, prompt: Column, model: ChatModel, name: str) -> DataFrame:
@@ -142,23 +199,18 @@ def _model_column(rows: DataFrame, prompt: Column, model: ChatModel, name: str)
     return said.withColumn("error", F.coalesce("_before", "error")).drop("_prompt", "_before")
 
 
-def evaluate_configs(samples: DataFrame, documents: DataFrame, configs: list[tuple[str, str, str]], embedders: dict[str, Embedder] | None = None, run: RetrievalSpec = RetrievalSpec(), **models) -> DataFrame:
-    """Example results of several configurations (config_type, chunking, method) in one table.
+def evaluate_configs(samples: DataFrame, documents: DataFrame, configs: list[tuple[str, str, str]], embedders: dict[str, Embedder] | None = None, run: RetrievalSpec = RetrievalSpec(), scope: str = "document", chunker: Embedder | None = None, **models) -> DataFrame:
+    """Example results of all configurations (config_type, chunking, method) in one table, from one plan.
 
-    documents: example_id, doc_id, text. method is bm25 or tfidf, or a name in embedders for dense and hybrid configurations. models: see evaluate().
+    documents: example_id, doc_id (a number), text. method is bm25 or tfidf, or a name in embedders (others mean the offline one) for dense and hybrid configurations. Chunks depend on example
+    and strategy alone: semantic ones are cut by the vectors of `chunker` in every configuration. scope: see grid_chunks(); models: see evaluate().
     """
-    cut = {"none": no_chunks, "sentence": sentence_chunks, "semantic": semantic_chunks}
-    example = documents.select("doc_id", "example_id")
-    out = None
-    for kind, chunking, method in configs:
-        chunks = cut[chunking](documents.select("doc_id", "text")).select("doc_id", "chunk_id", "text").join(example, "doc_id")
-        chunks = chunks.select("example_id", F.concat_ws("_", "doc_id", "chunk_id").alias("chunk_id"), "text")
-        spec = replace(run, method=method if kind == "sparse" else kind)
-        rows = evaluate(samples, chunks, "_".join((kind, chunking, method)), spec=spec, embedder=(embedders or {}).get(method), **models)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    if not configs:
         raise ValueError("no configurations")
-    return out
+    chunks = grid_chunks(documents, list(dict.fromkeys(c for _, c, _ in configs)), chunker, scope)
+    samples = written(samples, "samples")
+    hits = grid_hits(chunks, samples.select("sample_id", "example_id", "question"), configs, run, embedders)
+    return evaluate(samples, hits, ["_".join(c) for c in dict.fromkeys(configs)], **models)
 
 
 def answer(spark: SparkSession, documents: DataFrame, question: str, config: tuple[str, str, str] = ("sparse", "sentence", "bm25"), **how) -> DataFrame:

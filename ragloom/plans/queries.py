@@ -281,6 +281,15 @@ def sentence_chunks(spark, sf_dir):
     return chunks.select("doc_id", "chunk_id", "start_sentence", "end_sentence", chunking.chunk_key(F.col("text"), F.col("doc_id"), F.col("chunk_id")).alias("chunk_key"))
 
 
+@query(f"""WITH c AS (SELECT source, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source), s AS (SELECT source, {_sentences('text')} AS s FROM c),
+w AS (SELECT source, s, unnest(range(CASE WHEN len(s) <= 5 THEN 1 ELSE CAST(ceil((len(s) - 5) / 3) AS BIGINT) + 1 END)) AS k FROM s WHERE len(s) > 0)
+SELECT source, k AS chunk_id, k * 3 AS start_sentence, least(k * 3 + 5, len(s)) - 1 AS end_sentence, md5(array_to_string(s[k * 3 + 1:least(k * 3 + 5, len(s))], ' ')) AS text_md5 FROM w""")
+def corpus_chunks(spark, sf_dir):
+    """Sentence windows over the joined documents of each source, sentences across documents included."""
+    chunks = chunking.corpus_chunks(documents(spark, sf_dir).select("source", "doc_id", "text"), "source")
+    return chunks.select("source", "chunk_id", "start_sentence", "end_sentence", F.md5("text").alias("text_md5"))
+
+
 _SEMANTIC = f"""s AS (SELECT doc_id, {_sentences('text')} AS s FROM documents), parts AS (SELECT doc_id AS d, unnest(range(len(s))) AS i, len(s) AS n, unnest(s) AS text FROM s WHERE len(s) > 0),
 docs AS (SELECT d * 1000000 + i AS doc_id, {_TOKENS.format('text')} AS ts FROM parts), {_HASHED.format('docs', 'doc_id')},
 pairs AS (SELECT d, i, n, text, b.v AS bv, a.v AS av FROM parts JOIN docs_v b ON b.id = d * 1000000 + i LEFT JOIN docs_v a ON a.id = d * 1000000 + i - 1 AND i > 0),
@@ -540,18 +549,64 @@ def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return samples, docs.select(F.col("source").alias("example_id"), "doc_id", "text")
 
 
-@query()
+# SQL of an evaluation: samples, chunks by strategy, a leg for each method, configurations, answers, judgements, scores
+_LEG = "{0} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, sample_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT strategy, sample_id, chunk_id, round(score, 6) AS score FROM {1}) {2}) WHERE rank <= 10)"
+_EVALUATION = f"""items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item, item_id AS query_id, text AS question FROM benchmark),
+heads AS (SELECT source, doc_id, text, coalesce(sum(len(coalesce(text, '')) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+corpora AS (SELECT source AS example_id, row_number() OVER (ORDER BY source) - 1 AS place, substr(string_agg(substr(coalesce(text, ''), 1, 2000), chr(10) || chr(10) ORDER BY doc_id), 1, 2000) AS corpus FROM heads WHERE before < 2000 GROUP BY source),
+samples AS (SELECT sample_id, example_id, query_id, question, corpus, {_TOKENS.format('question')} AS qs FROM (SELECT unnest(range(greatest((SELECT count(*) FROM items), (SELECT count(*) FROM corpora)))) AS sample_id)
+            JOIN items ON item = sample_id % (SELECT count(*) FROM items) JOIN corpora ON place = sample_id % (SELECT count(*) FROM corpora)),
+{_WINDOWS},
+parts AS (SELECT 'sentence' AS strategy, doc_id, doc_id || '_' || chunk_id AS chunk_id, text FROM chunks UNION ALL SELECT 'none', doc_id, doc_id || '_0', text FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''),
+cs AS (SELECT strategy, source AS example_id, chunk_id, parts.text, {_TOKENS.format('parts.text')} AS ts FROM parts JOIN documents USING (doc_id)),
+n AS (SELECT strategy, example_id, count(*) AS n, avg(len(ts)) AS mean FROM cs GROUP BY ALL),
+tf AS (SELECT strategy, example_id, chunk_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT strategy, example_id, chunk_id, len(ts) AS length, unnest(ts) AS term FROM cs) GROUP BY ALL),
+df AS (SELECT strategy, example_id, term, count(*) AS df FROM tf GROUP BY ALL),
+q AS (SELECT sample_id, example_id, term, count(*) AS qtf FROM (SELECT sample_id, example_id, unnest(qs) AS term FROM samples) GROUP BY ALL),
+bm AS (SELECT strategy, sample_id, chunk_id, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN tf USING (example_id, term) JOIN df USING (strategy, example_id, term) JOIN n USING (strategy, example_id) GROUP BY ALL),
+ww AS (SELECT strategy, example_id, chunk_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (strategy, example_id, term) JOIN n USING (strategy, example_id)),
+l AS (SELECT strategy, example_id, chunk_id, sqrt(sum(w * w)) AS norm FROM ww GROUP BY ALL),
+qw AS (SELECT strategy, sample_id, example_id, term, qtf * (ln((1 + n) / (1 + df)) + 1) AS q FROM q JOIN df USING (example_id, term) JOIN n USING (strategy, example_id)),
+qn AS (SELECT *, q / sqrt(sum(q * q) OVER (PARTITION BY strategy, sample_id)) AS u FROM qw),
+ti AS (SELECT strategy, sample_id, chunk_id, sum(w * u) / any_value(norm) AS score FROM ww JOIN qn USING (strategy, example_id, term) JOIN l USING (strategy, example_id, chunk_id) GROUP BY ALL),
+hc AS (SELECT strategy, example_id, chunk_id, CAST(concat('0x', substr(md5(t), 1, 8)) AS BIGINT) % 64 AS b, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM (SELECT strategy, example_id, chunk_id, unnest(ts) AS t FROM cs) GROUP BY ALL),
+hq AS (SELECT sample_id, example_id, CAST(concat('0x', substr(md5(t), 1, 8)) AS BIGINT) % 64 AS b, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM (SELECT sample_id, example_id, unnest(qs) AS t FROM samples) GROUP BY ALL),
+dots AS (SELECT strategy, chunk_id, sample_id, sum(hc.v * hq.v) AS d FROM hc JOIN hq USING (example_id, b) GROUP BY ALL),
+lc AS (SELECT strategy, chunk_id, sqrt(sum(v * v)) AS l FROM hc GROUP BY ALL), lq AS (SELECT sample_id, sqrt(sum(v * v)) AS m FROM hq GROUP BY ALL),
+de AS (SELECT strategy, sample_id, chunk_id, coalesce(CASE WHEN l > 0 AND m > 0 THEN d / (l * m) END, 0) AS score FROM cs JOIN samples USING (example_id) LEFT JOIN dots USING (strategy, chunk_id, sample_id) LEFT JOIN lc USING (strategy, chunk_id) LEFT JOIN lq USING (sample_id)),
+{_LEG.format('bml', 'bm', 'WHERE score > 0')}, {_LEG.format('til', 'ti', 'WHERE score > 0')}, {_LEG.format('del', 'de', '')},
+fu AS (SELECT sample_id, chunk_id, round(sum(p), 6) AS score FROM (SELECT sample_id, chunk_id, 0.5::DOUBLE / (60 + rank) AS p FROM del WHERE strategy = 'sentence' UNION ALL SELECT sample_id, chunk_id, 0.5::DOUBLE / (60 + rank) FROM til WHERE strategy = 'sentence') GROUP BY ALL),
+hits AS (SELECT 'sparse_sentence_bm25' AS config, 'sentence' AS strategy, sample_id, chunk_id, rank FROM bml WHERE strategy = 'sentence' UNION ALL SELECT 'sparse_none_tfidf', strategy, sample_id, chunk_id, rank FROM til WHERE strategy = 'none'
+         UNION ALL SELECT 'dense_sentence_hashed', strategy, sample_id, chunk_id, rank FROM del WHERE strategy = 'sentence' UNION ALL SELECT 'hybrid_sentence_hashed', 'sentence', sample_id, chunk_id, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, chunk_id) FROM fu),
+got AS (SELECT config, sample_id, list(text ORDER BY rank) AS ds FROM hits JOIN cs USING (strategy, chunk_id) WHERE rank <= 5 GROUP BY ALL),
+asked AS (SELECT s.*, config, coalesce(ds, []) AS ds, coalesce(nullif(array_to_string(coalesce(ds, []), chr(10) || chr(10)), ''), substr(corpus, 1, 2000)) AS context FROM samples s CROSS JOIN (SELECT unnest(['sparse_sentence_bm25', 'sparse_none_tfidf', 'dense_sentence_hashed', 'hybrid_sentence_hashed']) AS config) LEFT JOIN got USING (config, sample_id)),
+told AS (SELECT *, len(context) + len(question) > 20000 AS is_skipped, {_judge_sentences('context')} AS ss FROM asked),
+picked AS (SELECT config, sample_id, first(s ORDER BY shared DESC, i) AS s FROM (SELECT config, sample_id, i, s, len(list_intersect(list_distinct(qs), list_distinct({_TOKENS.format('s')}))) AS shared FROM (SELECT config, sample_id, qs, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM told)) GROUP BY ALL),
+answered AS (SELECT told.*, CASE WHEN NOT is_skipped THEN coalesce(s, '') END AS response, {_TOKENS.format("coalesce(s, '')")} AS rs, {_judge_sentences("coalesce(s, '')")} AS rss FROM told LEFT JOIN picked USING (config, sample_id)),
+keyed AS (SELECT config, sample_id, qs, rs, {_TOKENS.format('s')} AS ts FROM (SELECT config, sample_id, qs, rs, unnest({_judge_sentences('d')}) AS s FROM (SELECT config, sample_id, qs, rs, unnest(ds) AS d FROM answered))),
+near AS (SELECT config, sample_id, flatten(list(ts)) AS every, count(*) AS total, count(*) FILTER (a) AS r, count(*) FILTER (b) AS u, count(*) FILTER (a AND b) AS x
+         FROM (SELECT *, len(list_intersect(list_distinct(ts), list_distinct(qs))) >= 2 AS a, len(list_intersect(list_distinct(ts), list_distinct(rs))) >= 2 AS b FROM keyed) GROUP BY ALL),
+judged AS (SELECT answered.*, coalesce(total, 0) AS total, CASE WHEN is_skipped THEN 0 ELSE coalesce(r, 0) END AS r, CASE WHEN is_skipped THEN 0 ELSE coalesce(u, 0) END AS u, CASE WHEN is_skipped THEN 0 ELSE coalesce(x, 0) END AS x,
+           NOT is_skipped AND len(list_filter(rss, lambda t: NOT list_has_any({_TOKENS.format('t')}, coalesce(every, [])))) = 0 AS supported FROM answered LEFT JOIN near USING (config, sample_id)),
+rated AS (SELECT *, CASE WHEN total > 0 THEN least(r / total, 1.0) ELSE 0.0 END::DOUBLE AS c1, CASE WHEN total > 0 THEN least(u / total, 1.0) ELSE 0.0 END::DOUBLE AS c2, CASE WHEN total > 0 AND r > 0 THEN x / r ELSE 0.0 END::DOUBLE AS c3, CASE WHEN supported THEN 1.0 ELSE 0.0 END::DOUBLE AS c4 FROM judged),
+evaluated AS (SELECT sample_id, example_id, query_id, response AS generated_response, round(c1, 6) AS computed_relevance, round(c2, 6) AS computed_utilization, round(c3, 6) AS computed_completeness, c4 AS computed_adherence, NOT is_skipped AS is_valid, is_skipped,
+              CASE WHEN is_skipped THEN 'context too long' END AS error, config, round((round(c1, 6) + round(c2, 6) + round(c3, 6) + c4) / 4, 6) AS trace FROM rated)"""
+
+
+@query(f"""WITH {_EVALUATION} SELECT e.* EXCLUDE (sample_id), 0.5::DOUBLE AS gt_relevance, 0.5::DOUBLE AS gt_utilization, 0.5::DOUBLE AS gt_completeness, 0.5::DOUBLE AS gt_adherence FROM evaluated e WHERE config = 'sparse_sentence_bm25'""")
 def end_to_end_eval(spark, sf_dir):
     """Every sample through retrieval (sparse, sentences, BM25), the offline answer and judgement, and scores."""
     samples, docs = _samples(spark, sf_dir)
     return evaluate_configs(samples, docs, [("sparse", "sentence", "bm25")]).drop("sample_id", "corpus", "question", "retrieved_chunks")
 
 
-@query()
+@query(f"""WITH {_EVALUATION} SELECT config, count(*) AS n, count(*) FILTER (is_valid) AS n_valid, round(avg(computed_relevance) FILTER (is_valid), 6) AS avg_relevance, round(avg(computed_utilization) FILTER (is_valid), 6) AS avg_utilization,
+round(avg(computed_completeness) FILTER (is_valid), 6) AS avg_completeness, round(avg(computed_adherence) FILTER (is_valid), 6) AS avg_adherence,
+round((avg(computed_relevance) FILTER (is_valid) + avg(computed_utilization) FILTER (is_valid) + avg(computed_completeness) FILTER (is_valid) + avg(computed_adherence) FILTER (is_valid)) / 4, 6) AS avg_trace FROM evaluated GROUP BY config""")
 def grid_eval(spark, sf_dir):
-    """Configuration results of sparse, dense and hybrid configurations over whole documents and sentence windows, in one job."""
+    """Configuration results of sparse, dense and hybrid configurations over whole documents and sentence windows, in one plan."""
     samples, docs = _samples(spark, sf_dir)
-    grid = [("sparse", "none", "tfidf"), ("dense", "sentence", "hashed"), ("hybrid", "sentence", "hashed")]
+    grid = [("sparse", "sentence", "bm25"), ("sparse", "none", "tfidf"), ("dense", "sentence", "hashed"), ("hybrid", "sentence", "hashed")]
     out = aggregation.config_results(evaluate_configs(samples, docs, grid, {"hashed": HashingEmbedder()}), ["config"])
     return out.select("config", "n", "n_valid", *(F.round(f"computed_{s}", 6).alias(f"avg_{s}") for s in aggregation.SCORES), F.round("avg_trace", 6).alias("avg_trace"))
 

@@ -68,7 +68,7 @@ def test_asked_in_batches(spark):
 def judge():
     class Judge:
         def answer(self, prompts):
-            return ['{"all_relevant_sentence_keys": ["0a"], "overall_supported": true, "all_utilized_sentence_keys": ["0a"]}' for p in prompts if "The documents, sentence by sentence" in p]
+            return ['{"all_relevant_sentence_keys": ["0a"], "overall_supported": true, "all_utilized_sentence_keys": ["0a"]}' for p in prompts if "Label the sentences" in p]
 
     return Judge()
 
