@@ -78,3 +78,61 @@ def test_index_of_nothing(spark):
     index = VectorIndex.build(none, new_path(spark, "index"))
     one = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
     assert index.search(one, 3).count() == 0
+
+
+# stored postings
+
+
+def corpus(spark, n, seed=5):
+    import random
+
+    r = random.Random(seed)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(r.choices(words, weights=[1 / (j + 1) for j in range(60)], k=r.randrange(1, 40)))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def rows_of(frame):
+    return sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in frame.collect())
+
+
+def test_postings_index_equals_a_scan(spark, monkeypatch):
+    from ragloom.operators import postings_index as P
+    from ragloom.operators.retrieval import RetrievalSpec, bm25_scores, top_k
+
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "BUCKETS", 4)
+    docs = corpus(spark, 1500).unionByName(spark.createDataFrame([(9000, None), (9001, ""), (9002, "lonely"), (9002, "lonely")], "doc_id long, text string"))
+    whole = docs.dropDuplicates(["doc_id"])
+    asks = spark.createDataFrame([(0, "word0"), (1, "word0 word1"), (2, "word2 word2 word59"), (3, "lonely nobody"), (4, "the"), (5, None), (6, " ".join(f"word{i}" for i in range(20)))], "query_id long, text string")
+    index = P.PostingsIndex.build(docs.where("doc_id < 900"), new_path(spark, "postings"))
+    assert index.append(docs) == {"added": 603, "total": 1503} and index.append(docs) == {"added": 0, "total": 1503}
+    for spec in (RetrievalSpec(), RetrievalSpec(top_k=1, k1=0.9, b=0.3), RetrievalSpec(top_k=2000)):
+        want = top_k(bm25_scores(whole, asks, spec).where(F.round("score", 6) > 0), spec.top_k)
+        assert rows_of(index.search(asks, spec)) == rows_of(want)
+    left = {r.query_id: (r.blocks, r.left_out) for r in index.skipped(asks).collect()}
+    assert left[0][1] > 0.4 * left[0][0] and left[1][1] > 0 and 4 not in left and 5 not in left
+    again = P.PostingsIndex.build(docs, new_path(spark, "postings"))
+    assert rows_of(again.search(asks)) == rows_of(index.search(asks)) and again.statistics().first() == index.statistics().first()
+
+
+def test_an_append_that_failed_is_never_read(spark):
+    from ragloom.operators.postings_index import PostingsIndex
+
+    index = PostingsIndex.build(corpus(spark, 50), new_path(spark, "postings"))
+    ask = spark.createDataFrame([(0, "word0 word1")], "query_id long, text string")
+    before = rows_of(index.search(ask))
+    stray = spark.read.parquet(f"{index.path}/blocks").where("term = 'word0'")
+    stray.selectExpr("term", "'stray' AS segment", "level", "part", "n", "max_tf", "min_tf", "max_length", "min_length", "postings", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{index.path}/blocks")
+    assert rows_of(index.search(ask)) == before
+    plan = index.table("blocks").where("bucket = 3").select("term", "max_tf")._jdf.queryExecution().toString()
+    assert "postings" not in plan.split("ReadSchema")[-1] and "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_postings_index_of_nothing(spark):
+    from ragloom.operators.postings_index import PostingsIndex
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    index = PostingsIndex.build(none, new_path(spark, "postings"))
+    assert index.search(none.withColumnRenamed("doc_id", "query_id")).count() == 0
+    assert index.append(corpus(spark, 20))["added"] == 20 and index.search(spark.createDataFrame([(0, "word0")], "query_id long, text string")).count() == 5
