@@ -15,40 +15,62 @@ class ChatModel(Protocol):
     def answer(self, prompts: list[str]) -> list[str]: ...
 
 
+class RateLimited(Exception):
+    """What a client raises when its service refuses more calls for now."""
+
+
+#: The error of a row that wasn't asked, since the service refuses more calls.
+NOT_ASKED = "not asked"
+
+
+def refuses(error: Exception) -> bool:
+    """Whether an error says that the service takes no more calls: by its class or its status, never by words in its text."""
+    status = getattr(error, "status_code", getattr(error, "status", None))
+    return isinstance(error, RateLimited) or type(error).__name__ in ("RateLimited", "RateLimitError") or status == 429
+
+
 def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response", tries: int = 5, batch: int = 16, wait: float = 0.0) -> DataFrame:
     """rows with the model's answer and `error` (null if it answered). One client serves a partition and gets `batch` prompts at a time.
 
-    Prompts of a call that fails are asked again one by one, `tries` times, after wait, 2 * wait, 4 * wait ... seconds. A null
-    prompt isn't asked and has no error.
+    Prompts of a call that fails are asked again one by one, `tries` times, after wait, 2 * wait, 4 * wait ... seconds. Once the service
+    refuses more calls that often (see refuses()), the prompt's error says so, and the partition's other prompts are not asked: their error is NOT_ASKED.
+    A null prompt isn't asked and has no error.
     """
     schema = f"struct<{name}:string,error:string>"
 
-    def one(prompt: str) -> tuple[str | None, str | None]:
-        error = None
+    def one(prompt: str) -> tuple[str | None, str | None, bool]:
+        error, refused = None, False
         for turn in range(tries):
             if turn and wait:
                 time.sleep(wait * 2 ** (turn - 1))
             try:
-                return model.answer([prompt])[0], None
+                return model.answer([prompt])[0], None, False
             except Exception as e:  # any client's failure is a row's error
-                error = f"{type(e).__name__}: {e}"
-        return None, error
+                error, refused = f"{type(e).__name__}: {e}", refuses(e)
+        return None, error, refused
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        stopped = False
         for prompts in batches:
-            out = [(None, None)] * len(prompts)
+            out = [(None, None if p is None else NOT_ASKED) for p in prompts]
             wanted = [i for i, p in enumerate(prompts) if p is not None]
             for a in range(0, len(wanted), batch):
                 part = wanted[a : a + batch]
+                if stopped:
+                    break
                 try:
-                    said = [(x, None) for x in model.answer([prompts.iloc[i] for i in part])]
+                    said = model.answer([prompts.iloc[i] for i in part])
                     if len(said) != len(part):
                         raise ValueError(f"{len(said)} answers to {len(part)} prompts")
+                    for i, x in zip(part, said, strict=True):
+                        out[i] = x, None
                 except Exception:  # whose prompt it was shows when they are asked one by one
-                    said = [one(prompts.iloc[i]) for i in part]
-                for i, s in zip(part, said, strict=True):
-                    out[i] = s
+                    for i in part:
+                        answer, error, stopped = one(prompts.iloc[i])
+                        out[i] = answer, error
+                        if stopped:
+                            break
             yield pd.DataFrame(out, columns=[name, "error"])
 
     run = run.asNondeterministic()  # so that Spark never asks twice to use an answer twice
