@@ -1,6 +1,7 @@
 """Abilities of answer models: robustness to noise, rejection, integration and robustness to wrong documents, from recorded answers."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ragloom.functions.prompts import bare_prompt, documents_prompt
 from ragloom.functions.text import contains_answer, detects_error, is_rejection
 from ragloom.operators.sampling import noise_mix
+from ragloom.plans.models import ChatModel, asked
 
 # The abilities, and the measure that models rank by in each.
 RANKED_BY = {"noise_robustness": "accuracy", "negative_rejection": "rejection_rate", "information_integration": "accuracy", "counterfactual_robustness": "error_correction"}
@@ -36,6 +38,20 @@ def with_prompts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", documents_prompt(F.col("documents"), F.col("question"))).withColumn("bare_prompt", bare_prompt(F.col("question")))
 
 
+def asked_both(rows: DataFrame, model: ChatModel, **how) -> DataFrame:
+    """rows (question, documents, ...) with the model's response with the documents, response_no_docs without, and error, if either call had one."""
+    said = asked(with_prompts(rows), "prompt", model, "response", **how).withColumnRenamed("error", "_error")
+    bare = asked(said, "bare_prompt", model, "response_no_docs", **how)
+    return bare.withColumn("error", F.coalesce("_error", "error")).select(*rows.columns, "response", "response_no_docs", "error")
+
+
+def ability_run(rows: DataFrame, models: dict[str, ChatModel], **how) -> DataFrame:
+    """evaluated() results of models that answer rows (ability, noise_ratio, question, documents, expected); rows whose calls failed count as wrong answers."""
+    parts = [asked_both(rows, m, **how).withColumn("model", F.lit(name)) for name, m in models.items()]
+    said = reduce(DataFrame.unionByName, parts)
+    return evaluated(judged(said.withColumn("response", F.coalesce("response", F.lit(""))).withColumn("response_no_docs", F.coalesce("response_no_docs", F.lit("")))))
+
+
 def judged(answers: DataFrame, ascii_only: bool = False, normal: Callable[..., Column] = contains_answer) -> DataFrame:
     """Recorded answers (response, response_no_docs, expected: array of answers) with correct, rejected, correct_no_docs, detected and corrected."""
     right = normal(F.col("response"), F.col("expected"), ascii_only)

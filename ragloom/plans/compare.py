@@ -2,11 +2,16 @@
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.metrics import cosine
+from ragloom.operators.embedding import Embedder, embedded
+from ragloom.operators.nearest import nearest
+from ragloom.operators.nearest import ranked as ranked_nearest
+from ragloom.plans.models import ChatModel, asked
 
 #: What the best configuration is made of where a phase has no result.
 FALLBACKS = {"embedding": "minilm", "chunking": "semantic", "model": "llama-3.1-8b"}
@@ -24,6 +29,29 @@ def chunking_scores(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return retrieval_scores(hits, "strategy").join(counts, "strategy").select("strategy", "avg_chunks", "avg_score", "n")
 
 
+def nearest_by_strategy(chunks: DataFrame, queries: DataFrame, embedder: Embedder, k: int = 5) -> DataFrame:
+    """strategy, query_id, score of the k nearest chunks (strategy, doc_id, text) of each query (query_id, text) in each strategy; texts are embedded once."""
+    asked = embedded(queries.select("query_id", "text"), "text", embedder).join(F.broadcast(chunks.select("strategy").distinct()))
+    asked = asked.select("strategy", F.to_json(F.array("strategy", F.col("query_id").cast("string"))).alias("query_id"), "vector")
+    hits = ranked_nearest(nearest(embedded(chunks.select("strategy", "doc_id", "text"), "text", embedder), asked, k, ("strategy",)), k)
+    at = F.from_json("query_id", "array<string>")
+    return hits.select(at[0].alias("strategy"), at[1].cast(queries.schema["query_id"].dataType).alias("query_id"), "score")
+
+
+def compare_models(rows: DataFrame, models: dict[str, ChatModel], embedder: Embedder, truth: str = "truth", prompt: str = "prompt") -> DataFrame:
+    """answer_scores() of models that answer the same rows (prompt, truth): each is asked everything once, with the time of its calls and the words of its answers."""
+    parts = [asked(rows.select(prompt, truth), prompt, m, ms="ms").withColumn("model", F.lit(name)) for name, m in models.items()]
+    said = embedded(embedded(reduce(DataFrame.unionByName, parts), "response", embedder, "answer_vector"), truth, embedder, "truth_vector")
+    return answer_scores(said.withColumn("tokens", F.size(F.split(F.trim(F.coalesce("response", F.lit(""))), r"\s+"))))
+
+
+def observed(results: DataFrame, name: str = "results") -> tuple[DataFrame, Observation]:
+    """results (is_valid, and ms if it is there) with an observation that has n, n_valid and avg_ms once a job has gone over them: no second pass counts them."""
+    seen = Observation(name)
+    ms = F.avg("ms") if "ms" in results.columns else F.lit(None).cast("double")
+    return results.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("n_valid"), ms.alias("avg_ms")), seen
+
+
 def answer_scores(answers: DataFrame) -> DataFrame:
     """model, avg_similarity, avg_ms, avg_tokens and n of answers (model, answer_vector, truth_vector, ms, tokens, error) without an error, best first."""
     ok = answers.where("error IS NULL")

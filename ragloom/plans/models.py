@@ -29,14 +29,15 @@ def refuses(error: Exception) -> bool:
     return isinstance(error, RateLimited) or type(error).__name__ in ("RateLimited", "RateLimitError") or status == 429
 
 
-def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response", tries: int = 5, batch: int = 16, wait: float = 0.0) -> DataFrame:
+def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response", tries: int = 5, batch: int = 16, wait: float = 0.0, ms: str | None = None) -> DataFrame:
     """rows with the model's answer and `error` (null if it answered). One client serves a partition and gets `batch` prompts at a time.
 
     Prompts of a call that fails are asked again one by one, `tries` times, after wait, 2 * wait, 4 * wait ... seconds. Once the service
     refuses more calls that often (see refuses()), the prompt's error says so, and the partition's other prompts are not asked: their error is NOT_ASKED.
-    A null prompt isn't asked and has no error.
+    A null prompt isn't asked and has no error. ms names a column for the milliseconds of a row's share of its call, null where it wasn't asked.
     """
-    schema = f"struct<{name}:string,error:string>"
+    timer = ms or "_ms"
+    schema = f"struct<{name}:string,error:string,{timer}:double>"
 
     def one(prompt: str) -> tuple[str | None, str | None, bool]:
         error, refused = None, False
@@ -53,28 +54,31 @@ def asked(rows: DataFrame, prompt: str, model: ChatModel, name: str = "response"
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         stopped = False
         for prompts in batches:
-            out = [(None, None if p is None else NOT_ASKED) for p in prompts]
+            out: list[tuple[str | None, str | None, float | None]] = [(None, None if p is None else NOT_ASKED, None) for p in prompts]
             wanted = [i for i, p in enumerate(prompts) if p is not None]
             for a in range(0, len(wanted), batch):
                 part = wanted[a : a + batch]
                 if stopped:
                     break
+                began = time.perf_counter()
+                took = lambda n, began: (time.perf_counter() - began) * 1000 / n
                 try:
                     said = model.answer([prompts.iloc[i] for i in part])
                     if len(said) != len(part):
                         raise ValueError(f"{len(said)} answers to {len(part)} prompts")
                     for i, x in zip(part, said, strict=True):
-                        out[i] = x, None
+                        out[i] = x, None, took(len(part), began)
                 except Exception:  # whose prompt it was shows when they are asked one by one
                     for i in part:
+                        began = time.perf_counter()
                         answer, error, stopped = one(prompts.iloc[i])
-                        out[i] = answer, error
+                        out[i] = answer, error, took(1, began)
                         if stopped:
                             break
-            yield pd.DataFrame(out, columns=[name, "error"])
+            yield pd.DataFrame(out, columns=[name, "error", timer]).astype({timer: "float64"})
 
     run = run.asNondeterministic()  # so that Spark never asks twice to use an answer twice
-    return rows.withColumn("_said", run(prompt)).select(*rows.columns, f"_said.{name}", "_said.error")
+    return rows.withColumn("_said", run(prompt)).select(*rows.columns, f"_said.{name}", "_said.error", *([f"_said.{ms}"] if ms else []))
 
 
 def extracted_answer(question: Column, context: Column) -> Column:

@@ -4,6 +4,7 @@ Scores are rounded to six digits and equal ones rank by id, so that both engines
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -732,17 +733,24 @@ def compare_embeddings(spark, sf_dir):
     return compare.retrieval_scores(hits[0].unionByName(hits[1]), "embedding")
 
 
-_AS_DOCS = _DOCS_TOKENS.replace("FROM documents)", "FROM parts)")
+_HASHED_SPARSE = "{0} AS (SELECT {1}, CAST(concat('0x', substr(md5(t), 1, 8)) AS BIGINT) % 64 AS b, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END) AS v FROM (SELECT {1}, unnest({2}) AS t FROM {3}) GROUP BY ALL)"
 
 
-@query(f"""WITH {_WINDOWS}, parts AS (SELECT doc_id * 100000 + chunk_id AS doc_id, '' AS lang, '' AS source, text FROM chunks), {_AS_DOCS}, {_DENSE}, y AS ({_RANKED.format('dense', 5)}),
-m AS (SELECT query_id, avg(score) AS s FROM y GROUP BY query_id)
-SELECT 'sentence' AS strategy, (SELECT round(avg(n), 6) FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)) AS avg_chunks, round(avg(s), 6) AS avg_score, count(*) AS n FROM m""")
+@query(f"""WITH {_WINDOWS.replace('s AS (SELECT doc_id', 's0 AS (SELECT doc_id', 1).replace('FROM s WHERE len(s) > 0)', 'FROM s0 WHERE len(s) > 0)').replace('w AS (SELECT', 'w0 AS (SELECT').replace('FROM w)', 'FROM w0)')}, {_SEMANTIC},
+c3 AS (SELECT 'sentence' AS strategy, doc_id, chunk_id::VARCHAR AS c, text FROM chunks UNION ALL SELECT 'none', doc_id, '0', text FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s', '', 'g') <> ''
+       UNION ALL SELECT 'semantic', d, row_number() OVER (PARTITION BY d ORDER BY a)::VARCHAR, t FROM g),
+{_HASHED_SPARSE.format('hc', 'strategy, doc_id, c', _TOKENS.format('text'), 'c3')}, {_HASHED_SPARSE.format('hq', 'item_id', _TOKENS.format('text'), 'benchmark')},
+lc AS (SELECT strategy, doc_id, c, sqrt(sum(v * v)) AS l FROM hc GROUP BY ALL), lq AS (SELECT item_id, sqrt(sum(v * v)) AS m FROM hq GROUP BY ALL),
+dt AS (SELECT strategy, doc_id, c, item_id, sum(hc.v * hq.v) AS d FROM hc JOIN hq USING (b) GROUP BY ALL),
+sc AS (SELECT c3.strategy, benchmark.item_id, round(coalesce(CASE WHEN l > 0 AND m > 0 THEN d / (l * m) END, 0), 6) AS score FROM c3 CROSS JOIN benchmark LEFT JOIN dt USING (strategy, doc_id, c, item_id) LEFT JOIN lc USING (strategy, doc_id, c) LEFT JOIN lq USING (item_id)),
+tp AS (SELECT strategy, item_id, avg(score) AS s FROM (SELECT *, row_number() OVER (PARTITION BY strategy, item_id ORDER BY score DESC) AS rank FROM sc) WHERE rank <= 5 GROUP BY ALL)
+SELECT strategy, (SELECT round(avg(n), 6) FROM (SELECT doc_id, count(*) AS n FROM c3 x WHERE x.strategy = tp.strategy GROUP BY doc_id)) AS avg_chunks, round(avg(s), 6) AS avg_score, count(*) AS n FROM tp GROUP BY strategy""")
 def compare_chunkings(spark, sf_dir):
-    """Sentence windows by the number of chunks of a document and the mean score of the nearest five of every benchmark item."""
+    """Whole documents, sentence windows and semantic chunks by the number of chunks of a document and the mean score of the nearest five of every benchmark item."""
     docs, asks = docs_and_asks(spark, sf_dir)
-    chunks = chunking.sentence_chunks(docs).select("strategy", F.col("doc_id").alias("example_id"), (F.col("doc_id") * 100_000 + F.col("chunk_id")).alias("doc_id"), "text")
-    return compare.chunking_scores(_dense_leg(chunks, asks, 5).withColumn("strategy", F.lit("sentence")), chunks)
+    made = (chunking.no_chunks(docs), chunking.sentence_chunks(docs), chunking.semantic_chunks(docs, threshold=0.2))
+    chunks = reduce(DataFrame.unionByName, (c.select("strategy", F.col("doc_id").alias("example_id"), F.concat_ws("_", "doc_id", "chunk_id").alias("doc_id"), "text") for c in made))
+    return compare.chunking_scores(compare.nearest_by_strategy(chunks, asks, HashingEmbedder()), chunks)
 
 
 @query(f"""WITH p AS (SELECT * FROM (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations) WHERE role = 'assistant' AND question IS NOT NULL),

@@ -95,3 +95,38 @@ def test_rows_after_a_refusal_are_not_asked(spark):
     assert [got[i][0] for i in range(3)] == ["p0", "p1", "p2"] and got[3][1] == "OSError: busy" and got[7] == (None, None)
     assert all(got[i] == (None, NOT_ASKED) for i in (4, 5, 6, 8))
     assert not refuses(ValueError("rate limit")) and refuses(type("RateLimitError", (Exception,), {})())
+
+
+def echo(words):
+    class Echo:
+        """Answers with the last words of the prompt, and never without documents."""
+
+        def answer(self, prompts):
+            return ["I cannot answer this." if p.startswith("Answer this question") else " ".join(p.replace("\n", " ").split()[:words]) for p in prompts]
+
+    return Echo()
+
+
+def test_abilities_are_asked_with_and_without_documents(spark):
+    from ragloom.plans.ability import ability_run
+
+    rows = [("noise_robustness", 0.4, "q1", ["the moon is cold"], ["moon"]), ("negative_rejection", None, "q2", ["x"], ["y"]), ("counterfactual_robustness", None, "q3", ["inaccurate sun"], ["sun"])]
+    frame = spark.createDataFrame(rows, "ability string, noise_ratio double, question string, documents array<string>, expected array<string>")
+    got = {(r.ability, r.model): r for r in ability_run(frame, {"all": echo(50), "few": echo(2)}).collect()}
+    assert got[("noise_robustness", "all")].accuracy == 100 and got[("noise_robustness", "few")].accuracy == 0
+    assert got[("negative_rejection", "all")].rejection_rate == 0
+    right = got[("counterfactual_robustness", "all")]
+    assert (right.acc, right.acc_doc, right.error_detection, right.error_correction) == (0, 100, 100, 100)
+
+
+def test_models_are_compared_and_observed(spark):
+    from ragloom.operators.embedding import HashingEmbedder
+    from ragloom.plans.compare import compare_models, observed
+
+    rows = spark.createDataFrame([(f"alpha beta gamma{i} delta epsilon", f"alpha beta gamma{i} delta epsilon") for i in range(20)], "prompt string, truth string")
+    got = compare_models(rows, {"all": echo(50), "one": echo(1)}, HashingEmbedder()).collect()
+    assert [r.model for r in got] == ["all", "one"] and got[0].avg_similarity == 1.0 > got[1].avg_similarity and [r.avg_tokens for r in got] == [5.0, 1.0]
+    assert all(r.n == 20 and r.avg_ms >= 0 for r in got)
+    results, seen = observed(asked(rows, "prompt", echo(1), ms="ms").withColumn("is_valid", F.col("error").isNull()))
+    results.write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == seen.get["n_valid"] == 20 and seen.get["avg_ms"] >= 0
