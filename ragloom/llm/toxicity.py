@@ -298,8 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     vocabulary = sorted(number)
     place = np.empty(len(number), dtype=np.int32)
     place[[number[w] for w in vocabulary]] = np.arange(len(number))
+    del number
+    for _, _, own in found:
+        np.take(place, own.copy(), out=own)  # in place: the driver holds each document's numbers once
     share = total.get(1, 0) / max(1, sum(total.values()))
-    return train(vocabulary, [place[r[2]] for r in found], np.array([r[1] for r in found], dtype=int), share)
+    return train(vocabulary, [r[2] for r in found], np.array([r[1] for r in found], dtype=int), share)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
