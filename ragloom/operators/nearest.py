@@ -37,17 +37,18 @@ def _best(ids: np.ndarray, own: np.ndarray, names: np.ndarray, matrix: np.ndarra
     return out[out["score"] >= -1.5]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), others_only: bool = False, most_queries: int = MOST_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), others_only: bool = False, most_queries: int | None = None) -> DataFrame:
     """query_id, doc_id, score: candidates for the k nearest (by, doc_id, vector) of each query (by, query_id, vector) by cosine among the
     vectors with its values of `by`, the k best of each block; rank them to have the k best of all.
 
     Scores have six digits; equal ones go by doc_id. A vector without length has cosine 0. others_only leaves out a vector whose
-    doc_id is the query_id. A query may be in several groups. Up to most_queries rows of queries are sent to the vectors where they are; beyond that,
+    doc_id is the query_id. A query may be in several groups. Up to most_queries (by default MOST_QUERIES) rows of queries are sent to the vectors where they are; beyond that,
     both sides are dealt into blocks, so that a group of any size is in as many tasks as its blocks.
     """
     kinds = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", vectors.schema["doc_id"].dataType)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", score double"
     vectors, queries = vectors.select(*by, "doc_id", "vector"), queries.select(*by, "query_id", "vector")
+    most_queries = MOST_QUERIES if most_queries is None else most_queries
     few = queries.limit(most_queries + 1).toPandas()
     if len(few) <= most_queries:
         groups = {key: (part["query_id"].to_numpy(), scaled(part["vector"].to_list())) for key, part in _grouped(few, by)}

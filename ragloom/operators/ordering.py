@@ -4,8 +4,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a range at least: a small table is one.
+LEAST_ROWS = 5_000
+
+
 def _parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
     """rows with _part: which of at most `parts` ranges of the number `order` they are in; nulls are in the first."""
+    parts = min(parts, rows.count() // LEAST_ROWS)
+    if parts < 2:
+        return rows.withColumn("_part", F.lit(0))
     bounds = rows.stat.approxQuantile(order, [i / parts for i in range(1, parts)], 0.2 / parts)
     edges = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
     return rows.withColumn("_part", F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order))), F.lit(0)))

@@ -14,16 +14,44 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_prompt_context_holds_no_source_in_a_row(spark, tmp_path):
-    docs = _tables(spark, tmp_path)
-    out = queries.prompt_context(spark, str(tmp_path))
+def test_prompts_hold_an_items_best_documents(spark, tmp_path):
+    docs = [(0, "moon moon moon", "en", "s"), (1, "moon and sun", "en", "s"), (2, "sea", "en", "s"), (3, None, "en", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "moon"), (8, "nothing here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = {r.doc_id: r.score for r in queries.bm25_topk(spark, str(tmp_path)).where("query_id = 7").collect()}
+    assert hits[0] > hits[1]
+    ranked = "\n\n".join(f"[Document {i}] (relevance: {hits[d]:.2f})\n{docs[d][1]}" for i, d in enumerate((0, 1), 1))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    got = {r.query_id: r for r in queries.prompt_context(spark, str(tmp_path)).collect()}
+    assert (got[7].n_documents, got[7].context_md5) == (2, md5(ranked)) and (got[8].n_documents, got[8].context_md5) == (0, md5("No relevant context found."))
+
+
+def test_windows_go_over_documents(spark):
+    """Against the sentences of the joined text, cut by plain code; sentences without an end go on in the next document."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ragloom.operators import chunking, ordering
+
+    r = random.Random(4)
+    bits = ["One. ", "two", " three?", "  ", "Mr.", "Mr. X", "\n", "etc. end!", "Four five.  ", "Dr", ". "]
+    rows = [(f"g{r.randrange(3)}", i * 3, None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(0, 6)))) for i in range(120)] + [("blank", 1000, " "), ("blank", 1001, None), ("hot", 2000, "A. " * 40), (None, 3000, "no group. here")]
+    frame = spark.createDataFrame(rows, "example_id string, doc_id long, text string").repartition(4)
     want = set()
-    for source in {d[2] for d in docs}:
-        own = [d for d in docs if d[2] == source]
-        ranked = "\n\n".join(f"[Document {i}] (relevance: {d[3] % 100 / 100:.2f})\n{d[1]}" for i, d in enumerate(own, 1) if d[1])
-        numbered = "\n".join(f"Document {i}: {d[1]}" for i, d in enumerate(own, 1) if d[1])
-        want.add((source, *(hashlib.md5(x.encode()).hexdigest() for x in (ranked, numbered)), sum(len(d[1] or "") for d in own) > 20_000))
-    assert {tuple(r) for r in out.collect()} == want and "collect_list" not in _plan(out)
+    for group in {x[0] for x in rows}:
+        joined = "\n\n".join(x[2] or "" for x in rows if x[0] == group)
+        guarded = re.sub(r"\b(Mr|Mrs|Ms|Dr|Prof|Inc|Ltd|Corp|vs|etc)\.\s", "\\1\x01 ", joined)
+        parts = [s for p in re.split(r"(?<=[.!?])\s+", guarded) if (s := p.replace("\x01", ".").strip())]
+        starts = range(0, 1 if len(parts) <= 5 else -(-(len(parts) - 5) // 3) * 3 + 1, 3)
+        want |= {(group, k, " ".join(parts[a : a + 5]), a, min(a + 5, len(parts)) - 1) for k, a in enumerate(starts) if parts}
+    for least in (10, 5000):
+        ordering.LEAST_ROWS, before = least, ordering.LEAST_ROWS
+        got = chunking.corpus_chunks(frame).select("example_id", "chunk_id", "text", "start_sentence", "end_sentence").collect()
+        ordering.LEAST_ROWS = before
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert chunking.corpus_chunks(frame.where(F.lit(False))).count() == 0
 
 
 def test_noise_mix_ranks_rows(spark, tmp_path):

@@ -150,7 +150,9 @@ def test_best_config(spark):
     assert ability.best_models(frame([("negative_rejection", "a", None, 5.0, None, None), ("negative_rejection", "b", None, 9.0, None, None)], "ability string, model string, accuracy double, rejection_rate double, error_correction double, x double")).first().model == "b"
 
 
-def test_order_over_a_table(spark):
+@pytest.mark.parametrize("least", [10, 5000])
+def test_order_over_a_table(spark, monkeypatch, least):
+    monkeypatch.setattr("ragloom.operators.ordering.LEAST_ROWS", least)
     rows = spark.range(1000).select((F.col("id") * F.col("id")).alias("k"), (F.col("id") % 3).alias("g"), F.lit(2).alias("v"))
     got = {r.k: r.b for r in running_before(rows, ["g"], "k", "v", "b", parts=7).collect()}
     assert got == {i * i: 2 * (i // 3) for i in range(1000)}
@@ -175,7 +177,7 @@ def test_model_rerank_and_blocks_of_queries(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7)]) for i in range(40)], "doc_id long, vector array<double>")
     queries = vectors.withColumnRenamed("doc_id", "query_id")
     whole = sorted(map(tuple, retrieval.dense_top(vectors, queries, 3, True).collect()))
-    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
+    monkeypatch.setattr("ragloom.operators.nearest.MOST_QUERIES", 7)
     assert sorted(map(tuple, retrieval.dense_top(vectors, queries, 3, True).collect())) == whole and len(whole) == 120
 
 
