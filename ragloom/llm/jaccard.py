@@ -10,8 +10,9 @@ documents; the first of them that the other set has too is then among the other'
 Pairs that meet are compared by a second sketch, of single bits, and verified on whole sets.
 
 Instead of all pairs of a bucket, each set is first compared with one centre; what this links is
-contracted, and only sets that are still in different components of a bucket are compared after that. Buckets with the
-same sets count as one.
+contracted, and only sets that are still in different components of a bucket are compared after that. Where many pairs of
+these may be similar, they meet whole in their bucket, which answers with a forest of its links: fewer rows than it has
+sets, whatever the number of similar pairs. Buckets with the same sets count as one.
 """
 
 from collections.abc import Iterator
@@ -44,6 +45,10 @@ CENTRES = 8
 PAIRS_A_ROW = 1000
 #: Sets of a bucket that are compared in one place; a larger bucket is split into groups, and each two of these meet in one place.
 BLOCK = 2048
+#: Hashes of the whole sets that one group of a bucket holds, about: long sets make more groups.
+HASHES = 1 << 21
+#: Pairs of a place, and for each set of it, that are verified one by one; where more may be similar, the sets meet whole. Results are the same.
+FEW_PAIRS, PAIRS_A_SET = 500, 2
 #: Rows of a narrow table that a task writes, and the tasks that write the smallest one.
 ROWS_A_TASK, LEAST_TASKS = 50_000, 12
 #: Pairs that a task verifies at least, if there are enough.
@@ -291,9 +296,25 @@ def _may_be_similar(least: float) -> F.Column:
     return F.when(sizes, distance <= most).otherwise(False)
 
 
-def _cross_pairs(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, int]]:
-    """The pairs of one place (rows in order of size) that may be similar: of different labels and, where two groups meet, of different groups."""
-    label, size, sets = rows["label"].to_numpy(), rows["size"].to_numpy(), rows["set_id"].to_numpy()
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each place (key, low, high), which come one after the other but may begin in one batch and end in a later one."""
+    held = []
+    for batch in batches:
+        place = batch[["key", "low", "high"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if held and (place[x] != held[0][["key", "low", "high"]].to_numpy()[0]).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(batch.iloc[x:y])
+    if held:
+        yield pd.concat(held)
+
+
+def _near(rows: pd.DataFrame, label: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows of one place (in order of size) the later ones that may be similar, nearest first: of different labels, as they are
+    by then, and, where two groups meet, of different groups."""
+    size = rows["size"].to_numpy()
     group = rows["own"].to_numpy() if rows["low"].iloc[0] != rows["high"].iloc[0] else None
     sketches = [p.view(_U) for p in rows["parity"]]
     longs = np.array([len(p) for p in sketches])
@@ -314,9 +335,33 @@ def _cross_pairs(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, int]]:
                 n = min(longs[i], longs[k])
                 x, y = (np.bitwise_xor.reduce(sketches[z].reshape(-1, n), axis=0) for z in (i, k))
                 distance[at] = np.bitwise_count(x ^ y).sum()
-        for k in j[distance <= np.floor((1 - least) / (1 + least) * (size[i] + size[j]) + 1e-9)].tolist():
-            a, b = int(sets[i]), int(sets[k])
-            yield (a, b) if a < b else (b, a)
+        near = np.flatnonzero(distance <= np.floor((1 - least) / (1 + least) * (size[i] + size[j]) + 1e-9))
+        if len(near):
+            yield i, j[near[np.argsort(distance[near], kind="stable")]]
+
+
+def _similar(x: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of the other sets have at least the similarity with x; sets are ascending and not empty."""
+    many = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    met = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    shared = np.add.reduceat(met.astype(np.int64), np.cumsum(many) - many)
+    return 100 * shared >= 100 * least * (len(x) + many - shared) - 1e-9
+
+
+def _forest(rows: pd.DataFrame, least: float) -> Iterator[tuple[int, int]]:
+    """Similar pairs of one place, compared by whole sets (hashes), that connect all labels that any of its similar pairs does: fewer than it has labels."""
+    label, sets, hashes = rows["label"].to_numpy().copy(), rows["set_id"].to_numpy(), [np.frombuffer(x, dtype="<u8") for x in rows["hashes"]]
+    for i, near in _near(rows, label, least):
+        step = 8
+        while len(near):
+            now, near = near[:step], near[step:]
+            for k in now[_similar(hashes[i], [hashes[k] for k in now], least)].tolist():
+                if label[k] != label[i]:
+                    a, b = int(sets[i]), int(sets[k])
+                    yield (a, b) if a < b else (b, a)
+                    label[label == label[k]] = label[i]
+            near, step = near[label[near] != label[i]], 2 * step
 
 
 class _Join:
@@ -352,18 +397,21 @@ class _Join:
 
         return materialise(texts.select("text").mapInPandas(run, "set_id long, hashes binary"), "sets", within=self.folder)
 
+    def hold(self, wanted: DataFrame, n: int) -> None:
+        """See to it that self.sets has the whole sets of `wanted` (set_id), which has at most n rows."""
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("set_id"), "set_id", "left_anti")
+        of = self.first.join(_sent(wanted, n), "set_id", "left_semi").select("first_id", "first_body")
+        made = self.whole_sets(self.table(of, "wanted", n))
+        self.sets = made if self.sets is None else self.sets.union(made)
+
     def links(self, pairs: DataFrame, most: int) -> DataFrame:
         """The pairs (a, b), at most `most`, whose sets have at least the similarity, as a table."""
         pairs, least = self.table(pairs, "pairs", most), self.least
         n = pairs.count()
         if not n:
             return pairs
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("set_id")
-        if self.sets is not None:
-            wanted = wanted.join(self.sets.select("set_id"), "set_id", "left_anti")
-        of = self.first.join(_sent(wanted, 2 * n), "set_id", "left_semi").select("first_id", "first_body")
-        made = self.whole_sets(self.table(of, "wanted", 2 * n))
-        self.sets = made if self.sets is None else self.sets.union(made)
+        self.hold(pairs.select("a").union(pairs.select("b")).distinct().toDF("set_id"), 2 * n)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -413,39 +461,72 @@ class _Join:
             new = more.count()
             few = 20 * new <= found
             links, drawn, found = links.union(more), drawn + 1, found + new
-        more = self.links(self.apart(mixed), most)
+        more = self.apart(mixed, most)
         links = links.union(more)
         return self.counted(links, labels if more.isEmpty() else self.components(links))
 
-    def apart(self, mixed: DataFrame) -> DataFrame:
-        """The pairs (a, b) of sets in one bucket (key, set_id, label, n: its sets) whose labels differ and whose sketches allow the similarity."""
-        least = self.least
-        groups = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("set_id"), groups).cast("int")
-        places = F.transform(F.sequence(F.lit(0), groups - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
-        rows = mixed.select("key", "set_id", "label", own.alias("own"), F.explode(places).alias("place")).select("key", "set_id", "label", "own", "place.low", "place.high")
-        rows = rows.join(self.first.select("set_id", "size", "parity"), "set_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "size")
+    def placed(self, rows: DataFrame, groups: F.Column) -> DataFrame:
+        """The sets of buckets (key, set_id, label) dealt to places (low, high): groups of a bucket (own), each two of which meet in one."""
+        own = F.pmod(F.xxhash64("set_id"), groups.cast("int")).cast("int")
+        places = F.transform(F.sequence(F.lit(0), groups.cast("int") - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+        return rows.select("key", "set_id", "label", own.alias("own"), F.explode(places).alias("place")).select("key", "set_id", "label", "own", "place.low", "place.high")
+
+    def apart(self, mixed: DataFrame, most: int) -> DataFrame:
+        """Links (a, b) that connect what the similar pairs of each bucket (key, set_id, label, n: its sets) connect across labels; mixed has at most `most` rows.
+
+        Where few pairs of a place may be similar by their sketches, these are verified once for all buckets. Where there are more
+        than FEW_PAIRS, and than PAIRS_A_SET for each set that is in one, these sets meet again as whole sets.
+        """
+        least, place = self.least, ["key", "low", "high"]
+        sketches = self.first.select("set_id", "size", "parity")
+        rows = self.placed(mixed, F.ceil(F.col("n") / BLOCK)).join(sketches, "set_id").repartition(*place).sortWithinPartitions(*place, "size")
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = set()
+            for part in _places(batches):
+                label, sets = part["label"].to_numpy(), part["set_id"].to_numpy()
+                may, pairs, n = np.zeros(len(part), dtype=bool), [], 0
+                for i, j in _near(part, label, least):
+                    may[i] = may[j] = True
+                    pairs.append((i, j))
+                    n += len(j)
+                if n > max(FEW_PAIRS, PAIRS_A_SET * int(may.sum())):
+                    # places of the same sets have one key, so that these meet once
+                    name = mix(mix(sets[may].view(_U)).sum(keepdims=True) + _U(may.sum())).view(np.int64)[0]
+                    yield pd.DataFrame({"a": sets[may], "b": label[may], "key": name, "size": part["size"].to_numpy()[may], "paired": False})
+                else:
+                    found.update((min(x), max(x)) for i, j in pairs for x in ((int(sets[i]), int(sets[k])) for k in j))
+                if len(found) > HELD:
+                    yield pd.DataFrame(sorted(found), columns=["a", "b"]).assign(key=0, size=0, paired=True)
+                    found = set()
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"]).assign(key=0, size=0, paired=True)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found, held = set(), []
-            for batch in batches:
-                place = batch[["key", "low", "high"]].to_numpy()
-                cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
-                for x, y in zip(cuts, cuts[1:], strict=False):
-                    part = batch.iloc[x:y]
-                    if held and (place[x] != held[0][["key", "low", "high"]].to_numpy()[0]).any():
-                        found.update(_cross_pairs(pd.concat(held) if len(held) > 1 else held[0], least))
-                        held = []
-                    held.append(part)
+        found = self.table(rows.mapInPandas(near, "a long, b long, key long, size long, paired boolean").distinct(), "near", most)
+        links = self.links(found.where("paired").select("a", "b"), most)
+        found = found.where("not paired").select("key", F.col("a").alias("set_id"), F.col("b").alias("label"), "size")
+        n = found.count()
+        if not n:
+            return links
+        wanted = found.select("set_id").distinct()
+        self.hold(wanted, n)
+        whole = self.sets.join(_sent(wanted, n), "set_id", "left_semi") if n <= MOST_SENT else narrowed(self.sets, "set_id", wanted)
+        sums = found.groupBy(F.col("key").alias("in_key")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / HASHES)).alias("groups"))
+        rows = self.placed(found.join(sums, found["key"] == sums["in_key"]), F.col("groups"))
+        rows = rows.join(sketches, "set_id").join(whole, "set_id").repartition(*place).sortWithinPartitions(*place, "size")
+
+        def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = set()
+            for part in _places(batches):
+                found.update(_forest(part, least))
                 if len(found) > HELD:
                     yield pd.DataFrame(sorted(found), columns=["a", "b"])
                     found = set()
-            if held:
-                found.update(_cross_pairs(pd.concat(held), least))
             if found:
                 yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
-        return rows.mapInPandas(run, "a long, b long").distinct()
+        more = self.table(rows.mapInPandas(forest, "a long, b long").distinct(), "links", n, batch=100)  # a row holds a whole set
+        return links.union(more)
 
     def counted(self, links: DataFrame, labels: DataFrame) -> DataFrame:
         n = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -143,3 +143,44 @@ def test_small_buckets_and_blocks_lose_nothing(spark, monkeypatch, bucket):
     frame = spark.createDataFrame(told, "doc_id long, text string").repartition(5)
     got = [tuple(x) for x in jaccard.similar(frame).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(got) == sorted(brute(told))
+
+
+@pytest.mark.parametrize("pairs_a_set", [0, 2, 10**6])
+def test_links_of_a_dense_bucket_are_fewer_than_its_sets(spark, monkeypatch, pairs_a_set):
+    """Near copies about the least similarity: whichever way pairs are verified, nothing is lost; met whole, a bucket's links are a forest."""
+    monkeypatch.setattr(jaccard, "CENTRES", 1)
+    monkeypatch.setattr(jaccard, "FEW_PAIRS", 0)
+    monkeypatch.setattr(jaccard, "PAIRS_A_SET", pairs_a_set)
+    asked, last = [], jaccard._Join.apart
+
+    def apart(self, mixed, *more):
+        asked.append((mixed.select("set_id").distinct().count(), (found := last(self, mixed, *more)).count()))
+        return found
+
+    monkeypatch.setattr(jaccard._Join, "apart", apart)
+    r = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(160)]
+    told = []
+    for i in range(120):
+        own = list(base)
+        for at in r.choice(160, 4 if i % 2 else 2, replace=False):
+            own[at] = f"x{r.integers(0, 10**9)}"
+        told.append((i, " ".join(own)))
+    frame = spark.createDataFrame(told, "doc_id long, text string").repartition(4)
+    got = [tuple(x) for x in jaccard.similar(frame).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(brute(told))
+    assert asked and (pairs_a_set > 2 or asked[0][1] < 2 * asked[0][0])
+
+
+def test_a_place_answers_with_a_forest():
+    """Two components of 60 sets each, all pairs similar: one link connects them."""
+    r = np.random.default_rng(8)
+    core = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([core, r.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(120)] + [np.unique(r.integers(0, 2**63, 303, dtype=np.uint64))]
+    rows = [(5, 0, 0, 0, i, 1 if i < 60 else 2, len(s), np.array(jaccard.parity_bits(s)), s.astype("<u8").tobytes()) for i, s in enumerate(sets)]
+    place = jaccard.pd.DataFrame(rows, columns=["key", "low", "high", "own", "set_id", "label", "size", "parity", "hashes"])
+    place.loc[120, "label"] = 3
+    (a, b), = jaccard._forest(place, 0.75)
+    assert a < 60 <= b < 120
+    near = list(jaccard._near(place, place["label"].to_numpy(), 0.75))
+    assert sum(len(j) for _, j in near) == 3600
