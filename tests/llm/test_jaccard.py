@@ -184,3 +184,23 @@ def test_a_place_answers_with_a_forest():
     assert a < 60 <= b < 120
     near = list(jaccard._near(place, place["label"].to_numpy(), 0.75))
     assert sum(len(j) for _, j in near) == 3600
+
+
+def test_components_carry_links_over(spark):
+    """Later rounds have only the links between what earlier ones joined; a long chain takes few rounds."""
+    from ragloom.llm.components import components
+
+    written = []
+
+    def table(df, name, most):
+        out = df.localCheckpoint()
+        written.append((name, out.count()))
+        return out
+
+    r = np.random.default_rng(2)
+    chain = r.permutation(400)
+    links = [(int(a), int(b)) for a, b in zip(chain, chain[1:])] + [(1000, int(x)) for x in range(1001, 1400)] + [(5000, 5000)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), table, lambda df, n: df).select("node", "label").collect()))
+    assert got == {int(x): 0 for x in chain} | dict.fromkeys(range(1000, 1400), 1000) | {5000: 5000}
+    edges = [n for name, n in written if name == "edges"]
+    assert edges[-1] == 0 and len(edges) < 12 and all(2 * y <= x for x, y in zip(edges, edges[1:]))
