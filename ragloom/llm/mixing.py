@@ -117,9 +117,14 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     row = row.withColumn("text", text)
     if "n_chars" in docs.columns:
         row = row.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    order = [F.col("_place.position"), F.xxhash64("doc_id", "_place.copy")]
-    row = row.withColumn("_at", order[0]).withColumn("_tie", order[1])
-    return row.repartitionByRange("_at", "_tie").sortWithinPartitions("_at", "_tie").select(*docs.columns)
+    row = row.withColumn("_at", F.col("_place.position")).withColumn("_tie", F.xxhash64("doc_id", "_place.copy"))
+    return in_training_order(row, "_at", "_tie").select(*docs.columns)
+
+
+def in_training_order(rows: DataFrame, position: str, tie: str) -> DataFrame:
+    """The rows sorted by range of training position, then tie; rows without a position come last, also in ranges."""
+    order = [F.col(position).asc_nulls_last(), F.col(tie)]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -34,11 +34,13 @@ def op2_substring_dedup(spark, sf_dir):
 def op3_mixing(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from ragloom.llm.mixing import plan
+    from ragloom.llm.mixing import in_training_order, plan
 
     planned = plan(documents(spark, sf_dir).select("doc_id", "source", "text"))
-    first = F.get("_places", F.lit(0))["position"]
-    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.round(first, 6).alias("first_position"))
+    # each document where the mix has its first taking, with the tie that mix() has; those it doesn't take come last
+    placed = planned.select("doc_id", "_size", "_source_size", "_target", "_taken", F.get("_places", F.lit(0))["position"].alias("_at"), F.xxhash64("doc_id", F.lit(0)).alias("_tie"))
+    mixed = in_training_order(placed, "_at", "_tie")
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.round("_at", 6).alias("first_position"))
 
 
 OP3_SQL = rf"""

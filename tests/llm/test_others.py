@@ -111,6 +111,18 @@ def test_mixing_meets_targets(docs, rows):
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, mixed.collect()), key=str)
 
 
+def test_mixing_query_is_in_training_order(spark, docs, tmp_path):
+    """The query's rows come in the order in which the mix has the documents first; those not taken come last."""
+    from ragloom.llm.queries import op3_mixing
+
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    some.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op3_mixing(spark, str(tmp_path)).collect()
+    first = list(dict.fromkeys(m.doc_id for m in mixing.mix(some).collect()))
+    assert len(got) == some.count() and [g.doc_id for g in got if g.taken] == first
+    assert [g.taken > 0 for g in got] == sorted((g.taken > 0 for g in got), reverse=True)
+
+
 def test_mixing_empty(empty):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
