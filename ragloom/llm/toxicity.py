@@ -274,7 +274,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Train on at most `most` labelled documents of each class outside held_out(); only their distinct words reach the driver."""
+    """Train in one task on at most `most` labelled documents of each class outside held_out(), as their distinct words; the driver gets the model alone."""
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = None
@@ -289,19 +289,36 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     # at most 2 * most rows, so this side is small at any input size; of rows with one doc_id one stays
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_of")), F.col("doc_id") == F.col("_of"))
     rows = rows.select("_of", "toxic", words("text").alias("words")).groupBy("_of", "toxic").agg(F.min("words").alias("words"))
+    share = total.get(1, 0) / max(1, sum(total.values()))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = learned(batches, share)
+        table = model.table
+        yield pd.DataFrame({"codes": [np.flatnonzero(table.row)], "counts": [table.values[1:]], "bias": [model.bias], "scale": [model.scale]})
+
+    # the sample is bounded, so one task holds it at any input size; only the model reaches the driver
+    made = rows.coalesce(1).mapInPandas(learn, "codes array<long>, counts array<float>, bias double, scale array<double>").collect()
+    if not made:  # no partition to read
+        return learned(iter(()), share)
+    codes, counts, bias, scale = made[0]
+    return Model(Table(np.array(codes, dtype=int), np.array(counts, dtype=np.float32)), bias, np.array(scale))
+
+
+def learned(batches: Iterator[pd.DataFrame], share: float) -> Model:
+    """Train on rows (_of, toxic, words: distinct words, one a line), whatever their order."""
     number: dict[str, int] = {}
     found = []
-    for r in rows.coalesce(8).toLocalIterator():
-        own = r["words"].split("\n") if r["words"] else []
-        found.append((r["_of"], r["toxic"], np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int32)))
+    for batch in batches:
+        for of, toxic, words in zip(batch["_of"].tolist(), batch["toxic"].tolist(), batch["words"], strict=True):
+            own = words.split("\n") if words else []
+            found.append((of, toxic, np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int32)))
     found.sort(key=lambda r: r[0])
     vocabulary = sorted(number)
     place = np.empty(len(number), dtype=np.int32)
     place[[number[w] for w in vocabulary]] = np.arange(len(number))
     del number
     for _, _, own in found:
-        np.take(place, own.copy(), out=own)  # in place: the driver holds each document's numbers once
-    share = total.get(1, 0) / max(1, sum(total.values()))
+        np.take(place, own.copy(), out=own)  # in place: each document's numbers are held once
     return train(vocabulary, [r[2] for r in found], np.array([r[1] for r in found], dtype=int), share)
 
 

@@ -299,6 +299,36 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert len({round(r.score, 9) for r in scored}) == 1
 
 
+def test_toxicity_sends_the_driver_its_model_alone(spark, monkeypatch):
+    import pandas as pd
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(300)]
+    texts = {i: " ".join([*(r.choice(words) for _ in range(30)), *["vuxkrot"] * (i % 4 == 0)]) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in texts], "doc_id long, toxic int")
+    reached = []
+
+    def watch(name):
+        def seen(self, *a, of=getattr(type(docs), name), **b):
+            rows = list(of(self, *a, **b))
+            reached.extend(rows)
+            return rows
+
+        monkeypatch.setattr(type(docs), name, seen)
+
+    watch("collect")
+    watch("toLocalIterator")
+    model = toxicity.fit(docs, labels)
+    monkeypatch.undo()
+    assert reached and not [v for row in reached for v in row if isinstance(v, str)]
+    used = [i for i in texts if crc32(str(i).encode()) % 4 != 2]
+    rows = pd.DataFrame([(i, int(i % 4 == 0), "\n".join(sorted(toxicity.terms(texts[i])))) for i in reversed(used)], columns=["_of", "toxic", "words"])
+    here = toxicity.learned(iter([rows[:100], rows[100:]]), rows["toxic"].mean())
+    some = [toxicity.terms(t) for t in (*texts.values(), "", "v.u.x.k.r.o.t")]
+    assert np.allclose(model.score(some), here.score(some), atol=1e-6)
+
+
 # secrets
 
 
