@@ -13,13 +13,20 @@ from ragloom.operators.ordering import running_before
 
 #: Groups whose sizes are sent to every task; of more they are joined in a shuffle.
 MOST_GROUPS = 200_000
+#: Sentences that an embedder gets at once, and those of the last document among them.
+SENTENCES = 1_000
 
 
 def _chunks(docs: DataFrame, bounds: Column, strategy: str) -> DataFrame:
-    """bounds: array of struct(first, last) sentence numbers, of the column `parts`."""
-    rows = docs.select("doc_id", "parts", F.posexplode(bounds).alias("chunk_id", "b"))
-    text = F.array_join(F.slice("parts", F.col("b.first") + 1, F.col("b.last") - F.col("b.first") + 1), " ")
-    return rows.select("doc_id", "chunk_id", text.alias("text"), F.col("b.first").alias("start_sentence"), F.col("b.last").alias("end_sentence"), (F.col("b.last") - F.col("b.first") + 1).alias("num_sentences"), F.lit(strategy).alias("strategy"))
+    """bounds: array of struct(first, last) sentence numbers, of the column `parts`; null or empty for a document without sentences.
+
+    A chunk's text is put together before rows are made of chunks, so that no chunk's row holds its document's other sentences; and from single
+    sentences, as a slice of an array goes over all of it.
+    """
+    text = lambda b: F.array_join(F.transform(F.sequence(b["first"], b["last"]), lambda i: F.get("parts", i)), " ")
+    made = F.transform("bounds", lambda b: F.struct(text(b).alias("text"), b["first"].alias("first"), b["last"].alias("last")))
+    rows = docs.select("doc_id", "parts", bounds.alias("bounds")).select("doc_id", F.posexplode(made).alias("chunk_id", "c"))
+    return rows.select("doc_id", "chunk_id", "c.text", F.col("c.first").alias("start_sentence"), F.col("c.last").alias("end_sentence"), (F.col("c.last") - F.col("c.first") + 1).alias("num_sentences"), F.lit(strategy).alias("strategy"))
 
 
 def no_chunks(docs: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def sentence_chunks(docs: DataFrame, size: int = 5, overlap: int = 2) -> DataFra
     n = F.size("parts")
     windows = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step) + 1).cast("int")
     bounds = F.transform(F.sequence(F.lit(0), windows - 1), lambda k: F.struct((k * step).alias("first"), (F.least(k * step + size, n) - 1).alias("last")))
-    return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")).where(n > 0), bounds, "sentence")
+    return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")), F.when(n > 0, bounds), "sentence")
 
 
 def corpus_chunks(docs: DataFrame, by: str = "example_id", size: int = 5, overlap: int = 2) -> DataFrame:
@@ -88,19 +95,27 @@ def semantic_chunks(docs: DataFrame, embedder: Embedder | None = None, threshold
     """Runs of sentences cut where neighbours are less alike than threshold; texts of up to `least` sentences are one chunk."""
     embedder = embedder or HashingEmbedder()
 
+    def cuts(parts: list[list[str]]) -> Iterator[list[dict[str, int]]]:
+        vectors = embedder.embed([s for p in parts for s in p])
+        ends = np.cumsum([len(p) for p in parts])
+        for p, end in zip(parts, ends, strict=True):
+            own = vectors[end - len(p) : end]
+            found = greedy_bounds(np.round(similarities(own), 6), threshold, least, most) if len(p) > least else [(0, len(p) - 1)]
+            yield [{"first": a, "last": b} for a, b in found if len(p)]
+
     @F.pandas_udf("array<struct<first:int,last:int>>")
     def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            vectors = embedder.embed([s for p in parts for s in p])
-            ends = np.cumsum([len(p) for p in parts])
-            out = []
-            for p, end in zip(parts, ends, strict=True):
-                own = vectors[end - len(p) : end]
-                found = greedy_bounds(np.round(similarities(own), 6), threshold, least, most) if len(p) > least else [(0, len(p) - 1)]
-                out.append([{"first": a, "last": b} for a, b in found])
-            yield pd.Series(out)
-
-    return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")).where(F.size("parts") > 0), bounds("parts"), "semantic")
+        for rows in batches:
+            out, held, n = [], [], 0
+            for p in rows:
+                held.append([] if p is None else list(p))
+                n += len(held[-1])
+                if n >= SENTENCES:
+                    out += cuts(held)
+                    held, n = [], 0
+            yield pd.Series([*out, *cuts(held)] if held else out)
+
+    return _chunks(docs.select("doc_id", sentences(F.col("text")).alias("parts")), bounds("parts"), "semantic")
 
 
 def numbered(chunks: DataFrame, example: str, order: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:

@@ -17,35 +17,52 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+_STOP = frozenset(STOPWORDS)
+_WORDS = re.compile(r"[^\W_]+").findall
+
+
+class _Places(dict):
+    """Word to bucket of a count, met once: buckets of plus, then of minus, then one for words that don't count."""
+
+    MOST = 500_000
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        at = 2 * self.dimension
+        if len(word) > 2 and word.isascii() and word not in _STOP:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            at = int(digest[:8], 16) % self.dimension + (0 if int(digest[8], 16) < 8 else self.dimension)
+        if len(self) > self.MOST:
+            self.clear()
+        self[word] = at
+        return at
+
+    def __reduce__(self):  # it travels empty
+        return _Places, (self.dimension,)
+
+
 class HashingEmbedder:
     """An offline stand-in for a model: content tokens are counted into buckets named by their md5, with a sign, and scaled to length 1."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
-        self.known: dict[str, tuple[int, float]] = {}
-
-    def _place(self, token: str) -> tuple[int, float]:
-        if token not in self.known:
-            if len(self.known) > 500_000:
-                self.known = {}
-            digest = hashlib.md5(token.encode()).hexdigest()
-            self.known[token] = int(digest[:8], 16) % self.dimension, 1.0 if int(digest[8], 16) < 8 else -1.0
-        return self.known[token]
+        self.places = _Places(dimension)
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for row, text in zip(out, texts, strict=True):
-            for token in re.split(r"[^\w]+|_", text.lower()) if text else ():
-                if len(token) > 2 and token.isascii() and token not in _STOP:
-                    at, sign = self._place(token)
-                    row[at] += sign
+        n, width, words, ends = self.dimension, 2 * self.dimension + 1, [], []
+        for text in texts:
+            words += map(self.places.__getitem__, _WORDS(text.lower()) if text else ())
+            ends.append(len(words))
+        rows = np.repeat(np.arange(len(texts)), np.diff(np.array(ends, dtype=np.int64), prepend=0))
+        counts = np.bincount(rows * width + np.array(words, dtype=np.int64), minlength=len(texts) * width).reshape(-1, width)
+        out = (counts[:, :n] - counts[:, n : 2 * n]).astype(np.float64)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 
 
-_STOP = frozenset(STOPWORDS)
-
-
 def embedded(rows: DataFrame, text: str, embedder: Embedder, name: str = "vector", batch: int = 100) -> DataFrame:
     """rows with a vector (array of double) of a text column, computed in Arrow batches."""
 

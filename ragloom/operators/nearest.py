@@ -28,13 +28,18 @@ def scaled(rows: list) -> np.ndarray:
 
 def _best(ids: np.ndarray, own: np.ndarray, names: np.ndarray, matrix: np.ndarray, k: int, others_only: bool) -> pd.DataFrame:
     """The k best of the vectors (ids ascending) for every query."""
-    scores = np.round(own @ matrix.T, 6) + 0.0
+    scores = np.round(matrix @ own.T, 6) + 0.0
     if others_only:
-        scores[ids[:, None] == names[None, :]] = -2.0
-    best = np.argsort(-scores, axis=0, kind="stable")[:k]
-    found = np.take_along_axis(scores, best, 0)
-    out = pd.DataFrame({"query_id": np.tile(names, len(best)), "doc_id": ids[best].ravel(), "score": found.ravel()})
-    return out[out["score"] >= -1.5]
+        scores[names[:, None] == ids[None, :]] = -2.0
+    # no query's score is sorted that more than k others exceed
+    least = np.partition(scores, -k, axis=1)[:, -k] if 0 < k < len(ids) else np.full(len(names), -2.0)
+    query, at = np.nonzero(scores >= least[:, None])
+    found = scores[query, at]
+    order = np.lexsort((at, -found, query))
+    query, at, found = query[order], at[order], found[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    best = (place < k) & (found >= -1.5)
+    return pd.DataFrame({"query_id": names[query[best]], "doc_id": ids[at[best]], "score": found[best]})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), others_only: bool = False, most_queries: int | None = None) -> DataFrame:

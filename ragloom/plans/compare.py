@@ -12,6 +12,7 @@ from ragloom.operators.embedding import Embedder, embedded
 from ragloom.operators.nearest import nearest
 from ragloom.operators.nearest import ranked as ranked_nearest
 from ragloom.plans.models import ChatModel, asked
+from ragloom.sources.shared import written
 
 #: What the best configuration is made of where a phase has no result.
 FALLBACKS = {"embedding": "minilm", "chunking": "semantic", "model": "llama-3.1-8b"}
@@ -23,15 +24,20 @@ def retrieval_scores(hits: DataFrame, by: str) -> DataFrame:
     return each.groupBy(by).agg(F.round(F.avg("score"), 6).alias("avg_score"), F.count("*").alias("n"))
 
 
-def chunking_scores(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """strategy, avg_chunks (of an example, by strategy and example_id in chunks), avg_score and n."""
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """strategy, avg_chunks: chunks of an example, by strategy and example_id in chunks. Written once; it names the strategies that have chunks."""
     counts = chunks.groupBy("strategy", "example_id").agg(F.count("*").alias("n")).groupBy("strategy").agg(F.round(F.avg("n"), 6).alias("avg_chunks"))
+    return written(counts, "chunk-counts")
+
+
+def chunking_scores(hits: DataFrame, counts: DataFrame) -> DataFrame:
+    """strategy, avg_chunks (see chunk_counts()), avg_score and n."""
     return retrieval_scores(hits, "strategy").join(counts, "strategy").select("strategy", "avg_chunks", "avg_score", "n")
 
 
-def nearest_by_strategy(chunks: DataFrame, queries: DataFrame, embedder: Embedder, k: int = 5) -> DataFrame:
-    """strategy, query_id, score of the k nearest chunks (strategy, doc_id, text) of each query (query_id, text) in each strategy; texts are embedded once."""
-    asked = embedded(queries.select("query_id", "text"), "text", embedder).join(F.broadcast(chunks.select("strategy").distinct()))
+def nearest_by_strategy(chunks: DataFrame, strategies: DataFrame, queries: DataFrame, embedder: Embedder, k: int = 5) -> DataFrame:
+    """strategy, query_id, score of the k nearest chunks (strategy, doc_id, text) of each query (query_id, text) in each strategy that strategies names; texts are embedded once."""
+    asked = embedded(queries.select("query_id", "text"), "text", embedder).join(F.broadcast(strategies.select("strategy")))
     asked = asked.select("strategy", F.to_json(F.array("strategy", F.col("query_id").cast("string"))).alias("query_id"), "vector")
     hits = ranked_nearest(nearest(embedded(chunks.select("strategy", "doc_id", "text"), "text", embedder), asked, k, ("strategy",)), k)
     at = F.from_json("query_id", "array<string>")

@@ -750,7 +750,8 @@ def compare_chunkings(spark, sf_dir):
     docs, asks = docs_and_asks(spark, sf_dir)
     made = (chunking.no_chunks(docs), chunking.sentence_chunks(docs), chunking.semantic_chunks(docs, threshold=0.2))
     chunks = reduce(DataFrame.unionByName, (c.select("strategy", F.col("doc_id").alias("example_id"), F.concat_ws("_", "doc_id", "chunk_id").alias("doc_id"), "text") for c in made))
-    return compare.chunking_scores(compare.nearest_by_strategy(chunks, asks, HashingEmbedder()), chunks)
+    counts = compare.chunk_counts(chunks)
+    return compare.chunking_scores(compare.nearest_by_strategy(chunks, counts, asks, HashingEmbedder()), counts)
 
 
 @query(f"""WITH p AS (SELECT * FROM (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations) WHERE role = 'assistant' AND question IS NOT NULL),

@@ -68,3 +68,45 @@ def test_noise_mix_ranks_rows(spark, tmp_path):
     assert {tuple(r) for r in out.collect()} == want
     plan = _plan(out)
     assert plan.index("collect_list") < plan.index("WindowGroupLimit")  # what is collected was cut by rank before
+
+
+def test_a_chunks_row_holds_no_other_sentences(spark):
+    """What goes to an embedder is a chunk's text: with a document's sentences in each of its chunks' rows, queues of rows grew with the square of its length."""
+    from ragloom.operators.chunking import semantic_chunks, sentence_chunks
+    from ragloom.operators.embedding import HashingEmbedder, embedded
+
+    rows = [(0, " ".join(f"Sentence number word{i} stands here." for i in range(40))), (1, None), (2, " \n"), (3, "One. Two!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunks in (sentence_chunks(docs), semantic_chunks(docs)):
+        plan = embedded(chunks.select("doc_id", "text"), "text", HashingEmbedder()).select("doc_id", "vector")._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("Generate")[0]
+        assert "ArrowEvalPython" in above and "parts#" not in above
+        assert {r.doc_id for r in chunks.collect()} == {0, 3}
+    first = sentence_chunks(docs).orderBy("doc_id", "chunk_id").first()
+    assert (first.text, first.start_sentence, first.end_sentence, first.num_sentences) == (" ".join(f"Sentence number word{i} stands here." for i in range(5)), 0, 4, 5)
+
+
+def test_best_of_equals_go_by_id():
+    import numpy as np
+
+    from ragloom.operators.nearest import _best
+
+    ids, own = np.arange(100, 150), np.eye(2)[[i % 2 for i in range(50)]]
+    got = _best(ids, own, np.array([7, 8, 9]), np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 1.0]]), 3, False)
+    assert got.groupby("query_id")["doc_id"].apply(list).to_dict() == {7: [100, 102, 104], 8: [100, 101, 102], 9: [101, 103, 105]}
+    assert len(_best(ids[:2], own[:2], np.array([100]), own[:1], 5, True)) == 1
+
+
+def test_hashing_embedder_counts_words():
+    import hashlib
+
+    import numpy as np
+
+    from ragloom.operators.embedding import HashingEmbedder
+
+    want = np.zeros((3, 16))
+    for word in ["words", "words", "house_no"[:5], "x9y"]:
+        digest = hashlib.md5(word.encode()).hexdigest()
+        want[0, int(digest[:8], 16) % 16] += 1 if int(digest[8], 16) < 8 else -1
+    want[0] /= np.linalg.norm(want[0])
+    assert np.allclose(HashingEmbedder(16).embed(["Words, the WORDS house_no x9y é ünd of", "", "the"]), want)
