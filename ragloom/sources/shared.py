@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written once to the shared folder and read back: what uses them several times, or after executors were lost, computes nothing again."""
-    path = new_path(rows.sparkSession, name)
-    rows.write.parquet(path)
+#: Spark's setting by which the shuffle files of a finished query go at once and not with the driver's next garbage collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end within the block go as they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder in the shared one for tables that go when the block ends."""
+    path = new_path(spark, name)
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(rows: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """rows, written once to the shared folder, or the folder `within` it, and read back: what uses them several times, or after executors were lost, computes nothing again."""
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else new_path(rows.sparkSession, name)
+    with cleaned(rows.sparkSession):
+        rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

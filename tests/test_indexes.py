@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,31 @@ def test_postings_index_of_nothing(spark):
     index = PostingsIndex.build(none, new_path(spark, "postings"))
     assert index.search(none.withColumnRenamed("doc_id", "query_id")).count() == 0
     assert index.append(corpus(spark, 20))["added"] == 20 and index.search(spark.createDataFrame([(0, "word0")], "query_id long, text string")).count() == 5
+
+
+def test_an_append_sends_no_list_of_terms_or_blocks(spark, monkeypatch):
+    """Only very frequent terms are sent to tasks, and a search sends its own terms alone; an append leaves no tables of its own behind."""
+    from ragloom.operators import postings_index as P
+    from ragloom.operators.retrieval import bm25_scores, top_k
+
+    monkeypatch.setattr(P, "BLOCK", 4)
+    monkeypatch.setattr(P, "POSTINGS_A_TASK", 2_000)
+    monkeypatch.setattr(P, "SHARES", 16)
+    docs = corpus(spark, 800)
+    index = P.PostingsIndex(spark, new_path(spark, "postings"))
+    counts = docs.select("doc_id", F.explode(index.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.lit(1).cast("long").alias("length"))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"))
+    n = counts.count()
+    waves = index._blocks(counts, terms, n)
+    assert len(waves) == P.WAVES and sum(w.agg(F.sum("n")).first()[0] or 0 for w in waves) == n
+    assert terms.where(F.col("df") > max(4, n // 16 + 1)).count() <= 16 < terms.where("df > 4").count()
+    assert max(w.agg(F.max("n")).first()[0] or 0 for w in waves) == 4
+    plan = waves[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and f" > {n // 16 + 1})" in plan
+
+    folder = Path(new_path(spark, "x").removeprefix("file://")).parent
+    before = set(folder.iterdir())
+    index = P.PostingsIndex.build(docs, new_path(spark, "kept"))
+    asks = spark.createDataFrame([(0, "word0 word1"), (1, "word2 word59")], "query_id long, text string")
+    assert rows_of(index.search(asks)) == rows_of(top_k(bm25_scores(docs, asks).where(F.round("score", 6) > 0), 5))
+    assert [p.name[:4] for p in set(folder.iterdir()) - before] == ["kept"]
