@@ -6,6 +6,7 @@ query_id, doc_id, score (rounded to 6 digits), rank from 1. Equal scores rank by
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
@@ -16,6 +17,7 @@ from ragloom.functions.text import content_tokens
 from ragloom.operators.embedding import Embedder, HashingEmbedder, embedded
 from ragloom.operators.nearest import nearest
 from ragloom.operators.vector_index import VectorIndex
+from ragloom.sources.shared import scratch, written
 
 Tokens = Callable[[Column], Column]
 #: A set of queries is sent to every task if its terms are at most so many rows; beyond that Spark joins by shuffling.
@@ -104,19 +106,48 @@ def ngrams(tokens: Tokens, most: int) -> Tokens:
     return of
 
 
-def tfidf_scores(documents: DataFrame, queries: DataFrame, tokens: Tokens = content_tokens, most_terms: int | None = None) -> DataFrame:
-    """Cosine of tf * (ln((1 + N) / (1 + df)) + 1) vectors of queries and documents, over all terms of the documents.
+def vocabulary(documents: DataFrame, most_terms: int, tokens: Tokens = content_tokens, most: int = 1) -> DataFrame:
+    """term, no: the most_terms that occur most often in documents, then by name, among tokens and runs of up to `most` of them; as a stored table.
 
-    most_terms keeps only the terms that occur most often in the documents, then by name: such a vocabulary is small and its
-    weights are sent to all tasks. Documents are read and tokenised once.
+    A run occurs no more often than any of its tokens, so runs are counted only where each token occurs as often as the last of the most_terms most frequent
+    tokens: no other run can be in the vocabulary. Where there are fewer tokens, all runs are counted. Tokens are without blanks.
     """
-    terms = query_terms(queries, tokens)
+    found = documents.select(tokens(F.col("text")).alias("t"))
+    cut = lambda rows: rows.orderBy(F.desc("cf"), "term").limit(most_terms)
+    with scratch(documents.sparkSession, "vocabulary-counts") as place:
+        every = written(found.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("cf")), "counts", place)
+        n, least = cut(every).agg(F.count("*"), F.min("cf")).first()
+        least = least if n == most_terms else 0
+        counted = every.where(F.col("cf") >= least)
+        few = _few(counted)
+        parts = [counted]
+        for n in range(2, most + 1):
+            of = lambda i: F.struct(*(F.get("t", i + j).alias(f"_{j}") for j in range(n)))  # noqa: B023, E731
+            runs = found.where(F.size("t") >= n).select(F.inline(F.transform(F.sequence(F.lit(0), F.size("t") - n), of)))
+            for j in range(n):
+                runs = runs.join(_sent(counted.select(F.col("term").alias(f"_{j}")), few), f"_{j}", "left_semi")
+            own = runs.groupBy(*(f"_{j}" for j in range(n))).agg(F.count("*").alias("cf"))
+            parts.append(own.where(F.col("cf") >= least).select(F.concat_ws(" ", *(f"_{j}" for j in range(n))).alias("term"), "cf"))
+        return written(cut(reduce(DataFrame.unionByName, parts)).select("term", F.monotonically_increasing_id().alias("no")), "vocabulary")
+
+
+def tfidf_scores(documents: DataFrame, queries: DataFrame, tokens: Tokens = content_tokens, most_terms: int | None = None, most: int = 1) -> DataFrame:
+    """Cosine of tf * (ln((1 + N) / (1 + df)) + 1) vectors of queries and documents, over all terms of the documents: tokens, and runs of up to `most` of them.
+
+    most_terms keeps only the terms that occur most often in the documents, then by name: such a vocabulary is small and sent to all tasks,
+    and other terms go before anything is shuffled.
+    """
+    terms = query_terms(queries, ngrams(tokens, most) if most > 1 else tokens)
     few = _few(terms)
-    counts = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    n = documents.agg(F.count("*").alias("docs"))
-    stats = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("cf"))
+    found = documents.select("doc_id", F.explode((ngrams(tokens, most) if most > 1 else tokens)(F.col("text"))).alias("term"))
     if most_terms:
-        stats = stats.orderBy(F.desc("cf"), "term").limit(most_terms)
+        known = F.broadcast(vocabulary(documents, most_terms, tokens, most))
+        # terms are their numbers from here on
+        found = found.join(known, "term").select("doc_id", F.col("no").alias("term"))
+        terms = terms.join(known, "term").select("query_id", F.col("no").alias("term"), "qtf")
+    counts = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    n = documents.agg(F.count("*").alias("docs"))
+    stats = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = stats.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = idf.join(_sent(terms, few), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("q"))
     asked = asked.withColumn("q", F.col("q") / F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id"))))
@@ -217,7 +248,7 @@ def retrieve(documents: DataFrame, queries: DataFrame, spec: RetrievalSpec = Ret
     sparse = {
         "bm25": lambda: bm25_scores(documents, queries, spec),
         "tfidf": lambda: tfidf_scores(documents, queries),
-        "tfidf_ngram": lambda: tfidf_scores(documents, queries, ngrams(content_tokens, 2), VOCABULARY),
+        "tfidf_ngram": lambda: tfidf_scores(documents, queries, content_tokens, VOCABULARY, 2),
     }
     known = (*sparse, "dense", "hybrid", "hybrid_rerank")
     if spec.method not in known:

@@ -118,3 +118,27 @@ def test_stream_appends_once(spark, tmp_path):
     for n in range(2):
         evaluate_stream(spark, samples, "config string, dataset_id string", lambda b: b.withColumn("score", F.lit(1.0)), out, f"file://{tmp_path}/at{n}").awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_vocabulary_is_that_of_all_runs(spark):
+    """Runs are counted only where their tokens are frequent enough; before anything of a document is shuffled, it is cut to the vocabulary."""
+    import random
+    from collections import Counter
+
+    from ragloom.functions.text import content_tokens
+    from ragloom.operators.retrieval import tfidf_scores, vocabulary
+
+    r = random.Random(3)
+    words = [f"word{i:02}" for i in range(40)]
+    texts = [" ".join(r.choices(words, weights=[1 / (j + 1) for j in range(40)], k=r.randrange(0, 30))) for _ in range(200)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for most in (1, 2, 3):
+        cf = Counter(" ".join(t[i : i + n]) for t in ((x or "").split() for x in texts) for n in range(1, most + 1) for i in range(len(t) - n + 1))
+        order = sorted(cf, key=lambda t: (-cf[t], t))
+        for k in (5, 30, 60, 10_000):  # more than there are tokens, more than there are runs
+            got = vocabulary(docs, k, content_tokens, most).collect()
+            assert {x.term for x in got} == set(order[:k]) and len({x.no for x in got}) == len(got) == min(k, len(order))
+    asks = spark.createDataFrame([(0, "word00 word01 word07"), (1, "none")], "query_id long, text string")
+    scores = tfidf_scores(docs, asks, content_tokens, 30, 2)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [doc_id")[1]
+    assert "Join Inner" in plan.split("Generate explode")[0] and {x.query_id for x in scores.collect()} == {0}
