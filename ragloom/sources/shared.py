@@ -54,5 +54,5 @@ def written(rows: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """rows, written once to the shared folder, or the folder `within` it, and read back: what uses them several times, or after executors were lost, computes nothing again."""
     path = f"{within}/{name}-{uuid.uuid4().hex}" if within else new_path(rows.sparkSession, name)
     with cleaned(rows.sparkSession):
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
